@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid_ppm, media_ts, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 
 
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid_ppm.held_out("doc_id", 4, 2)
+    trees = langid_ppm.fit(docs.where(~out))
+    return langid_ppm.predict(docs, trees, pass_cols=[F.col("doc_id"), out.alias("held_out")])
+
+
+def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = media_ts.with_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media_ts.media_info(F.col("media")).alias("info"))
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return read.select("doc_id", "n_bytes", *[F.col(f"info.{x}").alias(x) for x in names], media_ts.feature_string().alias("feature"))
+
+
+def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs))
+
+
 def op8_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -21,6 +41,9 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ppm_language": op2_ppm_language,
+    "op4_transport_stream": op4_transport_stream,
+    "op6_vector_best_fit": op6_vector_best_fit,
     "op8_content_sort_dedup": op8_content_sort_dedup,
     "op10_water_filling_mix": op10_water_filling_mix,
 }
