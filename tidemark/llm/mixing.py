@@ -59,9 +59,12 @@ def mix_sources(
     targets = source_targets(sizes, weights, max_epochs, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
-    hist = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("upto", F.sum("in_bucket").over(running))
+    hist = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("coarse", F.substring("bucket", 1, 2))
+    to_here = lambda *keys: Window.partitionBy("source", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    coarse = hist.groupBy("source", "coarse").agg(F.sum("in_bucket").alias("n"))  # 256 rows a source at most
+    coarse = coarse.select(F.col("source").alias("csource"), F.col("coarse").alias("ccoarse"), (F.sum("n").over(to_here("coarse")) - F.col("n")).alias("earlier"))
+    hist = hist.join(coarse, F.col("source").eqNullSafe(F.col("csource")) & (F.col("coarse") == F.col("ccoarse")))
+    hist = hist.withColumn("upto", F.col("earlier") + F.sum("in_bucket").over(to_here("coarse", "bucket")))
     t = targets.withColumnRenamed("source", "tsource")
     hist = hist.join(t, F.col("source").eqNullSafe(F.col("tsource"))).drop("tsource")
     hist = hist.select(F.col("source").alias("hsource"), F.col("bucket").alias("hbucket"), "source_size", "target", "whole", (F.col("want") - F.col("upto") + F.col("in_bucket")).alias("left_here"))

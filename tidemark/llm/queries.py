@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid_ppm, media_ts, packing
+from . import html_extract, langid_ppm, media_ts, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 
 
+def op1_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid_ppm.held_out("doc_id", 4, 2)
@@ -41,6 +45,7 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_block_rules": op1_block_rules,
     "op2_ppm_language": op2_ppm_language,
     "op4_transport_stream": op4_transport_stream,
     "op6_vector_best_fit": op6_vector_best_fit,
