@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid_ppm, media_ts, packing
+from . import html_extract, langid_ppm, lbl_lm, media_ts, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -22,6 +22,12 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ppm.predict(docs, trees, pass_cols=[F.col("doc_id"), out.alias("held_out")])
 
 
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid_ppm.held_out("doc_id", 10, 0)
+    return lbl_lm.lm_scores(docs, ~out, pass_cols=[F.col("doc_id"), out.alias("held_out")])
+
+
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = media_ts.with_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media_ts.media_info(F.col("media")).alias("info"))
@@ -47,6 +53,7 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_block_rules": op1_block_rules,
     "op2_ppm_language": op2_ppm_language,
+    "op3_log_bilinear": op3_log_bilinear,
     "op4_transport_stream": op4_transport_stream,
     "op6_vector_best_fit": op6_vector_best_fit,
     "op8_content_sort_dedup": op8_content_sort_dedup,
