@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid_ppm, lbl_lm, media_ts, packing
+from . import html_extract, langid_ppm, lbl_lm, lpf_dedup, media_ts, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -35,6 +35,10 @@ def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", *[F.col(f"info.{x}").alias(x) for x in names], media_ts.feature_string().alias("feature"))
 
 
+def op5_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(packing.token_pieces(docs))
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_ppm_language": op2_ppm_language,
     "op3_log_bilinear": op3_log_bilinear,
     "op4_transport_stream": op4_transport_stream,
+    "op5_previous_factors": op5_previous_factors,
     "op6_vector_best_fit": op6_vector_best_fit,
     "op8_content_sort_dedup": op8_content_sort_dedup,
     "op10_water_filling_mix": op10_water_filling_mix,
