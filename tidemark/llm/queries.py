@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid_ppm, lbl_lm, lpf_dedup, media_ts, packing
+from . import html_extract, langid_ppm, lbl_lm, lpf_dedup, media_ts, ngram_join, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -49,6 +49,10 @@ def op8_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_previous_factors": op5_previous_factors,
     "op6_vector_best_fit": op6_vector_best_fit,
     "op8_content_sort_dedup": op8_content_sort_dedup,
+    "op9_lsh_forest_join": op9_lsh_forest_join,
     "op10_water_filling_mix": op10_water_filling_mix,
 }
 
