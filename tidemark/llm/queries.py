@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid_ppm, lbl_lm, lpf_dedup, media_ts, ngram_join, packing
+from . import html_extract, langid_ppm, lbl_lm, line_dedup, lpf_dedup, media_ts, ngram_join, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -44,6 +44,10 @@ def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_transport_stream": op4_transport_stream,
     "op5_previous_factors": op5_previous_factors,
     "op6_vector_best_fit": op6_vector_best_fit,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_content_sort_dedup": op8_content_sort_dedup,
     "op9_lsh_forest_join": op9_lsh_forest_join,
     "op10_water_filling_mix": op10_water_filling_mix,
