@@ -3,8 +3,8 @@
 Corpus statistics cover all training rows: token counts are combined per task, shuffled and kept as a table. The most
 frequent tokens are the model's words; all others share one class, inside which a token has its smoothed share of the
 counts. The model predicts a word's vector linearly from the two words before: q = R[w1] C1 + R[w2] C2, logit =
-q . Q[w] + b[w]. Every task runs through all its training rows once, minibatch by minibatch, telling words from shared
-noise samples; after each of a few rounds, over disjoint parts of the rows, the tasks' parameters are averaged by
+q . Q[w] + b[w]. Every task runs through all its training rows once, telling words from shared noise samples in
+minibatches of counted word triples; after each of a few rounds, over disjoint parts of the rows, the tasks' parameters are averaged by
 their tokens. Scores are normalised: a batch's new contexts go through one matrix product with all words,
 and the logarithms of the sums are kept by context. Tokens outside the broadcast head of the counts are joined to the table.
 """
@@ -25,6 +25,8 @@ from .common import materialise
 
 #: The end of a text among the tokens; no word is a line feed.
 END = b"\n"
+#: Tokens, drawn from a batch at random, among which equal word triples are counted and trained on at once.
+CHUNK = 100_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -94,30 +96,24 @@ class Model:
     def end(self) -> int:
         return min(self.index().get(END, self.n_words), self.n_words)
 
-    def nce_step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, state: list[np.ndarray], rate: float) -> None:
-        """One minibatch: raise data against noise; both are weighed as if each word had len(noise) noise samples."""
-        k = len(noise)
+    def nce_step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray, times: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, state: list[np.ndarray], rate: float) -> None:
+        """One minibatch of distinct word triples with their numbers: raise data against noise, as if each word had len(noise) noise samples."""
+        shift = np.float32(np.log(len(noise)))
         r1, r2 = self.r[w1], self.r[w2]
         pred = r1 @ self.c1 + r2 @ self.c2
         qw, qn = self.q[w], self.q[noise]
-        shift = np.log(k)
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", pred, qw) + self.b[w] - log_noise[w] - shift, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(pred @ qn.T + (self.b[noise] - log_noise[noise] - shift), -30, 30)))
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", pred, qw) + (self.b - log_noise)[w] - shift, -30, 30)))
+        up *= times
+        down = -times[:, None] / (1 + np.exp(-np.clip(pred @ qn.T + ((self.b - log_noise)[noise] - shift), -30, 30)))
         g_pred = up[:, None] * qw + down @ qn
-        grads = [np.zeros_like(p) for p in self.params()]
-        g_r, g_q, g_b = grads[0], grads[3], grads[4]
-        add_rows(g_q, w, up[:, None] * pred)
-        np.add.at(g_q, noise, down.T @ pred)
-        g_b += np.bincount(w, up, len(g_b)).astype(np.float32)
-        np.add.at(g_b, noise, down.sum(0))
-        grads[1] += r1.T @ g_pred
-        grads[2] += r2.T @ g_pred
-        add_rows(g_r, w1, g_pred @ self.c1.T)
-        add_rows(g_r, w2, g_pred @ self.c2.T)
-        for p, g, s in zip(self.params(), grads, state, strict=True):
-            g /= len(w) ** 0.5
-            s += g * g
-            p += rate * g / np.sqrt(s + 1e-6)
+        scale = np.float32(times.sum() ** -0.5)
+        rows, grad = sum_rows(np.concatenate([w, noise]), np.concatenate([np.column_stack([up[:, None] * pred, up]), np.column_stack([down.T @ pred, down.sum(0)])]))
+        ctx, g_ctx = sum_rows(np.concatenate([w1, w2]), np.concatenate([g_pred @ self.c1.T, g_pred @ self.c2.T]))
+        every = slice(None)
+        for p, s, at, g in ((self.c1, state[1], every, r1.T @ g_pred), (self.c2, state[2], every, r2.T @ g_pred), (self.q, state[3], rows, grad[:, :-1]), (self.b, state[4], rows, grad[:, -1]), (self.r, state[0], ctx, g_ctx)):
+            g = g * scale
+            s[at] += g * g
+            p[at] += rate * g / np.sqrt(s[at] + 1e-6)
 
     def log_z(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         """Logarithm of the sum over all words after each context; kept for contexts met before."""
@@ -143,10 +139,11 @@ class Model:
         return np.einsum("ij,ij->i", self._p1[w1] + self._p2[w2], self.q[w]) + self.b[w] - z
 
 
-def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+def sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices and the sum of the rows of each."""
     order = np.argsort(at, kind="stable")
     first = np.flatnonzero(np.diff(at[order], prepend=-1))
-    to[at[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
+    return at[order[first]], np.add.reduceat(rows[order], first, axis=0)
 
 
 def stream(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +166,7 @@ def train_round(rows: DataFrame, model: Model, text_col: str, *, noise: int, bat
         own = copy.copy(shared.value)
         own.r, own.c1, own.c2, own.q, own.b = (p.copy() for p in shared.value.params())
         index, most = shared.value.index(), own.n_words
+        k = most + 1
         rng = np.random.default_rng(seed)
         part = np.append(own.counts[:most], own.total - own.counts[:most].sum()) + 0.5
         part = part / part.sum()
@@ -183,10 +181,15 @@ def train_round(rows: DataFrame, model: Model, text_col: str, *, noise: int, bat
             at = np.flatnonzero(real)
             seen += len(at)
             rng.shuffle(at)
-            for lo in range(0, len(at), batch):
-                i = at[lo : lo + batch]
-                picked = np.minimum(np.searchsorted(cumulative, rng.random(noise)), most)
-                own.nce_step(flat[i], flat[i - 1], flat[i - 2], picked, log_noise, state, rate)
+            for lo in range(0, len(at), CHUNK):
+                i = at[lo : lo + CHUNK]
+                triples, times = np.unique((flat[i - 2] * k + flat[i - 1]) * k + flat[i], return_counts=True)
+                order = rng.permutation(len(triples))
+                triples, times = triples[order], times[order].astype(np.float32)
+                for a in range(0, len(triples), batch):
+                    x = triples[a : a + batch]
+                    picked = np.minimum(np.searchsorted(cumulative, rng.random(noise)), most)
+                    own.nce_step(x % k, x // k % k, x // k // k, times[a : a + batch], picked, log_noise, state, rate)
         if seen:
             flat = np.concatenate([p.ravel() for p in own.params()])
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["n", "v"])
@@ -198,7 +201,7 @@ def train_round(rows: DataFrame, model: Model, text_col: str, *, noise: int, bat
 
 
 def fit(
-    train: DataFrame, counts: DataFrame, text_col: str = "text", *, n_words: int = 2047, head: int = 150_000, dim: int = 32, noise: int = 32, batch: int = 512, rounds: int = 2, rate: float = 0.05, seed: int = 5,
+    train: DataFrame, counts: DataFrame, text_col: str = "text", *, n_words: int = 2047, head: int = 150_000, dim: int = 32, noise: int = 64, batch: int = 256, rounds: int = 2, rate: float = 0.05, seed: int = 5,
 ) -> Model:
     """Train on all rows of ``train``, whose token counts are ``counts``. ``head`` tokens at most come to the driver."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
