@@ -35,7 +35,9 @@ def exact_dedup(
     """
     spark = df.sparkSession
     clean: Column = NORMALISERS[normalise](F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = df.select(F.col(id_col).alias("__id"), *[F.col(c) for c in columns or []], clean.alias("__t")).withColumn("__h", F.xxhash64("__t"))
+    carried = [c for c in columns or [] if c not in (id_col, text_col) or c == text_col and normalise != "none"]
+    own = [F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)]
+    rows = df.select(F.col(id_col).alias("__id"), *own, clean.alias("__t"), F.col(text_col).isNull().alias("__null")).withColumn("__h", F.xxhash64("__t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = max(2.0, df.count() * hot_share / parts)
     hot = rows.groupBy("__h").count().where(F.col("count") > least).select("__h", F.ceil(F.col("count") / least).cast("int").alias("__salts"))
@@ -67,12 +69,15 @@ def exact_dedup(
                 (F.row_number().over(text.orderBy(F.col("__keep").desc_nulls_last() if keep == "max" else F.col("__keep").asc_nulls_last(), "__salt")) == 1).alias("__top"),
             )
         )
-        found = found.drop("__t").join(heads, (F.col("text_sha256") == F.col("__hs")) & (F.col("__salt") == F.col("__hsalt")), "left")
+        found = (found if text_col in (columns or []) else found.drop("__t")).join(heads, (F.col("text_sha256") == F.col("__hs")) & (F.col("__salt") == F.col("__hsalt")), "left")
         found = found.withColumn("__kept", (F.col("__rn") == 1) & F.coalesce(F.col("__top"), F.lit(True)))
         found = found.withColumn("__keep", F.when(F.col("__hs").isNotNull(), F.col("__gkeep")).otherwise(F.col("__keep"))).withColumn("__n", F.coalesce("__gn", "__n"))
     else:
         found = found.withColumn("__kept", F.col("__rn") == 1)
+    back = {c: F.col(f"__c{k}") for k, c in enumerate(carried)}
+    if text_col in (columns or []) and normalise == "none":
+        back[text_col] = F.when(~F.col("__null"), F.col("__t"))  # the same bytes: not carried twice
     return found.select(
-        F.col("__id").alias(id_col), *(columns or []), F.col("__keep").alias("keep_id"), F.col("__n").cast("long").alias("group_size"),
-        F.col("__kept").alias("kept"), "text_sha256",
+        F.col("__id").alias(id_col), *[back[c].alias(c) for c in columns or [] if c != id_col], F.col("__keep").alias("keep_id"),
+        F.col("__n").cast("long").alias("group_size"), F.col("__kept").alias("kept"), "text_sha256",
     )
