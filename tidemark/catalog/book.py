@@ -13,6 +13,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VIEWS = {"daily": daily, "ticks": ticks, "user_ticks": lambda s, d: ticks(s, d, "user_id"), "brand": brand_daily}
 
 
+#: Put before common table expressions of which one refers to itself.
+RECURSIVE = "RECURSIVE_MARK"
+
+
 class Book:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
@@ -25,7 +29,10 @@ class Book:
             self.queries[name] = (lambda spark, sf_dir: f(VIEWS[view](spark, sf_dir))) if view else f
             if sql:
                 parts = [x for x in (SQL[view] if view else "", ctes) if x]
-                self.sql[name] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+                head = f"WITH {', '.join(parts)} " if parts else ""
+                if RECURSIVE in head:
+                    head = head.replace(RECURSIVE, "").replace("WITH", "WITH RECURSIVE", 1)
+                self.sql[name] = head + sql
             return f
 
         return keep
