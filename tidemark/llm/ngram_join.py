@@ -26,6 +26,8 @@ from .components import connected_components
 
 #: Texts of a block of a large component, and texts whose small components share a task.
 BLOCK, BIN = 1024, 2048
+#: Texts in components up to which their list (56 bytes each) is broadcast to find the texts; beyond, the join shuffles these.
+BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,9 +143,11 @@ def near_classes(
     parts = connected_components(ties)
     parts = parts.join(parts.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label")
     members = materialise(parts.join(texts.select("node", "d1", "d2", "least"), "node").select("node", "label", "m", "d1", "d2", F.col("least").alias("id")), "members")
-    bins = max(1, -(-members.count() // BIN))
+    n_members = members.count()
+    bins = max(1, -(-n_members // BIN))
     full = rows.select("id", *digest, "t")
-    full = full.join(members, ["d1", "d2"]).where(full["id"].eqNullSafe(members["id"])).select("node", "label", "m", F.col("t").alias("text"))
+    wanted = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
+    full = full.join(wanted, ["d1", "d2"]).where(full["id"].eqNullSafe(members["id"])).select("node", "label", "m", F.col("t").alias("text"))
     big = members.where(F.col("m") > block).limit(1).count() > 0
     small = full.where(F.col("m") <= block).select(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("task"), "node", "label", "text")
 
