@@ -56,6 +56,19 @@ def count_tokens(rows: DataFrame, text_col: str = "text", flush: int = 300_000)
     return rows.select(F.col(text_col).cast("string")).mapInArrow(tally, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """At most ``most`` tokens by falling count, and END: those above a count that a histogram of counts gives, so that no task sends its own top list."""
+    level = F.floor(F.log2("c") * 256)
+    least, so_far = None, 0
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some thousands of levels at most
+        so_far += row["count"]
+        if so_far > most:
+            break
+        least = row["level"]
+    wanted = F.col("token") == F.lit(END)
+    return counts.where(wanted if least is None else wanted | (level >= least)).toPandas().sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+
+
 @dataclass
 class Model:
     """Head of the counts (``tokens`` by falling count; the first ``n_words`` are the model's words) and the parameters. Class n_words is for all other tokens."""
@@ -205,7 +218,7 @@ def fit(
 ) -> Model:
     """Train on all rows of ``train``, whose token counts are ``counts``. ``head`` tokens at most come to the driver."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(head).toPandas()
+    top = most_frequent(counts, head)
     tokens = [bytes(t) for t in top["token"]]
     c = top["c"].to_numpy(np.float64)
     model = Model.start(tokens, c, min(n_words, len(tokens)), int(total["n"] or 0), int(total["v"] or 0), dim, seed)
