@@ -67,9 +67,9 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").try_cast("double").alias("as_number"), F.col("p_size").cast("string").try_cast("double").alias("size"))
 
 
-@book.add("S18_dollar_volume", "brand", "SELECT symbol, ts, round(close * volume, 2) AS dollar_volume FROM brand")
+@book.add("S18_dollar_volume", "brand", "SELECT symbol, ts, close * volume AS dollar_volume FROM brand")
 def _(df):
-    return df.select("symbol", "ts", F.round(F.col("close") * F.col("volume"), 2).alias("dollar_volume"))
+    return df.select("symbol", "ts", (F.col("close") * F.col("volume")).alias("dollar_volume"))
 
 
 @book.add("S22_trades_to_bars", "ticks", "SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(size) AS volume FROM ticks WHERE symbol = (SELECT symbol FROM ticks GROUP BY 1 ORDER BY count(*) DESC, symbol LIMIT 1) GROUP BY 1, 2")

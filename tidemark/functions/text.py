@@ -53,6 +53,6 @@ def parse_answer(df: DataFrame, text_col: str = "text") -> DataFrame:
     body = lambda key: F.regexp_extract(text, rf"(?ms)^\s*{key}\s*:\s*\n?(.*?)(?=^[A-Z][A-Z _]+:|\z)", 1)
     bullets = lambda key: F.transform(F.regexp_extract_all(body(key), F.lit(r"(?m)^\s*[-*]\s+(.*)$"), F.lit(1)), lambda x: F.trim(x))
     return df.select(
-        "*", line("ALPHA_DECAY").alias("alpha_decay"), line("RISK_LEVEL").alias("risk_level"), F.trim(body("CONSENSUS")).alias("consensus"),
+        "*", line("ALPHA_DECAY").alias("alpha_decay"), line("RISK_LEVEL").alias("risk_level"), F.regexp_replace(body("CONSENSUS"), r"^\s+|\s+$", "").alias("consensus"),
         bullets("KEY FINDINGS").alias("findings"), bullets("RECOMMENDATIONS").alias("recommendations"), bullets("CITATIONS").alias("citations"),
     )
