@@ -214,7 +214,7 @@ def train_round(rows: DataFrame, model: Model, text_col: str, *, noise: int, bat
 
 
 def fit(
-    train: DataFrame, counts: DataFrame, text_col: str = "text", *, n_words: int = 2047, head: int = 150_000, dim: int = 32, noise: int = 64, batch: int = 256, rounds: int = 2, rate: float = 0.05, seed: int = 5,
+    train: DataFrame, counts: DataFrame, text_col: str = "text", *, n_words: int = 2047, head: int = 150_000, dim: int = 32, noise: int = 32, batch: int = 320, rounds: int = 2, rate: float = 0.05, seed: int = 5,
 ) -> Model:
     """Train on all rows of ``train``, whose token counts are ``counts``. ``head`` tokens at most come to the driver."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
