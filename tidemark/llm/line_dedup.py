@@ -1,8 +1,8 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
 A line's signature comes from the 64-bit hashes of its character shingles. One hash gives 32 permutations: flipping the
-top five bits by j orders the hashes anew for each j, and the least under each order is a MinHash value. These need
-only the least hash of each of the 32 top-bit ranges, taken from the sorted array. Bands of four values are keys;
+top five bits by j orders the hashes anew for each j, and the least under each order is a MinHash value. It is the
+least hash of top-bit range j, or of the nearest range that has any, taken from the sorted array. Bands of four values are keys;
 distinct lines that share a key are compared exactly, over their shingle sets. First all lines of a key meet its least
 line. By the triangle inequality of the Jaccard distance most that are linked to it need no more; the others, and the
 linked ones that could still reach one of these, meet further heads in rounds until none is left, so no link that
@@ -12,6 +12,8 @@ component the first line in order of document and place stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .common import materialise, text_or_empty
 from .components import connected_components
 
 BINS, HEADS = 32, 16
+#: First characters of the shingles that sign long lines; numbers of these from which they do, and below which all shingles do.
+STARTS, SAMPLE_FROM, WHOLE_BELOW = "aeiAEI", 16, 24
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 BANDS = [list(range(b, b + 4)) for b in range(0, BINS, 4)] + [[0, 8, 16, 24], [4, 12, 20, 28]]
@@ -28,21 +32,46 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
+def _hashes(grams: Column) -> Column:
+    return F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))
+
+
 def shingle_hashes(line: Column, n: int) -> Column:
     """Distinct hashes of a line's runs of n characters; of the whole line if it is shorter."""
     grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) >= n, grams).otherwise(F.array(line)), lambda x: F.xxhash64(x)))
+    return _hashes(F.when(F.length(line) >= n, grams).otherwise(F.array(line)))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row; an inner lambda would compute a column it names anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def with_keys(lines: DataFrame, line_col: str, n: int) -> DataFrame:
-    """Add ``keys``, a hash per band."""
+    """Add ``keys``, a hash per band.
+
+    A line with enough shingles that begin with one of ``STARTS`` is signed by these alone: which they are depends on
+    their content only, so similar lines choose alike. Other lines are signed by all their shingles, those near the limit both ways.
+    """
     top = lambda x: F.shiftrightunsigned(x, 59)
-    lines = lines.withColumn("__s", F.sort_array(shingle_hashes(F.col(line_col), n)))
-    lines = lines.withColumn("__m", F.filter("__s", lambda x, i: (i == 0) | (top(x) != top(F.get(F.col("__s"), i - 1)))))
-    flips = F.array(*[F.expr(f"shiftleft({j}L, 59)") for j in range(BINS)])
-    lines = lines.withColumn("__v", F.transform(flips, lambda c: F.array_min(F.transform("__m", lambda x: x.bitwiseXOR(c)))))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.get(F.col("__v"), F.lit(j)) for j in band]) for b, band in enumerate(BANDS)])
-    return lines.withColumn("keys", keys).drop("__s", "__m", "__v")
+    bins = F.array(*[F.lit(j).cast("bigint") for j in range(BINS)])
+
+    def values(hashes: Column) -> Column:
+        least = bound(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: (i == 0) | (top(x) != top(F.get(s, i - 1)))))
+        ranges = bound(least, lambda m: F.map_from_arrays(F.transform(m, top), m))
+        found = bound(ranges, lambda r: F.transform(bins, lambda j: F.try_element_at(r, j)))
+        for d in (1, 2, 4, 8, 16):  # a range without hashes takes the value of the nearest, by exclusive or, that has some
+            found = bound(found, lambda a, d=d: F.transform(a, lambda x, j: F.coalesce(x, F.get(a, j.bitwiseXOR(F.lit(d))))))
+        return found
+
+    def keys(column: str, salt: int) -> Column:
+        found = F.array(*[F.xxhash64(F.lit(salt + b), *[F.get(F.col(column), F.lit(j)) for j in band]) for b, band in enumerate(BANDS)])
+        return F.when(F.col(column).isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
+
+    lines = lines.withColumn("__g", F.regexp_extract_all(F.col(line_col), F.lit(f"(?s)(?=([{STARTS}].{{{n - 1}}}))"), F.lit(1)))
+    lines = lines.withColumn("__some", F.when(F.size("__g") >= SAMPLE_FROM, values(_hashes(F.col("__g")))))
+    lines = lines.withColumn("__all", F.when(F.size("__g") < WHOLE_BELOW, values(shingle_hashes(F.col(line_col), n))))
+    return lines.withColumn("keys", F.concat(keys("__some", 0), keys("__all", 100))).drop("__g", "__some", "__all")
 
 
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -68,7 +97,7 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = some.join(wanted, some["id"].eqNullSafe(wanted["id"]) & (some["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
-    sets = materialise(texts.select("node", shingle_hashes(F.col("t"), n).alias("s")), "line-sets")
+    texts = materialise(texts, "line-texts")
     links = spark.createDataFrame([], "a long, b long")
     left = keyed
     heads = 1
@@ -76,8 +105,10 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         ranked = left.groupBy("key").agg(F.min("node").alias("head")) if heads == 1 else left.withColumn("r", order).where(F.col("r") <= heads).select("key", F.col("node").alias("head"))
         pairs = left.join(ranked, "key").where(F.col("node") > F.col("head"))
-        a, b = sets.select(F.col("node").alias("head"), F.col("s").alias("hs")), sets
-        both = pairs.select("head", "node").distinct().join(a, "head").join(b, "node").withColumn("common", F.size(F.array_intersect("s", "hs")))
+        # a head's set is made once; the other lines travel to it as text, a tenth of the size of a set
+        one = pairs.select("head", "node").distinct().join(texts, "node").select("head", "node", "t")
+        sets = pairs.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", shingle_hashes(F.col("t"), n).alias("hs"))
+        both = one.join(sets, "head").withColumn("s", shingle_hashes(F.col("t"), n)).withColumn("common", F.size(F.array_intersect("s", "hs")))
         sim = materialise(both.select("head", "node", (F.col("common") / (F.size("s") + F.size("hs") - F.col("common"))).alias("sim")), "line-sims")
         links = links.unionByName(sim.where(F.col("sim") >= threshold - 1e-9).select(F.col("head").alias("a"), F.col("node").alias("b")))
         seen = pairs.join(sim, ["head", "node"])
