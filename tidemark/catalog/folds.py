@@ -33,6 +33,30 @@ def _(df):
     return rounded(folds.ewm_std(df, "price", 20, out="ewm"), "symbol", "ts", digits=4, ewm="ewm")
 
 
+def ewm(y, first="symbol, ts"):
+    return f"SELECT {first}, round({y}, 6) AS ewm FROM (SELECT a.symbol, a.ts, a.i, sum(power(1 - 2.0 / 15, a.i - b.i)) AS w, sum(power(1 - 2.0 / 15, a.i - b.i) * b.price) AS wx FROM n a JOIN n b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY 1, 2, 3)"
+
+
+@book.add("W25_ewm_adjusted", "user_ticks", ewm("CASE WHEN i >= 14 THEN wx / w END"), N)
+def _(df):
+    return rounded(folds.ewm_mean(df, "price", 14, out="ewm", least=14), "symbol", "ts", ewm="ewm")
+
+
+@book.add(
+    "W26_macd_line", "user_ticks", "SELECT symbol, ts, round(q - l, 6) AS macd FROM f",
+    "RECURSIVE_MARK" + N + ", f AS (SELECT symbol, ts, i, price AS q, price AS l FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.ts, n.i, 2.0::DOUBLE / 13 * n.price + (1 - 2.0::DOUBLE / 13) * f.q, 2.0::DOUBLE / 27 * n.price + (1 - 2.0::DOUBLE / 27) * f.l FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1)",
+)
+def _(df):
+    both = folds.ewm_mean(folds.ewm_mean(df, "price", 12, adjust=False, out="quick"), "price", 26, adjust=False, out="slow")
+    return both.select("symbol", "ts", F.round(F.col("quick") - F.col("slow"), 6).alias("macd"))
+
+
+@book.add("W27_ewm_volatility", "ticks")
+def _(df):
+    out = folds.daily_volatility(df.select("symbol", "ts", (100 + F.col("price")).alias("close")))
+    return rounded(out, "symbol", "ts", vol="vol")
+
+
 CUSUM = (
     "RECURSIVE_MARK" + N + ", r AS (SELECT *, coalesce(ln(price) - lag(ln(price)) OVER (PARTITION BY symbol ORDER BY ts), 0) AS x FROM n),"
     " f AS (SELECT symbol, ts, i, CAST(0.0 AS DOUBLE) AS up, CAST(0.0 AS DOUBLE) AS dn, 0 AS event FROM r WHERE i = 1 UNION ALL"
@@ -99,6 +123,13 @@ def _(df):
     return out.withColumns({"trgt": F.round("trgt", 6), "ret": F.round("ret", 6)})
 
 
+@book.add("F8_labels_by_method", "ticks")
+def _(df):
+    bars = df.select("symbol", "ts", (100 + F.col("price")).alias("close"), (101 + F.col("price")).alias("high"), (99 + F.col("price")).alias("low"))
+    kinds = [folds.labels(bars, m, **o).select(F.lit(m).alias("method"), "symbol", "label") for m, o in (("triple_barrier", {"bars": 20}), ("trend_scanning", {}))]
+    return kinds[0].unionByName(kinds[1]).groupBy("method", "symbol", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @book.add("W19_shannon_entropy", "user_ticks")
 def _(df):
     return rounded(folds.shannon_entropy(df, "price"), "symbol", "ts", shannon_entropy="shannon_entropy")
@@ -124,6 +155,12 @@ def _(df):
     return rounded(backtest.equity(_signals(df), backtest.Config(max_bars=30)), "symbol", "ts", equity="equity", ret="ret", drawdown="drawdown")
 
 
+@book.add("F11_quick_backtest", "ticks")
+def _(df):
+    out = backtest.quick(_signals(df), backtest.Config(max_bars=30))
+    return rounded(out, "symbol", "n_bars", "n_trades", **{c: c for c in ("total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor", "total_cost")})
+
+
 def trend_rule(train, test):
     """Long after a rising training window, short after a falling one."""
     return np.full(len(test), np.sign(train["price"].iloc[-1] - train["price"].iloc[0]))

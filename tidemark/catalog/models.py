@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import series as s
 from ..operators import learning as op
 from ..operators import weights
 from ..plans import pipelines
+from ..sources.market import shared_path
 from .book import Book, rounded
 
 book = Book()
@@ -50,6 +52,21 @@ def _(df):
     return rounded(op.confusion(stack.predict(test), "symbol"), "symbol", "n", accuracy="accuracy", f1="f1")
 
 
+@book.add("M13_base_contributions", "ticks")
+def _(df):
+    train, test = split(df)
+    stack = op.Stack.train([op.forest(FEATURES, trees=5, leaf=10), op.logistic(FEATURES)], train)
+    return rounded(op.contributions(stack, test), "model", "n", accuracy="accuracy", f1="f1", log_loss="log_loss")
+
+
+@book.add("S30_model_round_trip", "ticks")
+def _(df):
+    train, test = split(df)
+    path = shared_path(df.sparkSession, "model")
+    op.fit(op.forest(FEATURES, trees=5, leaf=10), train).write().save(path)
+    return rounded(op.scored(PipelineModel.load(path), test), "symbol", "ts", p="p")
+
+
 BETS = "t AS (SELECT symbol, ts, size / 100 AS p, CASE WHEN price > 50 THEN 1 ELSE -1 END AS side FROM ticks)"
 
 
@@ -92,6 +109,14 @@ def _(df):
     return rounded(m, "symbol", psr=op.psr(F.col("sr"), F.lit(0.0), F.col("n"), F.col("g"), F.col("k")), dsr=op.deflated_sharpe(F.col("sr"), 0.02, 10, F.col("n"), F.col("g"), F.col("k")))
 
 
+@book.add("M10_deflated_sharpe", "ticks")
+def _(df):
+    r = F.col("price") / 100 - 0.49
+    m = df.groupBy("symbol").agg((F.avg(r) / F.stddev_samp(r)).alias("sr"), F.count(r).alias("n"), F.skewness(r).alias("g"), (F.kurtosis(r) + 3).alias("k"))
+    found = [m.select("symbol", F.lit(t).alias("trials"), F.round(op.deflated_sharpe(F.col("sr"), 0.02, t, F.col("n"), F.col("g"), F.col("k")), 6).alias("dsr")) for t in (1, 10, 100)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @book.add("M11_deflated_excess", "ticks")
 def _(df):
     n = df.count()

@@ -34,6 +34,11 @@ def _(spark, sf_dir):
     return op.newest(t, 3, "balance").drop("rank")
 
 
+@book.add("S5_dividends", "daily", "SELECT symbol, ts, round(close * 0.01, 6) AS amount FROM daily WHERE ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-01-01'")
+def _(df):
+    return op.history(df.select("symbol", "ts", F.round(F.col("close") * 0.01, 6).alias("amount")), "ALL", "1996-01-01", "1996-12-31")
+
+
 @book.add("S6_optional_consensus", None, "SELECT n_name, s_name FROM nation LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON n_nationkey = s_nationkey")
 def _(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.min("s_name").alias("s_name"))
@@ -41,6 +46,12 @@ def _(spark, sf_dir):
     return n.join(s, n["n_nationkey"] == s["s_nationkey"], "left").select("n_name", "s_name")
 
 
+@book.add("S7_optional_profile", None, "SELECT n_name AS symbol, r_name AS sector FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
+def _(spark, sf_dir):
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").where("r_regionkey < 3")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
+
+
 @book.add("S8_news", None, "SELECT conv_id, turn, coalesce(text, '') AS summary FROM conversations ORDER BY conv_id, turn LIMIT 20")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("summary")).orderBy("conv_id", "turn").limit(20)
@@ -51,6 +62,11 @@ def _(df):
     return op.screen(df.groupBy("symbol").agg(F.round(F.sum("volume"), 2).alias("volume")), "active", 5)
 
 
+@book.add("S10_index_history", "daily", "SELECT symbol, ts, open, high, low, close FROM daily WHERE ts >= TIMESTAMP '1997-01-01'")
+def _(df):
+    return op.history(df, "ALL", "1997-01-01").select("symbol", "ts", "open", "high", "low", "close")
+
+
 @book.add("S11_normalise", "brand", "SELECT symbol, ts, high, low, close, volume FROM brand")
 def _(df):
     return op.normalise(df.select("symbol", F.col("ts").alias("Date"), F.col("high").alias("HIGH"), F.col("low").alias("Low"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"), F.lit(1).alias("other"))).select("symbol", "ts", "high", "low", "close", "volume")
@@ -72,6 +88,20 @@ def _(df):
     return df.select("symbol", "ts", (F.col("close") * F.col("volume")).alias("dollar_volume"))
 
 
+@book.add("S20_csv_round_trip", "brand", "SELECT symbol, ts, high, low, close, volume FROM brand")
+def _(df):
+    path = op.shared_path(df.sparkSession, "bars-csv")
+    op.write_bars(df.withColumnsRenamed({"ts": "date", "close": "Adj. Close", "high": "Day High"}), path, "csv")
+    return op.read_csv(df.sparkSession, path).select("symbol", "ts", "high", "low", "close", "volume")
+
+
+@book.add("S21_parquet_round_trip", "brand", "SELECT symbol, ts, close FROM brand WHERE symbol = 'Brand#11'")
+def _(df):
+    path = op.shared_path(df.sparkSession, "bars")
+    op.write_bars(df, path)
+    return op.read_parquet(df.sparkSession, path).where("symbol = 'Brand#11'").select("symbol", "ts", "close")
+
+
 @book.add("S22_trades_to_bars", "ticks", "SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(size) AS volume FROM ticks WHERE symbol = (SELECT symbol FROM ticks GROUP BY 1 ORDER BY count(*) DESC, symbol LIMIT 1) GROUP BY 1, 2")
 def _(df):
     return bars.time_bars(df.join(F.broadcast(bars.most_active(df).select("symbol")), "symbol"), "60 minutes")

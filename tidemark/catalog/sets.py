@@ -32,6 +32,11 @@ def _(df):
     return df.groupBy("symbol").agg(F.round(F.sum("price"), 4).alias("total")).orderBy(F.desc("total"))
 
 
+@book.add("O5_sort_by_time", "ticks", "SELECT symbol, ts, price FROM ticks ORDER BY ts, symbol")
+def _(df):
+    return df.select("symbol", "ts", "price").orderBy("ts", "symbol")
+
+
 @book.add("O6_last_row", "ticks", "SELECT symbol, max(ts) AS ts, arg_max(price, ts) AS price FROM ticks GROUP BY symbol")
 def _(df):
     return df.groupBy("symbol").agg(F.max_by(F.struct("ts", "price"), "ts").alias("x")).select("symbol", "x.ts", "x.price")

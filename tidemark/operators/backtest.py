@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as s
+from .metrics import equity_metrics, trade_metrics
 from .sets import keep_first
 
 TRADES = "symbol string, entry_time timestamp_ntz, exit_time timestamp_ntz, direction int, entry_price double, exit_price double, quantity double, pnl double, pnl_pct double, cost double, bars_held int, exit_reason string"
@@ -88,6 +89,11 @@ def equity(df: DataFrame, config: Config = Config()) -> DataFrame:
     return curve.withColumn("ret", s.ret("equity")).withColumn("drawdown", F.try_divide(F.col("equity") - top, top))
 
 
+def quick(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """Metrics of the equity and of the trades of (symbol, ts, price, signal), one row per symbol."""
+    return equity_metrics(equity(df, config)).join(trade_metrics(trades(df, config)), "symbol", "left")
+
+
 def walk_forward_signals(prices: DataFrame, rule: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], config: Config = Config()) -> DataFrame:
     """Signals of consecutive test windows, each from ``rule(train, test)`` on the window before (or all before); bars before the first test window are dropped. One task per symbol and window; ``rule`` must return one signal per test bar."""
     c, n = config, F.count(F.lit(1)).over(s.whole())

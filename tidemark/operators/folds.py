@@ -127,6 +127,20 @@ def triple_barrier(df: DataFrame, price: str = "close", vol: str = "vol", profit
     )
 
 
+def labels(df: DataFrame, method: str = "triple_barrier", price: str = "close", span: int = 20, **options: object) -> DataFrame:
+    """Labels by name of method. Triple barriers take their width from ``vol`` where there is one, else from the Parkinson volatility where high and low are there, else from daily returns."""
+    from .windows import parkinson_of_mean, trend_scan
+
+    if method == "trend_scanning":
+        return trend_scan(df, price, **options)
+    if method != "triple_barrier":
+        raise ValueError(f"no labelling method {method!r}")
+    if "vol" not in df.columns:
+        ranged = {"high", "low"} <= set(df.columns)
+        df = df.withColumn("vol", parkinson_of_mean(span)) if ranged else daily_volatility(df, price, span)
+    return triple_barrier(df, price, **options)
+
+
 def shannon_entropy(df: DataFrame, price: str = "close", bins: int = 10, n: int = 50) -> DataFrame:
     """Add ``shannon_entropy`` of the returns in the n rows before each row; at least half must be there."""
     return _windowed(df, price, n, lambda x: ec.shannon(x, bins), "shannon_entropy")

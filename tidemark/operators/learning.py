@@ -159,6 +159,17 @@ class Stack:
         return scored(self.top, self.probabilities(df))
 
 
+def contributions(stack: Stack, df: DataFrame) -> DataFrame:
+    """``model`` and the evaluation of each base model (``base_0`` ..) and of the stack."""
+    found = [scored(m, df) for m in stack.bases] + [stack.predict(df)]
+    names = [f"base_{i}" for i in range(len(stack.bases))] + ["stack"]
+    parts = [confusion(x.withColumn("model", F.lit(n)), "model") for n, x in zip(names, found, strict=True)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def bet_size(p: Column, threshold: float = 0.5) -> Column:
     """clip(2p - 1, 0, 1) where p reaches the threshold, else 0."""
     return F.when(p >= threshold, F.least(F.greatest(2 * p - 1, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)

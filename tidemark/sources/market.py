@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,8 +85,30 @@ def search_symbols(listing: DataFrame, text: str, kinds: tuple[str, ...] = ("EQU
     return listing.where(hit & F.upper("kind").isin(*kinds)).select("symbol", F.coalesce("name", "symbol").alias("name"), "kind", delayed.alias("delayed"))
 
 
-def read_csv(spark: SparkSession, path: str, symbol: str, ts_col: str = "date") -> DataFrame:
-    return normalise(spark.read.option("header", True).csv(path), ts_col).withColumn("symbol", F.lit(symbol))
+def read_csv(spark: SparkSession, path: str, symbol: str | None = None, ts_col: str = "date") -> DataFrame:
+    """Bars of CSV files with a header. Columns whose names hold open, high, low, close or volume count as such; without a symbol the folders or a column name it."""
+    raw = spark.read.option("header", True).csv(path)
+    named: dict[str, str] = {}
+    for c in sorted(raw.columns, key=len):
+        kind = next((k for k in OHLCV if k in c.strip().lower()), None)
+        if kind and kind not in named.values():
+            named[c] = kind
+    out = normalise(raw.withColumnsRenamed(named), ts_col)
+    return out.withColumn("symbol", F.lit(symbol) if symbol is not None else F.col("symbol").cast("string"))
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Bars that ``write_bars`` wrote; conditions on the symbol choose folders."""
+    return spark.read.parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # only where the session names none, as in tests
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
