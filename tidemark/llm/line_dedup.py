@@ -4,10 +4,10 @@ A line's signature comes from the 64-bit hashes of its character shingles. One h
 top five bits by j orders the hashes anew for each j, and the least under each order is a MinHash value. It is the
 least hash of top-bit range j, or of the nearest range that has any, taken from the sorted array. Bands of four values are keys;
 distinct lines that share a key are compared exactly, over their shingle sets. First all lines of a key meet its least
-line. By the triangle inequality of the Jaccard distance most that are linked to it need no more; the others, and the
-linked ones that could still reach one of these, meet further heads in rounds until none is left, so no link that
-shares a key is lost and no key's pairs are all written out. Links go through a distributed union-find, and of each
-component the first line in order of document and place stays.
+line. Then, in rounds, the lines outside a key's largest component so far meet all lines of other components that the
+triangle inequality of the Jaccard distance lets them reach, until a key holds one component or all outside have met all.
+So no component is split that keys connect, and lines known to be together are not compared. Links go through a
+distributed union-find, and of each component the first line in order of document and place stays.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 from .components import connected_components
 
-BINS, HEADS = 32, 16
+BINS, HEADS = 32, 64
 #: First characters of the shingles that sign long lines; numbers of these from which they do, and below which all shingles do.
 STARTS, SAMPLE_FROM, WHOLE_BELOW = "aeiAEI", 16, 24
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
@@ -81,7 +81,6 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     component the line with the least (id, line) stays; rows that repeat with their id are copies, and of exactly equal places all stay.
     A null text is one blank line; a null id comes first in order.
     """
-    spark = df.sparkSession
     lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw")).withColumn("t", normal(F.col("raw"))).drop("raw")
     digest = [F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2")]
     some = lines.where(F.col("t") != "")
@@ -98,33 +97,38 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         wanted = F.broadcast(wanted)
     texts = some.join(wanted, some["id"].eqNullSafe(wanted["id"]) & (some["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
     texts = materialise(texts, "line-texts")
-    links = spark.createDataFrame([], "a long, b long")
-    left = keyed
-    heads = 1
-    while True:
-        order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        ranked = left.groupBy("key").agg(F.min("node").alias("head")) if heads == 1 else left.withColumn("r", order).where(F.col("r") <= heads).select("key", F.col("node").alias("head"))
-        pairs = left.join(ranked, "key").where(F.col("node") > F.col("head"))
-        # a head's set is made once; the other lines travel to it as text, a tenth of the size of a set
-        one = pairs.select("head", "node").distinct().join(texts, "node").select("head", "node", "t")
+    reach = 1 - threshold + 1e-9
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """``sim`` of distinct pairs. A head's set is made once; the other lines travel to it as text, a tenth of the size of a set."""
+        one = pairs.join(texts, "node")
         sets = pairs.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", shingle_hashes(F.col("t"), n).alias("hs"))
         both = one.join(sets, "head").withColumn("s", shingle_hashes(F.col("t"), n)).withColumn("common", F.size(F.array_intersect("s", "hs")))
-        sim = materialise(both.select("head", "node", (F.col("common") / (F.size("s") + F.size("hs") - F.col("common"))).alias("sim")), "line-sims")
-        links = links.unionByName(sim.where(F.col("sim") >= threshold - 1e-9).select(F.col("head").alias("a"), F.col("node").alias("b")))
-        seen = pairs.join(sim, ["head", "node"])
-        if heads == 1:
-            # a linked line can reach an unlinked one only where its distance to the head is within 1 - threshold of the other's
-            farthest = seen.where(F.col("sim") < threshold - 1e-9).groupBy("key").agg(F.max("sim").alias("closest"))
-            left = seen.join(farthest, "key").where((F.col("sim") < threshold - 1e-9) | (F.col("sim") <= F.col("closest") + (1 - threshold) + 1e-9)).select("key", "node")
-        else:
-            rest = left.join(ranked.withColumnRenamed("head", "node"), ["key", "node"], "left_anti")
-            left = rest
-        several = left.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-        left = materialise(left.join(several, "key"), "line-left")
-        heads = HEADS
+        return materialise(both.select(*pairs.columns, (F.col("common") / (F.size("s") + F.size("hs") - F.col("common"))).alias("sim")), "line-sims")
+
+    firsts = keyed.groupBy("key").agg(F.min("node").alias("head"))
+    pairs = keyed.join(firsts, "key").where(F.col("node") > F.col("head"))
+    sim = compare(pairs.select("head", "node").distinct())
+    linked = F.col("sim") >= threshold - 1e-9
+    links = sim.where(linked).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    labels = connected_components(links)
+    left = pairs.join(sim, ["head", "node"]).select("key", "node", "sim").join(labels, "node", "left").select("key", "node", "sim", F.coalesce("label", "node").alias("label"))
+    while True:
+        main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.count(F.lit(1)).alias("kinds"))
+        left = materialise(left.join(main.where("kinds > 1").select("key", F.col("x.label").alias("main")), "key"), "line-left")
         if left.limit(1).count() == 0:
             break
-    forest = connected_components(links.distinct(), "a", "b")
+        order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        heads = left.where(F.col("label") != F.col("main")).withColumn("r", order).where(F.col("r") <= HEADS)
+        heads = heads.select("key", F.col("node").alias("head"), F.col("label").alias("head_label"), F.col("sim").alias("head_sim"))
+        near = (F.col("label") != F.col("head_label")) & (F.abs(F.col("sim") - F.col("head_sim")) <= reach)
+        found = compare(left.join(heads, "key").where(near).select("head", "node", "head_label", "label").distinct()).where(linked)
+        left = left.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("key", "node", "sim", "label")
+        if found.limit(1).count():
+            links = links.unionByName(found.select(F.col("head").alias("a"), F.col("node").alias("b")))
+            merged = connected_components(found, "head_label", "label").select(F.col("node").alias("label"), F.col("label").alias("into"))
+            left = left.join(merged, "label", "left").select("key", "node", "sim", F.coalesce("into", "label").alias("label"))
+    forest = connected_components(links)
     firsts = forest.join(kinds.select("node", "first"), "node")
     keepers = firsts.groupBy("label").agg(F.min("first").alias("keep"))
     joined = firsts.select("node", "label").join(keepers, "label").select("node", "keep")
