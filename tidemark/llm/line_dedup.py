@@ -21,25 +21,28 @@ from .common import materialise, text_or_empty
 from .components import connected_components
 
 BINS, HEADS = 32, 64
-#: First characters of the shingles that sign long lines; numbers of these from which they do, and below which all shingles do.
-STARTS, SAMPLE_FROM, WHOLE_BELOW = "aeiAEI", 16, 24
+#: First letters of the words that sign long lines; numbers of shingles from which a sample signs a line, and below which the next larger one does.
+STARTS, SAMPLE_FROM, WHOLE_BELOW = "adeisADEIS", 16, 24
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 BANDS = [list(range(b, b + 4)) for b in range(0, BINS, 4)] + [[0, 8, 16, 24], [4, 12, 20, 28]]
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
 
 
 def _hashes(grams: Column) -> Column:
-    return F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))
+    return F.transform(grams, lambda x: F.xxhash64(x))
+
+
+def _all_grams(line: Column, n: int) -> Column:
+    return F.when(F.length(line) >= n, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(F.array(line))
 
 
 def shingle_hashes(line: Column, n: int) -> Column:
     """Distinct hashes of a line's runs of n characters; of the whole line if it is shorter."""
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return _hashes(F.when(F.length(line) >= n, grams).otherwise(F.array(line)))
+    return F.array_distinct(_hashes(_all_grams(line, n)))
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -50,8 +53,9 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 def with_keys(lines: DataFrame, line_col: str, n: int) -> DataFrame:
     """Add ``keys``, a hash per band.
 
-    A line with enough shingles that begin with one of ``STARTS`` is signed by these alone: which they are depends on
-    their content only, so similar lines choose alike. Other lines are signed by all their shingles, those near the limit both ways.
+    A line with enough shingles that begin at a word with one of ``STARTS`` is signed by these alone, else by those at
+    all words if these are enough, else by all its shingles. Which they are depends on their content only, so similar lines
+    choose alike; lines near a limit are signed both ways.
     """
     top = lambda x: F.shiftrightunsigned(x, 59)
     bins = F.array(*[F.lit(j).cast("bigint") for j in range(BINS)])
@@ -68,10 +72,15 @@ def with_keys(lines: DataFrame, line_col: str, n: int) -> DataFrame:
         found = F.array(*[F.xxhash64(F.lit(salt + b), *[F.get(F.col(column), F.lit(j)) for j in band]) for b, band in enumerate(BANDS)])
         return F.when(F.col(column).isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
 
-    lines = lines.withColumn("__g", F.regexp_extract_all(F.col(line_col), F.lit(f"(?s)(?=([{STARTS}].{{{n - 1}}}))"), F.lit(1)))
-    lines = lines.withColumn("__some", F.when(F.size("__g") >= SAMPLE_FROM, values(_hashes(F.col("__g")))))
-    lines = lines.withColumn("__all", F.when(F.size("__g") < WHOLE_BELOW, values(shingle_hashes(F.col(line_col), n))))
-    return lines.withColumn("keys", F.concat(keys("__some", 0), keys("__all", 100))).drop("__g", "__some", "__all")
+    at_words = lambda first, k: F.regexp_extract_all(F.col(line_col), F.lit(f"(?s)\\x20(?=({first}.{{{k}}}))"), F.lit(1))
+    none = F.array().cast("array<string>")
+    few, fewer = F.size("__g1") < WHOLE_BELOW, F.size("__g2") < WHOLE_BELOW
+    lines = lines.withColumn("__g1", at_words(f"[{STARTS}]", n - 2))
+    lines = lines.withColumn("__g2", F.when(few, at_words("", n - 1)).otherwise(none))
+    lines = lines.withColumn("__v1", F.when(F.size("__g1") >= SAMPLE_FROM, values(_hashes(F.col("__g1")))))
+    lines = lines.withColumn("__v2", F.when(few & (F.size("__g2") >= SAMPLE_FROM), values(_hashes(F.col("__g2")))))
+    lines = lines.withColumn("__v3", F.when(few & fewer, values(_hashes(_all_grams(F.col(line_col), n)))))
+    return lines.withColumn("keys", F.concat(keys("__v1", 0), keys("__v2", 50), keys("__v3", 100))).drop("__g1", "__g2", "__v1", "__v2", "__v3")
 
 
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, threshold: float = 0.8) -> DataFrame:
