@@ -1,8 +1,7 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
-A line's signature comes from the 64-bit hashes of its character shingles. One hash gives 32 permutations: flipping the
-top five bits by j orders the hashes anew for each j, and the least under each order is a MinHash value. It is the
-least hash of top-bit range j, or of the nearest range that has any, taken from the sorted array. Bands of four values are keys;
+A line's signature is a one-permutation MinHash of its character shingles: the range of the hashes is cut into 16 bins, and a
+bin's value is the least hash in it or, where it has none, in the next bin that has some. Bands of three values far apart are keys;
 distinct lines that share a key are compared exactly, over their shingle sets. First all lines of a key meet its least
 line. Then, in rounds, the lines outside a key's largest component so far meet all lines of other components that the
 triangle inequality of the Jaccard distance lets them reach, until a key holds one component or all outside have met all.
@@ -20,12 +19,12 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 from .components import connected_components
 
-BINS, HEADS = 32, 64
+BINS, HEADS = 16, 64
 #: First letters of the words that sign long lines; numbers of shingles from which a sample signs a line, and below which the next larger one does.
 STARTS, SAMPLE_FROM, WHOLE_BELOW = "adeisADEIS", 16, 24
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-BANDS = [list(range(b, b + 4)) for b in range(0, BINS, 4)] + [[0, 8, 16, 24], [4, 12, 20, 28]]
+BANDS = [[b, (b + 5) % BINS, (b + 10) % BINS] for b in range(8)]
 
 
 def normal(line: Column) -> Column:
@@ -57,19 +56,16 @@ def with_keys(lines: DataFrame, line_col: str, n: int) -> DataFrame:
     all words if these are enough, else by all its shingles. Which they are depends on their content only, so similar lines
     choose alike; lines near a limit are signed both ways.
     """
-    top = lambda x: F.shiftrightunsigned(x, 59)
-    bins = F.array(*[F.lit(j).cast("bigint") for j in range(BINS)])
+    bin_of = lambda x: F.shiftright(x, 60)  # noqa: E731  -8 to 7, in the order of the hashes
 
     def values(hashes: Column) -> Column:
-        least = bound(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: (i == 0) | (top(x) != top(F.get(s, i - 1)))))
-        ranges = bound(least, lambda m: F.map_from_arrays(F.transform(m, top), m))
-        found = bound(ranges, lambda r: F.transform(bins, lambda j: F.try_element_at(r, j)))
-        for d in (1, 2, 4, 8, 16):  # a range without hashes takes the value of the nearest, by exclusive or, that has some
-            found = bound(found, lambda a, d=d: F.transform(a, lambda x, j: F.coalesce(x, F.get(a, j.bitwiseXOR(F.lit(d))))))
-        return found
+        """The least hash at or after each bin's start; bins after the last hash are left out."""
+        gap = lambda s, x, i: (bin_of(x) - F.coalesce(bin_of(F.get(s, i - 1)), F.lit(-BINS // 2 - 1))).cast("int")
+        return bound(F.sort_array(hashes), lambda s: F.flatten(F.transform(s, lambda x, i: F.array_repeat(x, gap(s, x, i)))))
 
     def keys(column: str, salt: int) -> Column:
-        found = F.array(*[F.xxhash64(F.lit(salt + b), *[F.get(F.col(column), F.lit(j)) for j in band]) for b, band in enumerate(BANDS)])
+        value = lambda j: F.coalesce(F.get(F.col(column), F.lit(j)), F.get(F.col(column), F.lit(0)))
+        found = F.array(*[F.xxhash64(F.lit(salt + b), *[value(j) for j in band]) for b, band in enumerate(BANDS)])
         return F.when(F.col(column).isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
 
     at_words = lambda first, k: F.regexp_extract_all(F.col(line_col), F.lit(f"(?s)\\x20(?=({first}.{{{k}}}))"), F.lit(1))
@@ -90,9 +86,11 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     component the line with the least (id, line) stays; rows that repeat with their id are copies, and of exactly equal places all stay.
     A null text is one blank line; a null id comes first in order.
     """
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw")).withColumn("t", normal(F.col("raw"))).drop("raw")
+    raw = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw"))
     digest = [F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2")]
-    some = lines.where(F.col("t") != "")
+    lines = raw.select("id", "line", normal(F.col("raw")).alias("t"))
+    raw = raw.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))  # not blank; cheaper to see here than after normalising
+    some = raw.select("id", "line", normal(F.col("raw")).alias("t"))
     kinds = with_keys(some.select("id", "line", "t", *digest), "t", n).groupBy("d1", "d2").agg(
         F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"),
     )
@@ -104,7 +102,7 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     wanted = materialise(wanted, "line-places")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = some.join(wanted, some["id"].eqNullSafe(wanted["id"]) & (some["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
+    texts = raw.join(wanted, raw["id"].eqNullSafe(wanted["id"]) & (raw["line"] == wanted["line"])).select("node", normal(F.col("raw")).alias("t")).dropDuplicates(["node"])
     texts = materialise(texts, "line-texts")
     reach = 1 - threshold + 1e-9
 
