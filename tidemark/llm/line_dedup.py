@@ -106,7 +106,7 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     texts = materialise(texts, "line-texts")
     reach = 1 - threshold + 1e-9
 
-    def compare(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """``sim`` of distinct pairs. A head's set is made once; the other lines travel to it as text, a tenth of the size of a set."""
         one = pairs.join(texts, "node")
         sets = pairs.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", shingle_hashes(F.col("t"), n).alias("hs"))
@@ -115,21 +115,24 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     firsts = keyed.groupBy("key").agg(F.min("node").alias("head"))
     pairs = keyed.join(firsts, "key").where(F.col("node") > F.col("head"))
-    sim = compare(pairs.select("head", "node").distinct())
+    sim = compare(pairs.select("head", "node").distinct(), texts)
     linked = F.col("sim") >= threshold - 1e-9
     links = sim.where(linked).select(F.col("head").alias("a"), F.col("node").alias("b"))
     labels = connected_components(links)
     left = pairs.join(sim, ["head", "node"]).select("key", "node", "sim").join(labels, "node", "left").select("key", "node", "sim", F.coalesce("label", "node").alias("label"))
+    narrowed = False
     while True:
         main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.count(F.lit(1)).alias("kinds"))
         left = materialise(left.join(main.where("kinds > 1").select("key", F.col("x.label").alias("main")), "key"), "line-left")
         if left.limit(1).count() == 0:
             break
+        if not narrowed:  # later rounds shuffle only the texts that can still meet
+            texts, narrowed = materialise(texts.join(left.select("node").distinct(), "node", "left_semi"), "line-texts"), True
         order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         heads = left.where(F.col("label") != F.col("main")).withColumn("r", order).where(F.col("r") <= HEADS)
         heads = heads.select("key", F.col("node").alias("head"), F.col("label").alias("head_label"), F.col("sim").alias("head_sim"))
         near = (F.col("label") != F.col("head_label")) & (F.abs(F.col("sim") - F.col("head_sim")) <= reach)
-        found = compare(left.join(heads, "key").where(near).select("head", "node", "head_label", "label").distinct()).where(linked)
+        found = compare(left.join(heads, "key").where(near).select("head", "node", "head_label", "label").distinct(), texts).where(linked)
         left = left.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("key", "node", "sim", "label")
         if found.limit(1).count():
             links = links.unionByName(found.select(F.col("head").alias("a"), F.col("node").alias("b")))
