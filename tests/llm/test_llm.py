@@ -357,6 +357,41 @@ def test_lines_odd_rows(odd, empty):
     assert line_dedup.near_lines(empty).count() == 0
 
 
+def edited_lines(rng, how: str) -> tuple[str, str]:
+    """A line and its edit: ten words that begin with one of a, d, e, i, s put in at two places, one run of words replaced at one place, or words replaced anywhere."""
+    word = lambda first: first + "".join(rng.choice(list("bcfghjklmnopqrtuvwxyz"), int(rng.integers(2, 9))))
+    a = [word(str(rng.choice(list("bcfghjkmnop")))) for _ in range(90)]
+    if how == "starts":
+        for k in rng.choice(90, 15, replace=False):
+            a[k] = word("a")
+        b = list(a)
+        for k in sorted(rng.choice(91, 2, replace=False), reverse=True):
+            b[k:k] = [word(str(rng.choice(list("adeis")))) for _ in range(5)]
+    else:
+        b = list(a)
+        at = int(rng.integers(0, 80))
+        for k in range(at, at + 9) if how == "cluster" else rng.choice(90, 5, replace=False):
+            b[k] = word(str(rng.choice(list("adeis"))))
+    return " ".join(a), " ".join(b)
+
+
+@pytest.mark.parametrize("how", ["starts", "cluster", "spread"])
+def test_lines_meet_by_all_shingles(spark, how):
+    """Pairs at 0.8 and above share a key, wherever the edits are and whatever words they bring."""
+    rng = np.random.default_rng(3)
+    pairs = [edited_lines(rng, how) for _ in range(400)]
+    grams = lambda x: {x[i : i + 8] for i in range(len(x) - 7)}
+    sim = np.array([len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in pairs])
+    lines = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], "i int, t string")
+    keys = defaultdict(list)
+    for r in line_dedup.with_keys(lines, "t", 8).collect():
+        keys[r["i"]].append(set(r["keys"]))
+    met = np.array([bool(keys[i][0] & keys[i][1]) for i in range(len(pairs))])
+    near = sim >= 0.8
+    print(f"{how}: {near.sum()} pairs, similarity {sim[near].min():.3f} to {sim[near].max():.3f}, mean {sim[near].mean():.3f}, share that meets {met[near].mean():.4f}")
+    assert near.sum() > 100 and met[near].mean() >= 0.98
+
+
 # --- exact copies and components
 
 @pytest.mark.parametrize("keep", ["min", "max"])

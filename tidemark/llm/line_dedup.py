@@ -1,6 +1,6 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
-A line's signature is a one-permutation MinHash of its character shingles: the range of the hashes is cut into 16 bins, and a
+A line's signature is a one-permutation MinHash of its character shingles: the range of the hashes is cut into 32 bins, and a
 bin's value is the least hash in it or, where it has none, in the next bin that has some. Bands of three values far apart are keys;
 distinct lines that share a key are compared exactly, over their shingle sets. First all lines of a key meet its least
 line. Then, in rounds, the lines outside a key's largest component so far meet all lines of other components that the
@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 from .components import connected_components
 
-BINS, HEADS = 16, 64
-#: First letters of the words that sign long lines; numbers of shingles from which a sample signs a line, and below which the next larger one does.
-STARTS, SAMPLE_FROM, WHOLE_BELOW = "adeisADEIS", 16, 24
+BINS, HEADS = 32, 64
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-BANDS = [[b, (b + 5) % BINS, (b + 10) % BINS] for b in range(8)]
+#: No two bands share a bin, so they miss independently of each other.
+BANDS = [[b, b + 11, b + 22] for b in range(8)]
 
 
 def normal(line: Column) -> Column:
@@ -50,33 +49,17 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def with_keys(lines: DataFrame, line_col: str, n: int) -> DataFrame:
-    """Add ``keys``, a hash per band.
-
-    A line with enough shingles that begin at a word with one of ``STARTS`` is signed by these alone, else by those at
-    all words if these are enough, else by all its shingles. Which they are depends on their content only, so similar lines
-    choose alike; lines near a limit are signed both ways.
-    """
-    bin_of = lambda x: F.shiftright(x, 60)  # noqa: E731  -8 to 7, in the order of the hashes
+    """Add ``keys``, a hash per band. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
+    bin_of = lambda x: F.shiftright(x, 59)  # noqa: E731  -16 to 15, in the order of the hashes
 
     def values(hashes: Column) -> Column:
         """The least hash at or after each bin's start; bins after the last hash are left out."""
         gap = lambda s, x, i: (bin_of(x) - F.coalesce(bin_of(F.get(s, i - 1)), F.lit(-BINS // 2 - 1))).cast("int")
         return bound(F.sort_array(hashes), lambda s: F.flatten(F.transform(s, lambda x, i: F.array_repeat(x, gap(s, x, i)))))
 
-    def keys(column: str, salt: int) -> Column:
-        value = lambda j: F.coalesce(F.get(F.col(column), F.lit(j)), F.get(F.col(column), F.lit(0)))
-        found = F.array(*[F.xxhash64(F.lit(salt + b), *[value(j) for j in band]) for b, band in enumerate(BANDS)])
-        return F.when(F.col(column).isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
-
-    at_words = lambda first, k: F.regexp_extract_all(F.col(line_col), F.lit(f"(?s)\\x20(?=({first}.{{{k}}}))"), F.lit(1))
-    none = F.array().cast("array<string>")
-    few, fewer = F.size("__g1") < WHOLE_BELOW, F.size("__g2") < WHOLE_BELOW
-    lines = lines.withColumn("__g1", at_words(f"[{STARTS}]", n - 2))
-    lines = lines.withColumn("__g2", F.when(few, at_words("", n - 1)).otherwise(none))
-    lines = lines.withColumn("__v1", F.when(F.size("__g1") >= SAMPLE_FROM, values(_hashes(F.col("__g1")))))
-    lines = lines.withColumn("__v2", F.when(few & (F.size("__g2") >= SAMPLE_FROM), values(_hashes(F.col("__g2")))))
-    lines = lines.withColumn("__v3", F.when(few & fewer, values(_hashes(_all_grams(F.col(line_col), n)))))
-    return lines.withColumn("keys", F.concat(keys("__v1", 0), keys("__v2", 50), keys("__v3", 100))).drop("__g1", "__g2", "__v1", "__v2", "__v3")
+    value = lambda j: F.coalesce(F.get(F.col("__v"), F.lit(j)), F.get(F.col("__v"), F.lit(0)))
+    lines = lines.withColumn("__v", values(_hashes(_all_grams(F.col(line_col), n))))
+    return lines.withColumn("keys", F.array(*[F.xxhash64(F.lit(b), *[value(j) for j in band]) for b, band in enumerate(BANDS)])).drop("__v")
 
 
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, threshold: float = 0.8) -> DataFrame:
