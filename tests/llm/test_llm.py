@@ -69,6 +69,30 @@ def test_density_rules_without_article():
     assert html_extract.main_text(page)[0] == f"Title {good} Short one. {good}"
 
 
+RICH = "It was the best of times and it was the worst of times for all that were there in the city which had been built by them on the hill. And it was so that they had all been there for it, in the long night of the storm."
+POOR = "Sofa Lounger Deluxe 3-Seat, Oak Frame, Grey Linen, Free Shipping, Order Code 4411-B, Garden Chairs Set, Teak Bench, Parasol Base, Patio Lights, Solar Lamps, Outdoor Rugs, Cushion Boxes, Fire Pits, Grill Covers, Planters"
+
+
+def test_article_is_evidence_only():
+    beside = f"<article><p>A teaser.</p></article><div><p>{RICH}</p><p>{RICH}</p></div><p>Imprint</p>"
+    assert html_extract.main_text(beside)[0] == f"A teaser. {RICH} {RICH}"
+    advert = f"<main><h1>Title</h1><p>{RICH}</p><div>{POOR}</div><p>{RICH}</p><p>Short end.</p></main><p>Imprint</p>"
+    assert html_extract.main_text(advert)[0] == f"Title {RICH} {RICH} Short end."
+
+
+@pytest.mark.parametrize(
+    "before", ["<select>" + "<option>x" * 70 + "</select>", "<nav><ul>" + "<li>x" * 70 + "</nav>", "<nav>" + "<div>" * 200 + "x</nav>", "<aside>" + "<p>x" * 70 + "</aside>", "<footer><table>" + "<tr><td>x<td>y" * 70 + "</table></footer>", "<aside><dl>" + "<dt>x<dd>y" * 70 + "</aside>"],
+)
+def test_ends_at_any_depth(before):
+    assert html_extract.main_text(f"{before}<article><p>{RICH}</p></article>")[0] == RICH
+
+
+def test_article_ends_and_elements_nest():
+    inner = html_extract.blocks("<article>" + "<p>x" * 70 + "</article><div>out</div>")
+    assert [b[3] for b in inner] == [True] * 70 + [False]
+    assert [b[2] for b in html_extract.blocks("<ul><li>a<ul class='menu'><li>b<li>c</ul>d<li>e</ul>f")] == [False, True, True, False, False, False]
+
+
 def test_pages_equal_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}

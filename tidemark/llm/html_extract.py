@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass looks at each block alone: regions that cannot be
 article text (menus, forms, scripts, comments and the like) and blocks full of links are bad; blocks that are long with
-enough stop words, or that stand in an article or main element, are good; the rest, short blocks and blocks of
-middling density, stay ambiguous. The second pass gives those the label of their nearest decided neighbours.
+enough stop words are good; the rest, short blocks and blocks of middling density, stay ambiguous. The second pass gives
+those the label of their nearest decided neighbours. An article or main element is evidence only: half the length and
+stop words are enough inside one, paragraphs with fewer are ambiguous, and ambiguous blocks stay unless both neighbours are
+bad; beside one they stay only between good blocks. No label passes its border.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,17 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("head nav footer aside form button select option textarea label fieldset iframe object canvas audio video map menu dialog title".split())
+#: Open elements that a start tag ends, each only inside its nearest element of the second set; an end tag of a key counts only inside that too.
+ENDS = (
+    dict.fromkeys("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(), (("p",), ("button", "td", "th", "caption")))
+    | {"li": (("p", "li"), ("ul", "ol", "menu", "table", "td", "th", "section", "article", "blockquote"))}
+    | dict.fromkeys(("dt", "dd"), (("p", "dt", "dd"), ("dl", "table", "td", "th", "section", "article", "blockquote")))
+    | {"option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",))}
+    | dict.fromkeys(("td", "th"), (("td", "th", "caption"), ("table", "tr"))) | {"tr": (("tr", "caption"), ("table",))}
+    | dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "tr", "caption"), ("table",)))
+)
+WITHIN = {tag: ENDS[tag][1] for tag in "p li dt dd option td th tr".split()}
+PROSE = ("p", "pre", "blockquote", "li", "dd", "td")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = (
     r"ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|newsletter|subscri\w*|popup|modal|overlay|sidebar|widget|related|recommend\w*|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer"
@@ -51,10 +65,11 @@ GOOD, BAD, NEAR, SHORT = 1, 0, 2, 3
 SHORT_CHARS, LONG_CHARS, LINK_SHARE, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.15, 0.28
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """Blocks of a page in order: text, link characters, bad region, inside article or main, heading."""
-    found: list[tuple[str, int, bool, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
+    """Blocks of a page in order: text, link characters, bad region, inside article or main, heading, inside an element of PROSE."""
+    found: list[tuple[str, int, bool, bool, bool, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, bad region (2: for good), inside main
+    opened: dict[str, list[int]] = {}  # places of the open elements of each tag in the stack
     bad, main, links, heading = 0, False, 0, 0
     parts: list[str] = []
     linked = 0
@@ -65,10 +80,23 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, min(linked, len(text)), bad > 0, main, heading > 0))
+                found.append((text, min(linked, len(text)), bad > 0, main, heading > 0, any(opened.get(t) for t in PROSE)))
             parts.clear()
         linked = 0
 
+    def last(tags: tuple[str, ...]) -> tuple[int, ...]:
+        return tuple(opened[t][-1] for t in tags if opened.get(t))
+
+    def end(k: int) -> None:
+        """Close the open elements from the k-th on."""
+        nonlocal bad, main, links, heading
+        _, bad, main = stack[k]
+        for gone, _, _ in stack[k:]:
+            opened[gone].pop()
+            links -= gone == "a"
+            heading -= gone in HEADINGS
+        del stack[k:]
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -83,22 +111,23 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag in BLOCK_TAGS:
             close()
         if m[2]:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[k][0] == tag:
-                    for gone, _, _ in stack[k:]:
-                        links -= gone == "a"
-                        heading -= gone in HEADINGS
-                    _, bad, main = stack[k]
-                    del stack[k:]
-                    break
+            k = max(last((tag,)), default=-1)
+            if k >= 0 and k > max(last(WITHIN.get(tag, ())), default=-1):
+                end(k)
             continue
+        if tag in ENDS:
+            over, within = ENDS[tag]
+            if found_open := last(over):
+                border = max(last(within), default=-1)
+                if (k := min((x for x in found_open if x > border), default=-1)) >= 0:
+                    end(k)
         if tag in VOID_TAGS or m[4].endswith("/"):
             continue
         if tag == "a" and links:  # links do not nest: an open one ends here
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a"), None)
-            if k is not None and k == len(stack) - 1:
-                del stack[k]
+            if opened["a"][-1] == len(stack) - 1:
+                del stack[opened["a"].pop()]
                 links -= 1
+        opened.setdefault(tag, []).append(len(stack))
         stack.append((tag, bad, main))
         links += tag == "a"
         heading += tag in HEADINGS
@@ -119,34 +148,25 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return found
 
 
-def first_pass(text: str, linked: int, bad: bool, main: bool) -> int:
+def first_pass(text: str, linked: int, bad: bool, main: bool, prose: bool = False) -> int:
     if bad or linked > LINK_SHARE * len(text):
         return BAD
-    if main:
-        return GOOD
-    if len(text) < SHORT_CHARS:
-        return BAD if linked else SHORT
+    ease = 0.5 if main else 1
+    if len(text) < SHORT_CHARS * ease:
+        return BAD if linked and not main else SHORT
     words = [w.lower() for w in WORDS.findall(text)]
     density = max(sum(w in s for w in words) for s in STOPS) / max(len(words), 1)
-    if density >= STOP_HIGH:
-        return GOOD if len(text) > LONG_CHARS else NEAR
-    if density >= STOP_LOW:
-        return GOOD if len(text) > 2 * LONG_CHARS else NEAR
-    return BAD if len(text) > LONG_CHARS else SHORT
+    if density >= STOP_HIGH * ease:
+        return GOOD if len(text) > LONG_CHARS * ease else NEAR
+    if density >= STOP_LOW * ease:
+        return GOOD if len(text) > 2 * LONG_CHARS * ease else NEAR
+    return BAD if len(text) > LONG_CHARS and not (main and prose) else SHORT
 
 
 def second_pass(labels: list[int], heading: list[bool]) -> list[bool]:
     """Keep or not: ambiguous blocks follow the nearest decided block on either side; where these differ, near-good blocks and headings before good text stay."""
     n = len(labels)
-    before, after = [-1] * n, [-1] * n
-    last = -1
-    for i in range(n):
-        before[i] = last
-        last = i if labels[i] in (GOOD, BAD) else last
-    last = -1
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = i if labels[i] in (GOOD, BAD) else last
+    before, after = neighbours(labels)
     keep = []
     for i, x in enumerate(labels):
         if x in (GOOD, BAD):
@@ -164,13 +184,54 @@ def second_pass(labels: list[int], heading: list[bool]) -> list[bool]:
     return keep
 
 
+def neighbours(labels: list[int]) -> tuple[list[int], list[int]]:
+    """Place of the nearest decided block before and after each; -1 where there is none."""
+    n = len(labels)
+    before, after = [-1] * n, [-1] * n
+    last = -1
+    for i in range(n):
+        before[i] = last
+        last = i if labels[i] in (GOOD, BAD) else last
+    last = -1
+    for i in range(n - 1, -1, -1):
+        after[i] = last
+        last = i if labels[i] in (GOOD, BAD) else last
+    return before, after
+
+
+def outside_pass(labels: list[int], heading: list[bool]) -> list[bool]:
+    """The second pass beside an article or main element, whose borders count as bad: ambiguous blocks stay between good ones, headings before one."""
+    before, after = neighbours(labels)
+    good = lambda k: k >= 0 and labels[k] == GOOD
+    return [x == GOOD or x != BAD and good(a) and (h or good(b)) for x, h, b, a in zip(labels, heading, before, after, strict=True)]
+
+
+def inside_pass(labels: list[int]) -> list[bool]:
+    """The second pass inside an article or main element, whose borders count as good."""
+    before, after = neighbours(labels)
+    return [x == GOOD if x in (GOOD, BAD) else b < 0 or a < 0 or GOOD in (labels[b], labels[a]) for x, b, a in zip(labels, before, after, strict=True)]
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
-    """Main text, and how many blocks there were and stay. When an article or main element has text, nothing outside one counts."""
+    """Main text, and how many blocks there were and stay.
+
+    Runs of blocks inside and outside of article and main elements are settled each on its own. Blocks of bad regions inside an element are no
+    neighbours there. Where no block of a run inside has enough stop words, its language is not one of STOP_WORDS and few stop words say nothing.
+    """
     found = blocks(page or "")
-    labels = [first_pass(t, n, bad, main) for t, n, bad, main, _ in found]
-    if any(x == GOOD and b[3] for x, b in zip(labels, found, strict=True)):
-        labels = [x if b[3] else BAD for x, b in zip(labels, found, strict=True)]
-    keep = second_pass(labels, [b[4] for b in found])
+    labels = [first_pass(t, n, bad, main, prose) for t, n, bad, main, _, prose in found]
+    article = any(x != BAD and b[3] for x, b in zip(labels, found, strict=True))
+    keep = [False] * len(found)
+    for main, run in groupby(range(len(found)), lambda i: found[i][3]):
+        at = list(run)
+        if main:
+            at = [i for i in at if not found[i][2]]
+            known = any(labels[i] == GOOD for i in at)
+            stays = inside_pass([SHORT if not known and found[i][1] <= LINK_SHARE * len(found[i][0]) else labels[i] for i in at])
+        else:
+            stays = (outside_pass if article else second_pass)([labels[i] for i in at], [found[i][4] for i in at])
+        for i, x in zip(at, stays, strict=True):
+            keep[i] = x
     kept = [b[0] for b, k in zip(found, keep, strict=True) if k]
     return " ".join(kept), len(found), len(kept)
 
