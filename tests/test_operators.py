@@ -251,3 +251,35 @@ def test_null_and_empty_series(spark):
     assert folds.triple_barrier(folds.daily_volatility(empty)).count() == 0 and risk.adf_test(empty).count() == 0 and windows.trend_scan(empty).count() == 0
     one = spark.createDataFrame([("A", dt.datetime(2024, 1, 1), None, None, None, None)], empty.schema)
     assert windows.kyle_lambda(one).first()["kyle_lambda"] is None and folds.cusum(one, threshold=1.0).first()["event"] == 0
+
+
+def test_sequential_bootstrap_takes_every_span(spark):
+    from tests.oracle import SF
+    from tidemark import catalog
+    from tidemark.catalog.book import VIEWS
+
+    got = catalog.load()[0]["F12_sequential_bootstrap"](spark, SF).groupBy("symbol", "replicate").count().toPandas()
+    rows = VIEWS["user_ticks"](spark, SF).groupBy("symbol").count().toPandas().set_index("symbol")["count"]
+    want = {k: n - 6 for k, n in rows.items() if n > 6}
+    assert want and {(a, b): n for a, b, n in got.itertuples(index=False)} == {(k, r): n for k, n in want.items() for r in (0, 1)}
+
+
+def test_a_span_at_every_bar(bars, walk):
+    """Ten-bar spans from every bar, so that eleven overlap: concurrency, uniqueness and purged folds by brute force."""
+    spans = bars.withColumn("t1", F.lead("ts", 10).over(s.by())).where("t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1")
+    n, life = 300, [(k, k + 10) for k in range(290)]
+    active = np.array([sum(a <= t <= b for a, b in life) for t in range(n)])
+    found = intervals.concurrency(bars, spans).toPandas().sort_values(["symbol", "ts"])
+    assert active.max() == 11 and found["concurrency"].tolist() == [*active, *active]
+    u = weights.average_uniqueness(bars, spans).toPandas().sort_values(["symbol", "t0"])["avg_uniqueness"].to_numpy()
+    assert np.allclose(u, [np.mean(1 / active[a : b + 1]) for a, b in life] * 2)
+    roles = weights.purged_kfold(spans).where("symbol = 'AAA'").toPandas()
+    at = {t: k for k, t in enumerate(walk[walk["symbol"] == "AAA"]["ts"])}
+    want = {}
+    for f in range(5):
+        lo, hi = 58 * f, 58 * f + 57
+        for k, (a, b) in enumerate(life):
+            role = "test" if lo <= k <= hi else "train" if b < lo or a > hi + 10 else None
+            if role:
+                want[(f, k)] = role
+    assert {(f, at[t]): r for f, t, r in zip(roles["fold"], roles["t0"], roles["role"], strict=True)} == want

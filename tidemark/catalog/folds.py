@@ -174,5 +174,5 @@ def _(df):
 
 @book.add("F12_sequential_bootstrap", "user_ticks")
 def _(df):
-    spans = df.withColumn("i", s.position()).where("i % 4 = 0").select("symbol", F.col("i").cast("long").alias("label_id"), F.col("i").alias("i0"), (F.col("i") + 6).alias("i1"))
+    spans = df.withColumn("i", s.position()).withColumn("t1", F.lead("ts", 6).over(s.by())).where("t1 IS NOT NULL").select("symbol", F.col("i").cast("long").alias("label_id"), F.col("i").alias("i0"), (F.col("i") + 6).alias("i1"))
     return folds.sequential_bootstrap(spans, replicates=2)
