@@ -283,3 +283,24 @@ def test_a_span_at_every_bar(bars, walk):
             if role:
                 want[(f, k)] = role
     assert {(f, at[t]): r for f, t, r in zip(roles["fold"], roles["t0"], roles["role"], strict=True)} == want
+
+
+def test_streams_go_to_files(spark, bars):
+    """Streams of the catalog are read back from files, not from a table in the driver."""
+    from tests.oracle import SF
+    from tidemark.catalog import streams
+
+    raw = streams.stream(spark, SF)
+    for df, mode in ((raw, "append"), (raw.groupBy("symbol").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n")), "complete")):
+        got = streams.collected(spark, df, mode)
+        assert got.inputFiles() and (got.count() if mode == "append" else got.agg(F.sum("n")).first()[0]) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_nearest_in_blocks(spark):
+    from tidemark.operators import sets
+
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    one, many = (sorted(map(tuple, sets.nearest(rows, queries, 3, block=b).collect())) for b in (1000, 20))
+    assert one == many and len(one) == 180

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.market import shared_path
 from ..streaming import live as op
 from .book import SQL, Book
 
@@ -18,11 +17,16 @@ def stream(spark, sf_dir):
 
 
 def collected(spark, df, mode="append"):
-    """Run a bounded stream to its end into a memory table and read that."""
-    name = f"s_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Run a bounded stream to its end into Parquet in the shared folder and read that; no row goes to the driver."""
+    path, schema = shared_path(spark, "stream"), df.schema
+    writer = df.writeStream.option("checkpointLocation", shared_path(spark, "stream-state")).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":  # each batch has the whole table
+        spark.createDataFrame([], schema).write.parquet(path)
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()
+    return spark.read.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 TICKS = "WITH " + SQL["ticks"]

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.market import shared_path
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of rows with equal keys the first in order."""
@@ -34,11 +36,24 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2", slices: int = 32) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2", slices: int = 32, block: int = 1_000) -> DataFrame:
     """The k rows nearest to each query (query_id, query), itself excluded: ``query_id``, ``id``, ``distance``, ``rank``.
 
-    The few queries are broadcast; each slice of the table first keeps its own k per query.
+    Queries are broadcast in blocks of about ``block``, by hash of their id; each slice of the table first keeps its own k per query. More than one block
+    go through Parquet in the shared folder, one after the other.
     """
+    blocks = -(-queries.count() // block)
+    if blocks > 1:
+        path = shared_path(df.sparkSession, "nearest")
+        for b in range(blocks):
+            some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+            part = _nearest(df, some, k, id_col, vec_col, metric, slices)
+            part.write.mode("append").parquet(path)
+        return df.sparkSession.read.schema(part.schema).parquet(path)
+    return _nearest(df, queries, k, id_col, vec_col, metric, slices)
+
+
+def _nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, metric: str, slices: int) -> DataFrame:
     d = F.round(distance(F.col(vec_col), F.col("query"), metric), 6)
     both = df.withColumn("slice", F.pmod(F.xxhash64(id_col), F.lit(slices))).join(F.broadcast(queries), F.col(id_col) != F.col("query_id")).select("slice", "query_id", F.col(id_col).alias("id"), d.alias("distance"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("distance", "id"))
