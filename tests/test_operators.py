@@ -304,3 +304,14 @@ def test_nearest_in_blocks(spark):
     queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     one, many = (sorted(map(tuple, sets.nearest(rows, queries, 3, block=b).collect())) for b in (1000, 20))
     assert one == many and len(one) == 180
+
+
+def test_catalog_takes_all_features_and_models(spark):
+    from tests.oracle import SF
+    from tidemark import catalog
+    from tidemark.catalog import models
+    from tidemark.operators import forecast
+
+    queries = catalog.load()[0]
+    assert {r["feature"] for r in queries["M8_importance_sfi"](spark, SF).collect()} == set(models.FEATURES)
+    assert queries["X9_forecast_ensemble"](spark, SF).agg(F.max("n_models")).first()[0] == len(forecast.MODELS)

@@ -27,7 +27,7 @@ for _id, _name in (("X1_arma", "arma"), ("X2_damped_holt", "holt"), ("X3_garch_p
 
 @book.add("X6_monte_carlo", "ticks")
 def _(df):
-    return op.monte_carlo(bars(df), 10, 1000)
+    return op.monte_carlo(bars(df), 10)
 
 
 TARGET = "t AS (SELECT symbol, arg_max(price, ts) AS last, avg(price) AS target, min(price) AS low, max(price) AS high FROM ticks GROUP BY 1)"
@@ -68,4 +68,4 @@ def _(df):
 
 @book.add("X9_forecast_ensemble", "ticks")
 def _(df):
-    return rounded(op.ensemble(op.forecasts(bars(df), 10, ("arma", "ridge"))), "symbol", "step", "n_models", yhat="yhat", lo="lo", hi="hi")
+    return rounded(op.ensemble(op.forecasts(bars(df), 10)), "symbol", "step", "n_models", yhat="yhat", lo="lo", hi="hi")

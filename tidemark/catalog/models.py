@@ -37,12 +37,12 @@ def measured(estimator, df):
 
 @book.add("M1_random_forest", "ticks")
 def _(df):
-    return measured(op.forest(FEATURES, trees=10, leaf=10), df)
+    return measured(op.forest(FEATURES), df)
 
 
 @book.add("M2_boosting", "ticks")
 def _(df):
-    return measured(op.boosting(FEATURES, rounds=5), df)
+    return measured(op.boosting(FEATURES), df)
 
 
 @book.add("M3_stacking", "ticks")
@@ -99,7 +99,7 @@ def _(df):
 
 @book.add("M8_importance_sfi", "ticks")
 def _(df):
-    return op.importance_sfi(table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3), FEATURES[:2])
+    return op.importance_sfi(table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3), FEATURES)
 
 
 @book.add("M9_probabilistic_sharpe", "ticks")
@@ -137,8 +137,11 @@ def _(df):
 
 @book.add("M14_validate_strategy", "ticks")
 def _(df):
-    cv = op.cross_validate(op.logistic(FEATURES), table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3))
-    v = op.validate_strategy(cv, 1.0, 10, 1000)
+    cv = op.cross_validate(op.logistic(FEATURES), table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3)).localCheckpoint()
+    train, test = split(df)
+    ret = F.when(F.col("p") > 0.5, F.col("next_ret")).otherwise(-F.col("next_ret"))
+    r = op.scored(op.fit(op.logistic(FEATURES), train), test).agg(F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("sd"), F.count(ret).alias("n")).first()
+    v = op.validate_strategy(cv, r["mean"] / r["sd"] if r["sd"] else 0.0, cv.count() + 1, r["n"])  # each fitted model is a trial
     return df.sparkSession.createDataFrame([(bool(v["passes"]), float(v["mean_accuracy"]), float(v["dsr"]))], "passes boolean, mean_accuracy double, dsr double")
 
 
@@ -157,7 +160,7 @@ def _(df):
 @book.add("M17_research_pipeline", "ticks")
 def _(df):
     bars = df.select("symbol", "ts", (100 + F.col("price")).alias("close"), (101 + F.col("price")).alias("high"), (99 + F.col("price")).alias("low"), (1 + F.col("size")).alias("volume"))
-    p = pipelines.ResearchPipeline(trees=5, k_folds=2, least_bars=100).fit(bars)
+    p = pipelines.ResearchPipeline(least_bars=100).fit(bars)
     return p.result.test
 
 
