@@ -375,6 +375,25 @@ def test_lines_past_the_head(spark):
     assert {(a, b): (c, d) for a, b, c, d in zip(got["doc_id"], got["line"], got["keep_id"], got["keep_line"], strict=True)} == want
 
 
+def test_lines_of_a_key_meet_across_blocks(spark, monkeypatch):
+    """A key with many unlike lines and a few alike, cut into many small blocks, gives what all pairs give."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "UNIT", 2)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    shared = " ".join(words[:30])
+    rows = []
+    for i in range(120):
+        own = [str(x) for x in rng.choice(words[30:], 12 if i % 3 else 40)]
+        rows.append((2 * i, shared + " " + " ".join(own)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, shared + " " + " ".join(own[:-1])))
+    got = line_dedup.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    want = brute_lines(dict(rows))
+    assert {(a, b): (c, d) for a, b, c, d in zip(got["doc_id"], got["line"], got["keep_id"], got["keep_line"], strict=True)} == want
+    assert not got["kept"].all()
+
+
 def test_lines_odd_rows(odd, empty):
     got = line_dedup.near_lines(odd).where("not kept").select("doc_id").collect()
     assert {r["doc_id"] for r in got} >= {5, 6} and not {1, 2, 3} & {r["doc_id"] for r in got}
@@ -384,7 +403,9 @@ def test_lines_odd_rows(odd, empty):
 def edited_lines(rng, how: str) -> tuple[str, str]:
     """A line and its edit: ten words that begin with one of a, d, e, i, s put in at two places, one run of words replaced at one place, or words replaced anywhere."""
     word = lambda first: first + "".join(rng.choice(list("bcfghjklmnopqrtuvwxyz"), int(rng.integers(2, 9))))
-    a = [word(str(rng.choice(list("bcfghjkmnop")))) for _ in range(90)]
+    a = [word(str(rng.choice(list("bcfghjkmnop")))) for _ in range(int(rng.integers(3, 7)) if how == "short" else 90)]
+    if how == "short":  # a few letters at an end
+        return " ".join(a), " ".join(a) + str(rng.choice(["!", "?!", " ok", " yes"]))
     if how == "starts":
         for k in rng.choice(90, 15, replace=False):
             a[k] = word("a")
@@ -399,16 +420,16 @@ def edited_lines(rng, how: str) -> tuple[str, str]:
     return " ".join(a), " ".join(b)
 
 
-@pytest.mark.parametrize("how", ["starts", "cluster", "spread"])
+@pytest.mark.parametrize("how", ["starts", "cluster", "spread", "short"])
 def test_lines_meet_by_all_shingles(spark, how):
     """Pairs at 0.8 and above share a key, wherever the edits are and whatever words they bring."""
     rng = np.random.default_rng(3)
     pairs = [edited_lines(rng, how) for _ in range(400)]
     grams = lambda x: {x[i : i + 8] for i in range(len(x) - 7)}
     sim = np.array([len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in pairs])
-    lines = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], "i int, t string")
+    lines = spark.createDataFrame([(i, k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "i int, k int, t string")
     keys = defaultdict(list)
-    for r in line_dedup.with_keys(lines, "t", 8).collect():
+    for r in line_dedup.with_keys(lines, ["i", "k"], "t", 8).collect():
         keys[r["i"]].append(set(r["keys"]))
     met = np.array([bool(keys[i][0] & keys[i][1]) for i in range(len(pairs))])
     near = sim >= 0.8

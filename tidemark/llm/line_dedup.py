@@ -1,46 +1,59 @@
 """Fuzzy duplicate lines by MinHash, in DataFrame operations only.
 
-A line's signature is a one-permutation MinHash of its character shingles: the range of the hashes is cut into 32 bins, and a
-bin's value is the least hash in it or, where it has none, in the next bin that has some. Bands of three values far apart are keys;
-distinct lines that share a key are compared exactly, over their shingle sets. First all lines of a key meet its least
-line. Then, in rounds, the lines outside a key's largest component so far meet all lines of other components that the
-triangle inequality of the Jaccard distance lets them reach, until a key holds one component or all outside have met all.
-So no component is split that keys connect, and lines known to be together are not compared. Links go through a
-distributed union-find, and of each component the first line in order of document and place stays.
+A line's signature is a one-permutation MinHash of its character shingles: the hashes are dealt into 24 bins, and a bin's
+value is the least hash in it or, where it has none, that of the next bin that has some. Shingles are rows while they are
+hashed and their least values taken, so all of that is compiled code. Bands of three values far apart are keys; distinct lines that
+share a key are compared exactly, over their shingle sets, in two steps:
+
+1. All lines of a key meet one of its lines, and a union-find joins those at the threshold or above. In keys that then
+   hold several components, the lines meet a few more, each only those of other components.
+2. Keys that still hold several components: lines outside of a key's largest component meet all its lines of other
+   components, in pairs of small blocks. A pair of blocks is one row, which gives the pairs of components that its lines
+   link, never pairs of lines; the pairs of blocks of a key are dealt over as many tasks as they fill.
+
+So no component is split that keys connect, and lines known to be together are not compared again. A second union-find joins the
+components, and of each the first line in order of document and place stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 from .components import connected_components
 
-BINS, HEADS = 32, 64
+BINS = 24
+#: Heads of an open key in the second round; lines of a block, pairs of blocks that are compared in one place, and lines to a task (a compared pair costs a sixteenth of reading a line).
+HEADS, BLOCK, UNIT, TASK_LINES = 3, 64, 16, 16_384
+#: Equal values of two signatures of 24 from which blocks compare the sets: a pair at 0.8 has fewer with probability 0.0002.
+MATCHES = 12
+#: Parts of a set that are compared one after the other.
+PARTS = 2
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: No two bands share a bin, so they miss independently of each other.
-BANDS = [[b, b + 11, b + 22] for b in range(8)]
+BANDS = [[b, b + 8, b + 16] for b in range(8)]
 
 
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
 
 
-def _hashes(grams: Column) -> Column:
-    return F.transform(grams, lambda x: F.xxhash64(x))
+def starts(units: Column, n: int) -> Column:
+    """Where the shingles of a line begin, in 16-bit units; a line shorter than one shingle is one."""
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(units), 1) - n, F.lit(0)))
 
 
-def _all_grams(line: Column, n: int) -> Column:
-    return F.when(F.length(line) >= n, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(F.array(line))
+def shingle(units: Column, start: Column, n: int) -> Column:
+    return F.xxhash64(F.substring(units, start * 2 + 1, F.lit(2 * n)))
 
 
 def shingle_hashes(line: Column, n: int) -> Column:
-    """Distinct hashes of a line's runs of n characters; of the whole line if it is shorter."""
-    return F.array_distinct(_hashes(_all_grams(line, n)))
+    """Distinct hashes of a line's runs of n 16-bit units; of the whole line if it is shorter."""
+    return bound(F.encode(line, "UTF-16BE"), lambda u: F.array_distinct(F.transform(starts(u, n), lambda i: shingle(u, i, n))))
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -48,18 +61,20 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def with_keys(lines: DataFrame, line_col: str, n: int) -> DataFrame:
-    """Add ``keys``, a hash per band. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
-    bin_of = lambda x: F.shiftright(x, 59)  # noqa: E731  -16 to 15, in the order of the hashes
+def signatures(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
+    """``by`` (which tells lines apart) and ``v``, the values of the bins. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
+    rows = lines.select(*by, F.encode(F.col(line_col), "UTF-16BE").alias("u"))
+    rows = rows.select(*by, "u", F.explode(starts(F.col("u"), n)).alias("i")).select(*by, shingle(F.col("u"), F.col("i"), n).alias("h"))
+    rows = rows.select(*by, F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftright("h", 32).cast("int").alias("v"))
+    least = rows.groupBy(*by).agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"v{j}") for j in range(BINS)])
+    twice = least.select(*by, F.array(*[f"v{j}" for j in range(BINS)] * 2).alias("w"))
+    value = lambda j: F.coalesce(F.get("w", F.lit(j)), F.get(F.filter(F.slice("w", j + 1, BINS), lambda x: x.isNotNull()), F.lit(0)))
+    return twice.select(*by, F.array(*[value(j) for j in range(BINS)]).alias("v"))
 
-    def values(hashes: Column) -> Column:
-        """The least hash at or after each bin's start; bins after the last hash are left out."""
-        gap = lambda s, x, i: (bin_of(x) - F.coalesce(bin_of(F.get(s, i - 1)), F.lit(-BINS // 2 - 1))).cast("int")
-        return bound(F.sort_array(hashes), lambda s: F.flatten(F.transform(s, lambda x, i: F.array_repeat(x, gap(s, x, i)))))
 
-    value = lambda j: F.coalesce(F.get(F.col("__v"), F.lit(j)), F.get(F.col("__v"), F.lit(0)))
-    lines = lines.withColumn("__v", values(_hashes(_all_grams(F.col(line_col), n))))
-    return lines.withColumn("keys", F.array(*[F.xxhash64(F.lit(b), *[value(j) for j in band]) for b, band in enumerate(BANDS)])).drop("__v")
+def with_keys(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
+    """``by`` and ``keys``, a hash per band of a line's signature."""
+    return signatures(lines, by, line_col, n).select(*by, F.array(*[F.xxhash64(F.lit(b), *[F.get("v", F.lit(j)) for j in band]) for b, band in enumerate(BANDS)]).alias("keys"))
 
 
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -67,71 +82,120 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     Lines are compared with white space runs as one space, ends trimmed. Blank lines are no one's copy and stay. Of each
     component the line with the least (id, line) stays; rows that repeat with their id are copies, and of exactly equal places all stay.
-    A null text is one blank line; a null id comes first in order.
+    A null text is one blank line; a null id comes first in order. Other columns of df play no part, whatever their names; an empty table gives no rows.
     """
-    raw = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw"))
+    every = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw"))
+    some = F.col("raw").rlike(r"[^\x20\x09-\x0D]")  # not blank; cheaper to see here than after normalising
+    raw = every.where(some)
     digest = [F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2")]
     lines = raw.select("id", "line", normal(F.col("raw")).alias("t"))
-    raw = raw.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))  # not blank; cheaper to see here than after normalising
-    some = raw.select("id", "line", normal(F.col("raw")).alias("t"))
-    kinds = with_keys(some.select("id", "line", "t", *digest), "t", n).groupBy("d1", "d2").agg(
-        F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"),
-    )
-    kinds = materialise(kinds.withColumn("node", F.monotonically_increasing_id()), "line-kinds")
+    places = materialise(lines.select("id", "line", *digest), "line-places")
+    signed = with_keys(lines.select("t", *digest), ["d1", "d2"], "t", n)
+    first = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    kinds = materialise(signed.join(first, ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()), "line-kinds")
     keyed = kinds.select("node", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    keyed = materialise(keyed.join(several, "key"), "line-keys")
-    wanted = keyed.select("node").distinct().join(kinds.select("node", "first.id", "first.line"), "node")
-    wanted = materialise(wanted, "line-places")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = raw.join(wanted, raw["id"].eqNullSafe(wanted["id"]) & (raw["line"] == wanted["line"])).select("node", normal(F.col("raw")).alias("t")).dropDuplicates(["node"])
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least")).where("m > 1")
+    groups = groups.groupBy("m", "x", "least").agg(F.min("key").alias("key"))  # of keys with the same lines one does
+    keyed = materialise(keyed.join(groups.select("key"), "key"), "line-keys")
+    wanted_nodes = materialise(keyed.select("node").distinct().join(kinds.select("node", "first.id", "first.line"), "node"), "line-wanted")
+    wanted = F.broadcast(wanted_nodes) if wanted_nodes.count() <= BROADCAST_ROWS else wanted_nodes
+    texts = lines.join(wanted, lines["id"].eqNullSafe(wanted["id"]) & (lines["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
     texts = materialise(texts, "line-texts")
-    reach = 1 - threshold + 1e-9
-
-    def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """``sim`` of distinct pairs. A head's set is made once; the other lines travel to it as text, a tenth of the size of a set."""
-        one = pairs.join(texts, "node")
-        sets = pairs.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", shingle_hashes(F.col("t"), n).alias("hs"))
-        both = one.join(sets, "head").withColumn("s", shingle_hashes(F.col("t"), n)).withColumn("common", F.size(F.array_intersect("s", "hs")))
-        return materialise(both.select(*pairs.columns, (F.col("common") / (F.size("s") + F.size("hs") - F.col("common"))).alias("sim")), "line-sims")
-
-    firsts = keyed.groupBy("key").agg(F.min("node").alias("head"))
-    pairs = keyed.join(firsts, "key").where(F.col("node") > F.col("head"))
-    sim = compare(pairs.select("head", "node").distinct(), texts)
-    linked = F.col("sim") >= threshold - 1e-9
-    links = sim.where(linked).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    labels = connected_components(links)
-    left = pairs.join(sim, ["head", "node"]).select("key", "node", "sim").join(labels, "node", "left").select("key", "node", "sim", F.coalesce("label", "node").alias("label"))
-    narrowed = False
-    while True:
-        main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.count(F.lit(1)).alias("kinds"))
-        left = materialise(left.join(main.where("kinds > 1").select("key", F.col("x.label").alias("main")), "key"), "line-left")
-        if left.limit(1).count() == 0:
-            break
-        if not narrowed:  # later rounds shuffle only the texts that can still meet
-            texts, narrowed = materialise(texts.join(left.select("node").distinct(), "node", "left_semi"), "line-texts"), True
-        order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        heads = left.where(F.col("label") != F.col("main")).withColumn("r", order).where(F.col("r") <= HEADS)
-        heads = heads.select("key", F.col("node").alias("head"), F.col("label").alias("head_label"), F.col("sim").alias("head_sim"))
-        near = (F.col("label") != F.col("head_label")) & (F.abs(F.col("sim") - F.col("head_sim")) <= reach)
-        found = compare(left.join(heads, "key").where(near).select("head", "node", "head_label", "label").distinct(), texts).where(linked)
-        left = left.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("key", "node", "sim", "label")
-        if found.limit(1).count():
-            links = links.unionByName(found.select(F.col("head").alias("a"), F.col("node").alias("b")))
-            merged = connected_components(found, "head_label", "label").select(F.col("node").alias("label"), F.col("label").alias("into"))
-            left = left.join(merged, "label", "left").select("key", "node", "sim", F.coalesce("into", "label").alias("label"))
-    forest = connected_components(links)
+    forest = wanted_nodes.select("node", F.col("node").alias("label"))
+    for heads in (1, HEADS):  # the two lines of a key have met after the first round
+        met = _star(_open(keyed, forest, least=1 + (heads > 1)), heads, texts, n, threshold)
+        forest = materialise(_merged(forest, met), "line-forest")
+    forest = materialise(_merged(forest, _blocks(_open(keyed, forest, least=2), texts, n, threshold)), "line-forest")
     firsts = forest.join(kinds.select("node", "first"), "node")
     keepers = firsts.groupBy("label").agg(F.min("first").alias("keep"))
-    joined = firsts.select("node", "label").join(keepers, "label").select("node", "keep")
-    chosen = kinds.join(joined, "node", "left").where(F.col("keep").isNotNull() | (F.col("copies") > 1)).select("d1", "d2", F.coalesce("keep", "first").alias("keep"))
-    out = lines.select("id", "line", *digest, (F.col("t") != "").alias("some")).join(chosen.withColumn("some", F.lit(True)), ["d1", "d2", "some"], "left")
+    kept = firsts.select("node", "label").join(keepers, "label").select("node", "keep")
+    chosen = kinds.join(kept, "node", "left").select("d1", "d2", "copies", "first", F.coalesce("keep", "first").alias("keep")).where("copies > 1 or keep <> first").select("d1", "d2", "keep")
+    out = places.join(chosen, ["d1", "d2"], "left")
     keep_id, keep_line = F.when(F.col("keep").isNull(), F.col("id")).otherwise(F.col("keep.id")), F.coalesce("keep.line", "line")
     out = out.select("id", "line", keep_id.alias("keep_id"), keep_line.alias("keep_line"))
+    blank = every.where(~some).select("id", "line", F.col("id").alias("keep_id"), F.col("line").alias("keep_line"))
+    out = out.unionByName(blank)
     return out.select(F.col("id").alias(id_col), "line", "keep_id", "keep_line", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line") == F.col("keep_line"))).alias("kept"))
 
 
+def _least_common(size_a: Column, size_b: Column, threshold: float) -> Column:
+    """How many elements sets of these sizes must share to have the threshold's Jaccard coefficient."""
+    return (size_a + size_b) * ((threshold - 1e-9) / (1 + threshold - 1e-9))
+
+
+def _similar(a: Column, b: Column, threshold: float) -> Column:
+    need = _least_common(F.size(a), F.size(b), threshold)
+    return F.when(F.least(F.size(a), F.size(b)) < need, F.lit(False)).otherwise(F.size(F.array_intersect(a, b)) >= need)
+
+
+def _in_parts(hashes: Column) -> Column:
+    """A set as its size and a few parts by hash."""
+    return F.struct(F.size(hashes).alias("size"), F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: F.filter(hashes, lambda h: F.pmod(h, F.lit(PARTS)) == r)).alias("parts"))
+
+
+def _similar_parts(a: Column, b: Column, threshold: float) -> Column:
+    """As _similar, part by part: what a may still share falls by what each part lacks, and once it is too little the rest is not looked at."""
+    need = _least_common(a["size"], b["size"], threshold)
+    part = lambda c, r: F.get(c["parts"], r)
+    step = lambda may, r: F.when(may < need, may).otherwise(may - F.size(part(a, r)) + F.size(F.array_intersect(part(a, r), part(b, r))))
+    return F.when(F.least(a["size"], b["size"]) < need, F.lit(False)).otherwise(F.aggregate(F.array(*[F.lit(r) for r in range(PARTS)]), a["size"], step) >= need)
+
+
+def _open(keyed: DataFrame, forest: DataFrame, least: int) -> DataFrame:
+    """``key``, ``node`` and ``label`` of the keys with more than ``least`` lines that hold several components, with the key's largest (``main``), its lines and all lines (``m_main``, ``m``)."""
+    rows = keyed.select("key", "node").join(forest, "node")
+    by_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = by_label.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("m_main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).where((F.col("labels") > 1) & (F.col("m") > least)).drop("labels")
+    return materialise(rows.join(several, "key"), "line-open")
+
+
+def _merged(forest: DataFrame, links: DataFrame) -> DataFrame:
+    """The forest after components that a link (``a``, ``b``) joins have become one."""
+    into = connected_components(materialise(links, "line-links")).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return forest.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+
+
+def _star(rows: DataFrame, heads: int, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Components that a line links to one of its keys' few heads. A head's set is made once; the other lines travel to it as text, a tenth of the size of a set."""
+    chosen = rows.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(heads + r))).alias(f"h{r}") for r in range(heads)])
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{r}" for r in range(heads)]))).alias("head"))
+    chosen = chosen.join(rows.select("key", F.col("node").alias("head"), F.col("label").alias("a")), ["key", "head"])
+    pairs = rows.join(chosen, "key").where("label <> a").select("head", "node", "a", F.col("label").alias("b")).distinct()
+    sets = chosen.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", shingle_hashes(F.col("t"), n).alias("hs"))
+    both = pairs.join(texts, "node").join(sets, "head")
+    return both.where(bound(shingle_hashes(F.col("t"), n), lambda s: bound(F.col("hs"), lambda h: _similar(s, h, threshold)))).select("a", "b").distinct()
+
+
+def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Pairs of components (``a``, ``b``) that some two lines of one open key link."""
+    blocks_of = lambda c: F.ceil(c / BLOCK).cast("int")
+    small = F.col("m") <= BLOCK  # all lines in one block
+    rows = rows.withColumn("outer", F.when(small, 1).otherwise(blocks_of(F.col("m") - F.col("m_main")))).withColumn("inner", F.when(small, 0).otherwise(blocks_of(F.col("m_main"))))
+    outside = small | (F.col("label") != F.col("main"))
+    spot = F.pmod(F.xxhash64("node"), F.when(outside, F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    units = F.least("outer", F.ceil(F.col("outer") * (F.col("outer") + F.col("inner")) / UNIT).cast("int"))
+    rows = rows.select("key", "node", "label", "outer", F.when(outside, spot).otherwise(F.col("outer") + spot).alias("block"), units.alias("units"))
+    texts = texts.join(rows.select("node").distinct(), "node", "left_semi")
+    placed = F.transform("v", lambda x, j: x.cast("long") * BINS + j).alias("v")  # equal only in the same bin
+    texts = materialise(texts.join(signatures(texts, ["node"], "t", n), "node").select("node", "t", placed), "line-texts")
+    blocks = rows.join(texts, "node").groupBy("key", "block", "outer", "units").agg(F.collect_list(F.struct("label", "t", "v")).alias("own"))
+    blocks = materialise(blocks, "line-blocks")
+    tasks = 1 + int(blocks.agg(F.sum(F.size("own") + F.size("own") * F.when(F.col("outer") > 1, F.col("outer") * BLOCK).otherwise(F.size("own")) / 16)).first()[0] or 0) // TASK_LINES
+    left = blocks.where("block < outer").select("key", F.col("block").alias("x"), F.pmod("block", "units").alias("unit"), F.col("own").alias("xs"))
+    right = blocks.select("key", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("own").alias("ys"))
+    met = left.repartition(tasks, "key", "unit").join(right.repartition(tasks, "key", "unit"), ["key", "unit"]).where("x <= y")
+    made = lambda c: F.transform(c, lambda z: F.struct(z["label"].alias("label"), z["v"].alias("v"), bound(shingle_hashes(z["t"], n), _in_parts).alias("s")))
+
+    def linked(x: Column, ys: Column) -> Column:
+        alike = lambda y: F.size(F.array_intersect(x["v"], y["v"])) >= MATCHES
+        near = F.filter(ys, lambda y: (y["label"] != x["label"]) & alike(y) & _similar_parts(x["s"], y["s"], threshold))
+        return F.transform(F.array_distinct(F.transform(near, lambda y: y["label"])), lambda label: F.struct(x["label"].alias("a"), label.alias("b")))
+
+    every = bound(made(F.col("xs")), lambda xs: bound(F.when(F.col("x") == F.col("y"), xs).otherwise(made(F.col("ys"))), lambda ys: F.flatten(F.transform(xs, lambda x: linked(x, ys)))))
+    found = met.select(F.explode_outer(F.array_distinct(every)).alias("e"))  # explode would add filters that compare all over again
+    return found.where(F.col("e").isNotNull()).select("e.a", "e.b").distinct()
+
+
 def remove_lines(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the lines that ``found`` (of near_lines) does not keep taken out of the text; ids must be unique. A text left without lines is empty."""
     gone = found.where(~F.col("kept")).groupBy(id_col).agg(F.collect_list("line").alias("__gone"))  # at most the lines of one text
