@@ -63,12 +63,12 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def signatures(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
     """``by`` (which tells lines apart) and ``v``, the values of the bins. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
-    rows = lines.select(*by, F.encode(F.col(line_col), "UTF-16BE").alias("u"))
-    rows = rows.select(*by, "u", F.explode(starts(F.col("u"), n)).alias("i")).select(*by, shingle(F.col("u"), F.col("i"), n).alias("h"))
-    rows = rows.select(*by, F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftright("h", 32).cast("int").alias("v"))
-    least = rows.groupBy(*by).agg(*[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"v{j}") for j in range(BINS)])
-    twice = least.select(*by, F.array(*[f"v{j}" for j in range(BINS)] * 2).alias("w"))
-    value = lambda j: F.coalesce(F.get("w", F.lit(j)), F.get(F.filter(F.slice("w", j + 1, BINS), lambda x: x.isNotNull()), F.lit(0)))
+    rows = lines.select(*by, F.encode(F.col(line_col), "UTF-16BE").alias("__u"))
+    rows = rows.select(*by, "__u", F.explode(starts(F.col("__u"), n)).alias("__at")).select(*by, shingle(F.col("__u"), F.col("__at"), n).alias("__h"))
+    rows = rows.select(*by, F.pmod("__h", F.lit(BINS)).cast("int").alias("__bin"), F.shiftright("__h", 32).cast("int").alias("__v"))
+    least = rows.groupBy(*by).agg(*[F.min(F.when(F.col("__bin") == j, F.col("__v"))).alias(f"__v{j}") for j in range(BINS)])
+    twice = least.select(*by, F.array(*[f"__v{j}" for j in range(BINS)] * 2).alias("__w"))
+    value = lambda j: F.coalesce(F.get("__w", F.lit(j)), F.get(F.filter(F.slice("__w", j + 1, BINS), lambda x: x.isNotNull()), F.lit(0)))
     return twice.select(*by, F.array(*[value(j) for j in range(BINS)]).alias("v"))
 
 
