@@ -429,7 +429,7 @@ def test_lines_meet_by_all_shingles(spark, how):
     sim = np.array([len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in pairs])
     lines = spark.createDataFrame([(i, k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "i int, k int, t string")
     keys = defaultdict(list)
-    for r in line_dedup.with_keys(lines, ["i", "k"], "t", 8).collect():
+    for r in line_dedup.signatures(lines, ["i", "k"], "t", 8).select("i", line_dedup.band_keys("v").alias("keys")).collect():
         keys[r["i"]].append(set(r["keys"]))
     met = np.array([bool(keys[i][0] & keys[i][1]) for i in range(len(pairs))])
     near = sim >= 0.8

@@ -6,7 +6,7 @@ hashed and their least values taken, so all of that is compiled code. Bands of t
 share a key are compared exactly, over their shingle sets, in two steps:
 
 1. All lines of a key meet one of its lines, and a union-find joins those at the threshold or above. In keys that then
-   hold several components, the lines meet a few more, each only those of other components.
+   are large and hold several components, the lines meet a few more, each only those of other components.
 2. Keys that still hold several components: lines outside of a key's largest component meet all its lines of other
    components, in pairs of small blocks. A pair of blocks is one row, which gives the pairs of components that its lines
    link, never pairs of lines; the pairs of blocks of a key are dealt over as many tasks as they fill.
@@ -28,7 +28,7 @@ from .components import connected_components
 BINS = 24
 #: Heads of an open key in the second round; lines of a block, pairs of blocks that are compared in one place, and lines to a task (a compared pair costs a sixteenth of reading a line).
 HEADS, BLOCK, UNIT, TASK_LINES = 3, 64, 16, 16_384
-#: Equal values of two signatures of 24 from which blocks compare the sets: a pair at 0.8 has fewer with probability 0.0002.
+#: Equal values of two signatures of 24 from which the sets are compared: a pair at 0.8 has fewer with probability 0.0002.
 MATCHES = 12
 #: Parts of a set that are compared one after the other.
 PARTS = 2
@@ -62,19 +62,23 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def signatures(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
-    """``by`` (which tells lines apart) and ``v``, the values of the bins. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
+    """``by`` (which tells lines apart) and ``v``, the values of the bins, each with its bin in the low five bits. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
     rows = lines.select(*by, F.encode(F.col(line_col), "UTF-16BE").alias("__u"))
     rows = rows.select(*by, "__u", F.explode(starts(F.col("__u"), n)).alias("__at")).select(*by, shingle(F.col("__u"), F.col("__at"), n).alias("__h"))
     rows = rows.select(*by, F.pmod("__h", F.lit(BINS)).cast("int").alias("__bin"), F.shiftright("__h", 32).cast("int").alias("__v"))
     least = rows.groupBy(*by).agg(*[F.min(F.when(F.col("__bin") == j, F.col("__v"))).alias(f"__v{j}") for j in range(BINS)])
     twice = least.select(*by, F.array(*[f"__v{j}" for j in range(BINS)] * 2).alias("__w"))
     value = lambda j: F.coalesce(F.get("__w", F.lit(j)), F.get(F.filter(F.slice("__w", j + 1, BINS), lambda x: x.isNotNull()), F.lit(0)))
-    return twice.select(*by, F.array(*[value(j) for j in range(BINS)]).alias("v"))
+    return twice.select(*by, F.array(*[value(j).bitwiseAND(-32).bitwiseOR(j) for j in range(BINS)]).alias("v"))
 
 
-def with_keys(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
-    """``by`` and ``keys``, a hash per band of a line's signature."""
-    return signatures(lines, by, line_col, n).select(*by, F.array(*[F.xxhash64(F.lit(b), *[F.get("v", F.lit(j)) for j in band]) for b, band in enumerate(BANDS)]).alias("keys"))
+def band_keys(v: str) -> Column:
+    """A hash per band of a signature."""
+    return F.array(*[F.xxhash64(F.lit(b), *[F.get(v, F.lit(j)) for j in band]) for b, band in enumerate(BANDS)])
+
+
+def _alike(v: Column, w: Column) -> Column:
+    return F.size(F.array_intersect(v, w)) >= MATCHES
 
 
 def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, threshold: float = 0.8) -> DataFrame:
@@ -90,22 +94,22 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     digest = [F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2")]
     lines = raw.select("id", "line", normal(F.col("raw")).alias("t"))
     places = materialise(lines.select("id", "line", *digest), "line-places")
-    signed = with_keys(lines.select("t", *digest), ["d1", "d2"], "t", n)
+    signed = signatures(lines.select("t", *digest), ["d1", "d2"], "t", n)
     first = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
     kinds = materialise(signed.join(first, ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()), "line-kinds")
-    keyed = kinds.select("node", F.explode("keys").alias("key"))
+    keyed = kinds.select("node", F.explode(band_keys("v")).alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least")).where("m > 1")
     groups = groups.groupBy("m", "x", "least").agg(F.min("key").alias("key"))  # of keys with the same lines one does
     keyed = materialise(keyed.join(groups.select("key"), "key"), "line-keys")
     wanted_nodes = materialise(keyed.select("node").distinct().join(kinds.select("node", "first.id", "first.line"), "node"), "line-wanted")
     wanted = F.broadcast(wanted_nodes) if wanted_nodes.count() <= BROADCAST_ROWS else wanted_nodes
     texts = lines.join(wanted, lines["id"].eqNullSafe(wanted["id"]) & (lines["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
-    texts = materialise(texts, "line-texts")
+    texts = materialise(texts.join(kinds.select("node", "v"), "node"), "line-texts")
     forest = wanted_nodes.select("node", F.col("node").alias("label"))
-    for heads in (1, HEADS):  # the two lines of a key have met after the first round
-        met = _star(_open(keyed, forest, least=1 + (heads > 1)), heads, texts, n, threshold)
+    for heads, least in ((1, 1), (HEADS, BLOCK)):  # keys of one block go to the blocks at once
+        met = _star(_open(keyed, forest, least), heads, texts, n, threshold)
         forest = materialise(_merged(forest, met), "line-forest")
-    forest = materialise(_merged(forest, _blocks(_open(keyed, forest, least=2), texts, n, threshold)), "line-forest")
+    forest = materialise(_merged(forest, _blocks(_open(keyed, forest, 2), texts, n, threshold)), "line-forest")
     firsts = forest.join(kinds.select("node", "first"), "node")
     keepers = firsts.groupBy("label").agg(F.min("first").alias("keep"))
     kept = firsts.select("node", "label").join(keepers, "label").select("node", "keep")
@@ -161,8 +165,8 @@ def _star(rows: DataFrame, heads: int, texts: DataFrame, n: int, threshold: floa
     chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{r}" for r in range(heads)]))).alias("head"))
     chosen = chosen.join(rows.select("key", F.col("node").alias("head"), F.col("label").alias("a")), ["key", "head"])
     pairs = rows.join(chosen, "key").where("label <> a").select("head", "node", "a", F.col("label").alias("b")).distinct()
-    sets = chosen.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", shingle_hashes(F.col("t"), n).alias("hs"))
-    both = pairs.join(texts, "node").join(sets, "head")
+    sets = chosen.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", F.col("v").alias("w"), shingle_hashes(F.col("t"), n).alias("hs"))
+    both = pairs.join(texts, "node").join(sets, "head").where(_alike(F.col("v"), F.col("w")))
     return both.where(bound(shingle_hashes(F.col("t"), n), lambda s: bound(F.col("hs"), lambda h: _similar(s, h, threshold)))).select("a", "b").distinct()
 
 
@@ -175,9 +179,6 @@ def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> Data
     spot = F.pmod(F.xxhash64("node"), F.when(outside, F.col("outer")).otherwise(F.col("inner"))).cast("int")
     units = F.least("outer", F.ceil(F.col("outer") * (F.col("outer") + F.col("inner")) / UNIT).cast("int"))
     rows = rows.select("key", "node", "label", "outer", F.when(outside, spot).otherwise(F.col("outer") + spot).alias("block"), units.alias("units"))
-    texts = texts.join(rows.select("node").distinct(), "node", "left_semi")
-    placed = F.transform("v", lambda x, j: x.cast("long") * BINS + j).alias("v")  # equal only in the same bin
-    texts = materialise(texts.join(signatures(texts, ["node"], "t", n), "node").select("node", "t", placed), "line-texts")
     blocks = rows.join(texts, "node").groupBy("key", "block", "outer", "units").agg(F.collect_list(F.struct("label", "t", "v")).alias("own"))
     blocks = materialise(blocks, "line-blocks")
     tasks = 1 + int(blocks.agg(F.sum(F.size("own") + F.size("own") * F.when(F.col("outer") > 1, F.col("outer") * BLOCK).otherwise(F.size("own")) / 16)).first()[0] or 0) // TASK_LINES
@@ -186,12 +187,11 @@ def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> Data
     met = left.repartition(tasks, "key", "unit").join(right.repartition(tasks, "key", "unit"), ["key", "unit"]).where("x <= y")
     made = lambda c: F.transform(c, lambda z: F.struct(z["label"].alias("label"), z["v"].alias("v"), bound(shingle_hashes(z["t"], n), _in_parts).alias("s")))
 
-    def linked(x: Column, ys: Column) -> Column:
-        alike = lambda y: F.size(F.array_intersect(x["v"], y["v"])) >= MATCHES
-        near = F.filter(ys, lambda y: (y["label"] != x["label"]) & alike(y) & _similar_parts(x["s"], y["s"], threshold))
-        return F.transform(F.array_distinct(F.transform(near, lambda y: y["label"])), lambda label: F.struct(x["label"].alias("a"), label.alias("b")))
+    def linked(x: Column, i: Column, ys: Column) -> Column:
+        meets = lambda y, j: ((F.col("x") < F.col("y")) | (j > i)) & (y["label"] != x["label"]) & _alike(x["v"], y["v"]) & _similar_parts(x["s"], y["s"], threshold)
+        return F.transform(F.array_distinct(F.transform(F.filter(ys, meets), lambda y: y["label"])), lambda label: F.struct(x["label"].alias("a"), label.alias("b")))
 
-    every = bound(made(F.col("xs")), lambda xs: bound(F.when(F.col("x") == F.col("y"), xs).otherwise(made(F.col("ys"))), lambda ys: F.flatten(F.transform(xs, lambda x: linked(x, ys)))))
+    every = bound(made(F.col("xs")), lambda xs: bound(F.when(F.col("x") == F.col("y"), xs).otherwise(made(F.col("ys"))), lambda ys: F.flatten(F.transform(xs, lambda x, i: linked(x, i, ys)))))
     found = met.select(F.explode_outer(F.array_distinct(every)).alias("e"))  # explode would add filters that compare all over again
     return found.where(F.col("e").isNotNull()).select("e.a", "e.b").distinct()
 
