@@ -30,8 +30,6 @@ BINS = 24
 HEADS, BLOCK, UNIT, TASK_LINES = 3, 64, 16, 16_384
 #: Equal values of two signatures of 24 from which the sets are compared: a pair at 0.8 has fewer with probability 0.0002.
 MATCHES = 12
-#: Parts of a set that are compared one after the other.
-PARTS = 2
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: No two bands share a bin, so they miss independently of each other.
@@ -132,19 +130,6 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     return F.when(F.least(F.size(a), F.size(b)) < need, F.lit(False)).otherwise(F.size(F.array_intersect(a, b)) >= need)
 
 
-def _in_parts(hashes: Column) -> Column:
-    """A set as its size and a few parts by hash."""
-    return F.struct(F.size(hashes).alias("size"), F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: F.filter(hashes, lambda h: F.pmod(h, F.lit(PARTS)) == r)).alias("parts"))
-
-
-def _similar_parts(a: Column, b: Column, threshold: float) -> Column:
-    """As _similar, part by part: what a may still share falls by what each part lacks, and once it is too little the rest is not looked at."""
-    need = _least_common(a["size"], b["size"], threshold)
-    part = lambda c, r: F.get(c["parts"], r)
-    step = lambda may, r: F.when(may < need, may).otherwise(may - F.size(part(a, r)) + F.size(F.array_intersect(part(a, r), part(b, r))))
-    return F.when(F.least(a["size"], b["size"]) < need, F.lit(False)).otherwise(F.aggregate(F.array(*[F.lit(r) for r in range(PARTS)]), a["size"], step) >= need)
-
-
 def _open(keyed: DataFrame, forest: DataFrame, least: int) -> DataFrame:
     """``key``, ``node`` and ``label`` of the keys with more than ``least`` lines that hold several components, with the key's largest (``main``), its lines and all lines (``m_main``, ``m``)."""
     rows = keyed.select("key", "node").join(forest, "node")
@@ -185,10 +170,10 @@ def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> Data
     left = blocks.where("block < outer").select("key", F.col("block").alias("x"), F.pmod("block", "units").alias("unit"), F.col("own").alias("xs"))
     right = blocks.select("key", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("own").alias("ys"))
     met = left.repartition(tasks, "key", "unit").join(right.repartition(tasks, "key", "unit"), ["key", "unit"]).where("x <= y")
-    made = lambda c: F.transform(c, lambda z: F.struct(z["label"].alias("label"), z["v"].alias("v"), bound(shingle_hashes(z["t"], n), _in_parts).alias("s")))
+    made = lambda c: F.transform(c, lambda z: F.struct(z["label"].alias("label"), z["v"].alias("v"), shingle_hashes(z["t"], n).alias("s")))
 
     def linked(x: Column, i: Column, ys: Column) -> Column:
-        meets = lambda y, j: ((F.col("x") < F.col("y")) | (j > i)) & (y["label"] != x["label"]) & _alike(x["v"], y["v"]) & _similar_parts(x["s"], y["s"], threshold)
+        meets = lambda y, j: ((F.col("x") < F.col("y")) | (j > i)) & (y["label"] != x["label"]) & _alike(x["v"], y["v"]) & _similar(x["s"], y["s"], threshold)
         return F.transform(F.array_distinct(F.transform(F.filter(ys, meets), lambda y: y["label"])), lambda label: F.struct(x["label"].alias("a"), label.alias("b")))
 
     every = bound(made(F.col("xs")), lambda xs: bound(F.when(F.col("x") == F.col("y"), xs).otherwise(made(F.col("ys"))), lambda ys: F.flatten(F.transform(xs, lambda x, i: linked(x, i, ys)))))
