@@ -286,21 +286,31 @@ def test_repeats_odd_rows(odd, empty):
 # --- packing
 
 def test_ids_equal_the_tokenizers_file(texts):
+    """The unmodified tokenizer of the file, whose added token counts as one where a text holds its string."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    slow.encode_special_tokens = True
-    enc = packing.byte_bpe(packing.vocabulary())
-    for t in [*texts.values(), "", " \n\t x", "<|endoftext|>", "é𝄞ß  zz  ", "a" * 5000, "\x00\x01 ​"]:
-        assert enc.encode_ordinary(t) == slow.encode(t, add_special_tokens=False).ids
+    enc = packing.byte_bpe(*packing.vocabulary())
+    for t in [*texts.values(), "", " \n\t x", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext", "é𝄞ß  zz  ", "a" * 5000, "\x00\x01 ​"]:
+        assert packing.token_ids(t, enc).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_capacities_decide(spark, docs):
+    """With few documents a sequence and a bounded attention cost, every bin obeys both and the token capacity no longer decides alone."""
+    p = packing.pack(packing.token_pieces(docs).withColumn("grp", F.lit(7)), max_docs=3, max_cost=500_000.0, weights=(1.0, 1.0, 1.0), rule="dot").toPandas()
+    assert (p["grp"] == 7).all()
+    bins = p.assign(cost=p["length"] ** 2).groupby("sequence_id").agg(n=("length", "size"), tokens=("length", "sum"), cost=("cost", "sum"))
+    several = bins[bins["n"] > 1]
+    assert (bins["tokens"] <= 1024).all() and (bins["n"] <= 3).all() and (several["cost"] <= 500_000).all()
+    assert len(bins) > packing.pack(packing.token_pieces(docs)).select("sequence_id").distinct().count()
 
 
 def test_packing_is_whole(spark, texts):
     p = queries.QUERIES["op6_vector_best_fit"](spark, SF).toPandas()
-    enc = packing.byte_bpe(packing.vocabulary())
+    enc = packing.byte_bpe(*packing.vocabulary())
     for i, g in p.sort_values("piece").groupby("doc_id"):
-        ids = np.array([*enc.encode_ordinary(texts[i]), 2], "<u4")
+        ids = np.array([*packing.token_ids(texts[i], enc), 2], "<u4")
         assert g["length"].sum() == len(ids) and g["start"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and (g["length"].iloc[1:] == 1024).all()
         assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g["start"], g["length"], strict=True)] == g["ids_crc32"].tolist()
     assert set(p["doc_id"]) == set(texts)

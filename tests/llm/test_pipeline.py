@@ -29,8 +29,8 @@ def test_stages_take_effect(spark):
     assert mixed.columns == columns
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == times
     out = corpus_pipeline.run(spark, SF).toPandas()
-    enc = packing.byte_bpe(packing.vocabulary())
-    assert out["length"].sum() == sum(n * (len(enc.encode_ordinary(texts[i])) + 1) for i, n in times.items())
+    enc = packing.byte_bpe(*packing.vocabulary())
+    assert out["length"].sum() == sum(n * (len(packing.token_ids(texts[i], enc)) + 1) for i, n in times.items())
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
