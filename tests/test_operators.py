@@ -52,7 +52,7 @@ def test_sadf_equals_regressions(walk):
     x = np.log(walk["close"].to_numpy()[:70])
     got = ec.sadf(x, 20, 1)
     for end in (45, 60):
-        want = max(float(ec.ols(*ec._adf_design(x[a:end], 1, 1))[1][0]) for a in range(end - 20))
+        want = max(ec.adf(x[a:end], 1)[0] for a in range(end - 20))
         assert math.isclose(got[end], want, rel_tol=1e-5)
 
 
@@ -315,3 +315,45 @@ def test_catalog_takes_all_features_and_models(spark):
     queries = catalog.load()[0]
     assert {r["feature"] for r in queries["M8_importance_sfi"](spark, SF).collect()} == set(models.FEATURES)
     assert queries["X9_forecast_ensemble"](spark, SF).agg(F.max("n_models")).first()[0] == len(forecast.MODELS)
+
+
+def holes(walk):
+    x = walk.copy()
+    x.loc[np.random.default_rng(4).choice(len(x), len(x) // 9, replace=False), "close"] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("span", [1, 2, 12, 90])
+def test_ewm_equals_recursion(spark, walk, span):
+    """Sums over blocks give what one pass over the series gives, nulls included."""
+    for table, adjust in ((walk, True), (walk, False), (holes(walk), True)):
+        df = spark.createDataFrame(table[["symbol", "ts", "close"]]).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+        got = folds.ewm_std(folds.ewm_mean(df, "close", span, adjust, "m", least=3), "close", span, "s").toPandas().sort_values(["symbol", "ts"])
+        table = table.sort_values(["symbol", "ts"])
+        by = table.groupby("symbol")["close"]
+        np.testing.assert_allclose(got["m"].to_numpy(float), by.transform(lambda v: v.ewm(span=span, adjust=adjust, min_periods=3).mean()).to_numpy(), rtol=1e-9)
+        np.testing.assert_allclose(got["s"].to_numpy(float), by.transform(lambda v: v.ewm(span=span).std()).to_numpy(), rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [21, 25, 29, 30, 60])
+def test_hurst_needs_ten_values_beyond_the_lags(spark, n):
+    x = np.cumsum(np.random.default_rng(n).normal(size=n)) + 50
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "symbol string, ts int, close double")
+    want = 0.5 if n < 30 else np.polyfit(np.log(range(2, 20)), np.log([np.var(x[k:] - x[:-k]) for k in range(2, 20)]), 1)[0] / 2
+    assert math.isclose(risk.hurst(df).first()["hurst"], want, rel_tol=1e-9)
+
+
+def test_lempel_ziv_phrases():
+    """0 | 1 | 00 | 010 and the rest 1, which occurs before: four phrases and one."""
+    assert math.isclose(ec.lempel_ziv(np.array([0, 1, 0, 0, 0, 1, 0, 1])), 5 / (8 / math.log2(9)))
+    assert ec.lempel_ziv(np.zeros(0)) == 0
+
+
+def test_cointegration_flag(spark):
+    """A pair that shares a walk is cointegrated, two walks of their own are not."""
+    rng = np.random.default_rng(2)
+    base, other = 100 + rng.normal(size=400).cumsum(), 100 + rng.normal(size=400).cumsum()
+    for second, flag in ((1.5 * base + 3 + rng.normal(0, 0.5, 400), True), (other, False)):
+        df = spark.createDataFrame([("p", i, float(a), float(b)) for i, (a, b) in enumerate(zip(second, base, strict=True))], "symbol string, ts int, s1 double, s2 double")
+        row = risk.engle_granger(df).first()
+        assert row["is_cointegrated"] is flag and (row["p_value"] < 0.05) is flag

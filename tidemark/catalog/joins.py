@@ -50,9 +50,9 @@ def _(df):
 SPANS = "b AS (SELECT symbol, ts AS t0, lead(ts, 20) OVER (PARTITION BY symbol ORDER BY ts) AS t1 FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) % 7 = 1)"
 
 
-@book.add("J6_interval_join", "ticks", "SELECT t.symbol, t.ts, count(b.t0) AS active FROM ticks t LEFT JOIN b ON t.symbol = b.symbol AND b.t1 IS NOT NULL AND t.ts BETWEEN b.t0 AND b.t1 GROUP BY 1, 2", "b AS (SELECT symbol, t0, t1 FROM (SELECT symbol, ts AS t0, lead(ts, 20) OVER (PARTITION BY symbol ORDER BY ts) AS t1, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ticks) WHERE i % 7 = 1)")
+@book.add("J6_interval_join", "ticks", "SELECT t.symbol, t.ts, count(b.t0) AS active FROM ticks t LEFT JOIN b ON t.symbol = b.symbol AND b.t1 IS NOT NULL AND t.ts BETWEEN b.t0 AND b.t1 GROUP BY 1, 2", "b AS (SELECT symbol, t0, t1 FROM (SELECT symbol, ts AS t0, lead(ts, 20) OVER (PARTITION BY symbol ORDER BY ts) AS t1, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ticks))")
 def _(df):
-    spans = df.withColumn("t1", F.lead("ts", 20).over(s.by())).withColumn("i", s.position()).where("i % 7 = 0").select("symbol", F.col("ts").alias("t0"), "t1")
+    spans = df.withColumn("t1", F.lead("ts", 20).over(s.by())).select("symbol", F.col("ts").alias("t0"), "t1")
     return intervals.concurrency(df.select("symbol", "ts"), spans).select("symbol", "ts", F.col("concurrency").alias("active"))
 
 

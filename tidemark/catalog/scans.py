@@ -72,10 +72,19 @@ def _(df):
     return op.normalise(df.select("symbol", F.col("ts").alias("Date"), F.col("high").alias("HIGH"), F.col("low").alias("Low"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"), F.lit(1).alias("other"))).select("symbol", "ts", "high", "low", "close", "volume")
 
 
-@book.add("S13_period", "daily", "SELECT CAST(CAST(max(ts) AS DATE) - INTERVAL 90 DAY AS DATE) AS start_date, CAST(max(ts) AS DATE) AS end_date FROM daily")
+# A period's days as the data source's table has them, written out anew.
+DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 182, "1y": 365, "2y": 730, "3y": 3 * 365, "5y": 5 * 365, "10y": 10 * 365, "max": 30 * 365, "other": 365}
+
+
+@book.add(
+    "S13_period", "daily",
+    "SELECT period, CAST(CASE WHEN period = 'ytd' THEN date_trunc('year', last) ELSE last - days * INTERVAL 1 DAY END AS DATE) AS start_date, last AS end_date FROM (SELECT CAST(max(ts) AS DATE) AS last FROM daily), (VALUES "
+    + ", ".join(f"('{k}', {v})" for k, v in (DAYS | {"ytd": 0}).items()) + ") AS p(period, days)",
+)
 def _(df):
-    a, b = op.period("3mo", F.col("last"))
-    return df.agg(F.max("ts").cast("date").alias("last")).select(a.alias("start_date"), b.alias("end_date"))
+    last = df.agg(F.max("ts").cast("date").alias("last"))
+    each = [F.struct(F.lit(name).alias("period"), op.period(name, F.col("last"))[0].alias("start_date"), F.col("last").alias("end_date")) for name in [*DAYS, "ytd"]]
+    return last.select(F.inline(F.array(*each)))
 
 
 @book.add("S15_cast_fields", None, "SELECT p_partkey, TRY_CAST(p_name AS DOUBLE) AS as_number, TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) AS size FROM part")
@@ -116,14 +125,30 @@ def _(spark, sf_dir):
 LISTING = "SELECT p_name AS symbol, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS name, CASE WHEN p_size % 3 = 0 THEN 'EQUITY' ELSE 'OTHER' END AS kind FROM part"
 
 
-@book.add("S28_search", None, f"SELECT symbol, coalesce(name, symbol) AS name, kind, (symbol LIKE '%.L' OR symbol LIKE '%.T') AS delayed FROM ({LISTING}) WHERE kind = 'EQUITY' AND (contains(upper(symbol), 'BRAND#1') OR contains(upper(coalesce(name, '')), 'BRAND#1'))")
+LISTED = "SELECT *, ['EQUITY', 'etf', 'COMMODITY', 'FUTURE', 'INDEX', 'MUTUALFUND', 'CRYPTOCURRENCY', 'OPTION', 'CURRENCY'][1 + p_partkey % 9] AS kind, p_name || ['', '.L', '.NS', '.BO', '.PA', '.DE', '.TO', '.SS', '.SZ', '.HK', '.T'][1 + p_partkey % 11] AS symbol, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS name FROM part"
+
+
+@book.add(
+    "S28_search", None,
+    "SELECT symbol, coalesce(name, symbol) AS name, kind, regexp_matches(symbol, '[.](L|NS|BO|PA|DE|TO|SS|SZ)$') AS delayed FROM (" + LISTED + ") WHERE upper(kind) NOT IN ('OPTION', 'CURRENCY') AND (contains(upper(symbol), 'BRAND#1') OR contains(upper(coalesce(name, '')), 'BRAND#1'))",
+)
 def _(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    listing = p.select(F.col("p_name").alias("symbol"), F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).alias("name"), F.when(F.col("p_size") % 3 == 0, "EQUITY").otherwise("OTHER").alias("kind"))
+    p, at = read(spark, sf_dir, "part"), lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (1 + F.col("p_partkey") % n).cast("int"))
+    kind = at(["EQUITY", "etf", "COMMODITY", "FUTURE", "INDEX", "MUTUALFUND", "CRYPTOCURRENCY", "OPTION", "CURRENCY"], 9)
+    suffix = at(["", ".L", ".NS", ".BO", ".PA", ".DE", ".TO", ".SS", ".SZ", ".HK", ".T"], 11)
+    listing = p.select(F.concat("p_name", suffix).alias("symbol"), F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).alias("name"), kind.alias("kind"))
     return op.search_symbols(listing, "brand#1")
 
 
-@book.add("S29_resolve_ticker", None, "SELECT q AS query, CASE WHEN lower(q) = 'apple' THEN 'AAPL' WHEN regexp_full_match(q, '[A-Za-z0-9]{1,6}') THEN upper(q) END AS ticker FROM (SELECT n_name AS q FROM nation UNION ALL SELECT 'Apple')")
+NAMED = {
+    "Apple": "AAPL", "microsoft": "MSFT", "Google": "GOOGL", "alphabet": "GOOGL", "amazon": "AMZN", "Tesla": "TSLA", "nvidia": "NVDA", "meta": "META", "FACEBOOK": "META", "netflix": "NFLX", "Disney": "DIS", "jpmorgan": "JPM",
+    "JP Morgan": "JPM", " goldman sachs ": "GS", "berkshire": "BRK-B", "walmart": "WMT", "exxon": "XOM", "chevron": "CVX", "johnson": "JNJ", "Bank of America": "BAC", "wells fargo": "WFC", "coinbase": "COIN", "palantir": "PLTR",
+    "amd": "AMD", "intel": "INTC", "salesforce": "CRM", "adobe": "ADBE", "paypal": "PYPL", "uber": "UBER", "airbnb": "ABNB", "spotify": "SPOT", "bitcoin": "BTC-USD", "ethereum": "ETH-USD", "gold": "GC=F", "oil": "CL=F",
+    "spy": "SPY", "qqq": "QQQ", "iwm": "IWM", "tlt": "TLT", "BRK-B": "BRK-B", "brk.b": "BRK.B", "some other company": "SOME OTHER COMPANY",
+}
+
+
+@book.add("S29_resolve_ticker", None, "SELECT n_name AS query, upper(n_name) AS ticker FROM nation UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in NAMED.items()) + ")")
 def _(spark, sf_dir):
-    q = read(spark, sf_dir, "nation").select(F.col("n_name").alias("query")).unionByName(spark.createDataFrame([("Apple",)], "query string"))
+    q = read(spark, sf_dir, "nation").select(F.col("n_name").alias("query")).unionByName(spark.createDataFrame([(x,) for x in NAMED], "query string"))
     return op.resolve_ticker(q)

@@ -146,3 +146,9 @@ def _(df):
     a, b = (df.where(F.col("symbol") == x).select("ts", F.col("close").alias(c)) for x, c in (("Brand#11", "s1"), ("Brand#12", "s2")))
     out = risk.engle_granger(a.join(b, "ts").withColumn("symbol", F.lit("pair")))
     return out.select("symbol", F.round("beta", 6).alias("beta"), F.round("alpha", 4).alias("alpha"), F.round("correlation", 6).alias("correlation"))
+
+
+@book.add("G8_cointegration_test", "brand")
+def _(df):
+    a, b = (df.where(F.col("symbol") == x).select("ts", F.col("close").alias(c)) for x, c in (("Brand#11", "s1"), ("Brand#12", "s2")))
+    return risk.engle_granger(a.join(b, "ts").withColumn("symbol", F.lit("pair")))

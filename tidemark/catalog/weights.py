@@ -12,14 +12,14 @@ from .book import Book, rounded
 book = Book()
 SPANS = (
     "b AS (SELECT symbol, ts, price AS close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, ln(price / nullif(lag(price) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS lr, lead(ts, 10) OVER (PARTITION BY symbol ORDER BY ts) AS e FROM ticks),"
-    " l AS (SELECT symbol, ts AS t0, e AS t1, i FROM b WHERE i % 4 = 0 AND e IS NOT NULL),"
+    " l AS (SELECT symbol, ts AS t0, e AS t1, i FROM b WHERE e IS NOT NULL),"
     " c AS (SELECT b.symbol, b.ts, any_value(lr) AS lr, count(l.t0) AS concurrency FROM b LEFT JOIN l ON b.symbol = l.symbol AND b.ts BETWEEN l.t0 AND l.t1 GROUP BY 1, 2)"
 )
 
 
 def spans(df):
     at = df.withColumn("i", s.position()).withColumn("t1", F.lead("ts", 10).over(s.by()))
-    return at.where("i % 4 = 0 AND t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1", "i")
+    return at.where("t1 IS NOT NULL").select("symbol", F.col("ts").alias("t0"), "t1", "i")
 
 
 def bars(df):

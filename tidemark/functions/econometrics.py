@@ -198,53 +198,62 @@ def damped_holt(x: np.ndarray, horizon: int) -> np.ndarray:
     return level + trend * np.cumsum(phi ** np.arange(1, horizon + 1))
 
 
+def _regressions(pre: list[np.ndarray], first: np.ndarray, last: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least squares on rows [first, last) for many starts, from running sums of z z', z y and y y over the first k columns of z: the first coefficient, the residuals' squares, and the first entry of the inverse."""
+    a, b, c = (p[last] - p[first] for p in pre)
+    a, b = a[:, :k, :k], b[:, :k]
+    with np.errstate(all="ignore"):
+        try:
+            inv = np.linalg.inv(a)
+        except np.linalg.LinAlgError:
+            inv = np.linalg.pinv(a)
+        beta = np.einsum("nij,nj->ni", inv, b)
+        return beta[:, 0], np.maximum(c - np.einsum("ni,ni->n", beta, b), 0), inv[:, 0, 0]
+
+
 def sadf(x: np.ndarray, least: int = 50, lags: int = 1) -> np.ndarray:
     """Supremum over starts of the ADF statistic on [start, end), excluding the bar itself; nan before 2 * least.
 
-    With the end fixed, each start's normal equations are suffix sums of outer products, so an end costs one pass instead of a regression per start.
+    Each window takes the number of lags, up to ``lags``, with the least Akaike criterion over the rows that all of them have, the
+    fewest of equal ones, and is then fitted on all rows that this number has. Normal equations are differences of running sums of outer
+    products, so an end costs a few passes instead of regressions per start.
     """
     n, out = len(x), np.full(len(x), np.nan)
-    dx = np.diff(x)
     if n <= 2 * least:
         return out
-    y = dx[lags:]
-    z = np.column_stack([x[lags : n - 1]] + [dx[lags - k : n - 1 - k] for k in range(1, lags + 1)] + [np.ones(len(y))])
-    z[:, 0] -= x.mean()
-    pre = np.concatenate([np.zeros((1, *(z.shape[1],) * 2)), np.cumsum(z[:, :, None] * z[:, None, :], 0)])
-    py = np.concatenate([np.zeros((1, z.shape[1])), np.cumsum(z * y[:, None], 0)])
-    pyy = np.concatenate([[0.0], np.cumsum(y * y)])
+    dx, level = np.diff(x), x - x.mean()
+    sums = []
+    for p in range(lags + 1):  # row r of p is the difference r + p
+        y = dx[p:]
+        z = np.column_stack([level[p : n - 1], np.ones(len(y))] + [dx[p - k : n - 1 - k] for k in range(1, p + 1)])
+        start = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, 0)])
+        sums.append([start(z[:, :, None] * z[:, None, :]), start(z * y[:, None]), start(y * y)])
     for end in range(2 * least, n):
-        rows = end - 1 - lags  # regressions use the differences inside [start, end)
         starts = np.arange(0, end - least)
-        a, b, c = pre[rows] - pre[starts], py[rows] - py[starts], pyy[rows] - pyy[starts]
-        with np.errstate(all="ignore"):
-            try:
-                inv = np.linalg.inv(a)
-            except np.linalg.LinAlgError:
-                continue
-            beta = np.einsum("nij,nj->ni", inv, b)
-            free = rows - starts - z.shape[1]
-            s2 = np.maximum(c - np.einsum("ni,ni->n", beta, b), 0) / free
-            t = beta[:, 0] / np.sqrt(s2 * inv[:, 0, 0])
-        t = t[np.isfinite(t) & (free > 0)]
+        stats, scores = [], []
+        for p in range(lags + 1):
+            k = p + 2
+            rows = end - 1 - lags - starts
+            _, ssr, _ = _regressions(sums[lags], starts, end - 1 - lags, k)
+            coefficient, own, spread = _regressions(sums[p], starts, end - 1 - p, k)
+            with np.errstate(all="ignore"):
+                scores.append(np.round(rows * np.log(ssr / rows) + 2 * k, 9))
+                stats.append(coefficient / np.sqrt(own / (end - 1 - p - starts - k) * spread))
+        t = np.array(stats)[np.argmin(np.nan_to_num(scores, nan=np.inf), 0), np.arange(len(starts))]
+        t = t[np.isfinite(t)]
         if len(t):
             out[end] = t.max()
     return out
 
 
 def lempel_ziv(bits: np.ndarray) -> float:
-    """Phrases of the left-to-right parsing in which each phrase is the shortest string not inside what precedes it, over n / log2(n + 1)."""
-    n = len(bits)
-    if n == 0:
-        return 0.0
-    s = bits.astype(np.uint8).tobytes()
-    count, i, k = 1, 0, 1
-    while i + k <= n:
-        if s.find(s[i : i + k], 0, i) >= 0:
-            k += 1
-        else:
-            count, i, k = count + 1, i + k, 1
-    return count / (n / math.log2(n + 1))
+    """One and the phrases of a bit string, over n / log2(n + 1): each phrase is the shortest one at its place that does not occur in what precedes it; a rest that does is none."""
+    text, at, phrases = bits.astype(np.uint8).tobytes(), 0, 1
+    while at < len(text):
+        longest = next((k for k in range(1, len(text) - at + 1) if text[at : at + k] not in text[:at]), None)
+        phrases += longest is not None
+        at += longest or len(text)
+    return phrases / (len(text) / math.log2(len(text) + 1)) if text else 0.0
 
 
 def shannon(x: np.ndarray, bins: int = 10) -> float:

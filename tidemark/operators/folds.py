@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
@@ -24,13 +25,51 @@ def added(df: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndarray]
     return per_symbol(df, lambda g: g.assign(**{c: f(g) for c, f in columns.items()}), schema)
 
 
+def _decayed(df: DataFrame, x: str, w: float, adjust: bool) -> DataFrame:
+    """Add the decayed sums up to each row: ``__s1`` of x, ``__s2`` of x x, ``__n1`` of the weights, ``__n2`` of their squares, and the number of values ``__m``.
+
+    A series is cut into blocks in which w to the power of the place stays far from the ends of a double; inside a block a decayed sum is a running
+    sum, and from earlier blocks only as many count as a double can tell apart. So blocks of one series are separate tasks of a window.
+    """
+    size = max(2, int(20 / -math.log(w)))
+    df = df.withColumn("__i", s.position()).withColumn("__m", F.count(x).over(s.upto()))
+    df = df.withColumn("__b", F.floor(F.col("__i") / size)).withColumn("__k", F.col("__i") % size)
+    own, inside = Window.partitionBy("symbol", "__b"), Window.partitionBy("symbol", "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    one = F.when(F.col(x).isNull(), 0.0).when((F.col("__m") > 1) | F.lit(adjust), 1.0 if adjust else 1 - w).otherwise(1.0)
+    value, places = F.coalesce(F.col(x).cast("double"), F.lit(0.0)), F.col("__k")
+    rise = lambda p: F.pow(F.lit(w ** (-p)), places)
+    terms = {"s1": (one * value, 1), "s2": (one * value * value, 1), "n1": (one, 1), "n2": (one * one, 2)}
+    df = df.withColumns({f"__{c}": F.sum(t * rise(p)).over(inside) * F.pow(F.lit(w**p), places) for c, (t, p) in terms.items()})
+    ends = df.where(F.col("__k") == size - 1).select("symbol", (F.col("__b") + 1).alias("__b"), *[F.col(f"__{c}").alias(f"__c{c}") for c in terms])
+    order = Window.partitionBy("symbol").orderBy("__b")
+    carried = {f"__c{c}": sum((F.coalesce(F.lag(f"__c{c}", k).over(order), F.lit(0.0)) * w ** (p * size * k) for k in (1, 2)), F.col(f"__c{c}")) for c, (_, p) in terms.items()}
+    df = df.join(ends.withColumns(carried), ["symbol", "__b"], "left")
+    return df.withColumns({f"__{c}": F.col(f"__{c}") + F.coalesce(F.col(f"__c{c}"), F.lit(0.0)) * F.pow(F.lit(w**p), places + 1) for c, (_, p) in terms.items()})
+
+
 def ewm_mean(df: DataFrame, x: str, span: float, adjust: bool = True, out: str = "ewm_mean", least: int = 0) -> DataFrame:
-    return added(df, {out: lambda g: g[x].ewm(span=span, adjust=adjust, min_periods=least).mean().to_numpy()})
+    """Exponentially weighted mean, weights 1 - 2 / (span + 1) to the power of the distance in rows; null before ``least`` values. At a null it stays.
+
+    Without ``adjust`` the first value has the weight of all that would precede it, the recursion's; there a null inside a series is taken as a row of no weight.
+    """
+    w = 1 - 2 / (span + 1)
+    if w <= 0:  # no memory
+        df = df.withColumn("__last", F.last(F.col(x).cast("double"), ignorenulls=True).over(s.upto()))
+        return df.withColumn(out, F.when(F.count(x).over(s.upto()) >= least, F.col("__last"))).drop("__last")
+    found = _decayed(df, x, w, adjust).withColumn("__out", F.when(F.col("__m") >= max(least, 1), F.try_divide("__s1", "__n1")))
+    return found.select(*df.columns, F.col("__out").alias(out))
 
 
 def ewm_std(df: DataFrame, x: str, span: float, out: str = "ewm_std", least: int = 0) -> DataFrame:
-    """Bias-corrected exponentially weighted deviation."""
-    return added(df, {out: lambda g: g[x].ewm(span=span, min_periods=least).std().to_numpy()})
+    """Bias-corrected exponentially weighted deviation; null before two values."""
+    w = 1 - 2 / (span + 1)
+    if w <= 0:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    mid = df.groupBy("symbol").agg(F.avg(x).alias("__mid"))  # values count from their mean, so that squares do not cancel
+    found = _decayed(df.join(mid, "symbol").withColumn("__x", F.col(x) - F.col("__mid")), "__x", w, True)
+    var = F.greatest(F.try_divide("__s2", "__n1") - F.pow(F.try_divide("__s1", "__n1"), 2), F.lit(0.0))
+    fair = F.try_divide(F.col("__n1") * F.col("__n1"), F.col("__n1") * F.col("__n1") - F.col("__n2"))
+    return found.withColumn("__out", F.when(F.col("__m") >= max(least, 2), F.sqrt(var * fair))).select(*df.columns, F.col("__out").alias(out))
 
 
 def daily_volatility(df: DataFrame, price: str = "close", span: int = 20, method: str = "ewm") -> DataFrame:

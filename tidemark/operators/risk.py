@@ -25,12 +25,12 @@ def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None) -> Dat
 
 
 def hurst(df: DataFrame, x: str = "close", max_lag: int = 20) -> DataFrame:
-    """``symbol, hurst``: half the slope of ln variance of k-step changes on ln k, k = 2 to max_lag - 1; 0.5 for series no longer than max_lag."""
+    """``symbol, hurst``: half the slope of ln variance of k-step changes on ln k, k = 2 to max_lag - 1; 0.5 for series of fewer than max_lag + 10 values."""
     lags = range(2, max_lag)
     df = df.withColumns({f"__d{k}": F.col(x) - s.lag(x, k) for k in lags})
     wide = df.groupBy("symbol").agg(F.count(x).alias("n"), *[F.var_pop(f"__d{k}").alias(f"v{k}") for k in lags])
     long = wide.select("symbol", "n", F.explode(F.array(*[F.struct(F.lit(math.log(k)).alias("lk"), F.ln(f"v{k}").alias("lv")) for k in lags])).alias("p"))
-    return long.groupBy("symbol").agg(F.when(F.max("n") > max_lag, F.coalesce(F.regr_slope("p.lv", "p.lk") / 2, F.lit(0.5))).otherwise(0.5).alias("hurst"))
+    return long.groupBy("symbol").agg(F.when(F.max("n") >= max_lag + 10, F.coalesce(F.regr_slope("p.lv", "p.lk") / 2, F.lit(0.5))).otherwise(0.5).alias("hurst"))
 
 
 def volatility(df: DataFrame, ret: str = "ret", periods: int = 252) -> DataFrame:

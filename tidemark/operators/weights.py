@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from .intervals import concurrency, sums_over_life
+from .intervals import broadcast_if_small, concurrency, sums_over_life
 
 
 def indicator(bars: DataFrame, spans: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def purged_kfold(spans: DataFrame, k: int = 5, embargo: float = 0.0) -> DataFram
     """Rows (symbol, fold, t0, role) of k contiguous folds; train rows whose span meets the test span are purged, and with ``embargo`` also the share of rows right after it."""
     df = _folds(spans, k)
     test = df.groupBy("symbol", F.col("__f").alias("fold")).agg(F.min("t0").alias("s"), F.max(F.coalesce("t1", "t0")).alias("e"), F.max("__i").alias("last"))
-    both = df.join(F.broadcast(test), "symbol")
+    both = df.join(broadcast_if_small(test), "symbol")
     role = F.when(F.col("__f") == F.col("fold"), "test").when(
         ~((F.coalesce("t1", "t0") < F.col("s")) | (F.col("t0") > F.col("e"))) | ((F.col("__i") > F.col("last")) & (F.col("__i") <= F.col("last") + F.floor(F.col("__n") * embargo))), None
     ).otherwise("train")
@@ -66,7 +66,7 @@ def combinatorial_purged(spans: DataFrame, n_groups: int = 10, k: int = 2, purge
     groups = df.groupBy("symbol", F.col("__f").alias("g")).agg(F.min("t0").alias("s"), F.max(F.coalesce("t1", "t0")).alias("e"))
     choices = spans.sparkSession.createDataFrame([(i, list(c)) for i, c in enumerate(itertools.combinations(range(n_groups), k))], "split int, chosen array<int>")
     test = groups.join(F.broadcast(choices), F.array_contains("chosen", F.col("g"))).groupBy("symbol", "split", "chosen").agg(F.collect_list(F.struct("s", "e")).alias("blocks"), F.min("s").alias("lo"), F.max("e").alias("hi"))
-    both = df.join(F.broadcast(test), "symbol")
+    both = df.join(broadcast_if_small(test), "symbol")
     t1 = F.coalesce("t1", "t0")
     meets = ~((t1 < F.col("lo")) | (F.col("t0") > F.col("hi"))) if purge == "span" else F.exists("blocks", lambda b: ~((t1 < b["s"]) | (F.col("t0") > b["e"])))
     role = F.when(F.array_contains("chosen", F.col("__f")), "test").when(meets, None).otherwise("train")

@@ -54,35 +54,43 @@ def autocorrelation(df: DataFrame, price: str = "close", lags: tuple[int, ...] =
     return df.drop("__r")
 
 
-def _slope_t(y: str, t: str, w, h: int) -> Column:
-    r2 = F.regr_r2(y, t).over(w)
-    slope = F.regr_slope(y, t).over(w)
-    return F.signum(slope) * F.sqrt(F.try_divide(r2 * (h - 2), 1 - r2))
+def _scans(df: DataFrame, y: str, horizons: tuple[int, ...]) -> DataFrame:
+    """Add ``__t{h}`` and ``__r2_{h}``, t value and R2 of the slope of y over the h rows from each on; null where fewer follow.
+
+    The rows ahead are taken once, as offsets, and the sums of a longer horizon go on from those of a shorter one; y counts from its own row, so nothing cancels.
+    """
+    ahead = {f"__y{k}": F.lead(y, k).over(s.by()) - F.col(y) for k in range(1, max(horizons))}
+    df = df.withColumns(ahead)
+    sums, first, columns = (F.lit(0.0), F.lit(0.0), F.lit(0.0)), 1, {}
+    for h in sorted(horizons):
+        step = [F.col(f"__y{k}") for k in range(first, h)]
+        k_of = range(first, h)
+        parts = (sum(step, F.lit(0.0)), sum((k * c for k, c in zip(k_of, step, strict=True)), F.lit(0.0)), sum((c * c for c in step), F.lit(0.0)))
+        df = df.withColumns({f"__{n}{h}": total + part for n, total, part in zip("abc", sums, parts, strict=True)})
+        sums, first = tuple(F.col(f"__{n}{h}") for n in "abc"), h
+        sxx, sxy, syy = h * (h * h - 1) / 12, sums[1] - sums[0] * ((h - 1) / 2), sums[2] - sums[0] * sums[0] / h
+        r2 = F.when(syy > 0, sxy * sxy / (sxx * syy))
+        columns[f"__r2_{h}"] = r2
+        columns[f"__t{h}"] = F.round(F.signum(sxy) * F.sqrt(F.try_divide(r2 * (h - 2), 1 - r2)), 9)
+    return df.withColumns(columns).drop(*ahead, *[f"__{n}{h}" for n in "abc" for h in horizons])
 
 
 def trend_scan(df: DataFrame, price: str = "close", horizons: tuple[int, ...] = (5, 10, 20, 40, 60), first: int = 10) -> DataFrame:
     """Trend labels: of the slopes of ln price over [i, i+h) the one with the largest absolute t value. Rows from ``first`` on that have the longest horizon ahead; ``ts``, ``t1``, ``tval``, ``label``, ``horizon``."""
     df = df.withColumn("__y", F.ln(price)).withColumn("__i", s.position()).withColumn("__n", F.count(F.lit(1)).over(s.whole()))
-    found = []
-    for h in horizons:
-        t = F.round(_slope_t("__y", "__i", s.rows(0, h - 1), h), 9)
-        end = F.coalesce(F.lead("ts", h).over(s.by()), F.max("ts").over(s.whole()))
-        found.append(F.struct(F.abs(t).alias("size"), F.lit(-h).alias("order"), t.alias("tval"), F.lit(h).alias("horizon"), end.alias("t1")))
-    df = df.withColumn("__best", F.array_max(F.filter(F.array(*found), lambda x: x["size"].isNotNull())))
-    df = df.where((F.col("__i") >= first) & (F.col("__i") < F.col("__n") - max(horizons)) & F.col("__best").isNotNull())
-    return df.select("symbol", "ts", "__best.t1", "__best.tval", F.signum("__best.tval").cast("int").alias("label"), "__best.horizon")
+    df = _scans(df.withColumns({f"__e{h}": F.coalesce(F.lead("ts", h).over(s.by()), F.max("ts").over(s.whole())) for h in horizons}), "__y", horizons)
+    found = [F.struct(F.abs(f"__t{h}").alias("size"), F.lit(-h).alias("order"), F.col(f"__t{h}").alias("tval"), F.lit(h).alias("horizon"), F.col(f"__e{h}").alias("t1")) for h in horizons]
+    df = df.where((F.col("__i") >= first) & (F.col("__i") < F.col("__n") - max(horizons)))
+    best = F.slice(F.reverse(F.array_sort(F.filter(F.array(*found), lambda x: x["size"].isNotNull()))), 1, 1)
+    df = df.select("symbol", "ts", F.explode(best).alias("best"))  # a condition on the best would repeat all sums in the filter
+    return df.select("symbol", "ts", "best.t1", "best.tval", F.signum("best.tval").cast("int").alias("label"), "best.horizon")
 
 
 def trend_scan_fit(df: DataFrame, price: str = "close", horizons: tuple[int, ...] = (5, 10, 20, 40, 60), min_r2: float = 0.5) -> DataFrame:
     """Trend labels on raw prices, only from slopes with at least ``min_r2``; all rows stay, null before the longest horizon, 0 where no slope qualifies."""
-    df = df.withColumn("__i", s.position()).withColumn("__n", F.count(F.lit(1)).over(s.whole()))
-    found = []
-    for h in horizons:
-        w = s.rows(0, h - 1)
-        r2 = F.regr_r2(price, "__i").over(w)
-        t = F.round(_slope_t(price, "__i", w, h), 9)
-        use = (r2 >= min_r2) & (F.col("__i") + h < F.col("__n"))
-        found.append(F.when(use, F.struct(F.abs(t).alias("size"), F.lit(-h).alias("order"), t.alias("tval"), F.lit(h).alias("horizon"))))
+    df = _scans(df.withColumn("__i", s.position()).withColumn("__n", F.count(F.lit(1)).over(s.whole())), price, horizons)
+    use = lambda h: (F.col(f"__r2_{h}") >= min_r2) & (F.col("__i") + h < F.col("__n"))
+    found = [F.when(use(h), F.struct(F.abs(f"__t{h}").alias("size"), F.lit(-h).alias("order"), F.col(f"__t{h}").alias("tval"), F.lit(h).alias("horizon"))) for h in horizons]
     df = df.withColumn("__best", F.array_max(F.filter(F.array(*found), lambda x: x["size"].isNotNull())))
     late = F.col("__i") >= max(horizons)
     pick = lambda c, other: F.when(late, F.coalesce(F.col(f"__best.{c}"), F.lit(other)))

@@ -11,9 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-# Days of the period names, and a few company names with their tickers.
-PERIOD_DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 180, "1y": 365, "2y": 730, "5y": 1825, "10y": 3650}
-TICKERS = {"apple": "AAPL", "microsoft": "MSFT", "google": "GOOGL", "amazon": "AMZN", "tesla": "TSLA", "nvidia": "NVDA", "meta": "META", "netflix": "NFLX", "bitcoin": "BTC-USD", "ethereum": "ETH-USD", "gold": "GC=F", "oil": "CL=F"}
+# Days of the period names (the year to date has as many as have passed), company names with their tickers, kinds of listings, and suffixes of exchanges whose quotes are delayed.
+PERIOD_DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 182, "1y": 365, "2y": 730, "3y": 1095, "5y": 1825, "10y": 3650, "max": 10950}
+TICKERS = {
+    "apple": "AAPL", "microsoft": "MSFT", "google": "GOOGL", "alphabet": "GOOGL", "amazon": "AMZN", "tesla": "TSLA", "nvidia": "NVDA", "meta": "META", "facebook": "META", "netflix": "NFLX", "disney": "DIS",
+    "jpmorgan": "JPM", "jp morgan": "JPM", "goldman sachs": "GS", "berkshire": "BRK-B", "walmart": "WMT", "exxon": "XOM", "chevron": "CVX", "johnson": "JNJ", "bank of america": "BAC", "wells fargo": "WFC",
+    "coinbase": "COIN", "palantir": "PLTR", "amd": "AMD", "intel": "INTC", "salesforce": "CRM", "adobe": "ADBE", "paypal": "PYPL", "uber": "UBER", "airbnb": "ABNB", "spotify": "SPOT",
+    "bitcoin": "BTC-USD", "ethereum": "ETH-USD", "gold": "GC=F", "oil": "CL=F", "spy": "SPY", "qqq": "QQQ", "iwm": "IWM", "tlt": "TLT",
+}
+KINDS = ("EQUITY", "ETF", "COMMODITY", "FUTURE", "INDEX", "MUTUALFUND", "CRYPTOCURRENCY")
+DELAYED = (".L", ".NS", ".BO", ".PA", ".DE", ".TO", ".SS", ".SZ")
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
@@ -30,9 +37,9 @@ def normalise(df: DataFrame, ts_col: str = "date") -> DataFrame:
 
 
 def period(name: str, end: Column | None = None) -> tuple[Column, Column]:
-    """Start and end dates of a period name; an unknown one is a year."""
+    """Start and end dates of a period name, ``ytd`` from the first of January; an unknown one is a year."""
     last = end if end is not None else F.current_date()
-    return F.date_sub(last, PERIOD_DAYS.get(name, 365)), last
+    return (F.trunc(last, "year") if name == "ytd" else F.date_sub(last, PERIOD_DAYS.get(name, 365))), last
 
 
 def history(bars: DataFrame, symbol: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -72,16 +79,15 @@ def screen(df: DataFrame, name: str, k: int = 25) -> DataFrame:
 
 
 def resolve_ticker(df: DataFrame, query_col: str = "query") -> DataFrame:
-    """Add ``ticker``: by a table of names, else the query itself where it looks like one (at most 6 letters or digits), else null."""
-    names = df.sparkSession.createDataFrame(list(TICKERS.items()), "__name string, __ticker string")
-    raw = F.trim(F.col(query_col))
-    return df.join(F.broadcast(names), F.lower(raw) == F.col("__name"), "left").withColumn("ticker", F.coalesce("__ticker", F.when(raw.rlike(r"^[A-Za-z0-9]{1,6}$"), F.upper(raw)))).drop("__name", "__ticker")
+    """Add ``ticker``: by a table of names in any case, ends trimmed, else the query itself in upper case. It is null only for a null query."""
+    names = F.create_map(*[F.lit(x) for pair in TICKERS.items() for x in pair])
+    return df.withColumn("ticker", F.coalesce(F.try_element_at(names, F.lower(F.trim(query_col))), F.upper(query_col)))
 
 
-def search_symbols(listing: DataFrame, text: str, kinds: tuple[str, ...] = ("EQUITY", "ETF", "CRYPTOCURRENCY", "INDEX")) -> DataFrame:
+def search_symbols(listing: DataFrame, text: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Rows of (symbol, name, kind) whose symbol or name holds the text, of the given kinds; the name defaults to the symbol, and ``delayed`` marks exchange suffixes."""
     hit = F.contains(F.upper("symbol"), F.lit(text.upper())) | F.contains(F.upper(F.coalesce("name", F.lit(""))), F.lit(text.upper()))
-    delayed = F.exists(F.array(*[F.lit(x) for x in (".L", ".PA", ".DE", ".HK", ".T")]), lambda x: F.endswith(F.col("symbol"), x))
+    delayed = F.exists(F.array(*[F.lit(x) for x in DELAYED]), lambda x: F.endswith(F.col("symbol"), x))
     return listing.where(hit & F.upper("kind").isin(*kinds)).select("symbol", F.coalesce("name", "symbol").alias("name"), "kind", delayed.alias("delayed"))
 
 
