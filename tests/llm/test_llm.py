@@ -274,6 +274,27 @@ def test_settle_equals_brute(parts):
         at += len(b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=50, max_size=50), st.integers(0, 6)), min_size=1, max_size=40), st.integers(40, 50))
+def test_longest_previous_factors_equal_brute(rows, shared):
+    """Windows with long common prefixes: the array equals the longest prefix over all windows of smaller documents."""
+    texts = [("ab" * 25)[:shared].encode() + t.encode()[shared:] if d % 2 else t.encode() for t, d in rows]
+    doc = np.array([d for _, d in rows])
+    flat = np.frombuffer(b"".join(texts), np.uint8).reshape(len(rows), 50)
+    words = np.stack([np.ascontiguousarray(flat[:, k : k + 8]).view(">u8").ravel() for k in (0, 8, 16, 24, 32, 40, 42)], 1).astype(np.uint64)
+    common = lambda a, b: next((k for k in range(50) if a[k] != b[k]), 50)
+    want = [max((common(t, o) for o, e in zip(texts, doc, strict=True) if e < d), default=0) for t, d in zip(texts, doc, strict=True)]
+    assert lpf_dedup.longest_previous(words, doc, 50).tolist() == want
+
+
+def test_repeats_greatest_and_null_id(spark):
+    """A real id of the greatest value stays itself beside a null one."""
+    text = "a passage of more than fifty bytes that is here again and again and again"
+    df = spark.createDataFrame([(2**63 - 1, text), (None, text), (1, "x" + text)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lpf_dedup.remove_repeats(df).collect()}
+    assert got == {2**63 - 1: len(text), None: len(text), 1: 0}
+
+
 def test_repeats_odd_rows(odd, empty):
     got = defaultdict(list)
     for r in lpf_dedup.remove_repeats(odd).collect():

@@ -8,9 +8,9 @@ windows, the starts of such strings:
 2. A bucket tells each batch which of its anchors other documents hold too. Most text has none and is done with.
 3. For windows with shared anchors, a batch sends the bytes around the anchor (runs of windows with one anchor) with
    the smallest id that has them. Equal windows meet in one bucket, whatever surrounds them.
-4. A bucket sorts its windows as suffixes cut at ``depth`` bytes, ties in order of document: a window's previous
-   smaller position in that order gives its longest previous factor. Where that reaches ``depth`` in a smaller
-   document, the window is a later copy; the answer is one bit a window.
+4. A bucket sorts its windows as suffixes cut at ``depth`` bytes, with the common prefixes of neighbours. The previous and
+   the next smaller position of each, in order of document, give its longest previous factor, cut at ``depth``. Where that
+   is a whole window, the window is a later copy; the answer is one bit a window.
 5. Batches spread the bits over bytes.
 
 Whole-text copies are settled by digest before. What many documents share is combined inside a batch before it is
@@ -87,22 +87,49 @@ def runs_of(data: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
     return flat, *[np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def previous_in_smaller(windows: np.ndarray, doc: np.ndarray, order_doc: np.ndarray) -> np.ndarray:
-    """For windows (a row of words each), whether the longest previous factor in a document smaller than ``doc`` is a whole window.
+def suffix_order(windows: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows as suffixes cut at ``depth`` bytes, ties by place, and the longest common prefix of each with the one before it (0 for the first).
 
-    ``doc`` holds the smallest id with that window's surroundings. Windows are sorted as suffixes cut at the window's length,
-    ties by ``order_doc``. Inside a run of equal windows the previous smaller position of each is its left neighbour, so
-    following these leads to the run's head, the earliest.
+    A window is a row of big-endian words; the last word ends where the window does and so may overlap the one before.
+    """
+    order = np.lexsort((place, *windows.T[::-1]))
+    s, lcp = windows[order], np.zeros(len(windows), np.int64)
+    differs = s[1:] ^ s[:-1]
+    word = (differs != 0).argmax(1)
+    bits = differs[np.arange(len(differs)), word]
+    equal = sum((bits < np.uint64(1 << k)).astype(np.int64) for k in range(8, 64, 8))  # equal bytes that lead in the first word that differs
+    lcp[1:] = np.where(bits == 0, depth, np.minimum(8 * word, depth - 8) + equal)
+    return order, lcp
+
+
+def to_smaller(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place in suffix order the longest common prefix with the previous smaller position: the nearest place before it whose document is smaller (0 without one).
+
+    Pointers start at the place before and jump over places that are not smaller, with the least common prefix on the way.
+    """
+    at, most = np.arange(len(doc)) - 1, lcp.copy()
+    while True:
+        late = np.flatnonzero((at >= 0) & (doc[at] >= doc))
+        if not len(late):
+            return np.where(at >= 0, most, 0)
+        over = at[late]
+        most[late], at[late] = np.minimum(most[late], most[over]), at[over]
+
+
+def longest_previous(windows: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """The longest-previous-factor array: for each window the longest prefix, of ``depth`` bytes at most, that one of a smaller document also has.
+
+    It is reached at the previous or at the next smaller position in suffix order, since common prefixes only shorten with the distance.
     """
     if not len(windows):
-        return np.zeros(0, bool)
-    order = np.lexsort((order_doc, *windows.T[::-1]))
-    s = windows[order]
-    head = np.concatenate([[True], (s[1:] != s[:-1]).any(1)])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    out = np.empty(len(windows), bool)
-    out[order] = doc[order[first]] < doc[order]
-    return out
+        return np.zeros(0, np.int64)
+    order, lcp = suffix_order(windows, doc, depth)
+    own = doc[order]
+    before = to_smaller(own, lcp)
+    after = to_smaller(own[::-1], np.append(lcp[1:], 0)[::-1])[::-1]
+    found = np.empty(len(order), np.int64)
+    found[order] = np.maximum(before, after)
+    return found
 
 
 def settle(slices: list[bytes], ids: list[int], depth: int) -> np.ndarray:
@@ -120,7 +147,7 @@ def settle(slices: list[bytes], ids: list[int], depth: int) -> np.ndarray:
     at = np.repeat(np.cumsum(lengths) - lengths, count) + nth
     whole = np.lib.stride_tricks.sliding_window_view(flat, 8)
     words = np.stack([whole[at + min(k, depth - 8)].view(">u8").ravel() for k in range(0, depth, 8)], 1).astype(np.uint64) if len(at) else np.zeros((0, 1), np.uint64)
-    later = previous_in_smaller(words, least[owner], least[owner])
+    later = longest_previous(words, least[owner], depth) >= depth
     bits = np.bincount(owner, later * (1 << nth), len(index)).astype(np.uint64)
     every = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
     return np.where(mine > least[uid], every[uid], bits[uid]).astype(np.uint32)
@@ -165,8 +192,9 @@ class Batch:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = 50, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per row of df: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans`` (start and length of each removed run of bytes).
 
-    Integer ids. A null text is an empty one; a null id counts as greater than all others. Rows with the same id never take
-    bytes from each other. Empty input gives no rows.
+    Integer ids. A null text is an empty one; a null id counts as greater than all others (as the greatest possible one, so it takes no
+    bytes from a row with that id, nor loses any). Rows with the same id never take bytes from each other, repeated rows included. Very long texts
+    are worked on in pieces of a batch's windows. Other columns play no part, whatever their names; empty input gives no rows.
     """
     if depth < GRAM + 7:
         raise ValueError("depth must be 32 or more")
@@ -174,7 +202,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, -(-int(total) // batch_bytes))
     buckets = max(1, -(-batches // BUCKET_BATCHES))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(id_col).isNull().alias("nil"), text.alias("text"))
     rows = rows.withColumn("dg", F.xxhash64("text")).withColumn("batch", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(batches)).cast("long"))
     exact = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("dg"))
     least = exact.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "least")
@@ -252,7 +280,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame([(int(b), 2, int(key[0]), 0, bits[a : a + n].tobytes()) for b, a, n in zip(r["batch"], cut, sizes, strict=True)], columns=["batch", "kind", "bucket", "dg", "blob"])
 
     def finish(key: tuple, r: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        columns = ["id", "nil", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
         if not len(r):
             return pd.DataFrame(columns=columns)
         b, known, masks = start(r, notes)
@@ -273,18 +301,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             np.add.at(change, at + depth, -1)
         gone = np.cumsum(change[:-1]) > 0
         out, at = [], 0
-        for i, (data, copy) in enumerate(zip(b.data, b.copy, strict=True)):
+        for i, (data, copy, nil) in enumerate(zip(b.data, b.copy, b.rows["nil"].tolist(), strict=True)):
             n = len(data)
             if copy:
                 whole = n >= depth
-                out.append((b.ids[i], n, n if whole else 0, int(whole), hashlib.sha256(b"" if whole else data).hexdigest(), [{"start": 0, "length": n}] if whole else []))
+                out.append((b.ids[i], nil, n, n if whole else 0, int(whole), hashlib.sha256(b"" if whole else data).hexdigest(), [{"start": 0, "length": n}] if whole else []))
                 continue
             g = gone[at : at + n]
             at += n
             edges = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]])))
             kept = np.frombuffer(data, np.uint8)[~g].tobytes() if len(edges) else data
             spans = [{"start": int(a), "length": int(z - a)} for a, z in zip(edges[::2], edges[1::2], strict=True)]
-            out.append((b.ids[i], n, int(g.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+            out.append((b.ids[i], nil, n, int(g.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
         return pd.DataFrame(out, columns=columns)
 
     first = by_batch.cogroup(copies.groupBy("batch")).applyInPandas(send_anchors, "bucket long, batch long, once binary, twice binary")
@@ -292,5 +320,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = copies.unionByName(first.groupBy("bucket").applyInPandas(find_shared, notes))
     sent = by_batch.cogroup(shared.groupBy("batch")).applyInPandas(send_slices, "bucket long, batch long, data binary, lengths binary, ids binary")
     told = shared.unionByName(sent.groupBy("bucket").applyInPandas(answer, notes))
-    done = by_batch.cogroup(told.groupBy("batch")).applyInPandas(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, length: long>>")
-    return done.select(F.when(F.col("id") == (1 << 63) - 1, F.lit(None)).otherwise(F.col("id")).cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    done = by_batch.cogroup(told.groupBy("batch")).applyInPandas(finish, "id long, nil boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, length: long>>")
+    return done.select(F.when(~F.col("nil"), F.col("id")).cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
