@@ -304,6 +304,39 @@ def test_repeats_odd_rows(odd, empty):
     assert lpf_dedup.remove_repeats(empty).count() == 0
 
 
+# --- pages without an article element
+
+def as_divs(page: str) -> str:
+    return re.sub(r"<(/?)(article|main)\b", r"<\1div", page, flags=re.I)
+
+
+def test_pages_without_article_elements_give_the_same_text(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if r["html"]]
+    assert any(as_divs(p) != p for p in pages)
+    assert all(html_extract.main_text(as_divs(p))[0] == html_extract.main_text(p)[0] for p in pages)
+
+
+def test_blocks_of_a_page_without_article_elements():
+    """Regions, link lists and text outside of paragraphs go; short paragraphs follow their neighbours; unclosed tags and a language without stop words do no harm."""
+    good = "The river rose in the night and the people of the town went to the bridge to see what it had done to the old mill and its wheel."
+    page = (
+        "<body><nav><ul>" + "<li><a href=x>Menu entry" * 80 + "</ul></nav><div>Login now</div><h1>Flood</h1>" + f"<p>{good}<p>It fell.<p>{good}"
+        + "<h2>See also</h2><p><a href=a>One other story of the town</a> <a href=b>and another one of the river</a></p><div class='sidebar'>" + "<p>x" * 90 + "</div><footer><p>All rights are with the owner of the page and its text.</footer>"
+    )
+    assert html_extract.main_text(page)[0] == f"Flood {good} It fell. {good}"
+    finnish = "<body><div class=menu><p>Etusivu</p></div><h1>Tulva</h1><p>" + "Joki nousi yöllä ja väki lähti sillalle katsomaan vanhaa myllyä. " * 5 + "</p><p>Vesi laski.</p><footer>Yhteystiedot</footer>"
+    assert html_extract.main_text(finnish)[0].startswith("Tulva Joki") and html_extract.main_text(finnish)[0].endswith("Vesi laski.")
+
+
+def test_extract_odd_rows(spark):
+    """Null, empty and repeated pages, and columns with the names of the results' parts."""
+    rows = [(1, "u", None, 5), (2, None, "", 5), (3, "u", "<p>a", 5), (3, "u", "<p>a", 5), (None, "u", "<", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_extract.extract(df).collect())
+    assert len(got) == 5 and got[0] == ("1", "", 0) and got[1] == ("2", "", 0) and got[2] == got[3]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 # --- packing
 
 def test_ids_equal_the_tokenizers_file(texts):

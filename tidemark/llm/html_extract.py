@@ -5,7 +5,8 @@ article text (menus, forms, scripts, comments and the like) and blocks full of l
 enough stop words are good; the rest, short blocks and blocks of middling density, stay ambiguous. The second pass gives
 those the label of their nearest decided neighbours. An article or main element is evidence only: half the length and
 stop words are enough inside one, paragraphs with fewer are ambiguous, and ambiguous blocks stay unless both neighbours are
-bad; beside one they stay only between good blocks. No label passes its border.
+bad; beside one they stay only between good blocks. No label passes its border. On pages without one, paragraphs outside of bad regions are
+taken so.
 """
 
 from __future__ import annotations
@@ -163,27 +164,6 @@ def first_pass(text: str, linked: int, bad: bool, main: bool, prose: bool = Fals
     return BAD if len(text) > LONG_CHARS and not (main and prose) else SHORT
 
 
-def second_pass(labels: list[int], heading: list[bool]) -> list[bool]:
-    """Keep or not: ambiguous blocks follow the nearest decided block on either side; where these differ, near-good blocks and headings before good text stay."""
-    n = len(labels)
-    before, after = neighbours(labels)
-    keep = []
-    for i, x in enumerate(labels):
-        if x in (GOOD, BAD):
-            keep.append(x == GOOD)
-            continue
-        b, a = before[i], after[i]
-        lb, la = (labels[b] if b >= 0 else BAD), (labels[a] if a >= 0 else BAD)
-        if lb == la:
-            keep.append(lb == GOOD or x == NEAR and b < 0 and a < 0)
-        elif x == NEAR or heading[i]:
-            keep.append(x == NEAR or la == GOOD)
-        else:
-            near_b, near_a = (i - b if b >= 0 else n), (a - i if a >= 0 else n)
-            keep.append(labels[b] == GOOD if near_b < near_a else near_a < near_b and la == GOOD)
-    return keep
-
-
 def neighbours(labels: list[int]) -> tuple[list[int], list[int]]:
     """Place of the nearest decided block before and after each; -1 where there is none."""
     n = len(labels)
@@ -212,24 +192,46 @@ def inside_pass(labels: list[int]) -> list[bool]:
     return [x == GOOD if x in (GOOD, BAD) else b < 0 or a < 0 or GOOD in (labels[b], labels[a]) for x, b, a in zip(labels, before, after, strict=True)]
 
 
+def open_pass(labels: list[int], heading: list[bool], prose: list[bool]) -> list[bool]:
+    """The second pass over a page without an article or main element, regions left out: ambiguous blocks of prose stay unless both neighbours are bad (the page's ends count as good), others between good ones, and headings before something that stays."""
+    inside, outside = inside_pass(labels), outside_pass(labels, [False] * len(labels))
+    keep = [x if p or y == GOOD else o for x, o, p, y in zip(inside, outside, prose, labels, strict=True)]
+    follows = False
+    for i in range(len(labels) - 1, -1, -1):
+        if heading[i] and labels[i] != BAD:
+            keep[i] = follows
+        follows = keep[i] or follows and labels[i] != BAD
+    return keep
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """Main text, and how many blocks there were and stay.
 
     Runs of blocks inside and outside of article and main elements are settled each on its own. Blocks of bad regions inside an element are no
-    neighbours there. Where no block of a run inside has enough stop words, its language is not one of STOP_WORDS and few stop words say nothing.
+    neighbours there, nor are they on a page without such an element, where text in paragraphs is held to the same lengths as inside one. Where no
+    block of a run has enough stop words, its language is not one of STOP_WORDS and few stop words say nothing.
     """
     found = blocks(page or "")
     labels = [first_pass(t, n, bad, main, prose) for t, n, bad, main, _, prose in found]
     article = any(x != BAD and b[3] for x, b in zip(labels, found, strict=True))
     keep = [False] * len(found)
-    for main, run in groupby(range(len(found)), lambda i: found[i][3]):
+
+    def without_stops(at: list[int], own: list[int]) -> list[int]:
+        return own if GOOD in own else [SHORT if found[i][1] <= LINK_SHARE * len(found[i][0]) else x for i, x in zip(at, own, strict=True)]
+
+    for main, run in groupby(range(len(found)), lambda i: article and found[i][3]):
         at = list(run)
-        if main:
+        if main or not article:
             at = [i for i in at if not found[i][2]]
-            known = any(labels[i] == GOOD for i in at)
-            stays = inside_pass([SHORT if not known and found[i][1] <= LINK_SHARE * len(found[i][0]) else labels[i] for i in at])
+        if main:
+            stays = inside_pass(without_stops(at, [labels[i] for i in at]))
+        elif article:
+            stays = outside_pass([labels[i] for i in at], [found[i][4] for i in at])
         else:
-            stays = (outside_pass if article else second_pass)([labels[i] for i in at], [found[i][4] for i in at])
+            prose = [found[i][5] for i in at]
+            own = [first_pass(found[i][0], found[i][1], False, p, p) for i, p in zip(at, prose, strict=True)]
+            own = [x if p else y for x, y, p in zip(without_stops(at, own), own, prose, strict=True)]
+            stays = open_pass(own, [found[i][4] for i in at], prose)
         for i, x in zip(at, stays, strict=True):
             keep[i] = x
     kept = [b[0] for b, k in zip(found, keep, strict=True) if k]
