@@ -169,6 +169,37 @@ def test_base_scores_by_brute_force(spark, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_by_brute_force(spark, docs, texts):
+    """Every token's probability from a softmax written out, and for a token outside of the model's words its smoothed share of the counts there."""
+    counts = lbl_lm.count_tokens(docs).cache()
+    m = lbl_lm.fit(docs, counts, n_words=60)
+    got = {r["doc_id"]: r["score"] for r in lbl_lm.score(docs, m, counts, pass_cols=[F.col("doc_id")]).collect()}
+    c = {bytes(r["token"]): r["c"] for r in counts.collect()}
+    words = {t: i for i, t in enumerate(m.tokens[:60])}
+    rare = sum(c.values()) - sum(c[t] for t in words)
+    end = words[b"\n"]
+    for i in list(texts)[:25]:
+        total, w1, w2 = 0.0, end, end
+        for t in [*lbl_lm.words(texts[i]), b"\n"]:
+            w = words.get(t, 60)
+            logits = (m.r[w1] @ m.c1 + m.r[w2] @ m.c2).astype(float) @ m.q.T.astype(float) + m.b
+            total += (logits[w] - np.log(np.exp(logits).sum())) / np.log(10)
+            if w == 60:
+                total += np.log10((c.get(t, 0) + 0.1) / (rare + 0.1 * (len(c) - 60 + 1)))
+            w1, w2 = w, w1
+        assert abs(total - got[i]) < 1e-3 * max(1, abs(total))
+    counts.unpersist()
+
+
+def test_model_does_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lbl_lm, "SHARD_TOKENS", 10_000)
+    counts = lbl_lm.count_tokens(docs).cache()
+    one, many = (lbl_lm.fit(docs.repartition(n), counts, n_words=60) for n in (1, 7))
+    assert counts.agg(F.sum("c")).first()[0] > 20_000
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one.params(), many.params(), strict=True))
+    counts.unpersist()
+
+
 def test_model_is_normalised():
     m = lbl_lm.Model.start([b"a", b"\n", b"b", b"c"], np.array([5.0, 4, 3, 1]), 3, 13, 4, 8, 1)
     w = np.arange(4)

@@ -3,9 +3,9 @@
 Corpus statistics cover all training rows: token counts are combined per task, shuffled and kept as a table. The most
 frequent tokens are the model's words; all others share one class, inside which a token has its smoothed share of the
 counts. The model predicts a word's vector linearly from the two words before: q = R[w1] C1 + R[w2] C2, logit =
-q . Q[w] + b[w]. Every task runs through all its training rows once, telling words from shared noise samples in
-minibatches of counted word triples; after each of a few rounds, over disjoint parts of the rows, the tasks' parameters are averaged by
-their tokens. Scores are normalised: a batch's new contexts go through one matrix product with all words,
+q . Q[w] + b[w]. Training rows are dealt by hash into shards of about as many tokens each, whatever the partitions of the input; a shard
+runs through its rows once, in order of hash, telling words from shared noise samples in minibatches of counted word triples. After each
+of a few rounds, over disjoint parts of the rows, the shards' parameters are averaged by their tokens. Scores are normalised: a batch's new contexts go through one matrix product with all words,
 and the logarithms of the sums are kept by context. Tokens outside the broadcast head of the counts are joined to the table.
 """
 
@@ -25,6 +25,8 @@ from .common import materialise
 
 #: The end of a text among the tokens; no word is a line feed.
 END = b"\n"
+#: Training tokens of a shard.
+SHARD_TOKENS = 2_000_000
 #: Tokens, drawn from a batch at random, among which equal word triples are counted and trained on at once.
 CHUNK = 100_000
 
@@ -168,8 +170,8 @@ def stream(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat), np.concatenate(real)
 
 
-def train_round(rows: DataFrame, model: Model, text_col: str, *, noise: int, batch: int, rate: float, seed: int) -> np.ndarray | None:
-    """Parameters after each task has gone through its rows once, averaged by tokens; None without rows."""
+def train_round(rows: DataFrame, model: Model, text_col: str, *, shards: int, noise: int, batch: int, rate: float, seed: int) -> np.ndarray | None:
+    """Parameters after each shard has gone through its rows once, averaged by tokens; None without rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     end = model.end()
 
@@ -207,16 +209,17 @@ def train_round(rows: DataFrame, model: Model, text_col: str, *, noise: int, bat
             flat = np.concatenate([p.ravel() for p in own.params()])
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["n", "v"])
 
-    per_task = rows.select(F.col(text_col).cast("string")).mapInArrow(learn, "n long, v array<float>")
-    mean = per_task.select("n", F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+    dealt = rows.select(F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t", F.lit(seed))).repartition(shards, "h").sortWithinPartitions("h", "t")
+    per_shard = dealt.select("t").mapInArrow(learn, "n long, v array<float>")
+    mean = per_shard.select("n", F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
     got = mean.toPandas()
     return got.sort_values("i")["x"].to_numpy(np.float32) if len(got) else None
 
 
 def fit(
-    train: DataFrame, counts: DataFrame, text_col: str = "text", *, n_words: int = 2047, head: int = 150_000, dim: int = 32, noise: int = 32, batch: int = 320, rounds: int = 2, rate: float = 0.05, seed: int = 5,
+    train: DataFrame, counts: DataFrame, text_col: str = "text", *, n_words: int = 2047, head: int = 150_000, dim: int = 32, noise: int = 64, batch: int = 320, rounds: int = 2, rate: float = 0.05, seed: int = 5,
 ) -> Model:
-    """Train on all rows of ``train``, whose token counts are ``counts``. ``head`` tokens at most come to the driver."""
+    """Train on all rows of ``train``, whose token counts are ``counts``. ``head`` tokens at most come to the driver. The same rows give the same model, however they are partitioned."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = most_frequent(counts, head)
     tokens = [bytes(t) for t in top["token"]]
@@ -225,7 +228,7 @@ def fit(
     if tokens:
         for k in range(rounds):
             part = train.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(rounds)) == k)
-            flat = train_round(part, model, text_col, noise=noise, batch=batch, rate=rate, seed=seed + k)
+            flat = train_round(part, model, text_col, shards=max(1, -(-model.total // SHARD_TOKENS)), noise=noise, batch=batch, rate=rate, seed=seed + k)
             if flat is not None:
                 model.load(flat)
     return model
