@@ -25,8 +25,8 @@ from .common import materialise
 
 #: The end of a text among the tokens; no word is a line feed.
 END = b"\n"
-#: Training tokens of a shard.
-SHARD_TOKENS = 2_000_000
+#: Training tokens of a shard; parameters that are summed together, of so many shards at a time.
+SHARD_TOKENS, SLICE, SHARDS_AT_ONCE = 2_000_000, 8192, 64
 #: Tokens, drawn from a batch at random, among which equal word triples are counted and trained on at once.
 CHUNK = 100_000
 
@@ -170,6 +170,11 @@ def stream(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat), np.concatenate(real)
 
 
+def hash_of_row(rows: DataFrame) -> Column:
+    """A hash of all of a row's columns that can be hashed, so that copies of a text are dealt apart where anything else tells them apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def train_round(rows: DataFrame, model: Model, text_col: str, *, shards: int, noise: int, batch: int, rate: float, seed: int) -> np.ndarray | None:
     """Parameters after each shard has gone through its rows once, averaged by tokens; None without rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -206,14 +211,23 @@ def train_round(rows: DataFrame, model: Model, text_col: str, *, shards: int, no
                     picked = np.minimum(np.searchsorted(cumulative, rng.random(noise)), most)
                     own.nce_step(x % k, x // k % k, x // k // k, times[a : a + batch], picked, log_noise, state, rate)
         if seen:
-            flat = np.concatenate([p.ravel() for p in own.params()])
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["n", "v"])
+            flat = np.concatenate([p.ravel() for p in own.params()]).astype(np.float64) * seen
+            slices = [flat[a : a + SLICE] for a in range(0, len(flat), SLICE)]
+            group = int(rng.integers(0, 1 << 31))
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(slices), pa.int64()), pa.array(range(len(slices)), pa.int64()), pa.array([seen] * len(slices), pa.int64()), pa.array(slices, pa.list_(pa.float64()))], names=names)
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [int(g["shard"].min())], "slice": [g["slice"].iloc[0]], "n": [g["n"].sum()], "v": [np.sum(np.stack(g["v"]), 0)]})
 
-    dealt = rows.select(F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t", F.lit(seed))).repartition(shards, "h").sortWithinPartitions("h", "t")
-    per_shard = dealt.select("t").mapInArrow(learn, "n long, v array<float>")
-    mean = per_shard.select("n", F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    got = mean.toPandas()
-    return got.sort_values("i")["x"].to_numpy(np.float32) if len(got) else None
+    names, schema = ["shard", "slice", "n", "v"], "shard long, slice long, n long, v array<double>"
+    row_hash = hash_of_row(rows)
+    dealt = rows.select(F.col(text_col).cast("string").alias("t"), row_hash.alias("h")).repartition(shards, "h").sortWithinPartitions("h", "t")
+    sums, left = dealt.select("t").mapInArrow(learn, schema), shards
+    while left > 1:  # sums of slices, a bounded number of shards at a time
+        left = -(-left // SHARDS_AT_ONCE)
+        sums = sums.groupBy("slice", F.pmod(F.xxhash64("shard"), F.lit(left)).alias("part")).applyInPandas(lambda g: add(g), schema)
+    got = sums.toPandas().sort_values("slice")  # one row a slice
+    return np.concatenate([np.asarray(v) / n for v, n in zip(got["v"], got["n"], strict=True)]).astype(np.float32) if len(got) else None
 
 
 def fit(
@@ -227,7 +241,7 @@ def fit(
     model = Model.start(tokens, c, min(n_words, len(tokens)), int(total["n"] or 0), int(total["v"] or 0), dim, seed)
     if tokens:
         for k in range(rounds):
-            part = train.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(rounds)) == k)
+            part = train.where(F.pmod(F.shiftright(hash_of_row(train), 40), F.lit(rounds)) == k)
             flat = train_round(part, model, text_col, shards=max(1, -(-model.total // SHARD_TOKENS)), noise=noise, batch=batch, rate=rate, seed=seed + k)
             if flat is not None:
                 model.load(flat)
