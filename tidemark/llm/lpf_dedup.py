@@ -108,12 +108,12 @@ def to_smaller(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     Pointers start at the place before and jump over places that are not smaller, with the least common prefix on the way.
     """
     at, most = np.arange(len(doc)) - 1, lcp.copy()
-    while True:
-        late = np.flatnonzero((at >= 0) & (doc[at] >= doc))
-        if not len(late):
-            return np.where(at >= 0, most, 0)
+    late = np.flatnonzero((at >= 0) & (doc[at] >= doc))
+    while len(late):  # only those that still point to a place that is not smaller
         over = at[late]
         most[late], at[late] = np.minimum(most[late], most[over]), at[over]
+        late = late[(at[late] >= 0) & (doc[at[late]] >= doc[late])]
+    return np.where(at >= 0, most, 0)
 
 
 def longest_previous(windows: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
