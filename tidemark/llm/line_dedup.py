@@ -1,9 +1,9 @@
-"""Fuzzy duplicate lines by MinHash, in DataFrame operations only.
+"""Fuzzy duplicate lines by MinHash.
 
 A line's signature is a one-permutation MinHash of its character shingles: the hashes are dealt into 24 bins, and a bin's
-value is the least hash in it or, where it has none, that of the next bin that has some. Shingles are rows while they are
-hashed and their least values taken, so all of that is compiled code. Bands of three values far apart are keys; distinct lines that
-share a key are compared exactly, over their shingle sets, in two steps:
+value is the least hash in it or, where it has none, that of the next bin that has some. Signing and the exact comparison of
+shingle sets are numpy over Arrow batches; keys, groups, joins and the union-find are DataFrame operations. Bands of three
+values far apart are keys; distinct lines that share a key are compared exactly, over their shingle sets, in two steps:
 
 1. All lines of a key meet one of its lines, and a union-find joins those at the threshold or above. In keys that then
    are large and hold several components, the lines meet a few more, each only those of other components.
@@ -17,8 +17,10 @@ components, and of each the first line in order of document and place stays.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,40 +36,97 @@ MATCHES = 12
 BROADCAST_ROWS = 500_000
 #: No two bands share a bin, so they miss independently of each other.
 BANDS = [[b, b + 8, b + 16] for b in range(8)]
+#: 16-bit units of lines that are hashed at once; sets of heads that a task keeps.
+UNITS, HEAD_SETS = 1 << 18, 4096
+_MIX, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
 
 
-def starts(units: Column, n: int) -> Column:
-    """Where the shingles of a line begin, in 16-bit units; a line shorter than one shingle is one."""
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(units), 1) - n, F.lit(0)))
+def shingles(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' runs of n 16-bit units, in order, and how many each line has; a line shorter than one shingle is one, as a whole."""
+    own = [x.encode("utf-16-le", "surrogatepass") for x in lines]
+    size = np.fromiter((len(x) // 2 for x in own), np.int64, len(own))
+    u = np.frombuffer(b"".join(x if len(x) >= 2 * n else x.ljust(2 * n, b"\0") for x in own), np.uint16).astype(np.uint64)
+    h = np.zeros(max(len(u) - n + 1, 0), np.uint64)
+    for k in range(n):
+        h *= _MIX
+        h += u[k : k + len(h)]
+    count = np.maximum(size - n, 0) + 1
+    first = np.cumsum(count + n - 1) - (count + n - 1)
+    h = h[np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)]
+    if (size < n).any():
+        h += np.repeat(np.where(size < n, size + 1, 0).astype(np.uint64) * _END, count)
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    h *= _END
+    h ^= h >> np.uint64(32)
+    return h, count
+
+
+def in_parts(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in order, in runs of about UNITS units; a longer line is a run of its own."""
+    part, size = [], 0
+    for x in lines:
+        if part and size + len(x) > UNITS:
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x)
+    if part:
+        yield part
+
+
+def sets_of(lines: list[str], n: int) -> list[np.ndarray]:
+    """Each line's distinct shingle hashes, sorted."""
+    out = []
+    for part in in_parts(lines):
+        h, count = shingles(part, n)
+        for x in np.split(h, np.cumsum(count)[:-1]):
+            x.sort()
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+    return out
+
+
+def least_in_bins(lines: list[str], n: int) -> np.ndarray:
+    """The lines' signatures: a row each, the values of the bins, each with its bin in the low five bits."""
+    out = [np.zeros((0, BINS), np.int32)]
+    for part in in_parts(lines):
+        h, count = shingles(part, n)
+        at = np.repeat(np.arange(len(part)) * BINS, count) + ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
+        none = np.int64(1 << 32)
+        v = np.full(len(part) * BINS, none)
+        np.minimum.at(v, at, (h & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        v = v.reshape(-1, BINS)
+        last = v[:, 0]
+        for j in [*range(BINS - 1, -1, -1)] * 2:  # twice around, so that the last bins find the first ones
+            last = np.where(v[:, j] == none, last, v[:, j])
+            v[:, j] = last
+        out.append((v & ~31 | np.arange(BINS)).astype(np.uint32).view(np.int32))
+    return np.concatenate(out)
+
+
+def same(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have at least the threshold's Jaccard coefficient."""
+    need = (threshold - 1e-9) / (1 + threshold - 1e-9) * (len(a) + len(b))  # so many in common
+    return min(len(a), len(b)) >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def shingle(units: Column, start: Column, n: int) -> Column:
-    return F.xxhash64(F.substring(units, start * 2 + 1, F.lit(2 * n)))
-
-
-def shingle_hashes(line: Column, n: int) -> Column:
-    """Distinct hashes of a line's runs of n 16-bit units; of the whole line if it is shorter."""
-    return bound(F.encode(line, "UTF-16BE"), lambda u: F.array_distinct(F.transform(starts(u, n), lambda i: shingle(u, i, n))))
-
-
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once a row; an inner lambda would compute a column it names anew for every element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def signatures(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
+    """``by`` and ``v``, the values of the bins, for each row. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = least_in_bins(batch.column(len(by)).to_pylist(), n)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * BINS), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows], names=[*by, "v"])
 
-def signatures(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
-    """``by`` (which tells lines apart) and ``v``, the values of the bins, each with its bin in the low five bits. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
-    rows = lines.select(*by, F.encode(F.col(line_col), "UTF-16BE").alias("__u"))
-    rows = rows.select(*by, "__u", F.explode(starts(F.col("__u"), n)).alias("__at")).select(*by, shingle(F.col("__u"), F.col("__at"), n).alias("__h"))
-    rows = rows.select(*by, F.pmod("__h", F.lit(BINS)).cast("int").alias("__bin"), F.shiftright("__h", 32).cast("int").alias("__v"))
-    least = rows.groupBy(*by).agg(*[F.min(F.when(F.col("__bin") == j, F.col("__v"))).alias(f"__v{j}") for j in range(BINS)])
-    twice = least.select(*by, F.array(*[f"__v{j}" for j in range(BINS)] * 2).alias("__w"))
-    value = lambda j: F.coalesce(F.get("__w", F.lit(j)), F.get(F.filter(F.slice("__w", j + 1, BINS), lambda x: x.isNotNull()), F.lit(0)))
-    return twice.select(*by, F.array(*[value(j).bitwiseAND(-32).bitwiseOR(j) for j in range(BINS)]).alias("v"))
+    own = lines.select(*by, line_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[: len(by)])
+    return own.mapInArrow(sign, f"{schema}, v array<int>")
 
 
 def band_keys(v: str) -> Column:
@@ -91,10 +150,9 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     raw = every.where(some)
     digest = [F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2")]
     lines = raw.select("id", "line", normal(F.col("raw")).alias("t"))
-    places = materialise(lines.select("id", "line", *digest), "line-places")
-    signed = signatures(lines.select("t", *digest), ["d1", "d2"], "t", n)
-    first = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    kinds = materialise(signed.join(first, ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()), "line-kinds")
+    places = materialise(signatures(lines.select("id", "line", *digest, "t"), ["id", "line", "d1", "d2"], "t", n), "line-places")
+    kinds = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    kinds = materialise(kinds.withColumn("node", F.monotonically_increasing_id()), "line-kinds")
     keyed = kinds.select("node", F.explode(band_keys("v")).alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least")).where("m > 1")
     groups = groups.groupBy("m", "x", "least").agg(F.min("key").alias("key"))  # of keys with the same lines one does
@@ -120,16 +178,6 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return out.select(F.col("id").alias(id_col), "line", "keep_id", "keep_line", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line") == F.col("keep_line"))).alias("kept"))
 
 
-def _least_common(size_a: Column, size_b: Column, threshold: float) -> Column:
-    """How many elements sets of these sizes must share to have the threshold's Jaccard coefficient."""
-    return (size_a + size_b) * ((threshold - 1e-9) / (1 + threshold - 1e-9))
-
-
-def _similar(a: Column, b: Column, threshold: float) -> Column:
-    need = _least_common(F.size(a), F.size(b), threshold)
-    return F.when(F.least(F.size(a), F.size(b)) < need, F.lit(False)).otherwise(F.size(F.array_intersect(a, b)) >= need)
-
-
 def _open(keyed: DataFrame, forest: DataFrame, least: int) -> DataFrame:
     """``key``, ``node`` and ``label`` of the keys with more than ``least`` lines that hold several components, with the key's largest (``main``), its lines and all lines (``m_main``, ``m``)."""
     rows = keyed.select("key", "node").join(forest, "node")
@@ -145,14 +193,26 @@ def _merged(forest: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, heads: int, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Components that a line links to one of its keys' few heads. A head's set is made once; the other lines travel to it as text, a tenth of the size of a set."""
+    """Components that a line links to one of its keys' few heads."""
     chosen = rows.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(heads + r))).alias(f"h{r}") for r in range(heads)])
     chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"h{r}" for r in range(heads)]))).alias("head"))
     chosen = chosen.join(rows.select("key", F.col("node").alias("head"), F.col("label").alias("a")), ["key", "head"])
     pairs = rows.join(chosen, "key").where("label <> a").select("head", "node", "a", F.col("label").alias("b")).distinct()
-    sets = chosen.select("head").distinct().join(texts.withColumnRenamed("node", "head"), "head").select("head", F.col("v").alias("w"), shingle_hashes(F.col("t"), n).alias("hs"))
-    both = pairs.join(texts, "node").join(sets, "head").where(_alike(F.col("v"), F.col("w")))
-    return both.where(bound(shingle_hashes(F.col("t"), n), lambda s: bound(F.col("hs"), lambda h: _similar(s, h, threshold)))).select("a", "b").distinct()
+    head_texts = texts.select(F.col("node").alias("head"), F.col("t").alias("ht"), F.col("v").alias("w"))
+    both = pairs.join(texts, "node").join(head_texts, "head").where(_alike(F.col("v"), F.col("w"))).select("a", "b", "head", "t", "ht")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            head, t, ht = (c.to_pylist() for c in batch.columns[2:])
+            new = {k: x for k, x in zip(head, ht, strict=True) if k not in known}
+            if len(known) + len(new) > HEAD_SETS:
+                known, new = {}, dict(zip(head, ht, strict=True))
+            known.update(zip(new, sets_of(list(new.values()), n), strict=True))
+            hit = [same(s, known[k], threshold) for s, k in zip(sets_of(t, n), head, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -170,15 +230,30 @@ def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> Data
     left = blocks.where("block < outer").select("key", F.col("block").alias("x"), F.pmod("block", "units").alias("unit"), F.col("own").alias("xs"))
     right = blocks.select("key", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("own").alias("ys"))
     met = left.repartition(tasks, "key", "unit").join(right.repartition(tasks, "key", "unit"), ["key", "unit"]).where("x <= y")
-    made = lambda c: F.transform(c, lambda z: F.struct(z["label"].alias("label"), z["v"].alias("v"), shingle_hashes(z["t"], n).alias("s")))
-
-    def linked(x: Column, i: Column, ys: Column) -> Column:
-        meets = lambda y, j: ((F.col("x") < F.col("y")) | (j > i)) & (y["label"] != x["label"]) & _alike(x["v"], y["v"]) & _similar(x["s"], y["s"], threshold)
-        return F.transform(F.array_distinct(F.transform(F.filter(ys, meets), lambda y: y["label"])), lambda label: F.struct(x["label"].alias("a"), label.alias("b")))
-
-    every = bound(made(F.col("xs")), lambda xs: bound(F.when(F.col("x") == F.col("y"), xs).otherwise(made(F.col("ys"))), lambda ys: F.flatten(F.transform(xs, lambda x, i: linked(x, i, ys)))))
-    found = met.select(F.explode_outer(F.array_distinct(every)).alias("e"))  # explode would add filters that compare all over again
-    return found.where(F.col("e").isNotNull()).select("e.a", "e.b").distinct()
+    met = met.select((F.col("x") == F.col("y")).alias("one"), "xs", F.when(F.col("x") < F.col("y"), F.col("ys")).alias("ys"))
+
+    def unpacked(cell: pa.ListScalar) -> tuple[np.ndarray, list[str], np.ndarray]:
+        label, t, v = cell.values.flatten()
+        return label.to_numpy(zero_copy_only=False), t.to_pylist(), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for one, xs, ys in zip(*batch.columns, strict=True):
+                label, t, v = unpacked(xs)
+                label_y, t_y, v_y = (label, t, v) if one.as_py() else unpacked(ys)
+                near = (label[:, None] != label_y[None, :]) & ((v[:, None, :] == v_y[None, :, :]).sum(-1) >= MATCHES)
+                if one.as_py():
+                    near = np.triu(near, 1)
+                i, j = np.nonzero(near)
+                mine, theirs = np.unique(i), np.unique(j)
+                sets = dict(zip(mine.tolist(), sets_of([t[k] for k in mine], n), strict=True))
+                sets_y = dict(zip(theirs.tolist(), sets_of([t_y[k] for k in theirs], n), strict=True))
+                found |= {(int(label[a]), int(label_y[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if same(sets[a], sets_y[b], threshold)}
+            links = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def remove_lines(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
