@@ -470,9 +470,11 @@ def test_lines_past_the_head(spark):
     assert {(a, b): (c, d) for a, b, c, d in zip(got["doc_id"], got["line"], got["keep_id"], got["keep_line"], strict=True)} == want
 
 
-def test_lines_of_a_key_meet_across_blocks(spark, monkeypatch):
-    """A key with many unlike lines and a few alike, cut into many small blocks, gives what all pairs give."""
+@pytest.mark.parametrize("many", [4, line_dedup.MANY])
+def test_lines_of_a_key_meet_across_blocks(spark, monkeypatch, many):
+    """A key with many unlike lines and a few alike, cut into many small blocks, gives what all pairs give, with and without more heads before."""
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    monkeypatch.setattr(line_dedup, "MANY", many)
     monkeypatch.setattr(line_dedup, "UNIT", 2)
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
@@ -489,6 +491,16 @@ def test_lines_of_a_key_meet_across_blocks(spark, monkeypatch):
     assert not got["kept"].all()
 
 
+def test_sets_by_products():
+    """Products of incidence matrices find the pairs that intersections find, in few and in many columns."""
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("abcdefghij "), 300))
+    lines = [base[: 300 - k] + "".join(rng.choice(list("xyz"), k)) for k in range(40)] + ["", "a", "short"]
+    sets = line_dedup.sets_of(lines, 8)
+    want = np.array([[line_dedup.same(a, b, 0.8) for b in sets] for a in sets])
+    assert (want == line_dedup.alike_sets(sets, sets, 0.8)).all() and (want == line_dedup.alike_sets(sets, sets, 0.8, 64)).all() and 100 < want.sum() < want.size
+
+
 def test_lines_odd_rows(odd, empty):
     got = line_dedup.near_lines(odd).where("not kept").select("doc_id").collect()
     assert {r["doc_id"] for r in got} >= {5, 6} and not {1, 2, 3} & {r["doc_id"] for r in got}

@@ -6,10 +6,10 @@ shingle sets are numpy over Arrow batches; keys, groups, joins and the union-fin
 values far apart are keys; distinct lines that share a key are compared exactly, over their shingle sets, in two steps:
 
 1. All lines of a key meet one of its lines, and a union-find joins those at the threshold or above. In keys that then
-   are large and hold several components, the lines meet a few more, each only those of other components.
+   have thousands of lines outside of their largest component, the lines meet a few more, each only those of other components.
 2. Keys that still hold several components: lines outside of a key's largest component meet all its lines of other
-   components, in pairs of small blocks. A pair of blocks is one row, which gives the pairs of components that its lines
-   link, never pairs of lines; the pairs of blocks of a key are dealt over as many tasks as they fill.
+   components, in pairs of small blocks. A pair of blocks is one row, which gives pairs of components that span what its
+   lines link, never pairs of lines; the pairs of blocks of a key are dealt over as many tasks as they fill.
 
 So no component is split that keys connect, and lines known to be together are not compared again. A second union-find joins the
 components, and of each the first line in order of document and place stays.
@@ -28,8 +28,8 @@ from .common import materialise, text_or_empty
 from .components import connected_components
 
 BINS = 24
-#: Heads of an open key in the second round; lines of a block, pairs of blocks that are compared in one place, and lines to a task (a compared pair costs a sixteenth of reading a line).
-HEADS, BLOCK, UNIT, TASK_LINES = 3, 64, 16, 16_384
+#: Heads of an open key in the second round, and lines outside of its largest component from which a key takes part; lines of a block, pairs of blocks that are compared in one place, and lines to a task (a compared pair costs a sixteenth of reading a line).
+HEADS, MANY, BLOCK, UNIT, TASK_LINES = 3, 4096, 64, 16, 16_384
 #: Equal values of two signatures of 24 from which the sets are compared: a pair at 0.8 has fewer with probability 0.0002.
 MATCHES = 12
 #: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
@@ -115,6 +115,25 @@ def same(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return min(len(a), len(b)) >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
+def alike_sets(xs: list[np.ndarray], ys: list[np.ndarray], threshold: float, width: int = 4096) -> np.ndarray:
+    """Which of xs (rows) and ys (columns) have at least the threshold's Jaccard coefficient: products of incidence matrices over the hashes that occur twice, some columns at a time."""
+    size = np.array([len(s) for s in xs + ys], np.int64)
+    flat, row = np.concatenate(xs + ys), np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat)
+    flat, row = flat[order], row[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    twice = ~(new & np.append(new[1:], True))
+    row, col = row[twice], np.cumsum(new[twice]) - 1
+    common = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, z = np.searchsorted(col, [lo, lo + width])
+        part = np.zeros((len(size), width), np.float32)
+        part[row[a:z], col[a:z] - lo] = 1
+        common += part[: len(xs)] @ part[len(xs) :].T
+    need = (threshold - 1e-9) / (1 + threshold - 1e-9) * (size[: len(xs), None] + size[None, len(xs) :])
+    return common >= need
+
+
 def signatures(lines: DataFrame, by: list[str], line_col: str, n: int) -> DataFrame:
     """``by`` and ``v``, the values of the bins, for each row. All shingles of a line sign it, so that a pair's chance to meet depends on its Jaccard similarity alone."""
 
@@ -162,9 +181,10 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     texts = lines.join(wanted, lines["id"].eqNullSafe(wanted["id"]) & (lines["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
     texts = materialise(texts.join(kinds.select("node", "v"), "node"), "line-texts")
     forest = wanted_nodes.select("node", F.col("node").alias("label"))
-    for heads, least in ((1, 1), (HEADS, BLOCK)):  # keys of one block go to the blocks at once
-        met = _star(_open(keyed, forest, least), heads, texts, n, threshold)
-        forest = materialise(_merged(forest, met), "line-forest")
+    for heads, least in ((1, 1), (HEADS, MANY)):  # keys of few blocks go to the blocks at once
+        rows = _open(keyed, forest, least).where(F.col("m") - F.col("m_main") >= least)
+        if rows.limit(1).count():
+            forest = materialise(_merged(forest, _star(rows, heads, texts, n, threshold)), "line-forest")
     forest = materialise(_merged(forest, _blocks(_open(keyed, forest, 2), texts, n, threshold)), "line-forest")
     firsts = forest.join(kinds.select("node", "first"), "node")
     keepers = firsts.groupBy("label").agg(F.min("first").alias("keep"))
@@ -192,6 +212,15 @@ def _merged(forest: DataFrame, links: DataFrame) -> DataFrame:
     return forest.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
 
 
+def _top(into: dict[int, int], x: int) -> int:
+    """The root of x in a forest of parents, whose paths shorten on the way."""
+    while x in into:
+        if into[x] in into:
+            into[x] = into[into[x]]
+        x = into[x]
+    return x
+
+
 def _star(rows: DataFrame, heads: int, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """Components that a line links to one of its keys' few heads."""
     chosen = rows.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(heads + r))).alias(f"h{r}") for r in range(heads)])
@@ -216,7 +245,7 @@ def _star(rows: DataFrame, heads: int, texts: DataFrame, n: int, threshold: floa
 
 
 def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Pairs of components (``a``, ``b``) that some two lines of one open key link."""
+    """Pairs of components (``a``, ``b``) that span what two lines of one open key link."""
     blocks_of = lambda c: F.ceil(c / BLOCK).cast("int")
     small = F.col("m") <= BLOCK  # all lines in one block
     rows = rows.withColumn("outer", F.when(small, 1).otherwise(blocks_of(F.col("m") - F.col("m_main")))).withColumn("inner", F.when(small, 0).otherwise(blocks_of(F.col("m_main"))))
@@ -237,19 +266,28 @@ def _blocks(rows: DataFrame, texts: DataFrame, n: int, threshold: float) -> Data
         return label.to_numpy(zero_copy_only=False), t.to_pylist(), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into: dict[int, int] = {}  # the task's own forest, so that it sends links that span, not all
         for batch in batches:
             found = set()
             for one, xs, ys in zip(*batch.columns, strict=True):
                 label, t, v = unpacked(xs)
                 label_y, t_y, v_y = (label, t, v) if one.as_py() else unpacked(ys)
-                near = (label[:, None] != label_y[None, :]) & ((v[:, None, :] == v_y[None, :, :]).sum(-1) >= MATCHES)
+                equal = np.zeros((len(v), len(v_y)), np.uint8)
+                for k in range(BINS):
+                    equal += v[:, k, None] == v_y[None, :, k]
+                near = (equal >= MATCHES) & (label[:, None] != label_y[None, :])
                 if one.as_py():
                     near = np.triu(near, 1)
                 i, j = np.nonzero(near)
-                mine, theirs = np.unique(i), np.unique(j)
-                sets = dict(zip(mine.tolist(), sets_of([t[k] for k in mine], n), strict=True))
-                sets_y = dict(zip(theirs.tolist(), sets_of([t_y[k] for k in theirs], n), strict=True))
-                found |= {(int(label[a]), int(label_y[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if same(sets[a], sets_y[b], threshold)}
+                if not len(i):
+                    continue
+                (mine, i_at), (theirs, j_at) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+                hit = alike_sets(sets_of([t[k] for k in mine], n), sets_of([t_y[k] for k in theirs], n), threshold)[i_at, j_at]
+                for x, y in zip(label[i[hit]].tolist(), label_y[j[hit]].tolist(), strict=True):
+                    a, b = _top(into, x), _top(into, y)
+                    if a != b:
+                        into[max(a, b)] = min(a, b)
+                        found.add((x, y))
             links = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
