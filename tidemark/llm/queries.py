@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid_ppm, lbl_lm, line_dedup, lpf_dedup, media_ts, ngram_join, packing
+from . import conversation_trie, html_extract, langid_ppm, lbl_lm, line_dedup, lpf_dedup, media_ts, ngram_join, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -62,6 +62,12 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    first = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return conversation_trie.prefix_trie(*conversation_trie.spliced(turns, first))
+
+
 QUERIES = {
     "op1_block_rules": op1_block_rules,
     "op2_ppm_language": op2_ppm_language,
@@ -73,9 +79,56 @@ QUERIES = {
     "op8_content_sort_dedup": op8_content_sort_dedup,
     "op9_lsh_forest_join": op9_lsh_forest_join,
     "op10_water_filling_mix": op10_water_filling_mix,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an expression of ASCII characters, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda z: CAST(ord(z) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE_SQL = {
+    "op11_prefix_trie": rf"""
+        WITH convs AS (
+            SELECT conv_id, CAST({crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+        ), turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), rebuilt AS (
+            SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+        ), prefixes AS (
+            SELECT conv_id, row_number() OVER w AS depth, list({{'role': role, 'text': text}}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path, text,
+                   count(*) OVER (PARTITION BY conv_id) AS turns
+            FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+            UNION ALL
+            SELECT conv_id, 0, [], '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM convs c
+        ), member AS (
+            SELECT conv_id AS c, depth, turns, min(conv_id) OVER (PARTITION BY depth, path) AS node, CAST(len(regexp_extract_all(text, '[^ 	-
+]+')) AS BIGINT) AS words FROM prefixes
+        ), nodes AS (
+            SELECT node, depth, CAST(count(*) AS BIGINT) AS n_convs, any_value(words) AS words,
+                   string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (turns = depth) AS ends
+            FROM member GROUP BY node, depth
+        ), edges AS (
+            SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN member m ON m.c = n.node AND m.depth = n.depth - 1
+        ), children AS (
+            SELECT parent, depth - 1 AS depth, count(*) AS n FROM edges WHERE depth > 0 GROUP BY ALL
+        ), valued AS (
+            SELECT e.*, coalesce(c.n, 0) AS n_children FROM edges e LEFT JOIN children c ON c.parent = e.node AND c.depth = e.depth
+        ), sums AS (
+            SELECT a.node, a.depth, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+            FROM valued v JOIN member a ON a.c = v.node AND a.depth <= v.depth GROUP BY ALL
+        )
+        SELECT v.node AS conv_id, v.depth, v.parent AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+               CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+        FROM valued v JOIN sums s USING (node, depth)
+    """,
     "op8_content_sort_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
