@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, html_extract, langid_ppm, lbl_lm, line_dedup, lpf_dedup, media_ts, ngram_join, packing
+from . import conversation_repair, conversation_trie, html_extract, langid_ppm, lbl_lm, license_scan, line_dedup, lpf_dedup, media_ts, ngram_join, packing
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -68,6 +68,25 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(*conversation_trie.spliced(turns, first))
 
 
+def op12_bucket_queue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    mode = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    return conversation_repair.repair(conversation_repair.damaged(rows, mode), rows)
+
+
+def op13_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base, own = F.col("phrase_places"), F.col("template_places")
+    starts = F.transform(base, lambda x: x["start"])
+    labels = lambda places: F.array_sort(F.array_distinct(F.transform(places, lambda x: x["label"])))
+    both = F.concat(base, own)
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join(labels(base), ",").alias("base_labels"),
+        F.array_join(labels(both), ",").alias("labels"), F.coalesce(F.array_max(F.transform(both, lambda x: x["share"])), F.lit(0.0)).alias("score"), own.alias("places"),
+    )
+
+
 QUERIES = {
     "op1_block_rules": op1_block_rules,
     "op2_ppm_language": op2_ppm_language,
@@ -80,6 +99,8 @@ QUERIES = {
     "op9_lsh_forest_join": op9_lsh_forest_join,
     "op10_water_filling_mix": op10_water_filling_mix,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_bucket_queue_repair": op12_bucket_queue_repair,
+    "op13_template_licenses": op13_template_licenses,
 }
 
 
@@ -91,6 +112,54 @@ def crc32_sql(text: str) -> str:
 
 
 ORACLE_SQL = {
+    "op12_bucket_queue_repair": rf"""
+        WITH RECURSIVE damage AS (
+            SELECT conv_id, turn, {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS mode, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), hurt AS (
+            SELECT conv_id, turn, CASE mode WHEN 4 THEN 'user' ELSE role END AS role, CASE mode WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM damage, range(2) r(k) WHERE mode <> 0 AND (k = 0 OR mode = 3)
+        ), rowed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+                   rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body
+            FROM hurt
+        ), marked AS (
+            SELECT *, left(role, 1) AS r, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+            FROM rowed
+        ), best AS (
+            SELECT DISTINCT conv_id, n AS i, [{{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS v FROM marked
+            UNION ALL
+            SELECT conv_id, i - 1, [list_min([b[1], {{'c': b[3].c + 3, 'a': 'I' || b[3].a}}, {{'c': b[4].c + 6, 'a': 'II' || b[4].a}}]), list_min([b[2], {{'c': b[3].c + 3, 'a': 'I' || b[3].a}}, {{'c': b[4].c + 6, 'a': 'II' || b[4].a}}]),
+                                    list_min([b[3], {{'c': b[4].c + 3, 'a': 'I' || b[4].a}}]), list_min([b[4], {{'c': b[3].c + 3, 'a': 'I' || b[3].a}}])]
+            FROM (
+                SELECT x.conv_id, x.i, list_transform([1, 2, 3, 4], lambda q: list_min([
+                    {{'c': v[q].c + 4, 'a': 'D' || v[q].a}},
+                    {{'c': CASE WHEN fault IN (1, 2) THEN 1000000000 ELSE v[[3, 3, 4, 3][q]].c + 3 + CASE fault WHEN 3 THEN 3 ELSE 0 END END, 'a': 'R' || v[[3, 3, 4, 3][q]].a}},
+                    {{'c': CASE WHEN fault IN (1, 2) OR NOT (r = 's' AND q = 1 OR r = 'u' AND q <> 3 OR r = 'a' AND q = 3) THEN 1000000000
+                                ELSE v[CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + CASE fault WHEN 3 THEN 3 ELSE 0 END END, 'a': 'K' || v[CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a}}
+                ])) AS b
+                FROM best x JOIN marked m ON m.conv_id = x.conv_id AND m.pos = x.i
+            )
+        ), priced AS (
+            SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM best WHERE i = 0
+        ), steps AS (
+            SELECT conv_id, audit, 0 AS k, CAST(0 AS BIGINT) AS i, 1 AS q, CAST([] AS VARCHAR[]) AS made FROM priced
+            UNION ALL
+            SELECT s.conv_id, audit, k + 1, CASE WHEN audit[k + 1] = 'I' THEN i ELSE i + 1 END,
+                   CASE audit[k + 1] WHEN 'D' THEN q WHEN 'K' THEN CASE m.r WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE [3, 3, 4, 3][q] END,
+                   CASE audit[k + 1] WHEN 'D' THEN made WHEN 'K' THEN made || [m.role || ':' || m.text] WHEN 'I' THEN made || [['user', 'user', 'assistant', 'user'][q] || ':'] ELSE made || [['user', 'user', 'assistant', 'user'][q] || ':' || m.text] END
+            FROM steps s LEFT JOIN marked m ON m.conv_id = s.conv_id AND m.pos = s.i + 1 WHERE k < length(audit)
+        ), sums AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM marked GROUP BY conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(p.audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) c LEFT JOIN sums USING (conv_id) LEFT JOIN priced p USING (conv_id)
+        LEFT JOIN (SELECT conv_id, made FROM steps WHERE k = length(audit)) USING (conv_id)
+    """,
     "op11_prefix_trie": rf"""
         WITH convs AS (
             SELECT conv_id, CAST({crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
