@@ -5,7 +5,7 @@ integer costs. Dial's bucket queue, run from the end backwards, records the leas
 audit is then the walk from the start that takes, among the tight arcs, the one with the least initial. A letter leads to one
 successor, so that walk is the least string of all the cheapest.
 
-Conversations are cut into chunks of at most ``CHUNK`` rows, so none lies whole in one task. Costs across a chunk are a 4 x 4 table
+Conversations are cut into chunks of at most 4,096 rows (``chunk``), so none lies whole in one task. Costs across a chunk are a 4 x 4 table
 in (min, +) algebra; longer conversations fold these tables from the right, then walk their chunks with the costs beyond each chunk's end,
 and fold the states from the left. What stays in order is the SHA-256 of the repaired text, which one stream per conversation computes.
 """
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .ordered import numbered
 
-CHUNK = 4096
 DELETE, REROLE, INSERT, TRUNCATED = 4, 3, 3, 3
 OK, BLANK, DUPLICATE, CUT = 0, 1, 2, 3
 #: States: 0 nothing yet, 1 after s, 2 after u, 3 after a; 0 and 3 may end. The next role that an insertion or a new role can give, and where it leads.
@@ -98,7 +97,7 @@ def walk(dist: list, initials: str, faults: bytes, state: int, last: bool) -> tu
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(conv_id, chunk, initials, faults) of each run of rows sorted by conversation and chunk; each is at most ``CHUNK`` rows long."""
+    """(conv_id, chunk, initials, faults) of each run of rows sorted by conversation and chunk."""
     now, letters, marks = None, [], []
     for batch in batches:
         for conv, chunk, letter, mark in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
@@ -112,7 +111,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield (*now, "".join(letters), bytes(marks))
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _solve(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of a conversation of one short chunk the audit and cost; of other chunks the table of costs from state to state, and to the end of the conversation."""
     out = []
 
@@ -123,7 +122,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for conv, chunk, letters, faults in _chunks(batches):
         illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(letters, letters[1:], strict=False))
         ending = distances(letters, faults, ENDS, True)
-        if chunk == 0 and len(letters) < CHUNK:
+        if chunk == 0 and len(letters) < most:
             out.append((conv, chunk, walk(ending, letters, faults, 0, True)[0], ending[0], None, illegal, letters[0], letters[-1]))
         else:
             costs = [c for q in range(4) for c in distances(letters, faults, [0 if p == q else None for p in range(4)], False)[:4]]  # costs[4 * exit + entry]
@@ -224,7 +223,7 @@ def damaged(df: DataFrame, mode: Column) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(F.col("__mode") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__copy")).drop("__copy")
 
 
-def repair(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def repair(df: DataFrame, ids: DataFrame | None = None, *, chunk: int = 4096) -> DataFrame:
     """One row per conversation of df (conv_id, turn, role, text), and of ``ids`` (conv_id) where given.
 
     ``gaps`` missing turn numbers, ``blank``, ``duplicate`` and ``truncated`` rows by their first fault, ``illegal`` adjacent roles, ``cost`` and
@@ -239,11 +238,11 @@ def repair(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     end = F.rtrim(F.col("text"), F.lit(WHITE))
     marks = rows.select("conv_id", "pos", "turn", F.substring("role", 1, 1).alias("initial"), F.when(end == "", BLANK).when(~F.substring(end, -1, 1).isin(".", "!", "?"), CUT).otherwise(OK).alias("own"))
     fault = F.when(F.col("own") == BLANK, BLANK).when(F.col("__first").isNull(), DUPLICATE).otherwise(F.col("own"))
-    slim = marks.join(firsts, ["conv_id", "pos"], "left").select("conv_id", F.floor((F.col("pos") - 1) / CHUNK).cast("long").alias("chunk"), "pos", "turn", "initial", fault.cast("int").alias("fault"))
+    slim = marks.join(firsts, ["conv_id", "pos"], "left").select("conv_id", F.floor((F.col("pos") - 1) / chunk).cast("long").alias("chunk"), "pos", "turn", "initial", fault.cast("int").alias("fault"))
     slim = materialise(slim, "faults")
 
     chunked = slim.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "pos").select("conv_id", "chunk", "initial", "fault")
-    solved = materialise(chunked.mapInArrow(_solve, "conv_id long, chunk long, audit string, cost long, costs array<long>, illegal long, first string, final string"), "solved")
+    solved = materialise(chunked.mapInArrow(lambda batches: _solve(batches, chunk), "conv_id long, chunk long, audit string, cost long, costs array<long>, illegal long, first string, final string"), "solved")
     short = solved.where("audit is not null").select("conv_id", "chunk", "audit")
     priced = solved.where("audit is not null").select("conv_id", "cost")
     long = solved.where("audit is null")
@@ -257,7 +256,7 @@ def repair(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     letters = materialise(short, "letters")
 
     audit = letters.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "audit"))), lambda x: x["audit"]), "").alias("audit"))
-    marked = rows.select("conv_id", (2 * F.col("pos")).alias("at"), "role", "text").unionByName(letters.select("conv_id", (2 * F.col("chunk") * CHUNK + 1).alias("at"), F.lit(None).cast("string").alias("role"), F.col("audit").alias("text")))
+    marked = rows.select("conv_id", (2 * F.col("pos")).alias("at"), "role", "text").unionByName(letters.select("conv_id", (2 * F.col("chunk") * chunk + 1).alias("at"), F.lit(None).cast("string").alias("role"), F.col("audit").alias("text")))
     hashed = marked.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(_repaired, "conv_id long, repaired_sha256 string")
 
     wide = "decimal(38,0)"
