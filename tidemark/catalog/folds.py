@@ -130,7 +130,16 @@ def _(df):
     return kinds[0].unionByName(kinds[1]).groupBy("method", "symbol", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.add("W19_shannon_entropy", "user_ticks")
+RETURNS = "r AS (SELECT symbol, ts, row_number() OVER w AS i, list(price / p - 1) OVER (w ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS rs FROM (SELECT *, nullif(lag(price) OVER (PARTITION BY symbol ORDER BY ts), 0) AS p FROM user_ticks) WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+
+
+@book.add(
+    "W19_shannon_entropy", "user_ticks",
+    "SELECT symbol, ts, CASE WHEN n IS NOT NULL THEN round(abs(-list_sum(list_transform(counts, lambda c: CASE WHEN c > 0 THEN c / n * log2(c / n) ELSE 0 END))), 6) END AS shannon_entropy FROM c",
+    RETURNS + ", x AS (SELECT symbol, ts, i, list_filter(rs, lambda v: v IS NOT NULL) AS xs FROM r), b AS (SELECT symbol, ts, CASE WHEN i > 50 AND len(xs) >= 25 THEN xs END AS xs, list_min(xs) AS lo, list_max(xs) AS hi FROM x),"
+    " k AS (SELECT symbol, ts, len(xs) AS n, list_transform(xs, lambda v: CASE WHEN hi > lo THEN len(list_filter(range(1, 10), lambda b: v >= lo + b * ((hi - lo) / 10))) ELSE 0 END) AS ks FROM b),"
+    " c AS (SELECT symbol, ts, n, list_transform(range(10), lambda b: len(list_filter(ks, lambda v: v = b))) AS counts FROM k)",
+)
 def _(df):
     return rounded(folds.shannon_entropy(df, "price"), "symbol", "ts", shannon_entropy="shannon_entropy")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from ..operators import intervals
-from ..sources.views import read
+from ..operators import intervals, running
+from ..sources.views import read, ticks
 from .book import Book, rounded
 
 book = Book()
@@ -87,3 +87,24 @@ def _(df):
     df = df.withColumn("bucket", F.floor(s.cumsum("size") / 1000))
     sizes = df.groupBy("symbol", "bucket").agg(F.sum("size").alias("bucket_size"))
     return rounded(df.join(sizes, ["symbol", "bucket"]), "symbol", "ts", "bucket", bucket_size="bucket_size")
+
+
+@book.add(
+    "U5_asof_join", "ticks",
+    "SELECT a.symbol, a.ts, a.price, b.ts AS since, b.price AS price_asof, b.size FROM (SELECT symbol, ts, price FROM ticks) a ASOF LEFT JOIN (SELECT symbol, ts, price, size FROM ticks WHERE size >= 90) b ON a.symbol = b.symbol AND a.ts > b.ts",
+)
+def _(df):
+    large = df.where("size >= 90").select("symbol", "ts", F.col("ts").alias("since"), "price", "size")
+    return running.asof_join(df.select("symbol", "ts", "price"), large, strict=True)
+
+
+@book.add(
+    "U5_extra_features", None,
+    "WITH shifted AS (SELECT o_orderdate + to_days(CAST(date_diff('day', lo, hi) AS INTEGER)) AS ts, sum(o_totalprice) AS value FROM orders, (SELECT min(o_orderdate) AS lo, (SELECT min(ts) FROM events) AS hi FROM orders) GROUP BY 1)"
+    " SELECT event_type AS symbol, e.ts, e.value AS price, CASE WHEN s.ts >= e.ts - INTERVAL 18 HOUR THEN round(s.value, 4) END AS value FROM events e ASOF LEFT JOIN shifted s ON e.ts >= s.ts",
+)
+def _(spark, sf_dir):
+    t, orders = ticks(spark, sf_dir).select("symbol", "ts", "price"), read(spark, sf_dir, "orders")
+    moved = orders.crossJoin(F.broadcast(orders.agg(F.min("o_orderdate").alias("lo")))).crossJoin(F.broadcast(t.agg(F.min("ts").alias("hi"))))  # one row each
+    day = moved.groupBy((F.col("o_orderdate") + F.make_dt_interval(F.datediff("hi", "lo"))).alias("ts")).agg(F.round(F.sum("o_totalprice"), 4).alias("value"))
+    return running.asof_join(t.withColumn("all", F.lit("ALL")), day.withColumn("all", F.lit("ALL")), ["value"], within="18 HOURS", key="all").drop("all")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import series as s
+from ..operators import rolling
 from ..operators import windows as op
 from .book import Book, rounded
 
@@ -225,3 +227,13 @@ def _(df):
 )
 def _(df):
     return op.chart_overlay(df)
+
+
+@book.add(
+    "U6_rolling_function", "user_ticks",
+    "SELECT symbol, ts, round(CASE WHEN len(xs) = 20 THEN list_median(list_transform(xs, lambda v: abs(v - m))) END, 6) AS mad FROM"
+    " (SELECT *, list_median(xs) AS m FROM (SELECT symbol, ts, list(price) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS xs FROM user_ticks))",
+)
+def _(df):
+    mad = lambda w: np.median(np.abs(w - np.median(w, 1, keepdims=True)), 1)
+    return rounded(rolling.rolling_apply(df, "price", 20, mad, "mad"), "symbol", "ts", mad="mad")

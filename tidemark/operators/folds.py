@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
 from ..functions import series as s
+from .rolling import lempel_ziv_complexity, shannon_entropy  # noqa: F401  part of the features of this module
 
 
 def per_symbol(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -180,52 +181,65 @@ def labels(df: DataFrame, method: str = "triple_barrier", price: str = "close",
     return triple_barrier(df, price, **options)
 
 
-def shannon_entropy(df: DataFrame, price: str = "close", bins: int = 10, n: int = 50) -> DataFrame:
-    """Add ``shannon_entropy`` of the returns in the n rows before each row; at least half must be there."""
-    return _windowed(df, price, n, lambda x: ec.shannon(x, bins), "shannon_entropy")
+class UniquenessTree:
+    """Sums over the average uniqueness of spans, for draws in proportion to it and updates after each.
 
+    A segment tree with the spans, sorted by start, as leaves: a draw walks one path from the root; a drawn span changes the uniqueness only of spans that
+    meet it, which lie in one run of leaves as long as no span is much longer than the others.
+    """
 
-def lempel_ziv_complexity(df: DataFrame, price: str = "close", bins: int = 10, n: int = 50) -> DataFrame:
-    """Add ``lempel_ziv`` of the returns in the n rows before, as bits: quantile bin above the median bin."""
-
-    def one(x: np.ndarray) -> float:
-        edges = np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)))
-        code = np.clip(np.searchsorted(edges, x, "left") - 1, 0, None)
-        return ec.lempel_ziv(code > np.median(code))
-
-    return _windowed(df, price, n, one, "lempel_ziv")
-
-
-def _windowed(df: DataFrame, price: str, n: int, f: Callable[[np.ndarray], float], out: str) -> DataFrame:
-    def one(g: pd.DataFrame) -> np.ndarray:
-        r = g[price].astype(float).pct_change(fill_method=None).to_numpy()
-        found = np.full(len(r), np.nan)
-        for i in range(n, len(r)):
-            x = r[i - n : i]
-            x = x[np.isfinite(x)]
-            if len(x) >= n // 2:
-                found[i] = f(x)
-        return found
-
-    return added(df, {out: one})
+    def __init__(self, i0: np.ndarray, i1: np.ndarray):
+        self.i0, self.i1, self.reach = i0, i1, np.maximum.accumulate(i1)
+        self.base = int(i0.min())
+        self.taken = np.zeros(int(i1.max()) - self.base + 1)
+        self.leaves = 1 << max(0, int(len(i0) - 1).bit_length())
+        self.tree = np.zeros(2 * self.leaves)
+        self.tree[self.leaves : self.leaves + len(i0)] = 1.0
+        self._sum(self.leaves, 2 * self.leaves - 1)
+
+    def _sum(self, a: int, b: int) -> None:
+        """Sums above the leaves a to b."""
+        while a > 1:
+            a, b = a // 2, b // 2
+            self.tree[a : b + 1] = self.tree[2 * a : 2 * b + 2 : 2] + self.tree[2 * a + 1 : 2 * b + 2 : 2]
+
+    def find(self, share: float) -> int:
+        """The leaf at which the running sum passes a share of the whole."""
+        rest, i = share * self.tree[1], 1
+        while i < self.leaves:
+            i *= 2
+            if rest >= self.tree[i]:
+                rest -= self.tree[i]
+                i += 1
+        return min(i - self.leaves, len(self.i0) - 1)
+
+    def take(self, k: int) -> None:
+        """Draw span k: one more label at each of its bars."""
+        lo, hi = int(self.i0[k]), int(self.i1[k])
+        own = slice(lo - self.base, hi - self.base + 1)
+        less = np.concatenate([[0.0], np.cumsum(1 / (2 + self.taken[own]) - 1 / (1 + self.taken[own]))])
+        self.taken[own] += 1
+        a, b = int(np.searchsorted(self.reach, lo, "left")), int(np.searchsorted(self.i0, hi, "right"))
+        i0, i1 = self.i0[a:b], self.i1[a:b]
+        first, last = np.maximum(i0, lo) - lo, np.minimum(i1, hi) - lo + 1
+        self.tree[self.leaves + a : self.leaves + b] += np.where(last > first, less[np.maximum(last, 0)] - less[np.minimum(first, hi - lo + 1)], 0.0) / (i1 - i0 + 1)
+        self._sum(self.leaves + a, self.leaves + b - 1)
 
 
 def sequential_bootstrap(spans: DataFrame, draws: int | None = None, replicates: int = 1, seed: int = 0) -> DataFrame:
-    """Draws of spans (symbol, label_id, i0, i1 as bar numbers) with chance in proportion to their average uniqueness given the draws before: ``symbol, replicate, draw, label_id``. One task per symbol and replicate."""
-    many = spans.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    """Draws of spans (symbol, label_id, i0, i1 as bar numbers) with chance in proportion to their average uniqueness given the draws before: ``symbol, replicate, draw, label_id``.
+
+    Each draw depends on all before, so a symbol's replicate is one task; a draw costs the logarithm of the number of spans, and the spans that meet the drawn one. Spans without an end are left out.
+    """
+    many = spans.where("i0 is not null and i1 >= i0").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("label_id", ignore_index=True)
-        i0, i1 = g["i0"].to_numpy(np.int64), g["i1"].to_numpy(np.int64)
-        base = i0.min()
-        taken = np.zeros(i1.max() - base + 2)
+        g = g.sort_values(["i0", "label_id"], ignore_index=True)
+        tree = UniquenessTree(g["i0"].to_numpy(np.int64), g["i1"].to_numpy(np.int64))
         rng, picked = np.random.default_rng([seed, int(key[1])]), []
         for _ in range(draws or len(g)):
-            run = np.concatenate([[0.0], np.cumsum(1 / (1 + taken))])
-            u = (run[i1 - base + 1] - run[i0 - base]) / (i1 - i0 + 1)
-            k = int(rng.choice(len(g), p=u / u.sum()))
-            picked.append(k)
-            taken[i0[k] - base : i1[k] - base + 1] += 1
+            picked.append(tree.find(rng.random()))
+            tree.take(picked[-1])
         return pd.DataFrame({"symbol": key[0], "replicate": key[1], "draw": range(len(picked)), "label_id": g["label_id"].to_numpy()[picked]})
 
     return many.groupBy("symbol", "replicate").applyInPandas(one, "symbol string, replicate int, draw int, label_id long")

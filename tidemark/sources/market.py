@@ -117,6 +117,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Bars in one folder per symbol."""
     writer = bars.repartition("symbol").write.mode("overwrite").partitionBy("symbol")

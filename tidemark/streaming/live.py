@@ -1,4 +1,4 @@
-"""Streaming forms: windowed bars with watermarks, event-time dollar bars and CUSUM with carried state, and a signal engine over a stream."""
+"""Windowed bars of a stream, with watermarks and without duplicates."""
 
 from __future__ import annotations
 
@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .machines import Cusum
+
 
 def event_time(df: DataFrame, late: str = "10 minutes") -> DataFrame:
     """ts as an instant with a watermark; rows later than that are dropped by windowed aggregates."""
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
+def unique(trades: DataFrame, *key: str) -> DataFrame:
+    """Trades of a stream with a watermark, one of those that agree in ``key`` (symbol, ts, price and size by default). Keys are forgotten once the watermark has passed them; later copies are late rows then, and dropped."""
+    return trades.dropDuplicatesWithinWatermark(list(key) or ["symbol", "ts", "price", "size"])
+
+
 def _ohlcv(df: DataFrame, window: object) -> DataFrame:
     return df.groupBy("symbol", window.alias("w")).agg(
         F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("n"),
@@ -34,82 +41,24 @@ def session_bars(trades: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return _ohlcv(trades, F.session_window("ts", gap))
 
 
-BARS = "symbol string, bar_id long, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
-BAR_STATE = "total double, bar_id long, ts timestamp, open double, high double, low double, close double, volume double, dollar_volume double"
-
-
-def dollar_bars(trades: DataFrame, threshold: float) -> DataFrame:
-    """Closed dollar bars of a stream of trades, the same as the batch ones: the running value and the open bar are state per symbol. Trades must come in order of time per symbol; a bar is sent when a later one opens."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, bar = (0.0, None)
-        if state.exists:
-            total, *rest = state.get
-            bar = list(rest)
-        out = []
-        for g in [pd.concat(list(parts)).sort_values("ts")]:
-            for ts, p, q in zip(g["ts"], g["price"], g["size"], strict=True):
-                total += p * q
-                k = int(total // threshold)
-                if bar is not None and bar[0] == k:
-                    bar[1:] = [ts, bar[2], max(bar[3], p), min(bar[4], p), p, bar[6] + q, bar[7] + p * q]
-                else:
-                    if bar is not None:
-                        out.append((key[0], *bar))
-                    bar = [k, ts, p, p, p, p, q, p * q]
-        state.update((total, *bar))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in BARS.split(", ")])
-
-    return trades.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "price", "size").groupBy("symbol").applyInPandasWithState(step, BARS, BAR_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 EVENTS = "symbol string, ts timestamp, event int"
 
 
 def cusum(trades: DataFrame, threshold: float) -> DataFrame:
-    """CUSUM events on log returns of a stream of trades, with both sums and the last price as state per symbol."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import math
-
-        up, down, last = state.get if state.exists else (0.0, 0.0, None)
-        out = []
-        g = pd.concat(list(parts)).sort_values("ts")
-        for ts, p in zip(g["ts"], g["price"], strict=True):
-            if last is not None and p > 0 and last > 0:
-                r = math.log(p / last)
-                up, down = max(0.0, up + r), min(0.0, down + r)
-                if up > threshold:
-                    out.append((key[0], ts, 1))
-                    up = 0.0
-                elif down < -threshold:
-                    out.append((key[0], ts, -1))
-                    down = 0.0
-            last = p
-        state.update((up, down, last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "event"])
-
-    return trades.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "price").groupBy("symbol").applyInPandasWithState(step, EVENTS, "up double, down double, last double", "append", GroupStateTimeout.NoTimeout)
-
+    """CUSUM events on log returns of a stream whose micro-batches come in order of time, with both sums and the last price as state per symbol.
 
-POSITIONS = "symbol string, ts timestamp, price double, signal int, position int, changes long"
+    A symbol's rows of one micro-batch are sorted at once. ``machines.run_machine`` with ``Cusum`` takes rows in any order and holds one slice of time only.
+    """
+    step = Cusum(threshold)
 
+    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = state.get if state.exists else None, []
+        for ts, p in sorted((ts, p) for part in parts for ts, p in zip(part["ts"], part["price"], strict=True)):
+            held = step.tick(held, ts, p, 0.0, lambda at, event: out.append((key[0], at, event)))
+        state.update(held)
+        yield pd.DataFrame(out, columns=["symbol", "ts", "event"])
 
-def positions(signals: DataFrame) -> DataFrame:
-    """Position and number of changes per symbol after each signal of a stream (symbol, ts, price, signal); 0 leaves the position."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, changes = state.get if state.exists else (0, 0)
-        out = []
-        g = pd.concat(list(parts)).sort_values("ts")
-        for ts, p, want in zip(g["ts"], g["price"], g["signal"], strict=True):
-            if want != 0 and want != held:
-                held, changes = int(want), changes + 1
-            out.append((key[0], ts, p, int(want), held, changes))
-        state.update((held, changes))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in POSITIONS.split(", ")])
-
-    return signals.groupBy("symbol").applyInPandasWithState(step, POSITIONS, "held int, changes long", "append", GroupStateTimeout.NoTimeout)
+    return trades.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "price").groupBy("symbol").applyInPandasWithState(walk, EVENTS, step.state, "append", GroupStateTimeout.NoTimeout)
 
 
 def start(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
