@@ -51,7 +51,18 @@ def _(df):
     return both.select("symbol", "ts", F.round(F.col("quick") - F.col("slow"), 6).alias("macd"))
 
 
-@book.add("W27_ewm_volatility", "ticks")
+#: A shock's weight falls by this factor a row.
+FALL = repr(1 - 2 / 21)
+
+
+@book.add(
+    "W27_ewm_volatility", "ticks",
+    "SELECT symbol, ts, round(CASE WHEN m >= 2 THEN sqrt(greatest(wxx / w - power(wx / w, 2), 0) * w * w / nullif(w * w - w2, 0)) END, 6) AS vol FROM f",
+    "RECURSIVE_MARKv AS (SELECT symbol, ts, row_number() OVER w AS i, (100 + price) / lag(100 + price) OVER w - 1 AS r FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)),"
+    " x AS (SELECT *, coalesce(r - avg(r) OVER (PARTITION BY symbol), 0) AS x, CASE WHEN r IS NULL THEN 0 ELSE 1 END AS one FROM v),"
+    f" f AS (SELECT symbol, ts, i, CAST(one AS DOUBLE) AS w, CAST(one AS DOUBLE) AS w2, x AS wx, x * x AS wxx, one AS m FROM x WHERE i = 1 UNION ALL SELECT x.symbol, x.ts, x.i, {FALL} * f.w + one, {FALL} * {FALL} * f.w2 + one,"
+    f" {FALL} * f.wx + x.x, {FALL} * f.wxx + x.x * x.x, f.m + one FROM f JOIN x ON x.symbol = f.symbol AND x.i = f.i + 1)",
+)
 def _(df):
     out = folds.daily_volatility(df.select("symbol", "ts", (100 + F.col("price")).alias("close")))
     return rounded(out, "symbol", "ts", vol="vol")
@@ -83,7 +94,11 @@ def _(df):
     return rounded(folds.frac_diff(df, 0.95, "price"), "symbol", "ts", frac_diff="frac_diff")
 
 
-@book.add("F4_frac_diff_long", "ticks")
+@book.add(
+    "F4_frac_diff_long", "ticks", "SELECT symbol, ts, round(sum(w * x) FILTER (i >= n), 6) AS frac_diff FROM (SELECT a.symbol, a.ts, a.i, l.n, l.w, b.x FROM p a JOIN p b ON a.symbol = b.symbol AND b.i <= a.i JOIN lags l ON l.k = a.i - b.i) GROUP BY 1, 2",
+    "RECURSIVE_MARKp AS (SELECT symbol, ts, ln(price) AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ticks),"
+    " wk AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.4::DOUBLE - k) / (k + 1) FROM wk WHERE abs(w * (0.4::DOUBLE - k) / (k + 1)) >= 1e-5), lags AS (SELECT k, w, count(*) OVER () AS n FROM wk)",
+)
 def _(df):
     return rounded(folds.frac_diff(df, 0.4, "price", log=True), "symbol", "ts", frac_diff="frac_diff")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecast as op
+from ..operators.learners import learner_paths
 from .book import Book, rounded
 
 book = Book()
@@ -25,6 +26,11 @@ for _id, _name in (("X1_arma", "arma"), ("X2_damped_holt", "holt"), ("X3_garch_p
     book.add(_id, "ticks")(_model(_name))
 
 
+@book.add("X4_learners", "ticks")
+def _(df):
+    return rounded(learner_paths(bars(df)), "symbol", "model", "step", yhat="yhat", lo="lo", hi="hi", rmse="rmse")
+
+
 @book.add("X6_monte_carlo", "ticks")
 def _(df):
     return op.monte_carlo(bars(df), 10)

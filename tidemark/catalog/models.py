@@ -9,7 +9,7 @@ from ..functions import series as s
 from ..operators import learning as op
 from ..operators import weights
 from ..plans import pipelines
-from ..sources.market import shared_path
+from ..sources.market import materialise, shared_path
 from .book import Book, rounded
 
 book = Book()
@@ -48,14 +48,14 @@ def _(df):
 @book.add("M3_stacking", "ticks")
 def _(df):
     train, test = split(df)
-    stack = op.Stack.train([op.forest(FEATURES, trees=5, leaf=10), op.logistic(FEATURES)], train)
+    stack = op.Stack.train([op.forest(FEATURES), op.logistic(FEATURES)], train)
     return rounded(op.confusion(stack.predict(test), "symbol"), "symbol", "n", accuracy="accuracy", f1="f1")
 
 
 @book.add("M13_base_contributions", "ticks")
 def _(df):
     train, test = split(df)
-    stack = op.Stack.train([op.forest(FEATURES, trees=5, leaf=10), op.logistic(FEATURES)], train)
+    stack = op.Stack.train([op.forest(FEATURES), op.logistic(FEATURES)], train)
     return rounded(op.contributions(stack, test), "model", "n", accuracy="accuracy", f1="f1", log_loss="log_loss")
 
 
@@ -63,7 +63,7 @@ def _(df):
 def _(df):
     train, test = split(df)
     path = shared_path(df.sparkSession, "model")
-    op.fit(op.forest(FEATURES, trees=5, leaf=10), train).write().save(path)
+    op.fit(op.forest(FEATURES, trees=100), train).write().save(path)
     return rounded(op.scored(PipelineModel.load(path), test), "symbol", "ts", p="p")
 
 
@@ -83,13 +83,13 @@ def _(df):
 @book.add("M5_meta_pipeline", "ticks")
 def _(df):
     bars = df.select("symbol", "ts", (100 + F.col("price")).alias("close"), (101 + F.col("price")).alias("high"), (99 + F.col("price")).alias("low"), (1 + F.col("size")).alias("volume"))
-    return rounded(pipelines.MetaPipeline(trees=5).fit(bars).predict(bars), "symbol", "ts", "side", "take", "action", p="p")
+    return rounded(pipelines.MetaPipeline(trees=100).fit(bars).predict(bars), "symbol", "ts", "side", "take", "action", p="p")
 
 
 @book.add("M6_importance_mdi", "ticks")
 def _(df):
     train, _ = split(df)
-    return op.importance_mdi(op.fit(op.forest(FEATURES, trees=10, leaf=10), train), FEATURES, df.sparkSession)
+    return op.importance_mdi(op.fit(op.forest(FEATURES), train), FEATURES, df.sparkSession)
 
 
 @book.add("M7_importance_mda", "ticks")
@@ -102,25 +102,53 @@ def _(df):
     return op.importance_sfi(table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3), FEATURES)
 
 
-@book.add("M9_probabilistic_sharpe", "ticks")
-def _(df):
+def sharpe_moments(df):
     r = F.col("price") / 100 - 0.49
-    m = df.groupBy("symbol").agg((F.avg(r) / F.stddev_samp(r)).alias("sr"), F.count(r).alias("n"), F.skewness(r).alias("g"), (F.kurtosis(r) + 3).alias("k"))
+    return df.groupBy("symbol").agg((F.avg(r) / F.stddev_samp(r)).alias("sr"), F.count(r).alias("n"), F.skewness(r).alias("g"), (F.kurtosis(r) + 3).alias("k"))
+
+
+SHARPE = (
+    "r AS (SELECT symbol, price / 100 - 0.49::DOUBLE AS r, avg(price / 100 - 0.49::DOUBLE) OVER (PARTITION BY symbol) AS mu, stddev_pop(price / 100 - 0.49::DOUBLE) OVER (PARTITION BY symbol) AS sd FROM ticks),"
+    " q AS (SELECT symbol, avg(r) / stddev_samp(r) AS sr, count(r) AS n, avg(power((r - mu) / sd, 3)) AS g, avg(power((r - mu) / sd, 4)) AS k FROM r GROUP BY 1), m AS (SELECT *, (1 + 0.5 * sr * sr - g * sr + (k - 3) / 4 * sr * sr) / n AS v FROM q)"
+)
+
+
+def phi_sql(z: str) -> str:
+    """The normal distribution function as in operators.risk."""
+    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2.0)))"
+    tail = f"0.5 * {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z} / 2)"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+@book.add("M9_probabilistic_sharpe", "ticks", f"SELECT symbol, round({phi_sql('a')}, 6) AS psr, round({phi_sql('b')}, 6) AS dsr FROM (SELECT symbol, sr / sqrt(v) AS a, (sr - {op.expected_max_sharpe(10, 0.02)!r}) / sqrt(v) AS b FROM m)", SHARPE)
+def _(df):
+    m = sharpe_moments(df)
     return rounded(m, "symbol", psr=op.psr(F.col("sr"), F.lit(0.0), F.col("n"), F.col("g"), F.col("k")), dsr=op.deflated_sharpe(F.col("sr"), 0.02, 10, F.col("n"), F.col("g"), F.col("k")))
 
 
-@book.add("M10_deflated_sharpe", "ticks")
+@book.add(
+    "M10_deflated_sharpe", "ticks",
+    f"SELECT symbol, trials, round({phi_sql('z')}, 6) AS dsr FROM (" + " UNION ALL ".join(f"SELECT symbol, {t} AS trials, (sr - {op.expected_max_sharpe(t, 0.02)!r}) / sqrt(v) AS z FROM m" for t in (1, 10, 100)) + ")", SHARPE,
+)
 def _(df):
-    r = F.col("price") / 100 - 0.49
-    m = df.groupBy("symbol").agg((F.avg(r) / F.stddev_samp(r)).alias("sr"), F.count(r).alias("n"), F.skewness(r).alias("g"), (F.kurtosis(r) + 3).alias("k"))
+    m = sharpe_moments(df)
     found = [m.select("symbol", F.lit(t).alias("trials"), F.round(op.deflated_sharpe(F.col("sr"), 0.02, t, F.col("n"), F.col("g"), F.col("k")), 6).alias("dsr")) for t in (1, 10, 100)]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@book.add("M11_deflated_excess", "ticks")
+def _excess_sql(t: int) -> str:
+    return f"SELECT symbol, {t} AS trials, sr - {op.expected_max_sharpe(t)!r} AS dsr, (sr - {op.expected_max_sharpe(t)!r}) / sqrt(v) AS z FROM m"
+
+
+@book.add(
+    "M11_deflated_excess", "ticks", f"SELECT symbol, trials, round(dsr, 6) AS dsr, round(1 - {phi_sql('z')}, 6) AS p, 1 - {phi_sql('z')} < 0.05 AS significant FROM (" + " UNION ALL ".join(_excess_sql(t) for t in (1, 10, 100)) + ")", SHARPE,
+)
 def _(df):
-    n = df.count()
-    return df.sparkSession.createDataFrame([(t, float(d["dsr"]), float(d["probability_by_chance"]), bool(d["is_significant"])) for t in (1, 10, 100) for d in [op.deflated_excess(1.5, t, n)]], "trials int, dsr double, p double, significant boolean")
+    m, found = sharpe_moments(df), []
+    for t in (1, 10, 100):
+        d = op.deflated_excess_of(F.col("sr"), t, F.col("n"), F.col("g"), F.col("k"))
+        found.append(m.select("symbol", F.lit(t).alias("trials"), F.round(d["dsr"], 6).alias("dsr"), F.round(d["probability_by_chance"], 6).alias("p"), d["is_significant"].alias("significant")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 EVAL = "t AS (SELECT symbol, CAST(price > 50 AS INTEGER) AS label, CAST(size > 50 AS INTEGER) AS pred, (size + 0.5) / 100 AS p FROM ticks), m AS (SELECT symbol, count(*) AS n, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred = 0) AS fn, avg(CAST(label = pred AS INTEGER)) AS acc, avg(-CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS ll FROM t GROUP BY 1)"
@@ -137,7 +165,8 @@ def _(df):
 
 @book.add("M14_validate_strategy", "ticks")
 def _(df):
-    cv = op.cross_validate(op.logistic(FEATURES), table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3)).localCheckpoint()
+    cv = op.cross_validate(op.logistic(FEATURES), table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3))
+    cv = materialise(cv, "folds")
     train, test = split(df)
     ret = F.when(F.col("p") > 0.5, F.col("next_ret")).otherwise(-F.col("next_ret"))
     r = op.scored(op.fit(op.logistic(FEATURES), train), test).agg(F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("sd"), F.count(ret).alias("n")).first()
@@ -164,6 +193,12 @@ def _(df):
     return p.result.test
 
 
+@book.add("M18_meta_labelling", "brand")
+def _(df):
+    p = pipelines.MetaPipeline(trees=100, threshold=0.55).fit(df)
+    return rounded(p.predict(df), "symbol", "ts", "side", "take", "action", p="p", size="size")
+
+
 @book.add("C10_cross_validation", "ticks")
 def _(df):
     return op.cross_validate(op.logistic(FEATURES), table(df).drop("next_ret"), weights.purged_kfold(spans(df), 3))

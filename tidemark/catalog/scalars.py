@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as s
 from ..functions import text
+from ..operators import report
 from ..sources.views import read
 from .book import Book, rounded
 
@@ -153,10 +154,19 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.is_formula(F.split("text", "\n")[0]).alias("is_formula"))
 
 
-@book.add("P19_parse_answer")
+BODY = "ALPHA_DECAY: slow\nRISK_LEVEL: HIGH\nCONSENSUS:\nBuy on dips\nKEY FINDINGS:\n- one\n- two\nRECOMMENDATIONS:\n- wait\nCITATIONS:\n- none"
+
+
+@book.add(
+    "P19_parse_answer", None,
+    "SELECT conv_id, turn, CASE WHEN odd THEN 'slow' ELSE '' END AS alpha_decay, CASE WHEN odd THEN 'HIGH' ELSE '' END AS risk_level, CASE WHEN odd THEN 'Buy on dips' ELSE '' END AS consensus, CASE WHEN odd THEN 'one|two' ELSE '' END AS findings,"
+    " CASE WHEN odd THEN 'wait' ELSE '' END AS recommendations, CASE WHEN odd THEN 'none' ELSE '' END AS citations FROM (SELECT conv_id, turn, coalesce(turn % 2 <> 0, true) AS odd FROM conversations)",
+)
 def _(spark, sf_dir):
-    body = "ALPHA_DECAY: slow\nRISK_LEVEL: HIGH\nCONSENSUS:\nBuy on dips\nKEY FINDINGS:\n- one\n- two\nRECOMMENDATIONS:\n- wait\nCITATIONS:\n- none"
-    return text.parse_answer(read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.lit(body)).alias("text"))).drop("text")
+    """Every other turn has an answer with all headings in place of its text, the rest have none."""
+    asked = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.lit(BODY)).alias("text"))
+    lists = ("findings", "recommendations", "citations")
+    return text.parse_answer(asked).drop("text").withColumns({c: F.array_join(c, "|") for c in lists})
 
 
 @book.add("P20_report_lines", "daily", "SELECT 'bars ' || CAST(count(*) AS VARCHAR) || ', last ' || strftime(max(ts), '%Y-%m-%d') AS report FROM daily")
@@ -164,7 +174,19 @@ def _(df):
     return df.agg(F.format_string("bars %d, last %s", F.count(F.lit(1)), F.date_format(F.max("ts"), "yyyy-MM-dd")).alias("report"))
 
 
-@book.add("P22_chunks", None, None)
+@book.add("P21_risk_report", "ticks")
+def _(df):
+    rets = df.select("symbol", "ts", (100 + F.col("price")).alias("close")).withColumn("ret", s.ret("close"))
+    return report.risk_report(rets)
+
+
+@book.add(
+    "P22_chunks", None,
+    "SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk, length(done[k]) AS n_chars FROM (SELECT doc_id, done, unnest(range(1, len(done) + 1)) AS k FROM (SELECT doc_id, CASE WHEN acc.cur = '' THEN acc.done ELSE acc.done || [acc.cur] END AS done FROM"
+    " (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN length(a.cur) + length(x.cur) > 1000 AND a.cur <> '' THEN {'cur': right(a.cur, 200) || chr(10) || chr(10) || x.cur, 'done': a.done || [a.cur]}"
+    " ELSE {'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || chr(10) || x.cur END, 'done': a.done} END, {'cur': '', 'done': CAST([] AS VARCHAR[])}) AS acc FROM"
+    " (SELECT doc_id, list_transform(list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: trim(p)), lambda p: p <> ''), lambda p: {'cur': p, 'done': CAST([] AS VARCHAR[])}) AS ps FROM documents))))",
+)
 def _(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return text.explode_chunks(docs).select("doc_id", F.col("chunk").cast("int"), F.length("chunk_text").alias("n_chars"))

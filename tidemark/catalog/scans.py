@@ -104,7 +104,22 @@ def _(df):
     return op.read_csv(df.sparkSession, path).select("symbol", "ts", "high", "low", "close", "volume")
 
 
-@book.add("S21_parquet_round_trip", "brand", "SELECT symbol, ts, close FROM brand WHERE symbol = 'Brand#11'")
+@book.add("S21_parquet_round_trip", "brand", "SELECT symbol, ts, high, low, close, volume FROM brand")
+def _(df):
+    path = op.shared_path(df.sparkSession, "bars")
+    op.write_bars(df, path)
+    return op.read_parquet(df.sparkSession, path).select("symbol", "ts", "high", "low", "close", "volume")
+
+
+@book.add("S25_csv_per_symbol", "brand", "SELECT symbol, count(*) AS n, round(sum(volume), 2) AS volume, max(ts) AS ts FROM brand GROUP BY 1")
+def _(df):
+    path = op.shared_path(df.sparkSession, "bars-by-symbol")
+    op.write_bars(df, path, "csv")
+    back = df.sparkSession.read.option("header", True).schema("ts timestamp_ntz, close double, high double, low double, volume double, symbol string").csv(path)
+    return back.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume"), 2).alias("volume"), F.max("ts").alias("ts"))
+
+
+@book.add("S21_parquet_pushdown", "brand", "SELECT symbol, ts, close FROM brand WHERE symbol = 'Brand#11'")
 def _(df):
     path = op.shared_path(df.sparkSession, "bars")
     op.write_bars(df, path)

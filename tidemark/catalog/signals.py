@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signals as op
 from .book import Book, rounded
-from .windows import LAG, full
+from .windows import LAG, full, over
 
 book = Book()
 
@@ -23,7 +23,15 @@ def _(df):
     return df.sparkSession.createDataFrame([(n,) for n in op.models()], "name string")
 
 
-@book.add("G2_rsi_reversion", "ticks")
+RSI = (
+    "RECURSIVE_MARKn AS (SELECT symbol, ts, row_number() OVER w AS i, coalesce(greatest(price - lag(price) OVER w, 0), 0) AS u, coalesce(greatest(lag(price) OVER w - price, 0), 0) AS d FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)),"
+    " f AS (SELECT symbol, ts, i, u AS a, d AS b, CAST(1 AS DOUBLE) AS w FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.ts, n.i, n.u + 13.0::DOUBLE / 14 * f.a, n.d + 13.0::DOUBLE / 14 * f.b, 1 + 13.0::DOUBLE / 14 * f.w FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1),"
+    " r AS (SELECT symbol, ts, CASE WHEN i >= 14 THEN 100 - 100 / (1 + a / w / greatest(b / w, 1e-10)) END AS rsi FROM f),"
+    " y AS (SELECT symbol, ts, rsi, CAST(coalesce(last_value(CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INTEGER) AS signal FROM r)"
+)
+
+
+@book.add("G2_rsi_reversion", "ticks", f"SELECT symbol, ts, round(rsi, 6) AS rsi, signal, {CROSS} FROM y WHERE rsi IS NOT NULL", RSI)
 def _(df):
     return rounded(op.RsiReversion().signals(bars(df)), "symbol", "ts", "signal", "crossover", rsi="rsi")
 
@@ -110,7 +118,18 @@ def _(df):
     return rounded(op.grid_bollinger(bars(df), [20], [1.0, 1.5]), "symbol", "period", "width", sharpe="sharpe")
 
 
-@book.add("G7_grid_rsi", "ticks")
+def _rsi(p: int) -> str:
+    return f"CASE WHEN count(*) {over(p)} = {p} THEN 100 - 100 / nullif(1 + avg(greatest(d, 0)) {over(p)} / nullif(avg(greatest(-d, 0)) {over(p)}, 0), 0) END"
+
+
+GRID_RSI = (
+    f"c AS (SELECT symbol, ts, price / nullif({LAG.format(x='price')}, 0) - 1 AS ret, coalesce(price - {LAG.format(x='price')}, 0) AS d FROM ticks), r AS (SELECT *, {_rsi(7)} AS r7, {_rsi(14)} AS r14 FROM c), g AS ("
+    + " UNION ALL ".join(f"SELECT symbol, ts, ret, {p} AS period, 30 AS low, {b} AS high, CASE WHEN r{p} < 30 THEN 1 WHEN r{p} > {b} THEN 0 END AS a FROM r" for p in (7, 14) for b in (60, 70))
+    + "), h AS (SELECT *, coalesce(last_value(a IGNORE NULLS) OVER (PARTITION BY symbol, period, high ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS held FROM g), k AS (SELECT *, lag(held) OVER (PARTITION BY symbol, period, high ORDER BY ts) * ret AS p FROM h)"
+)
+
+
+@book.add("G7_grid_rsi", "ticks", "SELECT symbol, period, low, high, round(coalesce(avg(p) / nullif(stddev_samp(p), 0) * sqrt(252.0), 0), 6) AS sharpe FROM k GROUP BY 1, 2, 3, 4", GRID_RSI)
 def _(df):
     return rounded(op.grid_rsi(bars(df), [7, 14], [30], [60, 70]), "symbol", "period", "low", "high", sharpe="sharpe")
 

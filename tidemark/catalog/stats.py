@@ -83,7 +83,7 @@ def _(df):
 
 @book.add("Q8_var_bootstrap", "ticks")
 def _(df):
-    return risk.var_bootstrap(rets(df), draws=500, per_task=100)
+    return risk.var_bootstrap(rets(df))
 
 
 @book.add(

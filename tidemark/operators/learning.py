@@ -213,6 +213,13 @@ def deflated_excess(sr: float, trials: int, n: int, skew: float = 0.0, kurtosis:
     return {"dsr": sr - top, "expected_max": top, "probability_by_chance": p, "is_significant": p < 0.05}
 
 
+def deflated_excess_of(sr: Column, trials: int, n: Column, skew: Column, kurtosis: Column) -> dict[str, Column]:
+    """``deflated_excess`` over columns: one Sharpe ratio per row."""
+    top = expected_max_sharpe(trials)
+    p = 1 - psr(sr, F.lit(top), n, skew, kurtosis)
+    return {"dsr": sr - top, "expected_max": F.lit(top), "probability_by_chance": p, "is_significant": p < 0.05}
+
+
 def orthogonal(df: DataFrame, features: list[str], share: float = 0.95) -> tuple[DataFrame, list[str]]:
     """Standardise and rotate to the fewest components that keep ``share`` of the variance: ``pc_1`` .. and the constant ``explained_variance``. Nulls count as 0."""
     filled = df.na.fill(0.0, subset=features)

@@ -12,16 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import econometrics as ec
 from ..functions import series as s
 from .folds import added, frac_diff
-
-
-def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None) -> DataFrame:
-    """``symbol, adf_stat, p_value, lag, is_stationary`` (5 %); fewer than 10 values are not stationary, p 1."""
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        tau, p, lag = ec.adf(g.sort_values("ts")[x].to_numpy(float), max_lag)
-        return pd.DataFrame({"symbol": [key[0]], "adf_stat": [tau], "p_value": [p], "lag": [lag], "is_stationary": [p < 0.05]})
-
-    return df.select("symbol", "ts", x).groupBy("symbol").applyInPandas(one, "symbol string, adf_stat double, p_value double, lag int, is_stationary boolean")
+from .regression import adf_test
 
 
 def hurst(df: DataFrame, x: str = "close", max_lag: int = 20) -> DataFrame:
