@@ -671,3 +671,40 @@ def test_mix_odd_rows(odd, empty):
     got = mixing.mix_sources(odd).toPandas()
     assert len(got) == 12 and (got[got["doc_id"] == 1]["taken"] == 0).all()
     assert mixing.mix_sources(empty).count() == 0
+
+
+def test_broken_pages_take_linear_time():
+    """A megabyte of what never ends: each piece used to be searched to the end of the page."""
+    import time
+
+    for piece in ("<a ", "<![CDATA[", '<p title="', "<a", "<!x", "<p a=''", "<a b=\"<a c='"):
+        for end in ("", ">", "'", "'>", '">'):
+            page = piece * (1_000_000 // len(piece)) + end
+            start = time.perf_counter()
+            html_extract.main_text(page)
+            assert time.perf_counter() - start < 15, (piece, end)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", '"', "'", "p", "a b=", "/", " ", "<p ", "</p>", "<a href='x'>", "<!--", "-->", "<![CDATA[", "]]>", "<!x", "<script", "</script >", "text "]), max_size=25))
+def test_tokens_are_in_order_and_whole(parts):
+    page, at = "".join(parts), 0
+    for start, end, name, _, attributes in html_extract.tokens(page):
+        assert at <= start < end <= len(page) and page[start] == "<"
+        if name is not None:
+            assert page[end - 1] == ">" and page[start:end].strip("</").startswith(name) and attributes in page[start:end]
+            outside = re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)
+            assert ">" not in outside and '"' not in outside and "'" not in outside
+        at = end
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<article class="post share">%s</article>', '<article class="entry teaser">%s</article>', '<div class="page ad-free">%s</div>', '<div id="main-menu-wrapper">%s</div>', '<form action="x"><div>%s</div></form>',
+    '<div class="content ads"><article>%s</article></div>',
+])
+def test_a_name_does_not_empty_a_page(wrapper):
+    good = "<p>It is the best of all that was on the site, and there is more of it in the text that you can read here when they have the time for it, so this is a long paragraph of good words.</p>" * 3
+    page = '<html><body><nav><a href="/">Home</a></nav>' + wrapper % good + '<div class="sidebar"><p>Short.</p></div><footer>imprint</footer></body></html>'
+    text = html_extract.main_text(page)[0]
+    assert text.startswith("It is the best") and "imprint" not in text and "Home" not in text
+    assert html_extract.main_text('<div class="cookie-notice"><p>We use cookies.</p></div>')[0] == ""

@@ -51,11 +51,10 @@ BAD_NAMES = (
 )
 
 STOPS = [frozenset(x.split()) for x in STOP_WORDS.values()]
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|math)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>",
-    re.S | re.I,
-)
+RAW = re.compile(r"<(script|style|noscript|template|svg|math)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: A tag without further "<", by far the most frequent kind; looking for it never goes beyond the next "<".
+PLAIN = re.compile(r"<(/?)(?!(?:script|style|noscript|template|svg|math)\b)([a-zA-Z][^\s/><\"']*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>", re.I)
+LETTER, NAME_END, SPECIAL = re.compile(r"[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BAD_NAME = re.compile(rf"(?:^|[\s_-])(?:{BAD_NAMES})(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"""\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -66,8 +65,81 @@ GOOD, BAD, NEAR, SHORT = 1, 0, 2, 3
 SHORT_CHARS, LONG_CHARS, LINK_SHARE, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.15, 0.28
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
-    """Blocks of a page in order: text, link characters, bad region, inside article or main, heading, inside an element of PROSE."""
+class _Next:
+    """The next match of a one-character pattern from places that only grow; no character is looked at twice."""
+
+    def __init__(self, page: str, pattern: re.Pattern):
+        self.page, self.pattern, self.lo, self.hi = page, pattern, 0, -1
+
+    def __call__(self, at: int) -> int:
+        """Its place, or the length of the page."""
+        if not self.lo <= at <= self.hi:
+            m = self.pattern.search(self.page, at)
+            self.lo, self.hi = at, m.start() if m else len(self.page)
+        return self.hi
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Tags, comments and elements of raw text in order: start, end, name (None where it is no tag), whether it ends an element, attributes.
+
+    A tag ends at the first ``>`` outside of quotes; where there is none, ``<`` is text. Time is linear in the page: what a failed search saw is not searched
+    again. ``dead`` has the places of quotes from which no end was found.
+    """
+    n, at, dead = len(page), 0, set()
+    name_end, special = _Next(page, NAME_END), _Next(page, SPECIAL)
+    cdata, angle = True, True  # whether "]]>" and ">" were still found
+
+    def tag_end(k: int) -> int:
+        seen, p = [], special(k)
+        while p < n and p not in dead:
+            if page[p] == ">":
+                return p
+            seen.append(p)
+            close = page.find(page[p], p + 1)
+            if close < 0:
+                break
+            m = SPECIAL.search(page, close + 1)
+            p = m.start() if m else n
+        dead.update(seen)
+        return -1
+
+    while (lt := page.find("<", at)) >= 0:
+        if plain := PLAIN.match(page, lt):
+            at = plain.end()
+            yield lt, at, plain[2], plain[1] == "/", plain[3]
+            continue
+        end, name, attributes = -1, None, ""
+        after = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            end = end + 3 if end >= 0 else n
+        elif cdata and page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            cdata, end = end >= 0, end + 3 if end >= 0 else -1
+        if end < 0 and after in ("!", "?") and after and angle:
+            end = page.find(">", lt + 2)
+            angle, end = end >= 0, end + 1 if end >= 0 else -1
+        elif end < 0 and (raw := RAW.match(page, lt)):
+            end = raw.end()
+        elif end < 0:
+            k = lt + 1 + (after == "/")
+            if LETTER.match(page, k):
+                stop = name_end(k)
+                close = tag_end(stop) if stop < n else -1
+                if close >= 0:
+                    end, name, attributes = close + 1, page[k:stop], page[stop:close]
+        if end < 0:
+            at = lt + 1
+            continue
+        yield lt, end, name, after == "/", attributes
+        at = end
+
+
+def blocks(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bool, bool, bool]]:
+    """Blocks of a page in order: text, link characters, bad region, inside article or main, heading, inside an element of PROSE.
+
+    Without ``by_name`` neither the names of elements nor forms make a region bad.
+    """
     found: list[tuple[str, int, bool, bool, bool, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, bad region (2: for good), inside main
     opened: dict[str, list[int]] = {}  # places of the open elements of each tag in the stack
@@ -98,20 +170,19 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
             heading -= gone in HEADINGS
         del stack[k:]
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, stop, tag, ends, attributes in tokens(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m[3]
+        at = stop
         if tag is None:
             continue
         tag = tag.lower()
         if tag in BLOCK_TAGS:
             close()
-        if m[2]:
+        if ends:
             k = max(last((tag,)), default=-1)
             if k >= 0 and k > max(last(WITHIN.get(tag, ())), default=-1):
                 end(k)
@@ -122,7 +193,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
                 border = max(last(within), default=-1)
                 if (k := min((x for x in found_open if x > border), default=-1)) >= 0:
                     end(k)
-        if tag in VOID_TAGS or m[4].endswith("/"):
+        if tag in VOID_TAGS or attributes.endswith("/"):
             continue
         if tag == "a" and links:  # links do not nest: an open one ends here
             if opened["a"][-1] == len(stack) - 1:
@@ -135,11 +206,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
         if tag in ("article", "main") and bad < 2:
             main, bad = True, 0
         elif tag == "form":
-            bad = max(bad, 1)
-        elif tag in BAD_TAGS or tag == "header" and not main:
+            bad = max(bad, 1) if by_name else bad
+        elif tag in BAD_TAGS and tag != "form" or tag == "header" and not main:
             bad = 2
-        if m[4] and tag not in ("html", "body", "main"):
-            if HIDDEN.search(m[4]) or any(BAD_NAME.search(x[0] or x[1] or x[2]) for x in NAMED.findall(m[4])):
+        if attributes and tag not in ("html", "body", "main"):
+            if HIDDEN.search(attributes) or by_name and any(BAD_NAME.search(x[0] or x[1] or x[2]) for x in NAMED.findall(attributes)):
                 bad = 2
     if at < len(page):
         rest = page[at:]
@@ -207,11 +278,24 @@ def open_pass(labels: list[int], heading: list[bool], prose: list[bool]) -> list
 def main_text(page: str | None) -> tuple[str, int, int]:
     """Main text, and how many blocks there were and stay.
 
+    Names of elements are evidence: where they, or a form around it all, leave nothing of a page, it is read again without them, and that stands if a block is
+    good by its own length and stop words.
+    """
+    text, n, kept, _ = _settled(blocks(page or ""))
+    if not kept and n:
+        again, _, left, good = _settled(blocks(page, by_name=False))
+        if good:
+            return again, n, left
+    return text, n, kept
+
+
+def _settled(found: list[tuple[str, int, bool, bool, bool, bool]]) -> tuple[str, int, int, bool]:
+    """Text of the blocks that stay, how many there were and stay, and whether a good one does.
+
     Runs of blocks inside and outside of article and main elements are settled each on its own. Blocks of bad regions inside an element are no
     neighbours there, nor are they on a page without such an element, where text in paragraphs is held to the same lengths as inside one. Where no
     block of a run has enough stop words, its language is not one of STOP_WORDS and few stop words say nothing.
     """
-    found = blocks(page or "")
     labels = [first_pass(t, n, bad, main, prose) for t, n, bad, main, _, prose in found]
     article = any(x != BAD and b[3] for x, b in zip(labels, found, strict=True))
     keep = [False] * len(found)
@@ -235,7 +319,8 @@ def main_text(page: str | None) -> tuple[str, int, int]:
         for i, x in zip(at, stays, strict=True):
             keep[i] = x
     kept = [b[0] for b, k in zip(found, keep, strict=True) if k]
-    return " ".join(kept), len(found), len(kept)
+    good = any(k and first_pass(b[0], b[1], False, b[3] or b[5], b[5]) == GOOD for b, k in zip(found, keep, strict=True))
+    return " ".join(kept), len(found), len(kept), good
 
 
 def extract(df: DataFrame, html_col: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
