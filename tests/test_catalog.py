@@ -8,7 +8,8 @@ from tests.oracle import SF, assert_same, connect
 from tidemark import catalog
 
 QUERIES, SQL = catalog.load()
-SLOW = ("M", "C10", "G8", "X9_forecast")
+#: Long ones without SQL; those of them that have value tests of the operator are in test_operators and test_learners.
+SLOW = ("M", "C10", "G8", "X9_forecast", "X4_learners")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -81,9 +81,11 @@ def test_paths_feed_forecasts_back(spark, prices):
         feats = forecast_features(bars.withColumnRenamed("close", "price"), "price").na.drop(subset=one.features)
         last = feats.groupBy("symbol").agg(F.max_by(F.struct(*feats.columns), "ts").alias("x")).select("x.*")
         for r in one.models["ridge"].transform(last).collect():
-            full[r["symbol"]].append(r["price"] * (1 + max(-0.5, min(0.5, r["yhat"]))))
+            full[r["symbol"]].append(r["price"] * (1 + r["yhat"]))
     want = [v for s in ("A", "B") for v in full[s][-3:]]
-    assert np.allclose(got["yhat"], want, rtol=1e-9) and (got["lo"] < got["yhat"]).all() and got["rmse"].notna().all()
+    assert np.allclose(got["yhat"], want, rtol=1e-9)
+    last = got["symbol"].map({r["symbol"]: r["close"] for r in prices.orderBy("ts").collect()})
+    assert np.allclose(got["yhat"] - got["lo"], 1.645 * got["rmse"] * np.sqrt(got["step"]) * last) and np.allclose(got["hi"] - got["yhat"], got["yhat"] - got["lo"])
 
 
 def test_unknown_learner():

@@ -21,8 +21,8 @@ from .forecast import Z90
 from .windows import forecast_features
 
 LEARNERS = ("forest", "boosting", "ridge")
-#: Rows before a row that its features need, and the greatest return that a step may have.
-TAIL, LIMIT = 64, 0.5
+#: Rows before a row that its features need.
+TAIL = 64
 
 
 def regressor(name: str, features: list[str], seed: int = 42, **options: object) -> Pipeline:
@@ -50,7 +50,7 @@ def learning_table(df: DataFrame, price: str = "close") -> tuple[DataFrame, list
 
 @dataclass
 class Learners:
-    """Fitted learners: ``errors`` are root mean squared errors of returns over each symbol's last fifth, by models of the rest; the models themselves are fitted on all rows."""
+    """Learners fitted on the first part of each symbol's rows; ``errors`` are root mean squared errors of returns over the rest."""
 
     models: dict[str, PipelineModel] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
@@ -65,9 +65,9 @@ class Learners:
         one, parts = cls(features=names), []
         for name in learners:
             est = regressor(name, names, **options.get(name, {}))
-            tested = est.fit(known.where(F.col("__p") < share)).transform(known.where(F.col("__p") >= share))
+            one.models[name] = est.fit(known.where(F.col("__p") < share))
+            tested = one.models[name].transform(known.where(F.col("__p") >= share))
             parts.append(tested.groupBy("symbol").agg(F.sqrt(F.avg(F.pow(F.col("yhat") - F.col("target"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(name)))
-            one.models[name] = est.fit(known)
         out = parts[0]
         for x in parts[1:]:
             out = out.unionByName(x)
@@ -83,10 +83,10 @@ class Learners:
         return out
 
     def paths(self, df: DataFrame, horizon: int = 30, price: str = "close") -> DataFrame:
-        """Long table of paths as in ``forecast.forecasts``; bands grow with the root of the step and the deviation of all returns. Symbols with too few rows for features give none."""
+        """Long table of paths as in ``forecast.forecasts``; bands grow with the root of the step and the model's error. Symbols with too few rows for features give none."""
         bars = df.where(F.col(price) > 0).select("symbol", "ts", F.col(price).cast("double").alias("price"))
         back = F.row_number().over(s.whole().orderBy(F.desc("ts")))
-        spread = bars.withColumn("__r", s.ret("price")).groupBy("symbol").agg(F.stddev_samp("__r").alias("sd"), F.max_by("price", "ts").alias("last"))
+        ends = bars.groupBy("symbol").agg(F.max_by("price", "ts").alias("last"))
         models = df.sparkSession.createDataFrame([(m,) for m in self.models], "model string")
         # a series per symbol and model; places stand for times, which the next steps do not have
         tail = bars.withColumn("__k", back).where(F.col("__k") <= TAIL).select("symbol", (-F.col("__k").cast("long")).alias("place"), "price").crossJoin(F.broadcast(models))
@@ -95,12 +95,11 @@ class Learners:
             series = tail.where(F.col("place") >= step - 1 - TAIL).select(F.struct("symbol", "model").alias("symbol"), F.col("place").alias("ts"), "price")
             last = forecast_features(series, "price").where(F.col("ts") == step - 2).na.drop(subset=self.features)
             asked = self.predict(last.select("symbol.symbol", "symbol.model", "price", *self.features))
-            move = F.greatest(F.least(F.col("yhat"), F.lit(LIMIT)), F.lit(-LIMIT))
-            new = asked.select("symbol", F.lit(step - 1).cast("long").alias("place"), (F.col("price") * (1 + move)).alias("price"), "model")
+            new = asked.select("symbol", F.lit(step - 1).cast("long").alias("place"), (F.col("price") * (1 + F.col("yhat"))).alias("price"), "model")
             tail = materialise(tail.unionByName(new), "tail")
         found = tail.where("place >= 0").withColumn("step", (F.col("place") + 1).cast("int"))
-        band = Z90 * F.col("sd") * F.sqrt(F.col("step").cast("double")) * F.col("last")
-        both = found.join(spread, "symbol").join(self.errors, ["symbol", "model"], "left")
+        band = Z90 * F.col("rmse") * F.sqrt(F.col("step").cast("double")) * F.col("last")
+        both = found.join(ends, "symbol").join(self.errors, ["symbol", "model"], "left")
         return both.select("symbol", "model", "step", F.col("price").alias("yhat"), (F.col("price") - band).alias("lo"), (F.col("price") + band).alias("hi"), "rmse")
 
 
