@@ -708,3 +708,26 @@ def test_a_name_does_not_empty_a_page(wrapper):
     text = html_extract.main_text(page)[0]
     assert text.startswith("It is the best") and "imprint" not in text and "Home" not in text
     assert html_extract.main_text('<div class="cookie-notice"><p>We use cookies.</p></div>')[0] == ""
+
+
+def test_contexts_beyond_the_table_cost_the_same():
+    """Two hundred symbols and twelve languages: order 3 stays whatever the table holds."""
+    rng = np.random.default_rng(11)
+    counts: Counter = Counter()
+    texts = []
+    for k in range(12):
+        base = rng.integers(1, 201, 150).astype(np.uint8)
+        for _ in range(4):
+            x = base.copy()
+            x[rng.random(len(x)) < 0.2] = rng.integers(1, 201)
+            texts.append(x.tobytes())
+            flat = bytes(langid_ppm.ORDER) + x.tobytes()
+            for i in range(len(flat) - 3):
+                counts[f"l{k:02}", int.from_bytes(flat[i : i + 4], "big")] += 1
+    rows = [(a, g, n) for (a, g), n in counts.items()]
+    texts += [rng.integers(0, 256, 300).astype(np.uint8).tobytes(), b"", bytes(9)]
+    whole, some, none = (langid_ppm.grow(rows, table_bytes=t) for t in (1 << 34, 60 << 20, 0))
+    assert whole.rare is None and (some.rare >= 0).sum() > 100 and (none.rare >= 0).sum() > (some.rare >= 0).sum()
+    want = whole.score(texts)
+    assert np.allclose(some.score(texts), want, rtol=1e-5) and np.allclose(none.score(texts), want, rtol=1e-5)
+    assert [int(x) for x in want[:48].argmin(1)] == [k for k in range(12) for _ in range(4)]

@@ -4,7 +4,9 @@ Each language has a context tree of bytes up to order 3. A byte seen after a con
 bytes seen there, T different ones); one not seen costs the escape, -log2 T / (N + T), plus its cost after the next
 shorter context, down to a uniform choice among 256. A context that a language never saw costs no escape. The
 statistics are frozen after training, so a text's code length is a sum of table entries: the trees of all languages are
-laid out as one array (context, byte, language), and texts are scored in numpy by looking up all their bytes at once.
+laid out as one array (context, byte, language), and texts are scored in numpy by looking up all their bytes at once. Only the
+most frequent contexts of order 3 have rows for all bytes there, as many as ``table_bytes`` holds; the others have rows for the bytes seen
+after them, found by binary search, and their escapes. Both give the same costs.
 """
 
 from __future__ import annotations
@@ -23,13 +25,20 @@ SLICE = 1 << 19
 
 @dataclass
 class Trees:
-    """Frozen code lengths. ``code`` maps bytes to symbols (0: never seen), ``state`` three symbols to a context, ``bits`` (context, symbol) to a cost per language."""
+    """Frozen code lengths. ``code`` maps bytes to symbols (0: never seen), ``state`` three symbols to a context, ``bits`` (context, symbol) to a cost per language.
+
+    ``rare`` maps three symbols to a context without such rows (-1: none): ``grams`` are its strings of four symbols as sorted numbers, ``gram_bits`` their costs, ``escape`` its costs of a byte not seen.
+    """
 
     languages: list[str]
     code: np.ndarray
     symbols: int
     state: np.ndarray
     bits: np.ndarray
+    rare: np.ndarray | None = None
+    grams: np.ndarray | None = None
+    gram_bits: np.ndarray | None = None
+    escape: np.ndarray | None = None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
@@ -44,10 +53,19 @@ class Trees:
         for lo in range(ORDER, len(flat), SLICE):
             hi = min(len(flat), lo + SLICE)
             s = flat[lo - ORDER : hi].astype(np.int32)
-            at = self.state[(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
+            context = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
+            at = self.state[context]
             at *= a
             at += s[3:]
             cost = self.bits.take(at, axis=0)
+            if self.rare is not None:
+                own = self.rare[context]
+                some = np.flatnonzero(own >= 0)
+                key = context[some].astype(np.int64) * a + s[3:][some]
+                place = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
+                seen = self.grams[place] == key
+                cost[some[seen]] = self.gram_bits[place[seen]]
+                cost[some[~seen]] += self.escape[own[some[~seen]]]
             first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
             which = np.arange(first, last)
             which = which[lengths[which] > 0]
@@ -59,7 +77,7 @@ class Trees:
 
 
 def grow(counts: list[tuple[str, int, int]], table_bytes: int = 48 << 20) -> Trees | None:
-    """Trees from (language, four bytes as one number, count). Contexts of order 3 are kept by count as far as table_bytes allow; all shorter ones stay."""
+    """Trees from (language, four bytes as one number, count). All contexts stay; those of order 3 have rows for all symbols by count as far as table_bytes allow."""
     if not counts:
         return None
     languages = sorted({x[0] for x in counts})
@@ -72,9 +90,10 @@ def grow(counts: list[tuple[str, int, int]], table_bytes: int = 48 << 20) -> Tre
     a, k, b = len(seen) + 1, len(languages), code[b].astype(np.int64)
     key3 = (b[:, 0] * a + b[:, 1]) * a + b[:, 2]
     ids3, inv = np.unique(key3, return_inverse=True)
-    room = max(0, table_bytes // (a * k * 4) - 1 - a - a * a)
-    weight = np.bincount(inv, n)
-    ids3 = np.sort(ids3[np.argsort(-weight, kind="stable")[:room]])
+    ctx2, inv2 = np.unique(b[:, 1] * a + b[:, 2], return_inverse=True)
+    room = max(0, table_bytes // (a * k * 4) - 1 - a - len(ctx2))
+    all3, order = ids3, np.argsort(-np.bincount(inv, n), kind="stable")
+    ids3 = np.sort(all3[order[:room]])
 
     def level(ctx: np.ndarray, size: int, keep: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Probability by (context, symbol, language); lower has that of the next shorter context."""
@@ -87,7 +106,6 @@ def grow(counts: list[tuple[str, int, int]], table_bytes: int = 48 << 20) -> Tre
     every = np.ones(len(n), bool)
     p0 = level(np.zeros(len(n), np.int64), 1, every, np.full((1, 1, 1), 1 / 256, np.float32))
     p1 = level(b[:, 2], a, every, p0)
-    ctx2, inv2 = np.unique(b[:, 1] * a + b[:, 2], return_inverse=True)
     p2 = level(inv2, len(ctx2), every, p1[ctx2 % a])
     where = np.searchsorted(ids3, key3)
     inside = where < len(ids3)
@@ -98,17 +116,35 @@ def grow(counts: list[tuple[str, int, int]], table_bytes: int = 48 << 20) -> Tre
     by2[ctx2] = a + np.arange(len(ctx2))
     state = np.tile(by2, a).astype(np.int32)
     state[ids3] = a + len(ctx2) + np.arange(len(ids3))
-    return Trees(languages, code, a, state, np.ascontiguousarray(bits))
+    trees = Trees(languages, code, a, state, np.ascontiguousarray(bits))
+    if inside.all():
+        return trees
+    out = ~inside  # strings after contexts without rows for all symbols
+    held = np.sort(all3[order[room:]])
+    own = np.searchsorted(held, key3[out])
+    seen = np.zeros((2, len(held), k), np.float32)  # bytes and kinds of bytes by context and language
+    np.add.at(seen[0], (own, lang[out]), n[out])
+    np.add.at(seen[1], (own, lang[out]), 1)
+    total, kinds = seen
+    trees.escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0).astype(np.float32)
+    grams, at = np.unique(key3[out] * a + b[out, 3], return_inverse=True)
+    of = np.searchsorted(held, grams // a)
+    lower = -np.log2(p2[np.searchsorted(ctx2, grams // a % (a * a)), grams % a])
+    trees.grams, trees.gram_bits = grams, (lower + trees.escape[of]).astype(np.float32)
+    trees.gram_bits[at, lang[out]] = -np.log2(n[out] / (total + kinds)[own, lang[out]])
+    trees.rare = np.full(a**3, -1, np.int32)
+    trees.rare[held] = np.arange(len(held))
+    return trees
 
 
 def fit(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key_col: str = "doc_id", sample_bytes: int = 3 << 20, max_grams: int = 200_000, table_bytes: int = 48 << 20,
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key_col: str = "doc_id", sample_bytes: int = 3 << 20, table_bytes: int = 48 << 20,
 ) -> Trees | None:
     """Learn one tree per language from a bounded sample.
 
     Of each language, texts whose hash of ``key_col`` falls below sample_bytes / (its bytes) are counted, so about sample_bytes of
-    each; of their four-byte strings the ``max_grams`` most frequent of each language come to the driver. Rows without text or
-    language teach nothing; without any other rows there is no model (None).
+    each; their different four-byte strings with counts come to the driver, at most sample_bytes of them a language, in natural text a tenth or less. Rows without text or
+    language teach nothing; without any other rows (an empty table) there is no model (None). Repeated rows count each.
     """
     rows = labelled.select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(key_col).cast("string"), F.lit(11)).alias("h")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
     per = {r["l"]: int(r["n"] or 0) for r in rows.groupBy("l").agg(F.sum(F.octet_length("t")).alias("n")).collect()}
@@ -127,10 +163,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(kinds), pa.string()), pa.array(kinds.astype(np.int64)), pa.array(count.astype(np.int64))], names=["l", "g", "n"])
 
     counted = rows.where(keep).select("l", "t").mapInArrow(grams, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= max_grams)
-    got = top.select("l", "g", "n").toPandas()
+    got = counted.toPandas()
     return grow(list(zip(got["l"], got["g"], got["n"], strict=True)), table_bytes)
 
 
