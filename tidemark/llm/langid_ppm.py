@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 3
-SLICE = 1 << 19
+#: Bytes, and texts, that are looked up at once.
+SLICE, TEXTS = 1 << 18, 512
 
 
 @dataclass
@@ -76,7 +77,7 @@ class Trees:
         return total
 
 
-def grow(counts: list[tuple[str, int, int]], table_bytes: int = 48 << 20) -> Trees | None:
+def grow(counts: list[tuple[str, int, int]], table_bytes: int = 16 << 20) -> Trees | None:
     """Trees from (language, four bytes as one number, count). All contexts stay; those of order 3 have rows for all symbols by count as far as table_bytes allow."""
     if not counts:
         return None
@@ -138,7 +139,7 @@ def grow(counts: list[tuple[str, int, int]], table_bytes: int = 48 << 20) -> Tre
 
 
 def fit(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key_col: str = "doc_id", sample_bytes: int = 3 << 20, table_bytes: int = 48 << 20,
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key_col: str = "doc_id", sample_bytes: int = 3 << 20, table_bytes: int = 16 << 20,
 ) -> Trees | None:
     """Learn one tree per language from a bounded sample.
 
@@ -182,12 +183,14 @@ def predict(df: DataFrame, trees: Trees | None, text_col: str = "text", *, pass_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(len(names))]
-            some = np.array([x.is_valid for x in batch.column(len(names))], bool)
+            column = batch.column(len(names))
+            some = np.array([x.is_valid for x in column], bool)
             if model is None:
-                pred, sure = ["und"] * len(texts), np.zeros(len(texts))
+                pred, sure = ["und"] * len(some), np.zeros(len(some))
             else:
-                bits = model.score(texts)
+                bits = np.zeros((len(some), len(model.languages)))
+                for lo in range(0, len(some), TEXTS):
+                    bits[lo : lo + TEXTS] = model.score([(x.as_py() or "").encode("utf-8", "surrogatepass") for x in column.slice(lo, TEXTS)])
                 best = bits.argmin(1)
                 sure = np.where(some, 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1), 0.0)
                 pred = [model.languages[i] if ok else "und" for i, ok in zip(best, some, strict=True)]
