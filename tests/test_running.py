@@ -34,7 +34,9 @@ def test_running_kinds(spark, table):
         x = g["x"]
         assert np.allclose(g["s"], x.fillna(0).cumsum()) and (g["n"] == x.notna().cumsum()).all()
         assert np.allclose(g["hi"], x.cummax().ffill(), equal_nan=True) and np.allclose(g["lo"], x.cummin().ffill(), equal_nan=True) and np.allclose(g["z"], x.ffill(), equal_nan=True)
-    assert sorted(running.places(df, order=["ts", "k"]).where("symbol = 'HOT'").toPandas()["pos"]) == list(range(500))
+    for whole in (0, 50_000):
+        placed = running.places(df, order=["ts", "k"], whole=whole).where("symbol = 'HOT'").toPandas().sort_values("k")
+        assert placed["pos"].tolist() == list(range(500))
 
 
 @pytest.mark.parametrize(("strict", "within"), [(False, None), (True, None), (False, "3 MINUTES")])

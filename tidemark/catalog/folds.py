@@ -9,6 +9,7 @@ from ..functions import econometrics as ec
 from ..functions import series as s
 from ..operators import backtest, folds
 from .book import Book, rounded
+from .windows import _scan_sql as scan_sql
 
 book = Book()
 N = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM user_ticks)"
@@ -138,7 +139,20 @@ def _(df):
     return out.withColumns({"trgt": F.round("trgt", 6), "ret": F.round("ret", 6)})
 
 
-@book.add("F8_labels_by_method", "ticks")
+RANGED = (
+    "v AS (SELECT *, sqrt(CASE WHEN count(x) OVER f = 20 THEN avg(x) OVER f END) AS vol FROM (SELECT symbol, ts, 100 + price AS close, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, power(ln((101 + price) / (99 + price)), 2) / (4 * ln(2)) AS x FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+    " WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),"
+    " t3 AS (SELECT a.symbol, coalesce(min(b.i - a.i) FILTER (b.close >= a.close * (1 + 2.0 * a.vol)), 21) AS u, coalesce(min(b.i - a.i) FILTER (b.close <= a.close * (1 - 1.0 * a.vol)), 21) AS d FROM v a JOIN v b ON a.symbol = b.symbol AND b.i BETWEEN a.i AND a.i + 20"
+    " WHERE a.i >= 20 AND a.i < a.n - 20 AND a.vol > 0.001 GROUP BY a.symbol, a.ts), "
+)
+
+
+@book.add(
+    "F8_labels_by_method", "ticks",
+    "SELECT 'triple_barrier' AS method, symbol, CASE WHEN u <= d AND u <= 20 THEN 1 WHEN d <= 20 THEN -1 ELSE 0 END AS label, count(*) AS n FROM t3 GROUP BY 1, 2, 3"
+    " UNION ALL SELECT 'trend_scanning', symbol, CAST(sign(tval) AS INTEGER), count(*) FROM best WHERE i >= 10 AND i < n - 60 GROUP BY 1, 2, 3",
+    RANGED + scan_sql("lnp", "TRUE").replace("ln(price) AS lnp", "ln(100 + price) AS lnp"),
+)
 def _(df):
     bars = df.select("symbol", "ts", (100 + F.col("price")).alias("close"), (101 + F.col("price")).alias("high"), (99 + F.col("price")).alias("low"))
     kinds = [folds.labels(bars, m, **o).select(F.lit(m).alias("method"), "symbol", "label") for m, o in (("triple_barrier", {"bars": 20}), ("trend_scanning", {}))]
@@ -159,7 +173,14 @@ def _(df):
     return rounded(folds.shannon_entropy(df, "price"), "symbol", "ts", shannon_entropy="shannon_entropy")
 
 
-@book.add("W20_lempel_ziv", "user_ticks")
+@book.add(
+    "W20_lempel_ziv", "user_ticks",
+    "SELECT symbol, ts, CASE WHEN n IS NOT NULL THEN round(phrases / (n / log2(n + 1)), 6) END AS lempel_ziv FROM (SELECT symbol, ts, n, list_reduce(list_transform(range(1, n + 1), lambda z: {'at': z, 'phrases': CAST(0 AS BIGINT)}), lambda a, j: CASE WHEN contains(substr(bits, 1, a.at - 1), substr(bits, a.at, j.at - a.at + 1)) THEN a ELSE {'at': j.at + 1, 'phrases': a.phrases + 1} END, {'at': CAST(1 AS BIGINT), 'phrases': CAST(1 AS BIGINT)}).phrases AS phrases FROM s)",
+    RETURNS + ", x AS (SELECT symbol, ts, i, list_filter(rs, lambda v: v IS NOT NULL) AS xs FROM r), b AS (SELECT symbol, ts, CASE WHEN i > 50 AND len(xs) >= 25 THEN xs END AS xs FROM x),"
+    " e AS (SELECT symbol, ts, xs, list_distinct(list_aggregate(xs, 'quantile_cont', [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS edges FROM b),"
+    " c AS (SELECT symbol, ts, list_transform(xs, lambda v: greatest(len(list_filter(edges, lambda q: q < v)) - 1, 0)) AS codes FROM e),"
+    " s AS (SELECT symbol, ts, len(codes) AS n, array_to_string(list_transform(codes, lambda k: CASE WHEN k > m THEN '1' ELSE '0' END), '') AS bits FROM (SELECT *, list_median(codes) AS m FROM c))",
+)
 def _(df):
     return rounded(folds.lempel_ziv_complexity(df, "price"), "symbol", "ts", lempel_ziv="lempel_ziv")
 

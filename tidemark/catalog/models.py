@@ -10,7 +10,7 @@ from ..operators import learning as op
 from ..operators import weights
 from ..plans import pipelines
 from ..sources.market import materialise, shared_path
-from .book import Book, rounded
+from .book import Book, phi_sql, rounded
 
 book = Book()
 FEATURES = ["ret_1", "ret_5", "z_20", "size"]
@@ -113,13 +113,6 @@ SHARPE = (
 )
 
 
-def phi_sql(z: str) -> str:
-    """The normal distribution function as in operators.risk."""
-    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2.0)))"
-    tail = f"0.5 * {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z} / 2)"
-    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
-
-
 @book.add("M9_probabilistic_sharpe", "ticks", f"SELECT symbol, round({phi_sql('a')}, 6) AS psr, round({phi_sql('b')}, 6) AS dsr FROM (SELECT symbol, sr / sqrt(v) AS a, (sr - {op.expected_max_sharpe(10, 0.02)!r}) / sqrt(v) AS b FROM m)", SHARPE)
 def _(df):
     m = sharpe_moments(df)

@@ -134,6 +134,18 @@ def _(df):
     return rounded(op.grid_rsi(bars(df), [7, 14], [30], [60, 70]), "symbol", "period", "low", "high", sharpe="sharpe")
 
 
-@book.add("G9_scan_universe", "brand")
+def _last(signal: str, table: str, guard: str) -> str:
+    return f"SELECT symbol, max(ts) AS ts, arg_max({signal}, ts) AS signal FROM {table} WHERE {guard} GROUP BY 1"
+
+
+SCAN = (
+    f"x AS (SELECT symbol, ts, close, {full('avg', 'close', 20)} AS m, {full('stddev_samp', 'close', 20)} AS d FROM brand),"
+    " y AS (SELECT symbol, ts, m, coalesce(last_value(CASE WHEN close > m + 2 * d THEN 1 WHEN close < m - 2 * d THEN -1 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS signal FROM x),"
+    " o AS (SELECT symbol, ts, close / nullif(lag(close, 10) OVER w, 0) - 1 AS s, close / nullif(lag(close, 50) OVER w, 0) - 1 AS l, volume / nullif(" + full("avg", "volume", 20) + ", 0) - 1 AS v FROM brand WINDOW w AS (PARTITION BY symbol ORDER BY ts)),"
+    f" q AS (SELECT symbol, ts, sign((0.6 * s / greatest({full('stddev_samp', 's', 50)}, 1e-10) + 0.4 * l / greatest({full('stddev_samp', 'l', 50)}, 1e-10)) * (1 + greatest(least(v, 0.5), -0.5))) AS signal FROM o)"
+)
+
+
+@book.add("G9_scan_universe", "brand", f"SELECT symbol, max(ts) AS ts, avg(signal) AS score FROM ({_last('signal', 'y', 'm IS NOT NULL')} UNION ALL {_last('signal', 'q', 'signal IS NOT NULL')}) GROUP BY 1 ORDER BY abs(score) DESC, symbol LIMIT 10", SCAN)
 def _(df):
     return op.scan_universe(df, ["bollinger_breakout", "momentum_rotation"])

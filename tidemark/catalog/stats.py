@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import econometrics as ec
 from ..functions import series as s
 from ..operators import risk
-from .book import Book, rounded
+from .book import Book, phi_sql, rounded
 
 book = Book()
 RET = "r AS (SELECT symbol, ts, (100 + price) / lag(100 + price) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret, 100 + price AS close FROM ticks)"
@@ -55,7 +55,17 @@ def _(df):
     return out.select("symbol", "n", F.round("skewness", 6).alias("skewness"), F.round("excess_kurtosis", 6).alias("excess_kurtosis"), F.round("jb_stat", 4).alias("jb_stat"), "tail_class")
 
 
-@book.add("Q4_ks_normal", "ticks")
+KS = (
+    ", z AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ret, ts) AS i, count(*) OVER (PARTITION BY symbol) AS n, (ret - avg(ret) OVER (PARTITION BY symbol)) / stddev_pop(ret) OVER (PARTITION BY symbol) AS z FROM r WHERE ret IS NOT NULL),"
+    f" f AS (SELECT symbol, i, n, {phi_sql('z')} AS f FROM z), d AS (SELECT symbol, max(greatest(i / n - f, f - (i - 1) / n)) AS d, any_value(n) AS n FROM f GROUP BY 1)"
+)
+
+
+@book.add(
+    "Q4_ks_normal", "ticks",
+    "SELECT symbol, round(d, 6) AS ks_stat, round(least(greatest(2 * list_sum(list_transform(range(1, 20), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * t * t))), 0), 1), 6) AS ks_p FROM (SELECT symbol, d, sqrt(n) * d AS t FROM d)",
+    RET + KS,
+)
 def _(df):
     return rounded(risk.ks_normal(rets(df)), "symbol", ks_stat="ks_stat", ks_p="ks_p")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
 from ..functions import series as s
-from .rolling import lempel_ziv_complexity, shannon_entropy  # noqa: F401  part of the features of this module
+from .rolling import lempel_ziv_complexity, shannon_entropy, weighted_past  # noqa: F401  entropies are features of this module
 
 
 def per_symbol(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -108,13 +108,13 @@ def cusum_events(df: DataFrame, price: str = "close", threshold: float | None =
 
 
 def frac_diff(df: DataFrame, d: float, x: str = "close", log: bool = False, threshold: float = 1e-5, out: str = "frac_diff", narrow: int = 64) -> DataFrame:
-    """Add the fixed-width fractional difference: a sum of lags where the weights are few, else a convolution per symbol."""
+    """Add the fixed-width fractional difference: a sum of lags where the weights are few, else convolutions of chunks of a series."""
     w = ec.ffd_weights(d, threshold)
     value = F.ln(x) if log else F.col(x).cast("double")
     if len(w) <= narrow:
         df = df.withColumn("__x", value)
         return df.withColumn(out, sum((F.lit(float(v)) * s.lag("__x", k) for k, v in enumerate(w) if k), F.col("__x"))).drop("__x")
-    return added(df.withColumn("__x", value), {out: lambda g: ec.frac_diff(g["__x"].to_numpy(), d, threshold)}).drop("__x")
+    return weighted_past(df, value, lambda _: w, len(w), out)
 
 
 def barriers(df: DataFrame, price: str = "close", vol: str = "vol", profit: float = 2.0, stop: float = 1.0, bars: int = 50) -> DataFrame:

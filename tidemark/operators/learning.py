@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
 from ..functions import series as s
+from ..sources.market import materialise
 from .metrics import sharpe
 
 EULER = 0.5772156649015329
@@ -88,7 +89,8 @@ def evaluate(df: DataFrame, ret: str | None = None, periods: int = 252) -> DataF
 def cross_validate(estimator: Estimator, df: DataFrame, folds: DataFrame, weight: str | None = None, least_train: int = 10, least_test: int = 5) -> DataFrame:
     """Measures per fold, folds from (symbol, t0 or ts, fold, role). Folds with too few rows are left out."""
     at = "t0" if "t0" in folds.columns else "ts"
-    both = df.join(folds.select("symbol", F.col(at).alias("ts"), "fold", "role"), ["symbol", "ts"]).na.drop().persist()
+    both = df.join(folds.select("symbol", F.col(at).alias("ts"), "fold", "role"), ["symbol", "ts"]).na.drop()
+    both = materialise(both, "folds")
     sizes = {(r["fold"], r["role"]): r["n"] for r in both.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for k in sorted({f for f, _ in sizes}):
@@ -116,7 +118,8 @@ def importance_mda(estimator: Estimator, df: DataFrame, folds: DataFrame, featur
     """``feature, importance``: the drop of accuracy on test rows when a feature is shuffled, summed over folds."""
     spark, rows = df.sparkSession, []
     at = "t0" if "t0" in folds.columns else "ts"
-    both = df.join(folds.select("symbol", F.col(at).alias("ts"), "fold", "role"), ["symbol", "ts"]).na.drop().persist()
+    both = df.join(folds.select("symbol", F.col(at).alias("ts"), "fold", "role"), ["symbol", "ts"]).na.drop()
+    both = materialise(both, "folds")
     for k in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
         train, test = (both.where((F.col("fold") == k) & (F.col("role") == r)).drop("fold", "role") for r in ("train", "test"))
         if train.limit(1).count() == 0:
@@ -129,7 +132,7 @@ def importance_mda(estimator: Estimator, df: DataFrame, folds: DataFrame, featur
 
 def importance_sfi(df: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
     """``feature, mean, std``: cross-validated accuracy of a model on each feature alone."""
-    out = None
+    df, out = materialise(df.select("symbol", "ts", *features, "label"), "features"), None
     for f in features:
         part = cross_validate(logistic([f]), df.select("symbol", "ts", f, "label"), folds).agg(F.lit(f).alias("feature"), F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
         out = part if out is None else out.unionByName(part)

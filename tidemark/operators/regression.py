@@ -12,10 +12,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
+from ..sources.market import materialise
 from .running import places
 
 ADF = "symbol string, adf_stat double, p_value double, lag int, is_stationary boolean"
@@ -54,7 +55,7 @@ def choose_lag(m: np.ndarray, n: int, top: int) -> int:
     return pick
 
 
-def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None, chunk: int = 20_000) -> DataFrame:
+def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None, chunk: int = 50_000) -> DataFrame:
     """``symbol, adf_stat, p_value, lag, is_stationary`` (5 %) with a constant, the lag of the least AIC; fewer than 10 values, or equal ones, are not stationary: null, p 1, lag 0. Missing values are left out.
 
     A task holds ``chunk`` rows of a series, which must be more than there are lags, and as many before as there are lags.
@@ -99,3 +100,109 @@ def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None, chunk:
     tested = total.groupBy("symbol").applyInPandas(finish, ADF)
     none = stats.where(~usable).select("symbol", F.lit(None).cast("double").alias("adf_stat"), F.lit(1.0).alias("p_value"), F.lit(0).alias("lag"), F.lit(False).alias("is_stationary"))
     return tested.unionByName(none)
+
+
+def row_products(x: np.ndarray, lags: int) -> np.ndarray:
+    """For every place of a piece of a series (centred levels), the products of the row (level before, 1, changes before, change) for 0 to ``lags`` lags, flat, one after the other; 0 where a row is not whole."""
+    parts = []
+    for p in range(lags + 1):
+        w = adf_rows(x, p)
+        flat = np.zeros((len(x), (p + 3) ** 2))
+        flat[p + 1 :] = (w[:, :, None] * w[:, None, :]).reshape(len(w), -1)
+        parts.append(flat)
+    return np.concatenate(parts, 1)
+
+
+def supremum(starts: np.ndarray, begin: np.ndarray, ends: np.ndarray, sums: np.ndarray, least: int, lags: int) -> np.ndarray:
+    """The greatest statistic of windows [start, end) over the given starts, for each end; nan where there is none. ``begin`` and ``sums`` are the running products at both."""
+    out, edges = np.full(len(ends), np.nan), np.cumsum([0, *[(p + 3) ** 2 for p in range(lags + 1)]])
+    cut = [lambda v, p=p: v[..., edges[p] : edges[p + 1]].reshape(*v.shape[:-1], p + 3, p + 3) for p in range(lags + 1)]
+    for j, end in enumerate(ends):
+        m = int(np.searchsorted(starts, end - least, "left"))
+        if not m:
+            continue
+        a, both = starts[:m], sums[j] - begin[:m]
+        stats, scores = [], []
+        for p in range(lags + 1):
+            k = p + 2
+            every, own = cut[lags](both), cut[p](both)
+            common = np.concatenate([np.arange(k), [lags + 2]])
+            rss = _solved(every[:, common[:, None], common[None, :]])[1]
+            coefficient, mine, spread = _solved(own)
+            rows = end - 1 - lags - a
+            with np.errstate(all="ignore"):
+                scores.append(np.round(rows * np.log(rss / rows) + 2 * k, 9))
+                stats.append(coefficient / np.sqrt(mine / (end - 1 - p - a - k) * spread))
+        t = np.array(stats)[np.argmin(np.nan_to_num(scores, nan=np.inf), 0), np.arange(m)]
+        t = t[np.isfinite(t)]
+        if len(t):
+            out[j] = t.max()
+    return out
+
+
+def _solved(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First coefficient, residual sum of squares and first entry of the inverse for a stack of sums of products whose last row and column are the target's."""
+    z, c, yy = m[:, :-1, :-1], m[:, :-1, -1], m[:, -1, -1]
+    scale = np.sqrt(np.maximum(np.einsum("nii->ni", z), 1e-300))
+    inverse = np.linalg.pinv(z / (scale[:, :, None] * scale[:, None, :]), hermitian=True) / (scale[:, :, None] * scale[:, None, :])
+    b = np.einsum("nij,nj->ni", inverse, c)
+    return b[:, 0], np.maximum(yy - np.einsum("ni,ni->n", b, c), 0), inverse[:, 0, 0]
+
+
+def sadf(df: DataFrame, x: str = "close", least: int = 50, lags: int = 1, chunk: int = 50_000, block: int = 2_048) -> DataFrame:
+    """df with ``sadf``: at each row from 2 ``least`` on, the supremum over starts of the ADF statistic of ln prices on [start, row), the row itself excluded; null before, and where the price is missing or not positive.
+
+    Each window takes the number of lags, up to ``lags``, with the least Akaike criterion. Products of rows are summed along the series by chunks, so the sums of a window are the
+    difference of two rows' sums; ends and starts meet by blocks, a task per pair of blocks, whatever the length of a series.
+    """
+    price = F.col(x).cast("double")
+    good = F.coalesce((price > 0) & ~F.isnan(price) & F.col("symbol").isNotNull(), F.lit(False))
+    own = places(df.where(good).withColumn("__x", F.ln(price)), "__i")
+    own = materialise(own, "placed")
+    mean = own.groupBy("symbol").agg(F.avg("__x").alias("__mean"), F.count("__x").alias("__n"))
+    level = own.select("symbol", "__i", "__x").join(mean, "symbol").select("symbol", F.col("__i").alias("i"), (F.col("__x") - F.col("__mean")).alias("x"), F.col("__n").alias("n"))
+    home, back = F.floor(F.col("i") / chunk), lags + 1
+    parts = F.when(F.col("i") % chunk >= chunk - back, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = level.withColumn("home", home).withColumn("part", F.explode(parts))
+
+    def along(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        halo = int((table["home"].to_numpy() < table["part"].to_numpy()).sum())
+        run = np.cumsum(row_products(table["x"].to_numpy(), lags)[halo:], 0)
+        own = table.slice(halo)
+        flat = pa.array([row.tolist() for row in run], pa.list_(pa.float64()))
+        return pa.table({"symbol": pa.array(own["symbol"].to_pylist(), pa.string()), **{c: pa.array(own[c].to_numpy(), pa.int64()) for c in ("part", "i", "n")}, "run": flat})
+
+    local = materialise(spread.groupBy("symbol", "part").applyInArrow(along, "symbol string, part long, i long, n long, run array<double>"), "products")
+    last = local.groupBy("symbol", "part").agg(F.max_by("run", "i").alias("total"))
+    earlier = Window.partitionBy("symbol", "k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("symbol", "part", F.posexplode("total").alias("k", "v")).withColumn("c", F.coalesce(F.sum("v").over(earlier), F.lit(0.0)))
+    carried = carried.groupBy("symbol", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda e: e["c"]).alias("before"))
+    sums = materialise(local.join(carried, ["symbol", "part"]).select("symbol", "i", "n", F.zip_with("run", "before", lambda a, b: a + b).alias("s")), "sums")
+
+    edges = [0]
+    for p in range(lags + 1):
+        edges.append(edges[-1] + (p + 3) ** 2)
+    # an end takes the sums up to the row before it; a start, for p lags, those up to p rows after it
+    ends = sums.select("symbol", (F.col("i") + 1).alias("at"), "n", "s").where((F.col("at") >= 2 * least) & (F.col("at") < F.col("n")))
+    starts = None
+    for p in range(lags + 1):
+        piece = sums.select("symbol", (F.col("i") - p).alias("at"), "n", F.slice("s", edges[p] + 1, edges[p + 1] - edges[p]).alias(f"s{p}"))
+        starts = piece if starts is None else starts.join(piece.drop("n"), ["symbol", "at"])
+    starts = starts.select("symbol", "at", "n", F.concat(*[f"s{p}" for p in range(lags + 1)]).alias("s"))
+    up = lambda c: F.floor(c / block)
+
+    def meet(key: tuple, a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(z):
+            return pd.DataFrame({"symbol": pd.Series(dtype=object), "i": pd.Series(dtype="int64"), "sadf": pd.Series(dtype=float)})
+        a = a.sort_values("at")
+        found = supremum(a["at"].to_numpy(), np.stack(a["s"]), z["at"].to_numpy(), np.stack(z["s"]), least, lags)
+        return pd.DataFrame({"symbol": [key[0]] * len(z), "i": z["at"].to_numpy(), "sadf": found})
+
+    starts, ends = (materialise(df.select("symbol", "at", "n", "s"), name) for df, name in ((starts, "starts"), (ends, "ends")))
+    ends = ends.withColumn("e", up(F.col("at"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(up(F.col("at") - least), F.lit(0)))))
+    starts = starts.where(F.col("at") < F.col("n") - least).withColumn("b", up(F.col("at"))).withColumn("e", F.explode(F.sequence("b", up(F.col("n") - 1))))
+    both = starts.select("symbol", "b", "e", "at", "s").groupBy("symbol", "b", "e").cogroup(ends.select("symbol", "b", "e", "at", "s").groupBy("symbol", "b", "e")).applyInPandas(meet, "symbol string, i long, sadf double")
+    best = both.where(~F.isnan("sadf")).groupBy("symbol", "i").agg(F.max("sadf").alias("sadf"))
+    found = own.join(best.select("symbol", F.col("i").alias("__i"), "sadf"), ["symbol", "__i"], "left").select(*df.columns, "sadf")
+    return found.unionByName(df.where(~good).withColumn("sadf", F.lit(None).cast("double")))

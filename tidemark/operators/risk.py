@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
 from ..functions import series as s
-from .folds import added, frac_diff
-from .regression import adf_test
+from ..sources.market import materialise
+from .folds import frac_diff
+from .regression import adf_test, sadf  # noqa: F401  a test of this module
+from .rolling import weighted_past
 
 
 def hurst(df: DataFrame, x: str = "close", max_lag: int = 20) -> DataFrame:
@@ -93,7 +95,7 @@ def var_bootstrap(df: DataFrame, ret: str = "ret", confidence: float = 0.95, dra
 
 
 def var_all(df: DataFrame, ret: str = "ret", confidence: float = 0.95) -> DataFrame:
-    """The closed-form methods in one table."""
+    """The closed-form methods in one table. Write it before grouping it by symbol again: Spark 4.1 takes this union for one partitioned table, also where its parts were coalesced differently."""
     return var_parametric(df, ret, confidence).unionByName(var_cornish_fisher(df, ret, confidence)).unionByName(var_historical(df, ret, confidence))
 
 
@@ -127,25 +129,22 @@ def garch_var(df: DataFrame, ret: str = "ret", confidence: float = 0.95) -> Data
 
 
 def minimum_d(df: DataFrame, x: str = "close", grid: list[float] | None = None, log: bool = False, least: int = 20, max_lag: int | None = None, min_corr: float | None = None) -> DataFrame:
-    """The least order of fractional differencing that passes ADF at 5 %: ``symbol, d, p_value, correlation``; one task per symbol and order.
+    """The least order of fractional differencing that passes ADF at 5 %: ``symbol, d, p_value, correlation``.
 
     With ``min_corr`` an order that keeps that correlation with the series is preferred, then any stationary one, then 0.5; without, the greatest order stands in.
     """
-    grid = grid or [round(0.05 * k, 2) for k in range(21)]
+    grid = [float(d) for d in grid or [round(0.05 * k, 2) for k in range(21)]]
     value = F.ln(x) if log else F.col(x).cast("double")
-    tasks = df.select("symbol", "ts", value.alias("x")).withColumn("d", F.explode(F.array(*[F.lit(float(d)) for d in grid])))
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        raw = g.sort_values("ts")["x"].to_numpy(float)
-        y = ec.frac_diff(raw, float(key[1]))
-        ok = np.isfinite(y)
-        if ok.sum() < least:
-            return pd.DataFrame(columns=["symbol", "d", "p_value", "correlation"])
-        _, p, _ = ec.adf(y[ok], max_lag)
-        c = np.corrcoef(raw[ok], y[ok])[0, 1] if ok.sum() > 10 and y[ok].std() > 0 else np.nan
-        return pd.DataFrame({"symbol": [key[0]], "d": [float(key[1])], "p_value": [p], "correlation": [c]})
-
-    tried = tasks.groupBy("symbol", "d").applyInPandas(one, "symbol string, d double, p_value double, correlation double")
+    # a series per symbol and order, so that all orders are differenced and tested at once, chunk by chunk
+    tried = df.select("symbol", "ts", value.alias("x")).withColumn("d", F.explode(F.array(*[F.lit(d) for d in grid])))
+    tried = tried.select(F.concat(F.col("d").cast("string"), F.lit("|"), "symbol").alias("symbol"), F.col("symbol").alias("name"), "d", "ts", "x")
+    width = max(len(ec.ffd_weights(d)) for d in grid)
+    apart = weighted_past(tried, F.col("x"), lambda key: ec.ffd_weights(float(key.split("|", 1)[0])), width, "y").where("y is not null")
+    apart = materialise(apart, "differences")
+    c = F.when(F.count("y") > 10, F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")))
+    kept = apart.groupBy("symbol").agg(F.first("name").alias("name"), F.first("d").alias("d"), F.count("y").alias("n"), c.alias("correlation")).where(F.col("n") >= least)
+    tested = adf_test(apart.select("symbol", "ts", "y"), "y", max_lag).select("symbol", "p_value")
+    tried = kept.join(tested, "symbol").select(F.col("name").alias("symbol"), "d", "p_value", "correlation")
     good = F.col("p_value") < 0.05
     pick = F.min_by(F.struct("d", "p_value", "correlation"), F.when(good, F.col("d")))
     if min_corr is None:
@@ -162,15 +161,10 @@ def memory_kept(df: DataFrame, d: float, x: str = "close") -> DataFrame:
     return frac_diff(df, d, x).where("frac_diff is not null").groupBy("symbol").agg(F.corr(x, "frac_diff").alias("correlation"))
 
 
-def sadf(df: DataFrame, x: str = "close", least: int = 50, lags: int = 1) -> DataFrame:
-    """Add ``sadf``, the supremum ADF statistic of ln prices."""
-    return added(df, {"sadf": lambda g: ec.sadf(np.log(g[x].to_numpy(float)), least, lags)})
-
-
 def series_structure(df: DataFrame, price: str = "close") -> DataFrame:
     """One row per symbol: ADF of ln prices, Hurst, volatility, verdict, tails and VaR in nested fields."""
     df = df.withColumn("lp", F.ln(price)).withColumn("ret", s.ret(price))
-    v = var_all(df).groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("method", "var"))).alias("var"))
+    v = materialise(var_all(df), "methods").groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("method", "var"))).alias("var"))
     out = adf_test(df, "lp").join(hurst(df, "lp"), "symbol").join(volatility(df), "symbol").join(fat_tails(df), "symbol").join(v, "symbol")
     verdict = F.when(F.col("hurst") < 0.45, "mean reverting").when(F.col("hurst") > 0.55, "trending").otherwise("random walk")
     return out.select(

@@ -49,9 +49,17 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column | str]], order:
     return joined.select(*df.columns, *[both(out, kind).alias(out) for out, (kind, _) in columns.items()])
 
 
-def places(df: DataFrame, out: str = "pos", order: list[str] | None = None, key: str = "symbol") -> DataFrame:
-    """df with the number from 0 of each row in its series."""
-    return running(df, {"__place": ("count", F.lit(1))}, order or ["ts"], key).withColumn(out, F.col("__place") - 1).drop("__place")
+#: Rows up to which a series is numbered in one task.
+WHOLE_ROWS = 50_000
+
+
+def places(df: DataFrame, out: str = "pos", order: list[str] | None = None, key: str = "symbol", whole: int = WHOLE_ROWS) -> DataFrame:
+    """df with the number from 0 of each row in its series. Where the longest series, which is counted first, has more than ``whole`` rows, series are cut among tasks."""
+    order = order or ["ts"]
+    longest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if longest <= whole:
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    return running(df, {"__place": ("count", F.lit(1))}, order, key).withColumn(out, F.col("__place") - 1).drop("__place")
 
 
 def asof_join(left: DataFrame, right: DataFrame, columns: list[str] | None = None, *, strict: bool = False, within: str | None = None, key: str = "symbol") -> DataFrame:
