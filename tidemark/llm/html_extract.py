@@ -324,7 +324,10 @@ def _settled(found: list[tuple[str, int, bool, bool, bool, bool]]) -> tuple[str,
 
 
 def extract(df: DataFrame, html_col: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``columns`` of each row with ``text`` (empty if there is none, or the page is null), ``n_chars``, ``n_blocks`` and ``n_kept``."""
+    """``columns`` of each row with ``text`` (empty if there is none, or the page is null), ``n_chars``, ``n_blocks`` and ``n_kept``.
+
+    Pages are read whole, in time linear in their length. Repeated rows give rows of their own, an empty table none; ``columns`` must not have the names of the results.
+    """
     own = df.select(*columns, F.col(html_col).cast("string").alias("__html"))
     names = [*columns, "text", "n_chars", "n_blocks", "n_kept"]
 

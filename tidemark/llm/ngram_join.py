@@ -1,9 +1,9 @@
 """Similarity join of texts by the Jaccard coefficient of their word shingles, through a MinHash LSH forest.
 
-Each text has ``trees`` labels of up to ``depth`` MinHash values. A tree is the prefix trie of the sorted labels; texts
-that share the first d values meet in a node at depth d. Matched prefixes are shortened from the full depth, one value
-at a time, until the chance that a pair at the threshold shares a node of some tree reaches the target recall; nodes
-nest, so the last depth holds what the deeper ones held. Texts of a node are tied to its least member, and the ties'
+Each text has ``trees`` labels of up to ``depth`` MinHash values. In a forest, texts that share the first d values of a label meet in a node
+at depth d of its tree; nodes nest, so the texts of a node are those of all deeper ones below it. Only one depth is built, as hashed
+prefixes: the longest at which a pair at the threshold shares a node of some tree with the target recall, by calculation. (Prefixes are
+not shortened text by text; that could only add the nodes of other depths.) Texts of a node are tied to its least member, and the ties'
 connected components are small sets in which all pairs are then compared exactly: by products of shingle incidence
 matrices, in blocks. Large components are cut into blocks, and pairs of blocks are separate tasks that give counts
 per text and a spanning forest, not pairs. Members of a ball of half the distance threshold around a large component's
