@@ -43,7 +43,7 @@ def _(df):
     c = F.col
     return df.select(
         "symbol", "ts", F.signum(c("size") - 50).cast("int").alias("sgn"), F.least(F.greatest(c("size"), F.lit(10.0)), F.lit(90.0)).alias("clipped"), F.abs(c("size") - 50).alias("dist"),
-        F.round(F.ln("price"), 6).alias("ln_price"), F.round(F.sqrt("price"), 6).alias("root"), F.round(F.exp(-c("size") / 100), 6).alias("decay"),
+        F.round(s.ln("price"), 6).alias("ln_price"), F.round(F.sqrt("price"), 6).alias("root"), F.round(F.exp(-c("size") / 100), 6).alias("decay"),
     )
 
 
@@ -109,9 +109,14 @@ def _(df):
 
 
 def meta_labels(signals, labels):
-    """1 where the side taken (``signal``) and the barrier's outcome (``label``) agree, for rows with both."""
+    """1 where the side taken (``signal``) and the barrier's outcome (``label``) agree, for rows with both. Times must be unique in a symbol's labels."""
+    return agreement(signals.join(labels, ["symbol", "ts"]))
+
+
+def agreement(df):
+    """``meta_labels`` of rows that have both ``signal`` and ``label``, whatever their times."""
     agree = ((F.col("signal") == 1) & (F.col("label") == 1)) | ((F.col("signal") == -1) & (F.col("label") == -1))
-    return signals.join(labels, ["symbol", "ts"]).select("symbol", "ts", agree.cast("int").alias("meta_label"))
+    return df.select("symbol", "ts", agree.cast("int").alias("meta_label"))
 
 
 @book.add(
@@ -119,8 +124,8 @@ def meta_labels(signals, labels):
     "SELECT symbol, ts, CASE WHEN (s = 1 AND y = 1) OR (s = -1 AND y = -1) THEN 1 ELSE 0 END AS meta_label FROM (SELECT *, CAST(sign(size - 50) AS INTEGER) AS s, CASE WHEN price > 50 THEN 1 ELSE -1 END AS y FROM ticks) WHERE size <> 50",
 )
 def _(df):
-    sig = df.where("size <> 50").select("symbol", "ts", F.signum(F.col("size") - 50).cast("int").alias("signal"))
-    return meta_labels(sig, df.select("symbol", "ts", F.when(F.col("price") > 50, 1).otherwise(-1).alias("label")))
+    both = df.where("size <> 50").withColumns({"signal": F.signum(F.col("size") - 50).cast("int"), "label": F.when(F.col("price") > 50, 1).otherwise(-1)})
+    return agreement(both)  # ticks of one time would meet each other in a join
 
 
 @book.add("P15_date_strings", "daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(CAST(ts AS DATE) - INTERVAL 30 DAY AS DATE) AS month_before FROM daily")

@@ -118,7 +118,7 @@ def monte_carlo(df: DataFrame, horizon: int = 30, paths: int = 20_000, price: st
     """
     from ..functions import series as s
 
-    m = df.withColumn("__r", s.log_ret(price)).groupBy("symbol").agg(F.avg("__r").alias("mu"), F.stddev_samp("__r").alias("sd"), F.max_by(price, "ts").alias("last"))
+    m = df.withColumn("__r", F.ln(F.try_divide(F.col(price), s.lag(price)))).groupBy("symbol").agg(F.avg("__r").alias("mu"), F.stddev_samp("__r").alias("sd"), F.max_by(price, "ts").alias("last"))
     grid = df.sparkSession.range(paths).withColumnRenamed("id", "path").crossJoin(F.broadcast(m)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "symbol", "path", "step"), F.lit(1 << 52)) + 0.5) / (1 << 52)
     z = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * math.pi * u(2))
