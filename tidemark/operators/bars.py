@@ -11,10 +11,13 @@ from ..functions import series as s
 def dollar_bars(df: DataFrame, threshold: float = 1e6, price: str = "price", size: str = "size") -> DataFrame:
     """Bars of about ``threshold`` traded value: bar = floor(running value / threshold), so a bar opens at the row that crosses; ids may skip.
 
+    Rows of one time count as one. The running value is a decimal of ten places: one in doubles is a little off where it reaches a multiple of the threshold exactly.
+
     ``symbol, bar_id, ts`` (last), ``open, high, low, close, volume, dollar_volume``.
     """
     value = F.col(price) * F.col(size)
-    df = df.withColumn("__v", value).withColumn("bar_id", F.floor(s.cumsum("__v") / threshold))
+    total = F.sum(value.cast("decimal(28,10)")).over(s.by())
+    df = df.withColumn("__v", value).withColumn("bar_id", F.floor(total / F.lit(repr(float(threshold))).cast("decimal(28,10)")).cast("long"))
     return df.groupBy("symbol", "bar_id").agg(
         F.max("ts").alias("ts"), F.min_by(price, "ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "ts").alias("close"),
         F.sum(size).alias("volume"), F.sum("__v").alias("dollar_volume"),
