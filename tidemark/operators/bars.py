@@ -16,8 +16,9 @@ def dollar_bars(df: DataFrame, threshold: float = 1e6, price: str = "price", siz
     ``symbol, bar_id, ts`` (last), ``open, high, low, close, volume, dollar_volume``.
     """
     value = F.col(price) * F.col(size)
-    total = F.sum(value.cast("decimal(28,10)")).over(s.by())
-    df = df.withColumn("__v", value).withColumn("bar_id", F.floor(total / F.lit(repr(float(threshold))).cast("decimal(28,10)")).cast("long"))
+    total, step = F.sum(value.cast("decimal(28,10)")).over(s.by()), F.lit(repr(float(threshold))).cast("decimal(28,10)")
+    df = df.withColumns({"__v": value, "__total": total})
+    df = df.withColumn("bar_id", ((F.col("__total") - F.pmod("__total", step)) / step).cast("long")).drop("__total")  # a quotient of decimals would be rounded up
     return df.groupBy("symbol", "bar_id").agg(
         F.max("ts").alias("ts"), F.min_by(price, "ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "ts").alias("close"),
         F.sum(size).alias("volume"), F.sum("__v").alias("dollar_volume"),
