@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as s
 from .metrics import equity_metrics, trade_metrics
+from .running import in_order
 from .sets import keep_first
 
 TRADES = "symbol string, entry_time timestamp_ntz, exit_time timestamp_ntz, direction int, entry_price double, exit_price double, quantity double, pnl double, pnl_pct double, cost double, bars_held int, exit_reason string"
@@ -35,46 +37,84 @@ class Config:
     expanding: bool = False
 
 
-def simulate(ts: np.ndarray, price: np.ndarray, signal: np.ndarray, c: Config) -> tuple[list[tuple], np.ndarray]:
-    """Trades and the equity of every bar. An open position is checked for exit at each close, in the order stop, profit, time, signal; a new one may open at once. The trade closed by the end of data is not in the equity."""
-    cash, curve, trades = c.capital, np.empty(len(price)), []
-    side, entry, qty, since, opened = 0, 0.0, 0.0, 0, None
+class Simulation:
+    """An account that takes bars in order. An open position is checked for exit at each close, in the order stop, profit, time, signal; a new one may open at once. The trade closed by the end of data is not in the equity."""
+
+    def __init__(self, c: Config):
+        self.config, self.cash, self.trades = c, c.capital, []
+        self.side, self.entry, self.qty, self.since, self.opened, self.last = 0, 0.0, 0.0, 0, None, None
 
-    def close(at: float, when: object, why: str) -> float:
+    def _close(self, at: float, when: object, why: str) -> None:
+        c, side, entry, qty = self.config, self.side, self.entry, self.qty
         cost = (entry + at) * qty * (c.commission + c.slippage)
         pnl = side * (at - entry) * qty - cost
-        trades.append((opened, when, side, entry, at, qty, pnl, side * (at / entry - 1) - cost / (entry * qty), cost, since, why))
-        return pnl
-
-    for i, (p, want) in enumerate(zip(price, signal, strict=True)):
-        if side:
-            since += 1
-            gain = side * (p - entry) / entry
-            why = (
-                "stop_loss" if c.stop_loss and gain <= -c.stop_loss else "take_profit" if c.take_profit and gain >= c.take_profit
-                else "timeout" if c.max_bars and since >= c.max_bars else "signal" if want != side else None
-            )
-            if why:
-                cash += close(p, ts[i], why)
-                side = 0
-        if not side and want and (want > 0 or c.allow_short):
-            side, entry, qty, since, opened = int(want), p, cash * c.size / p, 0, ts[i]
-        curve[i] = cash + (side * (p - entry) * qty if side else 0.0)
-    if side:
-        close(price[-1], ts[-1], "end_of_data")
-    return trades, curve
+        self.trades.append((self.opened, when, side, entry, at, qty, pnl, side * (at / entry - 1) - cost / (entry * qty), cost, self.since, why))
+        self.cash, self.side = self.cash + pnl, 0
+
+    def take(self, ts: np.ndarray, price: np.ndarray, signal: np.ndarray) -> np.ndarray:
+        """The equity of these bars; trades closed in them are in ``trades``."""
+        c, curve = self.config, np.empty(len(price))
+        for i, (p, want) in enumerate(zip(price, signal, strict=True)):
+            if self.side:
+                self.since += 1
+                gain = self.side * (p - self.entry) / self.entry
+                why = (
+                    "stop_loss" if c.stop_loss and gain <= -c.stop_loss else "take_profit" if c.take_profit and gain >= c.take_profit
+                    else "timeout" if c.max_bars and self.since >= c.max_bars else "signal" if want != self.side else None
+                )
+                if why:
+                    self._close(p, ts[i], why)
+            if not self.side and want and (want > 0 or c.allow_short):
+                self.side, self.entry, self.qty, self.since, self.opened = int(want), p, self.cash * c.size / p, 0, ts[i]
+            curve[i] = self.cash + (self.side * (p - self.entry) * self.qty if self.side else 0.0)
+        if len(price):
+            self.last = (price[-1], ts[-1])
+        return curve
+
+    def end(self) -> None:
+        if self.side:
+            self._close(*self.last, "end_of_data")
+
+    def sent(self) -> list[tuple]:
+        """Trades since the last call."""
+        out, self.trades = self.trades, []
+        return out
+
+
+def simulate(ts: np.ndarray, price: np.ndarray, signal: np.ndarray, c: Config) -> tuple[list[tuple], np.ndarray]:
+    """Trades and the equity of every bar of a whole series."""
+    account = Simulation(c)
+    curve = account.take(ts, price, signal)
+    account.end()
+    return account.sent(), curve
 
 
 def _per_symbol(df: DataFrame, config: Config, trades: bool) -> DataFrame:
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts", ignore_index=True)
-        t, curve = simulate(g["ts"].to_numpy(), g["price"].to_numpy(float), g["signal"].to_numpy(np.int64), config)
-        if not trades:
-            return pd.DataFrame({"symbol": key[0], "ts": g["ts"], "equity": curve})
-        names = [x.split()[0] for x in TRADES.split(", ")]
-        return pd.DataFrame([(key[0], *x) for x in t], columns=names)
-
-    return df.where("price is not null and signal is not null").select("symbol", "ts", "price", "signal").groupBy("symbol").applyInPandas(one, TRADES if trades else EQUITY)
+    names = [x.split()[0] for x in TRADES.split(", ")]
+    kinds = {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "int": pa.int32(), "double": pa.float64()}
+    types = [kinds[x.split()[1]] for x in TRADES.split(", ")]
+
+    def begin() -> Callable[[pa.RecordBatch | None], pa.RecordBatch | None]:
+        account, symbol = Simulation(config), None
+
+        def take(batch: pa.RecordBatch | None) -> pa.RecordBatch | None:
+            nonlocal symbol
+            if batch is None:
+                account.end()
+            else:
+                symbol = batch.column("symbol")[0].as_py()
+                curve = account.take(batch.column("ts").to_numpy(zero_copy_only=False), batch.column("price").to_numpy().astype(float), batch.column("signal").to_numpy().astype(np.int64))
+                if not trades:
+                    account.sent()
+                    return pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("ts"), pa.array(curve)], names=["symbol", "ts", "equity"])
+            found = [(symbol, *x) for x in account.sent()]
+            if not trades or not found:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+        return take
+
+    return in_order(df.where("price is not null and signal is not null").select("symbol", "ts", "price", "signal"), begin, TRADES if trades else EQUITY)
 
 
 def trades(df: DataFrame, config: Config = Config()) -> DataFrame:
