@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +77,17 @@ def forecasts(df: DataFrame, horizon: int = 30, models: tuple[str, ...] = MODELS
     """Long table of paths with 90 % bands and validation errors, a task per symbol and model. Series under ``least`` rows give none."""
     tasks = df.where(F.col(price).isNotNull()).select("symbol", "ts", F.col(price).alias("x")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("ts")["x"].to_numpy(float)
-        if len(x) < least:
-            return pd.DataFrame(columns=[c.split()[0] for c in PATHS.split(", ")])
-        y, lo, hi, err = RUN[key[1]](x, horizon)
-        return pd.DataFrame({"symbol": key[0], "model": key[1], "step": np.arange(1, horizon + 1), "yhat": y, "lo": lo, "hi": hi, "rmse": err})
-
-    return tasks.groupBy("symbol", "model").applyInPandas(one, PATHS)
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        symbol, model = (k.as_py() for k in key)
+        x = table.select(["ts", "x"]).sort_by("ts")["x"].to_numpy().astype(float)
+        y, lo, hi, err = RUN[model](x, horizon) if len(x) >= least else ([], [], [], math.nan)
+        n = len(y)
+        return pa.table({
+            "symbol": pa.array([symbol] * n, pa.string()), "model": pa.array([model] * n, pa.string()), "step": pa.array(np.arange(1, n + 1), pa.int32()),
+            **{c: pa.array(np.asarray(v, float), pa.float64(), from_pandas=True) for c, v in (("yhat", y), ("lo", lo), ("hi", hi), ("rmse", np.full(n, err)))},
+        })
+
+    return tasks.groupBy("symbol", "model").applyInArrow(one, PATHS)
 
 
 def analyst_path(targets: DataFrame, horizon: int = 30) -> DataFrame:
