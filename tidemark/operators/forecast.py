@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
+from .running import in_order
 
 PATHS = "symbol string, model string, step int, yhat double, lo double, hi double, rmse double"
 MODELS = ("arma", "holt", "garch", "ridge")
@@ -55,39 +58,104 @@ def _design(x: np.ndarray) -> np.ndarray:
     return np.array([1.0, *[r[-k] for k in (1, 2, 3, 5)], r[-5:].std(), r[-20:].std(), x[-1] / x[-20:].mean() - 1, x[-1] / x[-20] - 1])
 
 
-def _ridge(x: np.ndarray, h: int, penalty: float = 1.0) -> tuple:
-    rows = range(25, len(x) - 1)
-    z = np.array([_design(x[: i + 1][-60:]) for i in rows])
-    y = np.array([x[i + 1] / x[i] - 1 for i in rows])
-    cut = max(int(0.8 * len(y)), 1)
-    fit = lambda a, b: np.linalg.solve(a.T @ a + penalty * np.eye(a.shape[1]), a.T @ b)
-    err = float(np.sqrt(np.mean((y[cut:] - z[cut:] @ fit(z[:cut], y[:cut])) ** 2))) if cut < len(y) else float(y.std())
-    w, path, sd = fit(z, y), list(x[-60:]), y.std()
-    for _ in range(h):
-        path.append(path[-1] * (1 + float(np.clip(_design(np.array(path[-60:])) @ w, -0.5, 0.5))))
-    out = np.array(path[-h:])
-    band = Z90 * sd * np.sqrt(np.arange(1, h + 1)) * x[-1]
-    return out, out - band, out + band, err
+def _designs(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``_design`` of the series up to each of the given places, which have 20 values before them."""
+    r = np.diff(v) / v[:-1]
+    fives, twenties, prices = sliding_window_view(r, 5)[at - 5], sliding_window_view(r, 20)[at - 20], sliding_window_view(v, 20)[at - 19]
+    return np.column_stack([np.ones(len(at)), *[r[at - k] for k in (1, 2, 3, 5)], fives.std(1), twenties.std(1), v[at] / prices.mean(1) - 1, v[at] / v[at - 19] - 1])
+
+
+class Ridge:
+    """A ridge regression of next returns on ``_design`` for a series of ``n`` prices that come in order, part by part; holds sums of products, the last prices and a part.
+
+    Coefficients of the first 0.8 of the rows give the error on the rest, those of all rows the path.
+    """
+
+    FIRST, BACK, PENALTY = 25, 60, 1.0
+
+    def __init__(self, n: int):
+        self.cut = max(int(0.8 * (n - 1 - self.FIRST)), 1)
+        self.seen, self.tail, self.rows, self.tested, self.miss = 0, np.zeros(0), 0, 0, 0.0
+        self.zz, self.zy, self.sums, self.early = np.zeros((9, 9)), np.zeros(9), np.zeros(2), None
+
+    def _solve(self) -> np.ndarray:
+        return np.linalg.solve(self.zz + self.PENALTY * np.eye(9), self.zy)
+
+    def take(self, x: np.ndarray) -> None:
+        v = np.concatenate([self.tail, x])
+        begin = self.seen - len(self.tail)
+        at = np.arange(max(self.FIRST, self.seen - 1) - begin, len(v) - 1)  # places whose next price is here
+        self.seen, self.tail = self.seen + len(x), v[-self.BACK :]
+        if not len(at):
+            return
+        z, y = _designs(v, at), v[at + 1] / v[at] - 1
+        before = min(max(self.cut - self.rows, 0), len(y))
+        for a, b in ((0, before), (before, len(y))):
+            if a == b:
+                continue
+            if self.rows >= self.cut:
+                self.early = self._solve() if self.early is None else self.early
+                self.miss, self.tested = self.miss + float(((y[a:b] - z[a:b] @ self.early) ** 2).sum()), self.tested + b - a
+            self.zz, self.zy, self.rows = self.zz + z[a:b].T @ z[a:b], self.zy + z[a:b].T @ y[a:b], self.rows + b - a
+        self.sums += [y.sum(), (y * y).sum()]
+
+    def forecast(self, h: int) -> tuple:
+        sd = math.sqrt(max(self.sums[1] / self.rows - (self.sums[0] / self.rows) ** 2, 0.0))
+        err, w, path = math.sqrt(self.miss / self.tested) if self.tested else sd, self._solve(), list(self.tail)
+        for _ in range(h):
+            path.append(path[-1] * (1 + float(np.clip(_design(np.array(path[-60:])) @ w, -0.5, 0.5))))
+        out = np.array(path[-h:])
+        band = Z90 * sd * np.sqrt(np.arange(1, h + 1)) * self.tail[-1]
+        return out, out - band, out + band, err
 
 
-RUN = {"arma": _arma, "holt": _holt, "garch": _garch, "ridge": _ridge}
+def _ridges(df: DataFrame, horizon: int, least: int) -> DataFrame:
+    """Paths of the ridge regression from (symbol, ts, x, n), n the length of the series."""
+
+    def begin() -> Callable[[pa.RecordBatch | None], pa.RecordBatch | None]:
+        model, symbol = None, None
+
+        def take(batch: pa.RecordBatch | None) -> pa.RecordBatch | None:
+            nonlocal model, symbol
+            if batch is None:
+                return pa.RecordBatch.from_struct_array(_rows(symbol, "ridge", *model.forecast(horizon)).to_struct_array().combine_chunks())
+            if model is None:
+                model, symbol = Ridge(batch.column("n")[0].as_py()), batch.column("symbol")[0].as_py()
+            model.take(batch.column("x").to_numpy(zero_copy_only=False).astype(float))
+            return None
+
+        return take
+
+    return in_order(df.where(F.col("n") >= least), begin, PATHS)
+
+
+def _rows(symbol: str, model: str, y: np.ndarray, lo: np.ndarray, hi: np.ndarray, err: float) -> pa.Table:
+    n = len(y)
+    return pa.table({
+        "symbol": pa.array([symbol] * n, pa.string()), "model": pa.array([model] * n, pa.string()), "step": pa.array(np.arange(1, n + 1), pa.int32()),
+        **{c: pa.array(np.asarray(v, float), pa.float64(), from_pandas=True) for c, v in (("yhat", y), ("lo", lo), ("hi", hi), ("rmse", np.full(n, err)))},
+    })
+
+
+RUN = {"arma": _arma, "holt": _holt, "garch": _garch}
 
 
 def forecasts(df: DataFrame, horizon: int = 30, models: tuple[str, ...] = MODELS, price: str = "close", least: int = 60) -> DataFrame:
-    """Long table of paths with 90 % bands and validation errors, a task per symbol and model. Series under ``least`` rows give none."""
-    tasks = df.where(F.col(price).isNotNull()).select("symbol", "ts", F.col(price).alias("x")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    """Long table of paths with 90 % bands and validation errors, a task per symbol and model; the ridge regression takes a series in parts. Series under ``least`` rows give none."""
+    known = df.where(F.col(price).isNotNull()).select("symbol", "ts", F.col(price).alias("x"))
+    whole, parts = [m for m in models if m != "ridge"], []
+    tasks = known.withColumn("model", F.explode(F.array(*[F.lit(m) for m in whole]))) if whole else None
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         symbol, model = (k.as_py() for k in key)
         x = table.select(["ts", "x"]).sort_by("ts")["x"].to_numpy().astype(float)
-        y, lo, hi, err = RUN[model](x, horizon) if len(x) >= least else ([], [], [], math.nan)
-        n = len(y)
-        return pa.table({
-            "symbol": pa.array([symbol] * n, pa.string()), "model": pa.array([model] * n, pa.string()), "step": pa.array(np.arange(1, n + 1), pa.int32()),
-            **{c: pa.array(np.asarray(v, float), pa.float64(), from_pandas=True) for c, v in (("yhat", y), ("lo", lo), ("hi", hi), ("rmse", np.full(n, err)))},
-        })
-
-    return tasks.groupBy("symbol", "model").applyInArrow(one, PATHS)
+        return _rows(symbol, model, *(RUN[model](x, horizon) if len(x) >= least else ([], [], [], math.nan)))
+
+    if tasks is not None:
+        parts.append(tasks.groupBy("symbol", "model").applyInArrow(one, PATHS))
+    if "ridge" in models:
+        parts.append(_ridges(known.join(known.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), "symbol"), horizon, max(least, Ridge.FIRST + 2)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def analyst_path(targets: DataFrame, horizon: int = 30) -> DataFrame:
