@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series as s
 from .metrics import equity_metrics, trade_metrics
-from .running import in_order
+from .running import in_order, places
 from .sets import keep_first
 
 TRADES = "symbol string, entry_time timestamp_ntz, exit_time timestamp_ntz, direction int, entry_price double, exit_price double, quantity double, pnl double, pnl_pct double, cost double, bars_held int, exit_reason string"
-EQUITY = "symbol string, ts timestamp_ntz, equity double"
+EQUITY = "symbol string, ts timestamp_ntz, equity double, before double, top double"
 
 
 @dataclass(frozen=True)
@@ -95,10 +94,10 @@ def _per_symbol(df: DataFrame, config: Config, trades: bool) -> DataFrame:
     types = [kinds[x.split()[1]] for x in TRADES.split(", ")]
 
     def begin() -> Callable[[pa.RecordBatch | None], pa.RecordBatch | None]:
-        account, symbol = Simulation(config), None
+        account, symbol, before, top = Simulation(config), None, None, -np.inf
 
         def take(batch: pa.RecordBatch | None) -> pa.RecordBatch | None:
-            nonlocal symbol
+            nonlocal symbol, before, top
             if batch is None:
                 account.end()
             else:
@@ -106,7 +105,10 @@ def _per_symbol(df: DataFrame, config: Config, trades: bool) -> DataFrame:
                 curve = account.take(batch.column("ts").to_numpy(zero_copy_only=False), batch.column("price").to_numpy().astype(float), batch.column("signal").to_numpy().astype(np.int64))
                 if not trades:
                     account.sent()
-                    return pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("ts"), pa.array(curve)], names=["symbol", "ts", "equity"])
+                    tops = np.maximum.accumulate(np.concatenate([[top], curve]))[1:]
+                    earlier = pa.array([before, *curve[:-1].tolist()], pa.float64())
+                    before, top = float(curve[-1]), float(tops[-1])
+                    return pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("ts"), pa.array(curve), earlier, pa.array(tops)], names=["symbol", "ts", "equity", "before", "top"])
             found = [(symbol, *x) for x in account.sent()]
             if not trades or not found:
                 return None
@@ -124,9 +126,8 @@ def trades(df: DataFrame, config: Config = Config()) -> DataFrame:
 
 def equity(df: DataFrame, config: Config = Config()) -> DataFrame:
     """``symbol, ts, equity, ret, drawdown`` of (symbol, ts, price, signal)."""
-    curve = _per_symbol(df, config, False)
-    top = s.cummax("equity")
-    return curve.withColumn("ret", s.ret("equity")).withColumn("drawdown", F.try_divide(F.col("equity") - top, top))
+    curve = _per_symbol(df, config, False)  # with the equity before and the greatest so far, so no window sorts the curve again
+    return curve.select("symbol", "ts", "equity", (F.try_divide("equity", "before") - 1).alias("ret"), F.try_divide(F.col("equity") - F.col("top"), F.col("top")).alias("drawdown"))
 
 
 def quick(df: DataFrame, config: Config = Config()) -> DataFrame:
@@ -136,8 +137,8 @@ def quick(df: DataFrame, config: Config = Config()) -> DataFrame:
 
 def walk_forward_signals(prices: DataFrame, rule: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], config: Config = Config()) -> DataFrame:
     """Signals of consecutive test windows, each from ``rule(train, test)`` on the window before (or all before); bars before the first test window are dropped. One task per symbol and window; ``rule`` must return one signal per test bar."""
-    c, n = config, F.count(F.lit(1)).over(s.whole())
-    df = prices.withColumn("i", s.position()).withColumn("n", n)
+    c = config
+    df = places(prices, "i").join(prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), "symbol")
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - c.train - c.test + 1) / c.test))
     last = F.floor((F.col("n") - 1 - c.train) / c.test) if c.expanding else F.floor(F.col("i") / c.test)
     last = F.least(last, F.floor((F.col("n") - 1 - c.train) / c.test))
