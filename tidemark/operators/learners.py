@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import series as s
 from ..sources.market import materialise
 from .forecast import Z90
+from .learning import spread
 from .windows import forecast_features
 
 LEARNERS = ("forest", "boosting", "ridge")
@@ -62,10 +63,10 @@ class Learners:
         table, names = learning_table(df, price)
         known = table.where("target is not null").withColumn("__p", F.percent_rank().over(Window.partitionBy("symbol").orderBy("ts")))
         known = materialise(known.select("symbol", "ts", *names, "target", "__p"), "learning")
-        one, parts = cls(features=names), []
+        one, parts, training = cls(features=names), [], spread(known.where(F.col("__p") < share))
         for name in learners:
             est = regressor(name, names, **options.get(name, {}))
-            one.models[name] = est.fit(known.where(F.col("__p") < share))
+            one.models[name] = est.fit(training)
             tested = one.models[name].transform(known.where(F.col("__p") >= share))
             parts.append(tested.groupBy("symbol").agg(F.sqrt(F.avg(F.pow(F.col("yhat") - F.col("target"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(name)))
         out = parts[0]
