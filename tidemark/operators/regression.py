@@ -8,6 +8,7 @@ place is a matrix per series, whatever its length. Lag choice then is a choice o
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
 from ..sources.market import materialise
-from .running import places
+from .running import in_order, places
 
 ADF = "symbol string, adf_stat double, p_value double, lag int, is_stationary boolean"
 
@@ -86,15 +87,7 @@ def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None, chunk:
     def finish(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("k")
         size = math.isqrt(len(g))
-        m, top, head = g["v"].to_numpy().reshape(size, size), size - 3, np.asarray(g["head"].iloc[0], float)
-        lag = choose_lag(m, int(g["rows"].iloc[0]), top)
-        at = [0, 1, *range(2, 2 + lag), top + 2]
-        extra = adf_rows(head, lag) if len(head) > lag + 1 else np.zeros((0, lag + 3))
-        final, n = m[np.ix_(at, at)] + extra.T @ extra, int(g["rows"].iloc[0]) + len(extra)
-        b, rss, inverse = solve(final)
-        spare = n - (lag + 2)
-        tau = float(b[0] / math.sqrt(rss / spare * inverse[0, 0])) if spare > 0 and rss > 0 else math.nan
-        p = ec.mackinnon_p(tau) if math.isfinite(tau) else 1.0
+        tau, p, lag = choose_and_test(g["v"].to_numpy().reshape(size, size), int(g["rows"].iloc[0]), np.asarray(g["head"].iloc[0], float))
         return pd.DataFrame({"symbol": [key[0]], "adf_stat": [tau], "p_value": [p], "lag": [lag], "is_stationary": [p < 0.05]})
 
     tested = total.groupBy("symbol").applyInPandas(finish, ADF)
@@ -102,6 +95,19 @@ def adf_test(df: DataFrame, x: str = "close", max_lag: int | None = None, chunk:
     return tested.unionByName(none)
 
 
+def choose_and_test(m: np.ndarray, rows: int, head: np.ndarray) -> tuple[float, float, int]:
+    """Statistic, p value and lag from the sums of products with all lags over ``rows`` rows, and the first values, which only fewer lags can use."""
+    top = len(m) - 3
+    lag = choose_lag(m, rows, top)
+    at = [0, 1, *range(2, 2 + lag), top + 2]
+    extra = adf_rows(head, lag) if len(head) > lag + 1 else np.zeros((0, lag + 3))
+    final, n = m[np.ix_(at, at)] + extra.T @ extra, rows + len(extra)
+    b, rss, inverse = solve(final)
+    spare = n - (lag + 2)
+    tau = float(b[0] / math.sqrt(rss / spare * inverse[0, 0])) if spare > 0 and rss > 0 else math.nan
+    return tau, ec.mackinnon_p(tau) if math.isfinite(tau) else 1.0, lag
+
+
 def row_products(x: np.ndarray, lags: int) -> np.ndarray:
     """For every place of a piece of a series (centred levels), the products of the row (level before, 1, changes before, change) for 0 to ``lags`` lags, flat, one after the other; 0 where a row is not whole."""
     parts = []
@@ -113,35 +119,74 @@ def row_products(x: np.ndarray, lags: int) -> np.ndarray:
     return np.concatenate(parts, 1)
 
 
-def supremum(starts: np.ndarray, begin: np.ndarray, ends: np.ndarray, sums: np.ndarray, least: int, lags: int) -> np.ndarray:
-    """The greatest statistic of windows [start, end) over the given starts, for each end; nan where there is none. ``begin`` and ``sums`` are the running products at both."""
+def supremum(starts: np.ndarray, begin: np.ndarray, ends: np.ndarray, sums: np.ndarray, least: int, lags: int, pairs: int = 1 << 15) -> np.ndarray:
+    """The greatest statistic of windows [start, end) over the given starts, for each end; nan where there is none. ``begin`` and ``sums`` are the running products at both. About ``pairs`` windows are solved at once."""
     out, edges = np.full(len(ends), np.nan), np.cumsum([0, *[(p + 3) ** 2 for p in range(lags + 1)]])
-    cut = [lambda v, p=p: v[..., edges[p] : edges[p + 1]].reshape(*v.shape[:-1], p + 3, p + 3) for p in range(lags + 1)]
-    for j, end in enumerate(ends):
-        m = int(np.searchsorted(starts, end - least, "left"))
-        if not m:
+    many = np.searchsorted(starts, ends - least, "left")
+    step = max(1, pairs // max(len(starts), 1))
+    for low in range(0, len(ends), step):
+        some = np.arange(low, min(low + step, len(ends)))
+        j, a = np.repeat(some, many[some]), np.concatenate([np.arange(m) for m in many[some]])
+        if not len(j):
             continue
-        a, both = starts[:m], sums[j] - begin[:m]
-        stats, scores = [], []
+        cut = [(sums[j, edges[p] : edges[p + 1]] - begin[a, edges[p] : edges[p + 1]]).reshape(-1, p + 3, p + 3) for p in range(lags + 1)]
+        end, start, stats, scores = ends[j], starts[a], [], []
         for p in range(lags + 1):
             k = p + 2
-            every, own = cut[lags](both), cut[p](both)
-            common = np.concatenate([np.arange(k), [lags + 2]])
-            rss = _solved(every[:, common[:, None], common[None, :]])[1]
-            coefficient, mine, spread = _solved(own)
-            rows = end - 1 - lags - a
+            rss = _solved(cut[lags], np.array([*range(k), lags + 2]))[1]
+            coefficient, mine, spread = _solved(cut[p], np.arange(p + 3))
+            rows = end - 1 - lags - start
             with np.errstate(all="ignore"):
                 scores.append(np.round(rows * np.log(rss / rows) + 2 * k, 9))
-                stats.append(coefficient / np.sqrt(mine / (end - 1 - p - a - k) * spread))
-        t = np.array(stats)[np.argmin(np.nan_to_num(scores, nan=np.inf), 0), np.arange(m)]
-        t = t[np.isfinite(t)]
-        if len(t):
-            out[j] = t.max()
+                stats.append(coefficient / np.sqrt(mine / (end - 1 - p - start - k) * spread))
+        t = np.array(stats)[np.argmin(np.nan_to_num(scores, nan=np.inf), 0), np.arange(len(j))]
+        t = np.where(np.isfinite(t), t, -np.inf)
+        top = np.full(len(some), -np.inf)
+        np.maximum.at(top, j - low, t)
+        out[some] = np.where(np.isfinite(top), top, np.nan)
     return out
 
 
-def _solved(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First coefficient, residual sum of squares and first entry of the inverse for a stack of sums of products whose last row and column are the target's."""
+#: The least pivot, in units of a column's sum of squares, with which windows are solved by elimination.
+PIVOT = 1e-7
+
+
+def _solved(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First coefficient, residual sum of squares and first entry of the inverse for a stack of sums of products, of which the rows and columns ``at`` count; the last of these are the target's.
+
+    A Cholesky decomposition that takes the first column last, for all matrices of the stack at once; where columns are nearly dependent, the pseudo-inverse.
+    """
+    order = [*at[1:-1], at[0]]
+    k, y = len(order), at[-1]
+    with np.errstate(all="ignore"):
+        scale = [1 / np.sqrt(np.maximum(m[:, i, i], 1e-300)) for i in order]
+        low: list[list[np.ndarray]] = []
+        z: list[np.ndarray] = []
+        good = np.ones(len(m), bool)
+        for i in range(k):
+            low.append([])
+            for j in range(i + 1):
+                v = m[:, order[i], order[j]] * scale[i] * scale[j]
+                for q in range(j):
+                    v = v - low[i][q] * low[j][q]
+                if i == j:
+                    good &= v > PIVOT
+                    v = np.sqrt(v)
+                low[i].append(v if i == j else v / low[j][j])
+            v = m[:, order[i], y] * scale[i]
+            for q in range(i):
+                v = v - low[i][q] * z[q]
+            z.append(v / low[i][i])
+        first, spread = z[-1] / low[-1][-1] * scale[-1], (scale[-1] / low[-1][-1]) ** 2
+        rss = np.maximum(m[:, y, y] - sum(v * v for v in z), 0)
+    if not good.all():
+        bad = np.flatnonzero(~good)
+        first[bad], rss[bad], spread[bad] = _pseudo(m[bad][:, at[:, None], at[None, :]])
+    return first, rss, spread
+
+
+def _pseudo(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_solved``, for all rows and columns, by the pseudo-inverse."""
     z, c, yy = m[:, :-1, :-1], m[:, :-1, -1], m[:, -1, -1]
     scale = np.sqrt(np.maximum(np.einsum("nii->ni", z), 1e-300))
     inverse = np.linalg.pinv(z / (scale[:, :, None] * scale[:, None, :]), hermitian=True) / (scale[:, :, None] * scale[:, None, :])
@@ -149,15 +194,54 @@ def _solved(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b[:, 0], np.maximum(yy - np.einsum("ni,ni->n", b, c), 0), inverse[:, 0, 0]
 
 
+def whole_supremum(x: np.ndarray, least: int, lags: int) -> np.ndarray:
+    """``sadf`` of a series that fits in a task."""
+    n, out = len(x), np.full(len(x), np.nan)
+    starts, ends = np.arange(max(min(n - least, n - lags), 0)), np.arange(2 * least, n)
+    if len(starts) and len(ends):
+        run = np.cumsum(row_products(x - x.mean(), lags), 0)
+        edges = np.cumsum([0, *[(p + 3) ** 2 for p in range(lags + 1)]])
+        begin = np.concatenate([run[starts + p, edges[p] : edges[p + 1]] for p in range(lags + 1)], 1)
+        out[ends] = supremum(starts, begin, ends, run[ends - 1], least, lags)
+    return out
+
+
+def _short_sadf(df: DataFrame, least: int, lags: int) -> DataFrame:
+    """df without ``__x``, ln prices, and with ``sadf``, for short series."""
+    names = [c for c in df.columns if c != "__x"]
+
+    def begin() -> Callable[[pa.RecordBatch | None], pa.RecordBatch | None]:
+        held: list[pa.RecordBatch] = []
+
+        def take(batch: pa.RecordBatch | None) -> pa.RecordBatch | None:
+            if batch is not None:
+                held.append(batch)
+                return None
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            found = pa.array(whole_supremum(whole.column("__x").to_numpy(), least, lags), pa.float64(), from_pandas=True)
+            return pa.RecordBatch.from_arrays([*[whole.column(c) for c in names], found], names=[*names, "sadf"])
+
+        return take
+
+    return in_order(df, begin, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema if c.name != "__x") + ", sadf double")
+
+
 def sadf(df: DataFrame, x: str = "close", least: int = 50, lags: int = 1, chunk: int = 50_000, block: int = 2_048) -> DataFrame:
     """df with ``sadf``: at each row from 2 ``least`` on, the supremum over starts of the ADF statistic of ln prices on [start, row), the row itself excluded; null before, and where the price is missing or not positive.
 
     Each window takes the number of lags, up to ``lags``, with the least Akaike criterion. Products of rows are summed along the series by chunks, so the sums of a window are the
-    difference of two rows' sums; ends and starts meet by blocks, a task per pair of blocks, whatever the length of a series.
+    difference of two rows' sums; ends and starts meet by blocks, a task per pair of blocks, whatever the length of a series. Series of up to ``block`` rows are solved whole, one after the other in a task.
     """
     price = F.col(x).cast("double")
     good = F.coalesce((price > 0) & ~F.isnan(price) & F.col("symbol").isNotNull(), F.lit(False))
-    own = places(df.where(good).withColumn("__x", F.ln(price)), "__i")
+    missing = df.where(~good).withColumn("sadf", F.lit(None).cast("double"))
+    known = df.where(good).withColumn("__x", F.ln(price))
+    counts = known.groupBy("symbol").agg(F.count("__x").alias("__rows"))
+    if (counts.agg(F.max("__rows")).first()[0] or 0) <= block:
+        return _short_sadf(known, least, lags).unionByName(missing)
+    counted = known.join(counts, "symbol")
+    short, known = (counted.where(c).select(known.columns) for c in (F.col("__rows") <= block, F.col("__rows") > block))
+    own = places(known, "__i")
     own = materialise(own, "placed")
     mean = own.groupBy("symbol").agg(F.avg("__x").alias("__mean"), F.count("__x").alias("__n"))
     level = own.select("symbol", "__i", "__x").join(mean, "symbol").select("symbol", F.col("__i").alias("i"), (F.col("__x") - F.col("__mean")).alias("x"), F.col("__n").alias("n"))
@@ -205,4 +289,4 @@ def sadf(df: DataFrame, x: str = "close", least: int = 50, lags: int = 1, chunk:
     both = starts.select("symbol", "b", "e", "at", "s").groupBy("symbol", "b", "e").cogroup(ends.select("symbol", "b", "e", "at", "s").groupBy("symbol", "b", "e")).applyInPandas(meet, "symbol string, i long, sadf double")
     best = both.where(~F.isnan("sadf")).groupBy("symbol", "i").agg(F.max("sadf").alias("sadf"))
     found = own.join(best.select("symbol", F.col("i").alias("__i"), "sadf"), ["symbol", "__i"], "left").select(*df.columns, "sadf")
-    return found.unionByName(df.where(~good).withColumn("sadf", F.lit(None).cast("double")))
+    return found.unionByName(_short_sadf(short, least, lags)).unionByName(missing)
