@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from ..functions import econometrics as ec
 from ..functions import series as s
 from ..sources.market import materialise
 from .folds import frac_diff
-from .regression import adf_test, sadf  # noqa: F401  a test of this module
-from .rolling import weighted_past
+from .regression import adf_rows, adf_test, choose_and_test, most_lags, sadf  # noqa: F401  a test of this module
+from .running import places
 
 
 def hurst(df: DataFrame, x: str = "close", max_lag: int = 20) -> DataFrame:
@@ -132,6 +133,106 @@ def garch_var(df: DataFrame, ret: str = "ret", confidence: float = 0.95) -> Data
     return fits.join(m, "symbol").select("symbol", (-(F.col("mu") + quantile("k") * F.col("current_vol"))).alias("var"), "current_vol")
 
 
+def differences_tested(df: DataFrame, grid: list[float], max_lag: int | None = None, chunk: int = 50_000) -> DataFrame:
+    """``symbol, d, n, p_value, correlation`` of (symbol, ts, x): per order of differencing, the number of differences, their ADF test and their correlation with x (null up to 10).
+
+    The series is numbered and written once. A task takes a chunk with the rows that the widest weights reach back to, and makes the differences of all orders in memory: first their moments and their last
+    values, which the chunks after need, then the products of the test. Differences are neither written nor shuffled.
+    """
+    weights = {d: ec.ffd_weights(d) for d in dict.fromkeys(grid)}
+    back = max(map(len, weights.values())) - 1
+    size = max(chunk, back, 1)
+    placed = materialise(places(df.where("symbol is not null"), "i").select("symbol", "i", F.col("x").cast("double").alias("x")), "placed")
+    most = most_lags((placed.agg(F.max("i")).first()[0] or 0) + 1, max_lag) + 1
+    home = F.floor(F.col("i") / size)
+    spread = placed.withColumn("home", home).withColumn("chunk", F.explode(F.when(F.col("i") % size >= size - back, F.array(home, home + 1)).otherwise(F.array(home)) if back else F.array(home)))
+
+    def differences(table: pa.Table) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """By order, the differences of the chunk's own rows that are there, and these rows' values."""
+        table = table.sort_by("i")
+        x = table["x"].to_numpy().astype(float)
+        halo, gaps = int((table["home"].to_numpy() < table["chunk"].to_numpy()).sum()), np.concatenate([[0], np.cumsum(np.isnan(x))])
+        for d, w in weights.items():
+            first = max(halo, len(w) - 1)
+            if first >= len(x):
+                yield d, np.zeros(0), np.zeros(0)
+                continue
+            full = gaps[first + 1 :] == gaps[first + 1 - len(w) : len(gaps) - len(w)]
+            with np.errstate(invalid="ignore"):
+                y = np.convolve(x[first - len(w) + 1 :], w, "valid")
+            yield d, y[full], x[first:][full]
+
+    def measure(table: pa.Table) -> pa.Table:
+        out = []
+        for d, y, x in differences(table):
+            z = y[~np.isnan(y)]
+            if len(y):
+                with np.errstate(invalid="ignore"):
+                    mx, my = x.mean(), y.mean()
+                    m = [len(y), mx, my, ((x - mx) ** 2).sum(), ((y - my) ** 2).sum(), ((x - mx) * (y - my)).sum()]
+                out.append((d, m, len(z), z.mean() if len(z) else 0.0, z.min(initial=np.inf), z.max(initial=-np.inf), z[:most], z[-most:]))
+        kinds = (pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+        n = len(out)
+        return pa.table([pa.array([table["symbol"][0].as_py()] * n, pa.string()), pa.array([table["chunk"][0].as_py()] * n, pa.int64()), *columns], names=["symbol", "chunk", "d", "m", "n", "mean", "lo", "hi", "head", "tail"])
+
+    measured = spread.groupBy("symbol", "chunk").applyInArrow(measure, "symbol string, chunk long, d double, m array<double>, n long, mean double, lo double, hi double, head array<double>, tail array<double>")
+
+    def chain(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        """What each chunk needs of the whole series of differences, and of the chunks before."""
+        g = g.sort_values("chunk", ignore_index=True)
+        c, n = np.stack(g["m"]), g["n"].to_numpy()
+        rows = c[:, 0].sum()
+        with np.errstate(all="ignore"):
+            mx, my = (c[:, 0] @ c[:, 1]) / rows, (c[:, 0] @ c[:, 2]) / rows
+            xx, yy, xy = (c[:, 3] + c[:, 0] * (c[:, 1] - mx) ** 2).sum(), (c[:, 4] + c[:, 0] * (c[:, 2] - my) ** 2).sum(), (c[:, 5] + c[:, 0] * (c[:, 1] - mx) * (c[:, 2] - my)).sum()
+            correlation = xy / np.sqrt(xx * yy) if rows > 10 else np.nan
+        total, lags = int(n.sum()), most_lags(int(n.sum()), max_lag)
+        usable = total >= 10 and g["hi"].max() > g["lo"].min()
+        before, head, earlier = [], np.zeros(0), np.zeros(0)
+        for first, last in zip(g["head"], g["tail"], strict=True):
+            before.append(earlier)
+            head = np.concatenate([head, first])[: lags + 1] if len(head) <= lags else head
+            earlier = np.concatenate([earlier, last])[-lags - 1 :]
+        k = len(g)
+        return pd.DataFrame({
+            "symbol": [key[0]] * k, "chunk": g["chunk"], "d": [key[1]] * k, "rows": [int(rows)] * k, "correlation": [float(correlation)] * k, "usable": [bool(usable)] * k, "mean": [float(n @ g["mean"].to_numpy()) / total if total else 0.0] * k,
+            "lags": [lags] * k, "before": before, "head": [head if not i else np.zeros(0) for i in range(k)], "start": [not i for i in range(k)],
+        })
+
+    chained = materialise(measured.groupBy("symbol", "d").applyInPandas(chain, "symbol string, chunk long, d double, rows long, correlation double, usable boolean, mean double, lags int, before array<double>, head array<double>, start boolean"), "chunks")
+
+    def products(table: pa.Table, needs: pa.Table) -> pa.Table:
+        known, out = {row["d"]: row for row in needs.to_pylist()}, []
+        for d, y, _ in differences(table) if table.num_rows and known else ():
+            row = known.get(d)
+            if row is None:
+                continue
+            lags = row["lags"]
+            z = np.concatenate([np.array(row["before"], float), y[~np.isnan(y)]]) - row["mean"]
+            m, rows = np.zeros((lags + 3, lags + 3)), max(len(z) - 1 - lags, 0)
+            for a in range(0, rows, 8_192):
+                w = adf_rows(z[a : min(a + 8_192, rows) + lags + 1], lags)
+                m += w.T @ w
+            out.append((row["symbol"], d, rows, m[np.triu_indices(lags + 3)], np.array(row["head"], float) - row["mean"]))
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["symbol", "d", "rows", "m", "head"])
+
+    parts = spread.groupBy("symbol", "chunk").cogroup(chained.where("usable").select("symbol", "chunk", "d", "mean", "lags", "before", "head").groupBy("symbol", "chunk")).applyInArrow(products, "symbol string, d double, rows long, m array<double>, head array<double>")
+
+    def finish(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        flat, rows = np.sum(np.stack(g["m"]), 0), int(g["rows"].sum())
+        size = (math.isqrt(8 * len(flat) + 1) - 1) // 2
+        m = np.zeros((size, size))
+        m[np.triu_indices(size)] = flat
+        m = m + np.triu(m, 1).T
+        p = choose_and_test(m, rows, np.asarray(max(g["head"], key=len), float))[1]
+        return pd.DataFrame({"symbol": [key[0]], "d": [key[1]], "p_value": [p]})
+
+    tested = parts.groupBy("symbol", "d").applyInPandas(finish, "symbol string, d double, p_value double")
+    return chained.where("start").join(tested, ["symbol", "d"], "left").select("symbol", "d", F.col("rows").alias("n"), F.coalesce("p_value", F.lit(1.0)).alias("p_value"), F.nanvl("correlation", F.lit(None).cast("double")).alias("correlation"))
+
+
 def minimum_d(df: DataFrame, x: str = "close", grid: list[float] | None = None, log: bool = False, least: int = 20, max_lag: int | None = None, min_corr: float | None = None) -> DataFrame:
     """The least order of fractional differencing that passes ADF at 5 %: ``symbol, d, p_value, correlation``.
 
@@ -139,16 +240,7 @@ def minimum_d(df: DataFrame, x: str = "close", grid: list[float] | None = None,
     """
     grid = [float(d) for d in grid or [round(0.05 * k, 2) for k in range(21)]]
     value = F.ln(x) if log else F.col(x).cast("double")
-    # a series per symbol and order, so that all orders are differenced and tested at once, chunk by chunk
-    tried = df.select("symbol", "ts", value.alias("x")).withColumn("d", F.explode(F.array(*[F.lit(d) for d in grid])))
-    tried = tried.select(F.concat(F.col("d").cast("string"), F.lit("|"), "symbol").alias("symbol"), F.col("symbol").alias("name"), "d", "ts", "x")
-    width = max(len(ec.ffd_weights(d)) for d in grid)
-    apart = weighted_past(tried, F.col("x"), lambda key: ec.ffd_weights(float(key.split("|", 1)[0])), width, "y").where("y is not null")
-    apart = materialise(apart, "differences")
-    c = F.when(F.count("y") > 10, F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")))
-    kept = apart.groupBy("symbol").agg(F.first("name").alias("name"), F.first("d").alias("d"), F.count("y").alias("n"), c.alias("correlation")).where(F.col("n") >= least)
-    tested = adf_test(apart.select("symbol", "ts", "y"), "y", max_lag).select("symbol", "p_value")
-    tried = kept.join(tested, "symbol").select(F.col("name").alias("symbol"), "d", "p_value", "correlation")
+    tried = differences_tested(df.select("symbol", "ts", value.alias("x")), grid, max_lag).where(F.col("n") >= least)
     good = F.col("p_value") < 0.05
     pick = F.min_by(F.struct("d", "p_value", "correlation"), F.when(good, F.col("d")))
     if min_corr is None:
