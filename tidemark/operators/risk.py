@@ -51,9 +51,9 @@ def phi(z: Column) -> Column:
 
 def ks_normal(df: DataFrame, ret: str = "ret") -> DataFrame:
     """``symbol, ks_stat, ks_p``: distance to the fitted normal; p by Kolmogorov's series."""
-    w = s.whole()
-    df = df.where(F.col(ret).isNotNull()).withColumn("__n", F.count(ret).over(w)).withColumn("__z", F.try_divide(F.col(ret) - F.avg(ret).over(w), F.stddev_pop(ret).over(w)))
-    df = df.withColumn("__i", F.row_number().over(w.orderBy(ret, "ts"))).withColumn("__f", phi(F.col("__z")))
+    df = df.where(F.col(ret).isNotNull()).select("symbol", F.col(ret).alias("__r"))
+    m = df.groupBy("symbol").agg(F.count("__r").alias("__n"), F.avg("__r").alias("__mu"), F.stddev_pop("__r").alias("__sd"))
+    df = places(df, "__p", ["__r"]).join(m, "symbol").withColumn("__i", F.col("__p") + 1).withColumn("__f", phi(F.try_divide(F.col("__r") - F.col("__mu"), F.col("__sd"))))
     d = df.groupBy("symbol").agg(F.max(F.greatest(F.col("__i") / F.col("__n") - F.col("__f"), F.col("__f") - (F.col("__i") - 1) / F.col("__n"))).alias("ks_stat"), F.max("__n").alias("n"))
     t = F.col("ks_stat") * F.sqrt("n")
     series = sum(((-1) ** (k - 1) * F.exp(-2 * k * k * t * t) for k in range(1, 20)), F.lit(0.0))
@@ -82,17 +82,54 @@ def var_historical(df: DataFrame, ret: str = "ret", confidence: float = 0.95) ->
     return both.groupBy("symbol").agg(F.lit("historical").alias("method"), (-F.max("cut")).alias("var"), (-F.avg(F.when(F.col(ret) <= F.col("cut"), F.col(ret)))).alias("cvar"))
 
 
-def var_bootstrap(df: DataFrame, ret: str = "ret", confidence: float = 0.95, draws: int = 10_000, seed: int = 42, per_task: int = 1_000) -> DataFrame:
-    """``symbol, method, var, lo, hi``: mean and 95 % interval of the quantile over resamples; a task takes ``per_task`` of a symbol's resamples."""
-    tasks = df.where(F.col(ret).isNotNull()).select("symbol", F.col(ret).alias("r")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // per_task) - 1))))
+def resampled_ranks(rng: np.random.Generator, n: int, at: float, block: int = 1 << 18) -> tuple[int, int]:
+    """Of a resample of n places 0 .. n - 1, the two order statistics next to ``at`` (0 to n - 1), drawn a block at a time; only places near them are kept."""
+    lo, width = math.floor(at), 8 * math.sqrt(n) + 8
+    low, high, below, near = at - width, at + width, 0, []
+    state = rng.bit_generator.state
+    for a in range(0, n, block):
+        x = rng.integers(0, n, min(block, n - a))
+        under = x < high
+        x = x[under]
+        x = x[x >= low]
+        below += int(np.count_nonzero(under)) - len(x)
+        near.append(x)
+    found = np.concatenate(near)
+    first, second = lo - below, min(lo + 1, n - 1) - below
+    if 0 <= first and second < len(found):
+        ranked = np.partition(found, [first, second])
+        return int(ranked[first]), int(ranked[second])
+    rng.bit_generator.state = state  # more than eight deviations away
+    ranked = np.sort(rng.integers(0, n, n))
+    return int(ranked[lo]), int(ranked[min(lo + 1, n - 1)])
+
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        r, rng = np.sort(g["r"].to_numpy()), np.random.default_rng([seed, int(key[1])])
-        n = min(per_task, draws - int(key[1]) * per_task)
-        v = [-np.quantile(r[rng.integers(0, len(r), len(r))], 1 - confidence) for _ in range(n)]
-        return pd.DataFrame({"symbol": key[0], "v": v})
+def var_bootstrap(df: DataFrame, ret: str = "ret", confidence: float = 0.95, draws: int = 10_000, seed: int = 42, per_task: int = 1_000) -> DataFrame:
+    """``symbol, method, var, lo, hi``: mean and 95 % interval of the quantile over resamples; a task takes ``per_task`` of a symbol's resamples.
 
-    each = tasks.groupBy("symbol", "chunk").applyInPandas(one, "symbol string, v double")
+    A resample of sorted returns is one of their places, so tasks draw places, for which they need the number of returns only, and find the places that the quantile lies between. The returns themselves
+    are ranked once and meet these places in a join.
+    """
+    known = df.where(F.col(ret).isNotNull()).select("symbol", F.col(ret).cast("double").alias("r"))
+    chunks = -(-draws // per_task)
+    tasks = known.groupBy("symbol").agg(F.count("r").alias("n")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    tasks = tasks.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, 200), "symbol", "chunk")
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, rng = row["n"], np.random.default_rng([seed, row["chunk"]])
+                count, at = min(per_task, draws - row["chunk"] * per_task), (1 - confidence) * (n - 1)
+                pairs = np.array([resampled_ranks(rng, n, at) for _ in range(count)], dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([row["symbol"]] * count, pa.string()), pa.array([row["chunk"]] * count, pa.int32()), pa.array(np.arange(count), pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(count, at - math.floor(at)))], names=["symbol", "chunk", "k", "first", "second", "share"])
+
+    ranks = materialise(tasks.mapInArrow(resample, "symbol string, chunk int, k int, first long, second long, share double"), "resamples")
+    asked = ranks.select("symbol", F.explode(F.array("first", "second")).alias("place")).distinct()
+    values = materialise(places(known, "place", ["r"]).join(asked, ["symbol", "place"]).select("symbol", "place", "r"), "quantiles")
+    side = lambda c: values.select("symbol", F.col("place").alias(c), F.col("r").alias(f"r_{c}"))
+    both = ranks.join(side("first"), ["symbol", "first"]).join(side("second"), ["symbol", "second"])
+    a, b, t = F.col("r_first"), F.col("r_second"), F.col("share")
+    each = both.select("symbol", (-F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)).alias("v"))  # as numpy interpolates
     return each.groupBy("symbol").agg(F.lit("bootstrap").alias("method"), F.avg("v").alias("var"), F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
 
 
