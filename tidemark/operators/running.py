@@ -56,7 +56,8 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column | str]], order:
 def in_order(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch | None], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Rows of ``schema`` from a machine per series, for recursions: ``begin`` makes a function that takes the series' batches in order of time, and None at their end.
 
-    A series is one task, sorted by Spark; Python holds a batch and what the machine remembers, whatever the length of the series.
+    A series is one task, sorted by Spark; Python holds a batch and what the machine remembers, whatever the length of the series. Rows are dealt by a hash of their own: where a join by symbol came before, Spark would
+    leave a repartition by symbol out, and the adaptive plan, which turns the join into a broadcast one, would then read the series in pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,7 @@ def in_order(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch | None]
         if take is not None:
             yield from filter(None, [take(None)])
 
-    return df.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema)
+    return df.repartition(F.xxhash64("symbol")).sortWithinPartitions("symbol", "ts").mapInArrow(run, schema)
 
 
 #: Rows up to which a series is numbered in one task.
