@@ -86,9 +86,10 @@ def resampled_ranks(rng: np.random.Generator, n: int, at: float, block: int = 1
     """Of a resample of n places 0 .. n - 1, the two order statistics next to ``at`` (0 to n - 1), drawn a block at a time; only places near them are kept."""
     lo, width = math.floor(at), 8 * math.sqrt(n) + 8
     low, high, below, near = at - width, at + width, 0, []
+    kind = np.int32 if n < 1 << 31 else np.int64  # the same draws, in half the room
     state = rng.bit_generator.state
     for a in range(0, n, block):
-        x = rng.integers(0, n, min(block, n - a))
+        x = rng.integers(0, n, min(block, n - a), dtype=kind)
         under = x < high
         x = x[under]
         x = x[x >= low]
