@@ -7,14 +7,18 @@ for weighted fits, ``w``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import econometrics as ec
@@ -26,11 +30,10 @@ EULER = 0.5772156649015329
 
 
 def balanced(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Add ``cw``: n / (2 n_c), times the weight column."""
-    n = df.groupBy("label").agg(F.count(F.lit(1)).alias("__c"))
-    total = df.count()
-    w = F.lit(total) / (2 * F.col("__c"))
-    return df.join(F.broadcast(n), "label").withColumn("cw", w * F.col(weight) if weight else w).drop("__c")
+    """Add ``cw``: n / (2 n_c), times the weight column. Rows without a label have no class and go."""
+    n = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    w = F.coalesce(*[F.when(F.col("label") == k, F.lit(sum(n.values()) / (2 * c))) for k, c in n.items() if k is not None], F.lit(None).cast("double"))
+    return df.where("label is not null").withColumn("cw", w * F.col(weight) if weight else w)
 
 
 def forest(features: list[str], trees: int = 500, depth: int = 5, leaf: int = 50, seed: int = 42) -> Pipeline:
@@ -59,6 +62,12 @@ def fit(estimator: Estimator, df: DataFrame, weight: str | None = None) -> Trans
     return estimator.fit(balanced(spread(df) if trees else df, weight))
 
 
+def in_threads(spark: SparkSession, f: Callable, items: list, n: int = 6) -> list:
+    """f of each item, ``n`` at a time, as the cross-validator of pyspark.ml does it: a fit is many small jobs, which leave most cores idle."""
+    with ThreadPool(max(min(n, len(items)), 1)) as pool:
+        return pool.map(inheritable_thread_target(spark)(f), items, 1)
+
+
 def scored(model: Transformer, df: DataFrame) -> DataFrame:
     """df with ``p`` (probability of 1) and ``pred``."""
     out = model.transform(df)
@@ -95,20 +104,33 @@ def evaluate(df: DataFrame, ret: str | None = None, periods: int = 252) -> DataF
     return out.join(m, "symbol")
 
 
-def cross_validate(estimator: Estimator, df: DataFrame, folds: DataFrame, weight: str | None = None, least_train: int = 10, least_test: int = 5) -> DataFrame:
-    """Measures per fold, folds from (symbol, t0 or ts, fold, role). Folds with too few rows are left out."""
+def in_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """df with ``fold`` and ``role``, a row for each fold it has a role in. Rows of one time share their role, and test if one of them does."""
     at = "t0" if "t0" in folds.columns else "ts"
-    both = df.join(folds.select("symbol", F.col(at).alias("ts"), "fold", "role"), ["symbol", "ts"]).na.drop()
-    both = materialise(both, "folds")
+    roles = folds.select("symbol", F.col(at).alias("ts"), "fold", "role").repartition("symbol", "ts").groupBy("symbol", "ts", "fold").agg(F.min("role").alias("role"))
+    return df.join(roles, ["symbol", "ts"])
+
+
+def usable(both: DataFrame, least_train: int = 1, least_test: int = 1) -> list[int]:
+    """The folds with so many rows."""
     sizes = {(r["fold"], r["role"]): r["n"] for r in both.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = None
-    for k in sorted({f for f, _ in sizes}):
-        if sizes.get((k, "train"), 0) < least_train or sizes.get((k, "test"), 0) < least_test:
-            continue
-        m = fit(estimator, both.where((F.col("fold") == k) & (F.col("role") == "train")), weight)
-        part = confusion(scored(m, both.where((F.col("fold") == k) & (F.col("role") == "test")))).withColumn("fold", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], "n long, accuracy double, log_loss double, precision double, recall double, f1 double, fold int")
+    return [k for k in sorted({f for f, _ in sizes}) if sizes.get((k, "train"), 0) >= least_train and sizes.get((k, "test"), 0) >= least_test]
+
+
+def part(both: DataFrame, fold: int, role: str) -> DataFrame:
+    return both.where((F.col("fold") == fold) & (F.col("role") == role))
+
+
+def cross_validate(estimator: Estimator, df: DataFrame, folds: DataFrame, weight: str | None = None, least_train: int = 10, least_test: int = 5) -> DataFrame:
+    """Measures per fold, folds from (symbol, t0 or ts, fold, role). Folds with too few rows are left out."""
+    both = materialise(in_folds(df, folds).na.drop(), "folds")
+
+    def measure(k: int) -> DataFrame:
+        m = fit(estimator.copy(), part(both, k, "train"), weight)
+        return confusion(scored(m, part(both, k, "test"))).withColumn("fold", F.lit(k))
+
+    found = in_threads(df.sparkSession, measure, usable(both, least_train, least_test))
+    return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], "n long, accuracy double, log_loss double, precision double, recall double, f1 double, fold int")
 
 
 def importance_mdi(model: PipelineModel, features: list[str], spark) -> DataFrame:
@@ -116,26 +138,32 @@ def importance_mdi(model: PipelineModel, features: list[str], spark) -> DataFram
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def shuffled(df: DataFrame, column: str, seed: int = 1) -> DataFrame:
-    """df with one column's values dealt anew among its symbol's rows."""
-    order = lambda salt: F.row_number().over(Window.partitionBy("symbol").orderBy(F.xxhash64("ts", F.lit(salt)), "ts"))
-    values = df.select("symbol", order(seed).alias("__k"), F.col(column).alias("__v"))
-    return df.withColumn("__k", order(seed + 1)).join(values, ["symbol", "__k"]).withColumn(column, F.col("__v")).drop("__k", "__v")
+def shuffled(df: DataFrame, *columns: str, keys: tuple[str, ...] = ("symbol",), seed: int = 1) -> DataFrame:
+    """df with the values of some columns dealt anew, together, among the rows of equal keys."""
+    rest = [c for c in df.columns if c not in (*keys, "ts")]  # rows of one time come in an order of their hashes, as values in order would meet their like
+    order = lambda salt: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("ts", F.lit(salt)), "ts", F.xxhash64(*rest, F.lit(salt)), *rest))
+    values = df.select(*keys, order(seed).alias("__k"), *[F.col(c).alias(f"__v_{c}") for c in columns])
+    return df.withColumn("__k", order(seed + 1)).join(values, [*keys, "__k"]).select(*[F.col(f"__v_{c}").alias(c) if c in columns else c for c in df.columns])
 
 
 def importance_mda(estimator: Estimator, df: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
-    """``feature, importance``: the drop of accuracy on test rows when a feature is shuffled, summed over folds."""
-    spark, rows = df.sparkSession, []
-    at = "t0" if "t0" in folds.columns else "ts"
-    both = df.join(folds.select("symbol", F.col(at).alias("ts"), "fold", "role"), ["symbol", "ts"]).na.drop()
-    both = materialise(both, "folds")
-    for k in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
-        train, test = (both.where((F.col("fold") == k) & (F.col("role") == r)).drop("fold", "role") for r in ("train", "test"))
-        if train.limit(1).count() == 0:
-            continue
-        m = fit(estimator, train)
-        base = confusion(scored(m, test)).first()["accuracy"]
-        rows += [(f, base - confusion(scored(m, shuffled(test, f))).first()["accuracy"]) for f in features]
+    """``feature, importance``: the drop of accuracy on test rows when a feature is shuffled, summed over folds that have both roles.
+
+    A feature is shuffled within a fold's test rows of a symbol. Each test row is scored as it is and once per feature, in one pass."""
+    spark = df.sparkSession
+    both = materialise(in_folds(df, folds).na.drop(), "folds")
+    other = [f"__other_{f}" for f in features]
+    test = both.where("role = 'test'").select("*", *[F.col(f).alias(o) for f, o in zip(features, other, strict=True)])
+    test = materialise(shuffled(test, *other, keys=("fold", "symbol")), "shuffled")
+    variants = [F.struct(F.lit(f or "").alias("without"), *[F.col(f"__other_{g}" if g == f else g).alias(g) for g in features]) for f in (None, *features)]
+
+    def drops(k: int) -> list[tuple[str, float]]:
+        m = fit(estimator.copy(), part(both, k, "train").drop("fold", "role"))
+        rows = test.where(F.col("fold") == k).select("label", F.explode(F.array(*variants)).alias("x")).select("label", "x.*")
+        accuracy = {r["without"]: r["accuracy"] for r in confusion(scored(m, rows), "without").collect()}
+        return [(f, accuracy[""] - accuracy[f]) for f in features]
+
+    rows = [x for found in in_threads(spark, drops, usable(both)) for x in found]
     return spark.createDataFrame(rows, "feature string, importance double").groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
