@@ -168,12 +168,21 @@ def importance_mda(estimator: Estimator, df: DataFrame, folds: DataFrame, featur
 
 
 def importance_sfi(df: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
-    """``feature, mean, std``: cross-validated accuracy of a model on each feature alone."""
-    df, out = materialise(df.select("symbol", "ts", *features, "label"), "features"), None
-    for f in features:
-        part = cross_validate(logistic([f]), df.select("symbol", "ts", f, "label"), folds).agg(F.lit(f).alias("feature"), F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``feature, mean, std``: cross-validated accuracy of a model on each feature alone. Rows are dealt to folds once for all features."""
+    spark = df.sparkSession
+    both = materialise(in_folds(df.select("symbol", "ts", *features, "label"), folds), "folds")
+    alone = {f: both.select("symbol", "ts", f, "label", "fold", "role").na.drop() for f in features}
+
+    def measure(fk: tuple[str, int]) -> DataFrame:
+        f, k = fk
+        m = fit(logistic([f]), part(alone[f], k, "train"))
+        return confusion(scored(m, part(alone[f], k, "test"))).select(F.lit(f).alias("feature"), "accuracy")
+
+    kept = in_threads(spark, lambda f: [(f, k) for k in usable(alone[f], 10, 5)], features)
+    found = in_threads(spark, measure, [x for fks in kept for x in fks])
+    names = spark.createDataFrame([(f,) for f in features], "feature string")
+    scores = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "feature string, accuracy double")
+    return names.join(scores, "feature", "left").groupBy("feature").agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
 @dataclass
