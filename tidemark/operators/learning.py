@@ -49,17 +49,21 @@ def logistic(features: list[str]) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="label", weightCol="cw")])
 
 
-def spread(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """df written once and dealt by symbol and time to tasks of about ``rows`` rows, 96 tasks from a million rows on, more from five; sorted, so what a task holds depends on the rows only. A table that comes from windows has as many tasks as symbols."""
+def spread(df: DataFrame, rows: int = 10_000, most: int = 96) -> DataFrame:
+    """df written once and dealt by symbol and time to tasks of about ``rows`` rows, of which there are ``most`` until each has five times as many, then more; sorted, so what a task holds depends on the rows only. A table that comes from windows has as many tasks as symbols."""
     df = materialise(df, "training")
     n = df.count()
-    return df.repartition(max(min(1 + n // rows, 96), n // (5 * rows)), "symbol", "ts").sortWithinPartitions("symbol", "ts")
+    return df.repartition(max(min(1 + n // rows, most), n // (5 * rows)), "symbol", "ts").sortWithinPartitions("symbol", "ts")
 
 
 def fit(estimator: Estimator, df: DataFrame, weight: str | None = None) -> Transformer:
-    """``estimator`` on class-balanced rows; ensembles of trees, which pass over the rows for each level of their trees, get them dealt evenly to tasks."""
-    trees = isinstance(estimator, Pipeline) and any(isinstance(x, RandomForestClassifier | GBTClassifier) for x in estimator.getStages())
-    return estimator.fit(balanced(spread(df) if trees else df, weight))
+    """``estimator`` on class-balanced rows; ensembles of trees, which pass over the rows for each level of their trees, get them dealt evenly to tasks. Boosting passes for one tree at a time, some hundred times: few tasks with more rows."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else []
+    if any(isinstance(x, GBTClassifier) for x in stages):
+        df = spread(df, 50_000, 24)
+    elif any(isinstance(x, RandomForestClassifier) for x in stages):
+        df = spread(df)
+    return estimator.fit(balanced(df, weight))
 
 
 def in_threads(spark: SparkSession, f: Callable, items: list, n: int = 6) -> list:
