@@ -501,6 +501,17 @@ def test_sets_by_products():
     assert (want == line_dedup.alike_sets(sets, sets, 0.8)).all() and (want == line_dedup.alike_sets(sets, sets, 0.8, 64)).all() and 100 < want.sum() < want.size
 
 
+def test_lines_take_texts_from_what_was_written(docs, spark):
+    """The result is made of written tables: no pass over the texts of its own, not even for blank lines. White space is the same for all lines."""
+    assert not [x for x in line_dedup.near_lines(docs).inputFiles() if "documents" in x]
+    odd = ["a b", "a  b", " a\tb ", "a\n\v b", "\ra\x0cb\r", " ", "", "\t", "a \u00a0 b", "a   \t b  c", "a\x00b"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", line_dedup.normal(F.col("x")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ") for i, x in enumerate(odd)}
+    rows = [(1, "same line of text here\n\n \t\nsame  line of text here"), (2, None), (None, "")]
+    got = {(r["doc_id"], r["line"]): (r["keep_id"], r["keep_line"], r["kept"]) for r in line_dedup.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (1, 2): (1, 2, True), (1, 3): (1, 0, False), (2, 0): (2, 0, True), (None, 0): (None, 0, True)}
+
+
 def test_lines_odd_rows(odd, empty):
     got = line_dedup.near_lines(odd).where("not kept").select("doc_id").collect()
     assert {r["doc_id"] for r in got} >= {5, 6} and not {1, 2, 3} & {r["doc_id"] for r in got}

@@ -32,17 +32,20 @@ BINS = 24
 HEADS, MANY, BLOCK, UNIT, TASK_LINES = 3, 4096, 64, 16, 16_384
 #: Equal values of two signatures of 24 from which the sets are compared: a pair at 0.8 has fewer with probability 0.0002.
 MATCHES = 12
-#: Rows up to which a table of line places is broadcast; beyond, the join shuffles.
+#: Rows up to which a table of line places, keys or digests is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: No two bands share a bin, so they miss independently of each other.
 BANDS = [[b, b + 8, b + 16] for b in range(8)]
 #: 16-bit units of lines that are hashed at once; sets of heads that a task keeps.
-UNITS, HEAD_SETS = 1 << 18, 4096
+UNITS, HEAD_SETS = 1 << 16, 4096
 _MIX, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    odd = F.lit(False)
+    for x in ("  ", *"\t\n\v\f\r"):  # most lines have none of these, and the expression would leave them as they are
+        odd = odd | F.contains(line, F.lit(x))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
 def shingles(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +53,15 @@ def shingles(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     own = [x.encode("utf-16-le", "surrogatepass") for x in lines]
     size = np.fromiter((len(x) // 2 for x in own), np.int64, len(own))
     u = np.frombuffer(b"".join(x if len(x) >= 2 * n else x.ljust(2 * n, b"\0") for x in own), np.uint16).astype(np.uint64)
-    h = np.zeros(max(len(u) - n + 1, 0), np.uint64)
-    for k in range(n):
-        h *= _MIX
-        h += u[k : k + len(h)]
+    h, k, power = u, 1, int(_MIX)  # a polynomial of k units, whose length doubles
+    for bit in f"{n:b}"[1:]:
+        h = h[: max(len(h) - k, 0)] * np.uint64(power) + h[k:]
+        k, power = 2 * k, power**2 % 2**64
+        if bit == "1":
+            h = h[: max(len(u) - k, 0)] * _MIX + u[k:]
+            k, power = k + 1, power * int(_MIX) % 2**64
+    if n == 1:
+        h = h.copy()
     count = np.maximum(size - n, 0) + 1
     first = np.cumsum(count + n - 1) - (count + n - 1)
     h = h[np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)]
@@ -169,15 +177,17 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     raw = every.where(some)
     digest = [F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(7), "t").alias("d2")]
     lines = raw.select("id", "line", normal(F.col("raw")).alias("t"))
-    places = materialise(signatures(lines.select("id", "line", *digest, "t"), ["id", "line", "d1", "d2"], "t", n), "line-places")
-    kinds = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    # Blank lines go along without digests, so that no second pass over the texts looks for them.
+    all_lines = every.select("id", "line", F.when(some, normal(F.col("raw"))).alias("t")).select("id", "line", *[F.when(F.col("t").isNotNull(), d).alias(d_) for d, d_ in zip(digest, ("d1", "d2"), strict=True)], F.coalesce("t", F.lit("")).alias("t"))
+    places = materialise(signatures(all_lines, ["id", "line", "d1", "d2"], "t", n), "line-places")
+    kinds = places.where("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     kinds = materialise(kinds.withColumn("node", F.monotonically_increasing_id()), "line-kinds")
     keyed = kinds.select("node", F.explode(band_keys("v")).alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least")).where("m > 1")
     groups = groups.groupBy("m", "x", "least").agg(F.min("key").alias("key"))  # of keys with the same lines one does
-    keyed = materialise(keyed.join(groups.select("key"), "key"), "line-keys")
+    keyed = materialise(keyed.join(_small(materialise(groups.select("key"), "line-groups")), "key"), "line-keys")
     wanted_nodes = materialise(keyed.select("node").distinct().join(kinds.select("node", "first.id", "first.line"), "node"), "line-wanted")
-    wanted = F.broadcast(wanted_nodes) if wanted_nodes.count() <= BROADCAST_ROWS else wanted_nodes
+    wanted = _small(wanted_nodes)
     texts = lines.join(wanted, lines["id"].eqNullSafe(wanted["id"]) & (lines["line"] == wanted["line"])).select("node", "t").dropDuplicates(["node"])
     texts = materialise(texts.join(kinds.select("node", "v"), "node"), "line-texts")
     forest = wanted_nodes.select("node", F.col("node").alias("label"))
@@ -190,14 +200,19 @@ def near_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     keepers = firsts.groupBy("label").agg(F.min("first").alias("keep"))
     kept = firsts.select("node", "label").join(keepers, "label").select("node", "keep")
     chosen = kinds.join(kept, "node", "left").select("d1", "d2", "copies", "first", F.coalesce("keep", "first").alias("keep")).where("copies > 1 or keep <> first").select("d1", "d2", "keep")
-    out = places.join(chosen, ["d1", "d2"], "left")
+    out = places.where("d1 is not null").select("id", "line", "d1", "d2").join(_small(materialise(chosen, "line-chosen")), ["d1", "d2"], "left")
     keep_id, keep_line = F.when(F.col("keep").isNull(), F.col("id")).otherwise(F.col("keep.id")), F.coalesce("keep.line", "line")
     out = out.select("id", "line", keep_id.alias("keep_id"), keep_line.alias("keep_line"))
-    blank = every.where(~some).select("id", "line", F.col("id").alias("keep_id"), F.col("line").alias("keep_line"))
+    blank = places.where("d1 is null").select("id", "line", F.col("id").alias("keep_id"), F.col("line").alias("keep_line"))
     out = out.unionByName(blank)
     return out.select(F.col("id").alias(id_col), "line", "keep_id", "keep_line", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line") == F.col("keep_line"))).alias("kept"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, written before, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _open(keyed: DataFrame, forest: DataFrame, least: int) -> DataFrame:
     """``key``, ``node`` and ``label`` of the keys with more than ``least`` lines that hold several components, with the key's largest (``main``), its lines and all lines (``m_main``, ``m``)."""
     rows = keyed.select("key", "node").join(forest, "node")
