@@ -63,10 +63,12 @@ class Learners:
         table, names = learning_table(df, price)
         known = table.where("target is not null").withColumn("__p", F.percent_rank().over(Window.partitionBy("symbol").orderBy("ts")))
         known = materialise(known.select("symbol", "ts", *names, "target", "__p"), "learning")
-        one, parts, training = cls(features=names), [], spread(known.where(F.col("__p") < share))
+        one, parts, first = cls(features=names), [], known.where(F.col("__p") < share)
         for name in learners:
             est = regressor(name, names, **options.get(name, {}))
+            training = (spread(first, 50_000, 24, True) if name == "boosting" else spread(first, 10_000, 96, True)).persist()  # boosting passes some thousand times over its rows: few tasks, as in learning.fit
             one.models[name] = est.fit(training)
+            training.unpersist()
             tested = one.models[name].transform(known.where(F.col("__p") >= share))
             parts.append(tested.groupBy("symbol").agg(F.sqrt(F.avg(F.pow(F.col("yhat") - F.col("target"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(name)))
         out = parts[0]
