@@ -169,9 +169,14 @@ def _scan_sql(y: str, guard: str) -> str:
     )
 
 
+def shortened(x: str):
+    """A value that is rounded to 9 places, rounded to 6 as SQL does it, by its product with a million: such values often end in a 5, and Spark's round would take the decimal digits."""
+    return F.round(F.col(x) * 1e6) / 1e6
+
+
 @book.add("W17_trend_scan", "ticks", "SELECT symbol, ts, t1, round(tval, 6) AS tval, CAST(sign(tval) AS INTEGER) AS label, horizon FROM best WHERE i >= 10 AND i < n - 60", _scan_sql("lnp", "TRUE"))
 def _(df):
-    return op.trend_scan(df, "price").withColumn("tval", F.round("tval", 6))
+    return op.trend_scan(df, "price").withColumn("tval", shortened("tval"))
 
 
 @book.add(
@@ -180,7 +185,7 @@ def _(df):
     " FROM b LEFT JOIN best USING (symbol, ts)", _scan_sql("price", "r{h} >= 0.5 AND i + {h} < n"),
 )
 def _(df):
-    return op.trend_scan_fit(df, "price").withColumn("tval", F.round("tval", 6))
+    return op.trend_scan_fit(df, "price").withColumn("tval", shortened("tval"))
 
 
 def _ffd_weights(d: float, n: int) -> list[float]:
